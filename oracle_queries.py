@@ -1,22 +1,504 @@
-"""Oracle SQL (DuckDB) for every registered query that SQL can express."""
+"""Oracle SQL (DuckDB) for every registered query that SQL can express.
+
+Written independently of the Spark plans: windows and joins appear here in
+their plain single-node form (e.g. one ``row_number`` over a class), which
+is exactly what the distributed Spark versions must reproduce.
+"""
 
 from __future__ import annotations
 
 import oracles as O
+from quire.functions import text as T
+from quire.functions.extract import SENTENCE, TITLE_ENTITIES
+from quire.functions.patterns import WS
+from quire.operators.reshape import CONTENTS, METHODS, MODELS
+from quire.operators.relate import BERT_MODELS, CONTENT_SOURCES, TRAINING_METHODS
+from quire.plans.runs import EVENT_METRIC, LOG_METRICS
 
 SQL = {}
-
 RAW = O.RAW_CORPUS
+NL = O.NL
+lit = O.lit
+
+
+def h32(expr: str, salt: str = "") -> str:
+    prefix = f"42:{salt}:" if salt else "42:"
+    return f"('0x' || substr(md5('{prefix}' || CAST({expr} AS VARCHAR)), 1, 8))::BIGINT"
+
+
+def q(s: str) -> str:
+    return '"' + s.replace('"', '""') + '"'
 
-SQL["a5_value_counts"] = f"""
-WITH raw AS ({RAW}),
-clean AS (SELECT {O.clean_text('trafilatura_title')} AS trafilatura_title, sujet FROM raw),
-kept AS (SELECT * FROM clean WHERE {O.to_be_kept('trafilatura_title', 'title', keep_titles=True)}),
-dedup AS (SELECT trafilatura_title, max({O.has_subject('sujet')}) AS has_subject FROM kept GROUP BY 1)
-SELECT has_subject, count(*) AS count FROM dedup GROUP BY 1
+
+def arr(values) -> str:
+    return "[" + ", ".join(lit(v) for v in values) + "]"
+
+
+TRAIN = "SELECT d.doc_id, d.text, l.quality AS labels FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+TRAIN2 = "SELECT d.doc_id, l.quality AS labels FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+SCORED = f"""
+  SELECT doc_id, labels, score, CAST(score >= 0.5 AS INTEGER) AS predictions FROM (
+    SELECT doc_id, labels,
+           (floor(({h32('doc_id', 'score')} / 4294967296.0) * 60) + labels * 40 + 0.5) / 100.0 AS score
+    FROM ({TRAIN2}))
+"""
+
+_metric_case = "CASE event_type " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in EVENT_METRIC.items()) + " END"
+RUNLOG = f"""
+  SELECT user_id AS run_id,
+         lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || '__' || lower({arr(MODELS)}[user_id % 6 + 1]) AS run_name,
+         {arr(METHODS)}[user_id % 7 + 1] AS method,
+         {arr(MODELS)}[user_id % 6 + 1] AS model,
+         {arr(CONTENTS)}[user_id % 8 + 1] AS content,
+         event_id AS step,
+         CAST(event_id % 5 + 1 AS INTEGER) AS epoch,
+         {_metric_case} AS metric,
+         value / (value + 50.0) AS value
+  FROM events
+"""
+EPOCHS = f"""
+  SELECT method, model, content, -max({{'m': m, 'ne': -epoch}}).ne AS epoch FROM (
+    SELECT method, model, content, epoch, avg(value) AS m FROM ({RUNLOG})
+    WHERE metric = 'eval_f1' GROUP BY ALL) GROUP BY ALL
 """
+VALUES_AT = f"""
+  SELECT l.method, l.model, l.content, l.metric, min({{'s': l.step, 'v': l.value}}).v AS value
+  FROM ({RUNLOG}) l JOIN ({EPOCHS}) e
+    ON l.method = e.method AND l.model = e.model AND l.content = e.content AND l.epoch = e.epoch
+  WHERE l.value IS NOT NULL GROUP BY ALL
+"""
+RUNS = ("SELECT method, model, content, " + ", ".join(
+    f"first(value) FILTER (WHERE metric = {lit(m)}) AS {m}" for m in LOG_METRICS) +
+    f" FROM ({VALUES_AT}) GROUP BY ALL")
+
+
+def class_rank(base: str, key: str, label: str, salt: str) -> str:
+    return (f"SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {h32(key, salt)}, {key}) AS rk "
+            f"FROM ({base})")
+
+
+def counts(base: str, label: str) -> str:
+    return (f"SELECT {label}, count(*) AS nc, sum(count(*)) OVER () AS n, count(*) OVER () AS k "
+            f"FROM ({base}) GROUP BY {label}")
+
+
+def split_stratified(base: str, key: str, label: str, cols: str) -> str:
+    return f"""
+      SELECT {cols}, CASE WHEN rk <= qt THEN 'test' WHEN rk <= qt + qd THEN 'dev' ELSE 'train' END AS split
+      FROM ({class_rank(base, key, label, 'class')}) r JOIN (
+        SELECT {label}, CAST(floor(floor(0.1 * n) * (nc / n)) AS BIGINT) AS qt,
+                        CAST(floor(floor(0.1 * n) * (nc / n)) AS BIGINT) AS qd FROM ({counts(base, label)})) USING ({label})
+    """
+
+
+def draws(base: str, key: str, label: str, quota: str, salt: str, cols: str) -> str:
+    """Rows of `base` drawn with replacement: `quota` gives (label, m) per class."""
+    return f"""
+      SELECT {cols}, d.i AS _draw FROM (
+        SELECT g.{label}, g.i, (({h32(f"CAST(g.{label} AS VARCHAR) || ':' || CAST(g.i AS VARCHAR)", salt + '-draw')})
+                % c.nc) + 1 AS rk
+        FROM (SELECT {label}, unnest(range(m)) AS i FROM ({quota})) g
+        JOIN ({counts(base, label)}) c USING ({label})) d
+      JOIN ({class_rank(base, key, label, salt)}) r ON r.{label} = d.{label} AND r.rk = d.rk
+    """
+
+
+def split_balanced(base: str, key: str, label: str, cols: str) -> str:
+    tagged = f"""
+      SELECT *, CASE WHEN rk <= qt THEN 'test' WHEN rk <= qt + qd THEN 'dev' ELSE 'rest' END AS part
+      FROM ({class_rank(base, key, label, 'class')}) r JOIN (
+        SELECT {label}, CAST(floor(floor(0.1 * n) * (nc / n)) AS BIGINT) AS qt,
+                        CAST(floor(floor(0.1 * n) * (1.0 / k)) AS BIGINT) AS qd FROM ({counts(base, label)})) USING ({label})
+    """
+    rest = f"SELECT {cols} FROM ({tagged}) WHERE part = 'rest'"
+    quota = f"SELECT {label}, CAST(floor(floor(0.8 * n) * (1.0 / k)) AS BIGINT) AS m FROM ({counts(base, label)})"
+    rcols = ", ".join(f"r.{c.strip()}" for c in cols.split(","))
+    return f"""
+      SELECT {cols}, part AS split, CAST(NULL AS BIGINT) AS _draw FROM ({tagged}) WHERE part <> 'rest'
+      UNION ALL
+      SELECT {cols}, 'train' AS split, _draw FROM ({draws(rest, key, label, quota, 'balanced', rcols)})
+    """
+
+
+def few_shot(balanced: str, key: str, n: int, cols: str) -> str:
+    fk = f"CAST({key} AS VARCHAR) || ':' || CAST(_draw AS VARCHAR)"
+    return f"""
+      SELECT {cols}, split, _draw FROM ({balanced}) WHERE split <> 'train'
+      UNION ALL
+      SELECT {cols}, CASE WHEN row_number() OVER (ORDER BY {h32('fk', 'few-shot')}, fk) <= {2 * n}
+                          THEN 'train' ELSE 'unlabeled' END AS split, _draw
+      FROM (SELECT *, {fk} AS fk FROM ({balanced}) WHERE split = 'train')
+    """
+
+
+def binary_metrics(base: str, by: str = "") -> str:
+    g = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    tp = "sum(CASE WHEN labels = 1 AND predictions = 1 THEN 1 ELSE 0 END)"
+    fp = "sum(CASE WHEN labels <> 1 AND predictions = 1 THEN 1 ELSE 0 END)"
+    fn = "sum(CASE WHEN labels = 1 AND predictions <> 1 THEN 1 ELSE 0 END)"
+    ok = "sum(CASE WHEN labels = predictions THEN 1 ELSE 0 END)"
+
+    def sd(a, b):
+        return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END)"
+
+    def fb(beta):
+        b2 = beta * beta
+        return sd(f"{1 + b2} * tp", f"{1 + b2} * tp + {b2} * fn + fp")
+    return f"""
+      SELECT {g}{sd('ok', 'n')} AS accuracy, {fb(1.0)} AS f1, {sd('tp', 'tp + fp')} AS precision,
+             {sd('tp', 'tp + fn')} AS recall, CAST(NULL AS BIGINT) AS support,
+             {fb(2.0)} AS f_beta_2_0, {fb(0.5)} AS f_beta_0_5
+      FROM (SELECT {g}count(*) AS n, {ok} AS ok, {tp} AS tp, {fp} AS fp, {fn} AS fn FROM ({base}) {grp})
+    """
+
+
+# ------------------------------------------------------------------ T
+
+def _doc_op(name, expr_fn):
+    SQL[name] = f"SELECT doc_id, {expr_fn('text')} AS out FROM documents"
+
+
+_doc_op("t1_normalize_hyphens", lambda e: O.op(e, T.OP_HYPHENS))
+SQL["t2_strip_tags"] = f"SELECT page_id, {O.op('html', T.OP_TAGS)} AS out FROM pages"
+SQL["t3_strip_urls"] = f"SELECT page_id, {O.op(O.op('html', T.OP_TAGS), T.OP_URLS)} AS out FROM pages"
+_doc_op("t4_strip_dates", lambda e: O.op(e, T.OP_DATES))
+_doc_op("t5_strip_hours", lambda e: O.op(e, T.OP_HOURS))
+_doc_op("t6_strip_boilerplate", lambda e: O.ops(e, T.OPS_BOILERPLATE))
+_doc_op("t7_normalize_quotes", lambda e: O.op(e, T.OP_QUOTES))
+_doc_op("t8_trim_ws_hyphen", lambda e: O.ops(e, T.OPS_TRIM_WS_HYPHEN))
+_doc_op("t9_collapse_ws", lambda e: O.ops(e, T.OPS_COLLAPSE_WS))
+_doc_op("t10_drop_short_suffix", lambda e: O.ops(O.ops(e, T.OPS_COLLAPSE_WS), T.OPS_SHORT_SUFFIX))
+_doc_op("t11_fix_quotes", lambda e: O.ops(e, T.OPS_FIX_QUOTES))
+_doc_op("t12_strip_emoji", lambda e: O.op(e, T.OP_EMOJI))
+_doc_op("t13_strip_control", lambda e: O.op(e, T.OP_CONTROL))
+_doc_op("t14_trim_punct", lambda e: O.op(e, T.OP_PUNCT))
+_doc_op("t15_trim_digits", lambda e: O.op(e, T.OP_DIGITS))
+
+SQL["t16_clean_text"] = f"SELECT doc_id, {O.clean_text('trafilatura_fulltext')} AS clean_text FROM ({RAW})"
+SQL["t17_clean_columns"] = f"""
+SELECT doc_id, {O.clean_text('trafilatura_title')} AS trafilatura_title,
+       {O.clean_text('trafilatura_abstract')} AS trafilatura_abstract,
+       {O.clean_text('translation_title')} AS translation_title FROM ({RAW})
+"""
+SQL["t18_token_count"] = f"SELECT doc_id, {O.token_count('text')} AS n_tokens FROM documents"
+_CT = ("CASE WHEN lower(content_source) LIKE '%title%' THEN 'title' "
+       "WHEN lower(content_source) LIKE '%abstract%' THEN 'abstract' "
+       "WHEN lower(content_source) LIKE '%fulltext%' THEN 'fulltext' END")
+SQL["t19_content_type"] = f"""
+SELECT doc_id, content_source, {_CT} AS content_type FROM (
+  SELECT doc_id, 'trafilatura_title' AS content_source FROM ({RAW}) UNION ALL
+  SELECT doc_id, 'trafilatura_abstract' FROM ({RAW}) UNION ALL
+  SELECT doc_id, 'trafilatura_fulltext' FROM ({RAW}) UNION ALL
+  SELECT doc_id, 'translation_title' FROM ({RAW}))
+"""
+_V = (1 << 18) - 1
+_ids = f"list_transform({O.tokens('text')}, lambda t: CAST((('0x' || substr(md5(t), 1, 8))::BIGINT % {_V}) + 1 AS INTEGER))"
+SQL["t20_encode_fixed"] = f"""
+SELECT doc_id,
+       list_concat(kept, CAST(list_transform(range(greatest(100 - len(kept), 0)), lambda x: 0) AS INTEGER[])) AS input_ids,
+       list_concat(CAST(list_transform(range(len(kept)), lambda x: 1) AS INTEGER[]),
+                   CAST(list_transform(range(greatest(100 - len(kept), 0)), lambda x: 0) AS INTEGER[])) AS attention_mask
+FROM (SELECT doc_id, coalesce({_ids}[1:100], CAST([] AS INTEGER[])) AS kept FROM documents)
+"""
+
+# ------------------------------------------------------------------ F
+
+def _title_pred(name, fn):
+    SQL[name] = f"SELECT doc_id, {fn('trafilatura_title')} AS flag FROM ({RAW})"
+
+
+_title_pred("f1_has_content", O.has_content)
+_title_pred("f2_is_too_short", O.is_too_short)
+_title_pred("f3_is_known_dubious", O.is_known_dubious)
+_title_pred("f4_is_error_message", O.is_error_message)
+_title_pred("f5_is_site_name", O.is_site_name)
+_title_pred("f6_is_boilerplate", lambda e: O.is_boilerplate(e, "title"))
+_title_pred("f7_to_be_kept", lambda e: O.to_be_kept(e, "title", False))
+SQL["f8_quality_gate"] = f"""
+SELECT doc_id, reason IS NULL AS kept, reason FROM (
+  SELECT doc_id, {O.gate_reason('t', 'title')} AS reason FROM (
+    SELECT doc_id, {O.clean_text('trafilatura_title')} AS t FROM ({RAW})))
+"""
+SQL["f9_drop_missing"] = f"""
+SELECT doc_id, trafilatura_abstract, sujet FROM ({RAW})
+WHERE nullif(trafilatura_abstract, '') IS NOT NULL AND nullif(sujet, '') IS NOT NULL
+"""
+SQL["f10_select_runs"] = f"SELECT * FROM ({RUNS}) WHERE eval_f1 >= 0.5 AND eval_precision >= 0.5"
+
+# ------------------------------------------------------------------ A
+
+SQL["a1_has_subject"] = f"SELECT doc_id, {O.has_subject('sujet')} AS has_subject FROM ({RAW})"
+DEDUP_TITLES = f"""
+  SELECT trafilatura_title, max({O.has_subject('sujet')}) AS has_subject FROM (
+    SELECT {O.clean_text('trafilatura_title')} AS trafilatura_title, sujet FROM ({RAW}))
+  WHERE {O.to_be_kept('trafilatura_title', 'title', keep_titles=True)} GROUP BY 1
+"""
+SQL["a2_dedupe_or_label"] = DEDUP_TITLES
+SQL["a3_class_proportions"] = f"""
+SELECT labels, count(*) AS n, count(*) / sum(count(*)) OVER () AS proportion FROM ({TRAIN}) GROUP BY labels
+"""
+SQL["a4_class_weights"] = f"""
+SELECT labels, count(*) AS n_c, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight
+FROM ({TRAIN}) GROUP BY labels
+"""
+SQL["a5_value_counts"] = f"SELECT has_subject, count(*) AS count FROM ({DEDUP_TITLES}) GROUP BY 1"
+
+
+def _profile(base: str, col: str) -> str:
+    n = O.token_count(col)
+    return f"""
+      SELECT count(n) AS count, avg(n) AS mean, stddev_samp(n) AS std, min(n) AS min,
+             quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75,
+             max(n) AS max
+      FROM (SELECT {n} AS n FROM ({base}))
+    """
+
+
+SQL["a6_length_profile"] = _profile("SELECT text FROM documents", "text")
+DEDUP_FULL = f"""
+  SELECT trafilatura_fulltext, max({O.has_subject('sujet')}) AS has_subject FROM ({RAW})
+  WHERE {O.to_be_kept('trafilatura_fulltext', 'fulltext', keep_titles=True)} GROUP BY 1
+"""
+SQL["a7_overview"] = f"""
+SELECT p.*, c.n_negative, c.n_positive FROM ({_profile(DEDUP_FULL, 'trafilatura_fulltext')}) p,
+  (SELECT coalesce(count(*) FILTER (WHERE has_subject = 0), 0) AS n_negative,
+          coalesce(count(*) FILTER (WHERE has_subject = 1), 0) AS n_positive FROM ({DEDUP_FULL})) c
+"""
+_BAL_T = split_balanced(TRAIN2, "doc_id", "labels", "doc_id, labels")
+_ALLS = f"""
+  SELECT 'unbalanced' AS scheme, split, labels FROM ({split_stratified(TRAIN2, 'doc_id', 'labels', 'doc_id, labels')})
+  UNION ALL SELECT 'balanced_dev_train', split, labels FROM ({_BAL_T})
+  UNION ALL SELECT 'pet_50', split, labels FROM ({few_shot(_BAL_T, 'doc_id', 50, 'doc_id, labels')})
+"""
+SQL["a8_split_statistics"] = "SELECT scheme, " + ", ".join(
+    f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN count(*) FILTER (WHERE split = '{s}') END AS {s}_size, "
+    f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN sum(labels) FILTER (WHERE split = '{s}') END AS {s}_positives, "
+    f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN sum(1 - labels) FILTER (WHERE split = '{s}') END AS {s}_negatives"
+    for s in ("train", "dev", "test", "unlabeled")) + f" FROM ({_ALLS}) GROUP BY scheme"
+SQL["a9_distinct_texts"] = "SELECT count(DISTINCT text) AS n_distinct FROM documents"
+_PROF_COLS = ["trafilatura_title", "trafilatura_abstract", "translation_title", "sujet", "quality"]
+SQL["a10_column_profile"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null FROM ({RAW})" for c in _PROF_COLS)
+_MISS = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} = '' THEN 1 ELSE 0 END)"
+                   for c in ["trafilatura_abstract", "translation_title", "sujet"])
+SQL["a11_missing_report"] = f"""
+SELECT n_rows, n_missing, n_rows_with_missing, round(n_rows_with_missing * 100.0 / n_rows, 6) AS pct_rows_with_missing
+FROM (SELECT count(*) AS n_rows, sum({_MISS}) AS n_missing,
+             sum(CASE WHEN {_MISS} > 0 THEN 1 ELSE 0 END) AS n_rows_with_missing FROM ({RAW}))
+"""
+SQL["a12_classification_metrics"] = binary_metrics(SCORED)
+_PER_CLASS = f"""
+  SELECT c, sum(CASE WHEN labels = c AND predictions = c THEN 1 ELSE 0 END) AS tp,
+            sum(CASE WHEN labels <> c AND predictions = c THEN 1 ELSE 0 END) AS fp,
+            sum(CASE WHEN labels = c AND predictions <> c THEN 1 ELSE 0 END) AS fn
+  FROM ({SCORED}) s, (SELECT DISTINCT labels AS c FROM ({SCORED}) UNION SELECT DISTINCT predictions FROM ({SCORED})) cl
+  GROUP BY c
+"""
+
+
+def _sd(a, b):
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END)"
+
+
+def _fb(beta):
+    b2 = beta * beta
+    return _sd(f"{1 + b2} * tp", f"{1 + b2} * tp + {b2} * fn + fp")
+
+
+SQL["a12_macro_metrics"] = f"""
+SELECT (SELECT avg(CASE WHEN labels = predictions THEN 1.0 ELSE 0.0 END) FROM ({SCORED})) AS accuracy,
+       avg({_fb(1.0)}) AS f1, avg({_sd('tp', 'tp + fp')}) AS precision, avg({_sd('tp', 'tp + fn')}) AS recall,
+       CAST(NULL AS BIGINT) AS support, avg({_fb(2.0)}) AS f_beta_2_0, avg({_fb(0.5)}) AS f_beta_0_5
+FROM ({_PER_CLASS})
+"""
+_PTS = f"""
+  SELECT score, pos, neg, row_number() OVER (ORDER BY score DESC) - 1 AS idx,
+         sum(pos) OVER (ORDER BY score DESC) AS tps, sum(neg) OVER (ORDER BY score DESC) AS fps,
+         sum(pos) OVER () AS P, sum(neg) OVER () AS N
+  FROM (SELECT score, sum(CASE WHEN labels = 1 THEN 1 ELSE 0 END) AS pos,
+               sum(CASE WHEN labels = 1 THEN 0 ELSE 1 END) AS neg FROM ({SCORED}) GROUP BY score)
+"""
+SQL["a13_roc_curve"] = f"""
+SELECT -1::BIGINT AS idx, max(score) + 1 AS threshold, 0.0 AS fpr, 0.0 AS tpr FROM ({SCORED})
+UNION ALL
+SELECT idx, score AS threshold, {_sd('fps', 'N')} AS fpr, {_sd('tps', 'P')} AS tpr FROM (
+  SELECT *, lead(pos) OVER (ORDER BY idx) AS np, lead(neg) OVER (ORDER BY idx) AS nn,
+         max(idx) OVER () AS last FROM ({_PTS}))
+WHERE idx = 0 OR idx = last OR np <> pos OR nn <> neg
+"""
+SQL["a14_roc_auc"] = f"SELECT {_sd('sum(neg * (tps - pos / 2.0))', 'max(N * P)')} AS auc FROM ({_PTS})"
+_FOLDS = f"""
+  SELECT *, CAST((row_number() OVER (PARTITION BY labels ORDER BY {h32('doc_id', 'kfold')}, doc_id) - 1) % 5 AS INTEGER) AS fold
+  FROM ({SCORED})
+"""
+SQL["a15_cv_summary"] = f"""
+SELECT metric, avg(value) AS mean, stddev_samp(value) AS std, metric = 'f1' AS selected FROM (
+  UNPIVOT (SELECT fold, accuracy, f1, precision, recall, f_beta_2_0, f_beta_0_5 FROM ({binary_metrics(_FOLDS, 'fold')}))
+  ON accuracy, f1, precision, recall, f_beta_2_0, f_beta_0_5 INTO NAME metric VALUE value)
+GROUP BY metric
+"""
+SQL["a16_weighted_cross_entropy"] = f"""
+SELECT sum(w * -ln(CASE WHEN s.labels = 1 THEN score ELSE 1.0 - score END)) / sum(w) AS loss
+FROM ({SCORED}) s JOIN (
+  SELECT labels, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM ({SCORED}) GROUP BY labels) ww
+  ON s.labels = ww.labels
+"""
+SQL["a17_ensemble_summary"] = f"""
+SELECT model, avg(eval_accuracy) AS eval_accuracy_mean, stddev_samp(eval_accuracy) AS eval_accuracy_std,
+       avg(eval_f1) AS eval_f1_mean, stddev_samp(eval_f1) AS eval_f1_std FROM ({RUNS}) GROUP BY model
+"""
+
+# ------------------------------------------------------------------ O
+
+SQL["o1_shuffle"] = f"""
+SELECT doc_id, labels, row_number() OVER (ORDER BY {h32('doc_id', 'shuffle')}, doc_id) AS position FROM ({TRAIN2})
+"""
+SQL["o2_top_label"] = f"""
+SELECT doc_id, CASE WHEN score >= 1 - score THEN 'relevant' ELSE 'irrelevant' END AS top_label,
+       CASE WHEN score >= 1 - score THEN score ELSE 1 - score END AS top_score FROM ({SCORED})
+"""
+SQL["o3_downsample"] = f"""
+SELECT doc_id, labels FROM (
+  SELECT *, row_number() OVER (ORDER BY {h32('doc_id', 'downsample')}, doc_id) AS rk,
+         count(*) OVER () AS n FROM ({TRAIN2}))
+WHERE rk <= round_even(n * 0.1, 0)
+"""
+SQL["o4_split_ordered"] = f"""
+SELECT doc_id, labels, CASE WHEN pos <= floor(0.8 * n) THEN 'train' WHEN pos <= floor({0.8 + 0.1!r} * n) THEN 'dev'
+                            ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos, count(*) OVER () AS n FROM ({TRAIN2}))
+"""
+SQL["o5_sample_by_class"] = f"""
+SELECT doc_id, labels FROM ({class_rank(TRAIN2, 'doc_id', 'labels', 'class')}) r
+JOIN (SELECT labels, floor(floor(0.3 * n) * (nc / n)) AS qq FROM ({counts(TRAIN2, 'labels')})) USING (labels)
+WHERE rk <= qq
+"""
+SQL["o6_sample_with_replacement"] = draws(
+    TRAIN2, "doc_id", "labels", f"SELECT labels, CAST(floor(n * 0.4) AS BIGINT) AS m FROM ({counts(TRAIN2, 'labels')})",
+    "replace", "r.doc_id, r.labels")
+SQL["o7_split_stratified"] = split_stratified(TRAIN2, "doc_id", "labels", "doc_id, labels")
+SQL["o8_split_balanced"] = _BAL_T
+SQL["o9_split_few_shot"] = few_shot(_BAL_T, "doc_id", 50, "doc_id, labels")
+SQL["o10_stratified_kfold"] = f"""
+SELECT doc_id, labels, CAST((row_number() OVER (PARTITION BY labels ORDER BY {h32('doc_id', 'kfold')}, doc_id) - 1) % 10 AS INTEGER) AS fold
+FROM ({TRAIN2})
+"""
+SQL["o11_best_latest_step"] = f"""
+SELECT run_id, max(step) AS latest_step, max({{'v': value, 's': step}}) FILTER (WHERE metric = 'eval_f1').s AS best_step
+FROM ({RUNLOG}) GROUP BY run_id
+"""
+SQL["o12_metric_evolution"] = f"""
+SELECT run_id, epoch, step, value FROM ({RUNLOG}) WHERE metric = 'eval_f1' AND value IS NOT NULL
+"""
+SQL["o13_split_dataset"] = f"""
+SELECT trafilatura_title, has_subject, split, 'unbalanced' AS scheme, CAST(NULL AS BIGINT) AS _draw
+FROM ({split_stratified(DEDUP_TITLES, 'trafilatura_title', 'has_subject', 'trafilatura_title, has_subject')})
+UNION ALL
+SELECT trafilatura_title, has_subject, split, 'balanced_dev_train' AS scheme, _draw
+FROM ({split_balanced(DEDUP_TITLES, 'trafilatura_title', 'has_subject', 'trafilatura_title, has_subject')})
+"""
+
+# ------------------------------------------------------------------ J, U
+
+SQL["j1_positional_join"] = "SELECT doc_id AS row_id, text, lang FROM documents"
+_SAMPLE10 = f"""
+SELECT doc_id, labels FROM ({class_rank(TRAIN2, 'doc_id', 'labels', 'class')}) r
+JOIN (SELECT labels, floor(floor(0.1 * n) * (nc / n)) AS qq FROM ({counts(TRAIN2, 'labels')})) USING (labels)
+WHERE rk <= qq
+"""
+SQL["j2_difference"] = f"""
+SELECT t.doc_id, t.labels FROM ({TRAIN2}) t
+WHERE NOT EXISTS (SELECT 1 FROM ({_SAMPLE10}) s
+                  WHERE CAST(s.doc_id AS VARCHAR) IS NOT DISTINCT FROM CAST(t.doc_id AS VARCHAR)
+                    AND CAST(s.labels AS VARCHAR) IS NOT DISTINCT FROM CAST(t.labels AS VARCHAR))
+"""
+_REG = " UNION ALL ".join(f"SELECT {lit(s)} AS content_source, {lit(m)} AS bert_model_name, {lit(t)} AS training_method"
+                          for s in CONTENT_SOURCES for m in BERT_MODELS for t in TRAINING_METHODS)
+SQL["j3_fan_out"] = f"""
+SELECT u.doc_id, u.content_source, r.bert_model_name, r.training_method FROM (
+  SELECT doc_id, 'trafilatura_title' AS content_source, trafilatura_title AS text FROM ({RAW}) UNION ALL
+  SELECT doc_id, 'trafilatura_abstract', trafilatura_abstract FROM ({RAW}) UNION ALL
+  SELECT doc_id, 'trafilatura_fulltext', trafilatura_fulltext FROM ({RAW}) UNION ALL
+  SELECT doc_id, 'translated_title', translation_title FROM ({RAW})) u
+JOIN ({_REG}) r ON u.content_source = r.content_source WHERE u.text IS NOT NULL
+"""
+_NAMES = f"""
+  SELECT run_id, upper({arr(CONTENT_SOURCES)}[run_id % 4 + 1]) || '_' || {arr(TRAINING_METHODS)}[(run_id // 2) % 2 + 1]
+         || '_' || {arr(BERT_MODELS)}[run_id % 2 + 1] || '_run' || CAST(run_id AS VARCHAR) AS model_dir
+  FROM (SELECT DISTINCT run_id FROM ({RUNLOG}))
+"""
+SQL["j4_registry_match"] = f"""
+SELECT n.run_id, n.model_dir, s.v AS content_source, b.v AS bert_model_name, t.v AS training_method
+FROM ({_NAMES}) n
+JOIN (SELECT unnest({arr(CONTENT_SOURCES)}) AS v) s ON contains(lower(n.model_dir), s.v)
+JOIN (SELECT unnest({arr(BERT_MODELS)}) AS v) b ON contains(lower(n.model_dir), b.v)
+JOIN (SELECT unnest({arr(TRAINING_METHODS)}) AS v) t ON contains(lower(n.model_dir), t.v)
+"""
+SQL["j5_value_at_epoch"] = VALUES_AT
+SQL["j6_assemble_runs"] = RUNS
+SQL["j7_label_map"] = f"""
+SELECT doc_id, CASE labels WHEN 0 THEN 'irrelevant' WHEN 1 THEN 'relevant' END AS label_name,
+       CASE labels WHEN 0 THEN 0 WHEN 1 THEN 1 END AS label_id FROM ({TRAIN})
+"""
+_MNAMES = " UNION ALL ".join(f"SELECT {lit(m.lower())} AS logical_name, {lit(m)} AS model_label" for m in MODELS)
+SQL["j8_run_name_match"] = f"""
+SELECT r.run_id, r.run_name, r.logical_name, m.model_label FROM (
+  SELECT DISTINCT run_id, run_name, trim(regexp_replace(run_name, '^[0-9]+', ''), '_') AS logical_name FROM ({RUNLOG})) r
+JOIN ({_MNAMES}) m ON r.logical_name = m.logical_name
+"""
+SQL["u1_union_samples"] = f"""
+SELECT doc_id, labels FROM ({class_rank(TRAIN2, 'doc_id', 'labels', 'class')}) r
+JOIN (SELECT labels, floor(floor(0.2 * n) * (nc / n)) AS qq FROM ({counts(TRAIN2, 'labels')})) USING (labels)
+WHERE rk <= qq
+"""
+
+# ------------------------------------------------------------------ P
+
+_F1 = f"SELECT * FROM ({VALUES_AT}) WHERE metric = 'eval_f1'"
+_GRID = ("SELECT model, " + ", ".join(f"first(value) FILTER (WHERE content = {lit(c)}) AS {q(c)}" for c in CONTENTS)
+         + f" FROM ({_F1}) WHERE method = 'PET 1000' GROUP BY model")
+SQL["p1_metric_grid"] = _GRID
+SQL["p2_method_comparison"] = ("SELECT content, " + ", ".join(
+    f"first(value) FILTER (WHERE method = {lit(m)}) AS {q(m)}" for m in METHODS)
+    + f" FROM ({_F1}) WHERE model = 'XLM-RoBERTa' GROUP BY content")
+_GRID_LONG = " UNION ALL ".join(f"SELECT model, {lit(c)} AS content, {q(c)} AS v FROM ({_GRID})" for c in CONTENTS)
+SQL["p3_transpose"] = ("SELECT content, " + ", ".join(
+    f"first(v) FILTER (WHERE model = {lit(m)}) AS {q(m)}" for m in MODELS) + f" FROM ({_GRID_LONG}) GROUP BY content")
+SQL["p4_fill_missing"] = "SELECT model, " + ", ".join(f"coalesce({q(c)}, 0.0) AS {q(c)}" for c in CONTENTS) + \
+    f" FROM ({_GRID})"
+SQL["p5_content_unpivot"] = " UNION ALL ".join(
+    f"SELECT doc_id, '{c}' AS content_source, {c} AS text FROM ({RAW})"
+    for c in ["trafilatura_title", "trafilatura_abstract", "translation_title"])
+SQL["p6_complete_table"] = SQL["f10_select_runs"]
+
+# ------------------------------------------------------------------ X
+
+_title = f"regexp_extract(html, {lit(f'(?is)<title(?:[{WS}][^>]*)?>(.*?)</title[{WS}]*>')}, 1)"
+for _ent, _ch in TITLE_ENTITIES:
+    _title = f"replace({_title}, {lit(_ent)}, {lit(_ch)})"
+SQL["x1_extract_title"] = f"""
+SELECT page_id, CASE WHEN t IN ('', 'None') THEN NULL ELSE t END AS title
+FROM (SELECT page_id, {O.py_strip(_title)} AS t FROM pages)
+"""
+_KW = lit("(?i)" + O.keyword_regex())
+SQL["x3_contains_keywords"] = f"SELECT doc_id, coalesce(regexp_matches(text, {_KW}), false) AS has_keyword FROM documents"
+
+
+def relevant_sql(expr: str) -> str:
+    sents = (f"flatten(list_transform(list_filter(string_split({expr}, {NL}), lambda p: p <> ''), "
+             f"lambda p: list_transform(regexp_extract_all({O.py_strip('p')}, {lit(SENTENCE)}, 1), "
+             f"lambda s: {O.py_strip('s')})))")
+    kept = f"list_filter({sents}, lambda s: regexp_matches(s, {_KW}))"
+    return f"(list_transform([{kept}], lambda k: CASE WHEN len(k) > 0 THEN array_to_string(k, '.') END))[1]"
+
 
-SQL["t16_clean_text"] = f"""
-WITH raw AS ({RAW})
-SELECT doc_id, {O.clean_text('trafilatura_fulltext')} AS clean_text FROM raw
+SQL["x4_relevant_sentences"] = f"SELECT doc_id, {relevant_sql('text')} AS sentences FROM documents"
+SQL["x5_add_sentence_columns"] = f"""
+SELECT doc_id, trafilatura_abstract, trafilatura_fulltext,
+       coalesce({relevant_sql('trafilatura_abstract')}, trafilatura_abstract)
+         AS sentence_with_keywords_trafilatura_abstract_keep_original_content,
+       coalesce({relevant_sql('trafilatura_fulltext')}, trafilatura_fulltext)
+         AS sentence_with_keywords_trafilatura_fulltext_keep_original_content
+FROM ({RAW})
 """

@@ -221,7 +221,7 @@ def tokens(c) -> Column:
 
 
 def token_count(c) -> Column:
-    return F.coalesce(F.size(tokens(c)), F.lit(0))
+    return F.coalesce(F.size(tokens(c)), F.lit(0)).cast("bigint")
 
 
 def content_type(name: str):
@@ -242,8 +242,11 @@ def content_type_col(c) -> Column:
 
 
 def hashed_token_ids(c, vocab_size: int = 1 << 18) -> Column:
-    """Word tokens mapped to stable ids in [1, vocab_size) (0 is padding)."""
-    return F.transform(tokens(c), lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab_size - 1)) + 1).cast("int"))
+    """Word tokens mapped to stable ids in [1, vocab_size) (0 is padding): md5 prefix mod size."""
+    def tid(t):
+        h = F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint")
+        return (F.pmod(h, F.lit(vocab_size - 1)) + 1).cast("int")
+    return F.transform(tokens(c), tid)
 
 
 def encode_fixed(c, max_len: int = 100, vocab_size: int = 1 << 18) -> Column:

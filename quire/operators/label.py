@@ -72,7 +72,7 @@ def _histogram_stats(df: DataFrame, value_col: str) -> DataFrame:
         value_col, "_n",
         (F.sum("_n").over(upto) - F.col("_n")).alias("_lo"),
         F.sum("_n").over(upto).alias("_hi"),
-        F.sum("_n").over(whole).alias("_N"),
+        F.sum("_n").over(whole).alias("_tot"),
         (F.sum(F.col(value_col) * F.col("_n")).over(whole) / F.sum("_n").over(whole)).alias("_mean"),
     )
 
@@ -81,7 +81,7 @@ def _quantile_aggs(value_col: str, probs):
     """Exact linear-interpolation quantiles (numpy/pandas default) over _histogram_stats rows."""
     aggs = []
     for p in probs:
-        pos = F.lit(float(p)) * (F.col("_N") - 1)
+        pos = F.lit(float(p)) * (F.col("_tot") - 1)
         k0 = F.floor(pos)
         v0 = F.max(F.when((F.col("_lo") <= k0) & (k0 < F.col("_hi")), F.col(value_col)))
         v1 = F.max(F.when((F.col("_lo") <= k0 + 1) & (k0 + 1 < F.col("_hi")), F.col(value_col)))
@@ -102,9 +102,9 @@ def length_profile(df: DataFrame, text_col: str) -> DataFrame:
     q = _quantile_aggs("n_tokens", (0.25, 0.5, 0.75))
     dev2 = F.col("_n") * (F.col("n_tokens") - F.col("_mean")) * (F.col("n_tokens") - F.col("_mean"))
     return h.agg(
-        F.coalesce(F.max("_N"), F.lit(0)).alias("count"),
+        F.coalesce(F.max("_tot"), F.lit(0)).alias("count"),
         F.max("_mean").alias("mean"),
-        F.sqrt(F.sum(dev2) / (F.max("_N") - 1)).alias("std"),
+        F.sqrt(F.sum(dev2) / (F.max("_tot") - 1)).alias("std"),
         F.min("n_tokens").alias("min"),
         q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
         F.max("n_tokens").alias("max"),
