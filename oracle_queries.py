@@ -502,3 +502,111 @@ SELECT doc_id, trafilatura_abstract, trafilatura_fulltext,
          AS sentence_with_keywords_trafilatura_fulltext_keep_original_content
 FROM ({RAW})
 """
+
+# ------------------------------------------------------------------ S
+
+SQL["s1_read_table"] = "SELECT doc_id, text AS content, lang FROM documents"
+SQL["s2_read_splits"] = SQL["o7_split_stratified"]
+SQL["s3_load_labeled"] = f"SELECT text, labels, doc_id FROM ({TRAIN}) WHERE nullif(text, '') IS NOT NULL AND labels IS NOT NULL"
+SQL["s4_write_columns"] = "SELECT doc_id AS row_id, text, lang, source FROM documents"
+SQL["s5_read_columns"] = "SELECT doc_id AS row_id, text, lang FROM documents"
+SQL["s6_reduce_columns"] = f"""
+SELECT doc_id, trafilatura_title, trafilatura_abstract, trafilatura_fulltext, translation_title, sujet FROM ({RAW})
+"""
+
+
+def dedup_sql(col: str, ctype: str, source: str = RAW) -> str:
+    return f"""
+      SELECT {col}, max({O.has_subject('sujet')}) AS has_subject FROM (
+        SELECT {O.clean_text(col)} AS {col}, sujet FROM ({source}))
+      WHERE {O.to_be_kept(col, ctype, keep_titles=True)} GROUP BY 1
+    """
+
+
+SQL["s7_write_datasets"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS content_source, {c} AS text, has_subject FROM ({dedup_sql(c, 'title')})"
+    for c in ("trafilatura_title", "translation_title"))
+SQL["s8_write_splits"] = f"""
+SELECT doc_id, labels, CAST(NULL AS BIGINT) AS _draw, 'unbalanced' AS scheme, split
+FROM ({split_stratified(TRAIN2, 'doc_id', 'labels', 'doc_id, labels')})
+UNION ALL
+SELECT doc_id, labels, _draw, 'balanced_dev_train' AS scheme, split FROM ({_BAL_T})
+"""
+SQL["s9_read_run_logs"] = "SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY epoch, step) - 1 AS INTEGER) AS pos, " \
+    "step, CAST(epoch AS DOUBLE) AS epoch, " + ", ".join(
+        f"CASE WHEN metric = {lit(m)} THEN value END AS {m}" for m in LOG_METRICS) + f" FROM ({RUNLOG})"
+
+
+def roc_sql(base: str, by: str) -> str:
+    pts = f"""
+      SELECT {by}, score, pos, neg, row_number() OVER (PARTITION BY {by} ORDER BY score DESC) - 1 AS idx,
+             sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC) AS tps,
+             sum(neg) OVER (PARTITION BY {by} ORDER BY score DESC) AS fps,
+             sum(pos) OVER (PARTITION BY {by}) AS P, sum(neg) OVER (PARTITION BY {by}) AS N
+      FROM (SELECT {by}, score, sum(CASE WHEN labels = 1 THEN 1 ELSE 0 END) AS pos,
+                   sum(CASE WHEN labels = 1 THEN 0 ELSE 1 END) AS neg FROM ({base}) GROUP BY {by}, score)
+    """
+    curve = f"""
+      SELECT {by}, -1::BIGINT AS idx, max(score) + 1 AS threshold, 0.0 AS fpr, 0.0 AS tpr FROM ({base}) GROUP BY {by}
+      UNION ALL
+      SELECT {by}, idx, score AS threshold, {_sd('fps', 'N')} AS fpr, {_sd('tps', 'P')} AS tpr FROM (
+        SELECT *, lead(pos) OVER (PARTITION BY {by} ORDER BY idx) AS np, lead(neg) OVER (PARTITION BY {by} ORDER BY idx) AS nn,
+               max(idx) OVER (PARTITION BY {by}) AS last FROM ({pts}))
+      WHERE idx = 0 OR idx = last OR np <> pos OR nn <> neg
+    """
+    auc = f"SELECT {by}, {_sd('sum(neg * (tps - pos / 2.0))', 'max(N * P)')} AS AUC FROM ({pts}) GROUP BY {by}"
+    return curve, auc
+
+
+_curve, _auc = roc_sql(_FOLDS, "fold")
+SQL["s10_read_split_metrics"] = f"""
+SELECT c.fold, a.AUC, CAST(row_number() OVER (PARTITION BY c.fold ORDER BY c.idx) - 1 AS INTEGER) AS point,
+       c.fpr, c.tpr, c.threshold
+FROM ({_curve}) c JOIN ({_auc}) a ON c.fold = a.fold
+"""
+SQL["s11_read_metric_text"] = f"""
+SELECT 'eval_f1-' || model AS name, avg(eval_f1) AS mean, stddev_samp(eval_f1) AS std FROM ({RUNS}) GROUP BY model
+"""
+SQL["s12_write_predictions"] = f"SELECT labels, predictions, score AS probabilities_for_positive_label, doc_id FROM ({SCORED})"
+SQL["s13_write_metrics"] = binary_metrics(SCORED)
+
+# ------------------------------------------------------------------ M, I
+
+SQL["m3_positive_probability"] = f"""
+SELECT doc_id, CASE WHEN score >= 1 - score THEN score ELSE 1.0 - (1 - score) END AS probabilities_for_positive_label
+FROM ({SCORED})
+"""
+_SRC = {"trafilatura_title": ("trafilatura_title", "title"), "trafilatura_abstract": ("trafilatura_abstract", "abstract"),
+        "trafilatura_fulltext": ("trafilatura_fulltext", "fulltext"), "translated_title": ("translation_title", "title")}
+SQL["i4_gate_report"] = "SELECT content_source, reason, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{s}' AS content_source, {O.gate_reason('t', ct)} AS reason FROM "
+    f"(SELECT {O.clean_text(c)} AS t FROM ({RAW})) WHERE t IS NOT NULL"
+    for s, (c, ct) in _SRC.items()) + ") GROUP BY ALL"
+
+# ------------------------------------------------------------------ E
+
+_E1_COLS = {"parsed_trafilatura_title": ("trafilatura_title", "title"),
+            "parsed_trafilatura_abstract": ("trafilatura_abstract", "abstract"),
+            "parsed_trafilatura_fulltext": ("trafilatura_fulltext", "fulltext"),
+            "translation_title": ("translation_title", "title")}
+
+
+def _e1_part(col: str, orig: str, ctype: str) -> str:
+    if col.startswith("parsed_"):
+        src = (f"SELECT CASE WHEN {O.py_strip(orig)} IN ('', 'None') THEN NULL ELSE {O.py_strip(orig)} END AS {col}, "
+               f"sujet FROM ({RAW})")
+    else:
+        src = f"SELECT {col}, sujet FROM ({RAW})"
+    d = f"SELECT {col} AS text, has_subject FROM ({dedup_sql(col, ctype, src)})"
+    bal = split_balanced(d, "text", "has_subject", "text, has_subject")
+    return f"""
+      SELECT text, has_subject, split, CAST(NULL AS BIGINT) AS _draw, '{col}' AS content_source, 'unbalanced' AS scheme
+      FROM ({split_stratified(d, 'text', 'has_subject', 'text, has_subject')})
+      UNION ALL SELECT text, has_subject, split, _draw, '{col}', 'balanced_dev_train' FROM ({bal})
+      UNION ALL SELECT text, has_subject, split, _draw, '{col}', 'pet_50' FROM ({few_shot(bal, 'text', 50, 'text, has_subject')})
+    """
+
+
+SQL["e1_prepare"] = " UNION ALL ".join(_e1_part(c, o, t) for c, (o, t) in _E1_COLS.items())
+SQL["e2_compare_runs"] = ("SELECT model, content, " + ", ".join(
+    f"first(value) FILTER (WHERE method = {lit(m)}) AS {q(m)}" for m in METHODS) + f" FROM ({_F1}) GROUP BY ALL")

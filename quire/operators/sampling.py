@@ -47,8 +47,7 @@ def hash_rank(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_co
     in_bucket = Window.partitionBy(*by, "_b").orderBy("_h", key)
     ranked = x.withColumn("_rb", F.row_number().over(in_bucket))
     return (ranked.join(offsets, by + ["_b"])
-            .withColumn(rank_col, F.col("_off") + F.col("_rb"))
-            .drop("_h", "_b", "_rb", "_off"))
+            .select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col)))
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -144,7 +143,7 @@ def sample_by_class(df: DataFrame, key: str, label: str, size: int | None = None
     base = F.lit(int(size)) if size is not None else _trunc(F.lit(float(fraction)) * F.col("_n"))
     quota = counts.select(label, _trunc(base * wexpr).alias("_q"))
     ranked = hash_rank(df, key, [label], seed, "class")
-    return ranked.join(quota, label).where(F.col("_rank") <= F.col("_q")).drop("_rank", "_q")
+    return ranked.join(quota, label).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
 
 def _draw_table(quota: DataFrame, label: str, chunk: int = 1 << 16) -> DataFrame:
@@ -179,8 +178,7 @@ def sample_with_replacement(df: DataFrame, key: str, label: str, per_class: Data
     pick = F.pmod(hash32(F.concat_ws(":", F.col(label).cast("string"), F.col("_i").cast("string")), seed, salt + "-draw"),
                   F.col("_nc")) + 1
     draws = draws.select(label, "_i", pick.alias("_rank"))
-    return (ranked.join(draws, [label, "_rank"])
-            .withColumn("_draw", F.col("_i")).drop("_rank", "_i"))
+    return ranked.join(draws, [label, "_rank"]).select(*df.columns, F.col("_i").alias("_draw"))
 
 
 def split_stratified(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1,
@@ -202,7 +200,7 @@ def split_stratified(df: DataFrame, key: str, label: str, train: float = 0.8, de
     ranked = hash_rank(df, key, [label], seed, "class").join(quota, label)
     split = (F.when(F.col("_rank") <= F.col("_qt"), "test")
              .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("train"))
-    return ranked.withColumn("split", split).drop("_rank", "_qt", "_qd")
+    return ranked.select(*df.columns, split.alias("split"))
 
 
 def split_balanced(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1,
@@ -223,11 +221,11 @@ def split_balanced(df: DataFrame, key: str, label: str, train: float = 0.8, dev:
     ranked = hash_rank(df, key, [label], seed, "class").join(quota.drop("_m", "_nc"), label)
     part = (F.when(F.col("_rank") <= F.col("_qt"), "test")
             .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("rest"))
-    tagged = ranked.withColumn("split", part).drop("_rank", "_qt", "_qd")
+    tagged = ranked.select(*df.columns, part.alias("split"))
     head = tagged.where(F.col("split") != "rest").withColumn("_draw", F.lit(None).cast("bigint"))
     rest = tagged.where(F.col("split") == "rest").drop("split")
     drawn = sample_with_replacement(rest, key, label, quota.select(label, "_m"), seed, "balanced")
-    return head.unionByName(drawn.withColumn("split", F.lit("train")))
+    return head.unionByName(drawn.withColumn("split", F.lit("train"))).select(*df.columns, "split", "_draw")
 
 
 def split_few_shot(balanced: DataFrame, key: str, n: int, seed=SEED) -> DataFrame:

@@ -520,3 +520,281 @@ def x4_relevant_sentences(spark, sf_dir):
 def x5_add_sentence_columns(spark, sf_dir):
     c = corpus(spark, sf_dir).select("doc_id", "trafilatura_abstract", "trafilatura_fulltext")
     return X.add_sentence_columns(c, ["trafilatura_abstract", "trafilatura_fulltext"], keep_content=True)
+
+
+# ---------------------------------------------------------------- S: sources and sinks
+
+from ..sources import io as IO  # noqa: E402
+
+
+@query("s1_read_table")
+def s1_read_table(spark, sf_dir):
+    path = IO.write_csv(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]),
+                        IO.scratch_path(spark, "s1"))
+    schema = "doc_id long, text string, lang string, source string"
+    return IO.read_table(spark, path, schema, columns=["doc_id", "text", "lang"], rename={"text": "content"},
+                         shuffle_key="doc_id")
+
+
+@query("s2_read_splits")
+def s2_read_splits(spark, sf_dir):
+    sp = O.split_stratified(training_table(spark, sf_dir).select("doc_id", "labels"), "doc_id", "labels")
+    path = IO.scratch_path(spark, "s2")
+    sp.write.mode("overwrite").partitionBy("split").options(**IO.CSV_WRITE_OPTIONS).csv(path)
+    return IO.read_splits(spark, path, "doc_id long, labels int").select("doc_id", "labels", "split")
+
+
+@query("s3_load_labeled")
+def s3_load_labeled(spark, sf_dir):
+    return IO.load_labeled(training_table(spark, sf_dir), "text", "labels")
+
+
+def _columns_store(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]).withColumnRenamed("doc_id", "row_id")
+    return IO.write_columns(d, IO.scratch_path(spark, "s4"))
+
+
+@query("s4_write_columns")
+def s4_write_columns(spark, sf_dir):
+    return spark.read.parquet(_columns_store(spark, sf_dir))
+
+
+@query("s5_read_columns")
+def s5_read_columns(spark, sf_dir):
+    return IO.read_columns(spark, _columns_store(spark, sf_dir), ["text", "lang"])
+
+
+@query("s6_reduce_columns")
+def s6_reduce_columns(spark, sf_dir):
+    return IO.reduce_columns(raw_corpus(spark, sf_dir))
+
+
+def _deduped_long(spark, sf_dir):
+    c = cleaned_corpus(spark, sf_dir, ("trafilatura_title", "translation_title"))
+    parts = []
+    for col in ("trafilatura_title", "translation_title"):
+        d = L.dedupe_or_label(c, col, "sujet", keep_titles=True)
+        parts.append(d.select(F.lit(col).alias("content_source"), F.col(col).alias("text"), "has_subject"))
+    return J.union_samples(parts)
+
+
+@query("s7_write_datasets")
+def s7_write_datasets(spark, sf_dir):
+    path = IO.write_datasets(_deduped_long(spark, sf_dir), IO.scratch_path(spark, "s7"))
+    return spark.read.parquet(path).select("content_source", "text", "has_subject")
+
+
+@query("s8_write_splits")
+def s8_write_splits(spark, sf_dir):
+    t = training_table(spark, sf_dir).select("doc_id", "labels")
+    uns = O.split_stratified(t, "doc_id", "labels").withColumn("_draw", F.lit(None).cast("bigint")) \
+        .withColumn("scheme", F.lit("unbalanced"))
+    bal = O.split_balanced(t, "doc_id", "labels").withColumn("scheme", F.lit("balanced_dev_train"))
+    path = IO.write_splits(uns.unionByName(bal), IO.scratch_path(spark, "s8"), by=("scheme", "split"))
+    back = spark.read.options(**IO.CSV_OPTIONS).schema("doc_id long, labels int, _draw long, scheme string, split string") \
+        .csv(path)
+    return back.select("doc_id", "labels", "_draw", "scheme", "split")
+
+
+def _log_entries(spark, sf_dir):
+    log = RUNS.run_log(spark, sf_dir)
+    fields = [F.col("epoch").cast("double").alias("epoch"), F.col("step")]
+    fields += [F.when(F.col("metric") == m, F.col("value")).alias(m) for m in RUNS.LOG_METRICS]
+    return log.select("run_id", F.struct(*fields).alias("entry"))
+
+
+@query("s9_read_run_logs")
+def s9_read_run_logs(spark, sf_dir):
+    """Run logs written as JSON documents (one per run) and read back exploded.
+
+    A run's log_history is one array by the file format; it is bounded by the
+    steps of one training run."""
+    runs = _log_entries(spark, sf_dir).groupBy("run_id").agg(
+        F.max("entry.step").alias("global_step"),
+        F.avg("entry.eval_loss").alias("average_loss"),
+        F.sort_array(F.collect_list("entry")).alias("log_history"))
+    path = IO.scratch_path(spark, "s9")
+    runs.write.mode("overwrite").json(path)
+    schema = IO.with_field(IO.RUN_LOG, "run_id", "bigint")
+    back = IO.read_run_logs(spark, path, multi_line=False, schema=schema)
+    return back.select("run_id", "pos", "step", "epoch", *RUNS.LOG_METRICS)
+
+
+@query("s10_read_split_metrics")
+def s10_read_split_metrics(spark, sf_dir):
+    folds = O.stratified_kfold(scored(spark, sf_dir), "doc_id", "labels", k=5)
+    roc = M.roc_curve(folds, "labels", "score", by=["fold"])
+    auc = M.roc_auc(folds, "labels", "score", by=["fold"]).withColumnRenamed("auc", "AUC")
+    pts = F.sort_array(F.collect_list(F.struct("idx", "fpr", "tpr", "threshold")))
+    curves = roc.groupBy("fold").agg(pts.alias("_p")).select(
+        "fold", F.transform("_p", lambda x: x["fpr"]).alias("FPR"), F.transform("_p", lambda x: x["tpr"]).alias("TPR"),
+        F.transform("_p", lambda x: x["threshold"]).alias("thresholds"))
+    path = IO.scratch_path(spark, "s10")
+    curves.join(auc, "fold").write.mode("overwrite").json(path)
+    return _s10_points(spark, path)
+
+
+def _s10_points(spark, path):
+    df = spark.read.schema(IO.with_field(IO.SPLIT_METRICS, "fold", "int")).json(path)
+    z = F.arrays_zip(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"), F.col("thresholds").alias("threshold"))
+    return df.select("fold", "AUC", F.posexplode(z).alias("point", "p")).select(
+        "fold", "AUC", "point", "p.fpr", "p.tpr", "p.threshold")
+
+
+@query("s11_read_metric_text")
+def s11_read_metric_text(spark, sf_dir):
+    log = RUNS.run_log(spark, sf_dir)
+    runs = RUNS.assemble_runs(RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)))
+    ens = M.ensemble_summary(runs, ["model"], ["eval_f1"]).select(
+        F.concat(F.lit("eval_f1-"), F.col("model")).alias("name"), F.col("eval_f1_mean").alias("mean"),
+        F.col("eval_f1_std").alias("std"))
+    path = IO.write_metric_text(ens, IO.scratch_path(spark, "s11"))
+    return IO.read_metric_text(spark, path)
+
+
+@query("s12_write_predictions")
+def s12_write_predictions(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumnRenamed("score", "probabilities_for_positive_label")
+    path = IO.write_predictions(s, IO.scratch_path(spark, "s12"))
+    return spark.read.parquet(path)
+
+
+@query("s13_write_metrics")
+def s13_write_metrics(spark, sf_dir):
+    m = M.classification_metrics(scored(spark, sf_dir), "labels", "predictions", "binary")
+    path = IO.write_metrics(m, IO.scratch_path(spark, "s13"))
+    return spark.read.schema("accuracy double, f1 double, precision double, recall double, support long, "
+                             "f_beta_2_0 double, f_beta_0_5 double").json(path)
+
+
+# ---------------------------------------------------------------- M: learn
+
+from . import classify as CL  # noqa: E402
+from . import learn as LEARN  # noqa: E402
+
+_MODELS = {}
+
+
+def training_splits(spark, sf_dir):
+    t = training_table(spark, sf_dir)
+    t = spread(t).withColumn("text", T.clean_text(F.col("text")))
+    return O.split_stratified(t, "doc_id", "labels")
+
+
+def fitted_model(spark, sf_dir):
+    """One fitted pipeline per input folder and session (reused by M and I queries)."""
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = LEARN.train_classifier(training_splits(spark, sf_dir).where(F.col("split") == "train"))
+    return _MODELS[key]
+
+
+@query("m1_train_classifier")
+def m1_train_classifier(spark, sf_dir):
+    return LEARN.training_summary(fitted_model(spark, sf_dir), spark)
+
+
+@query("m2_predict")
+def m2_predict(spark, sf_dir):
+    test = training_splits(spark, sf_dir).where(F.col("split") == "test")
+    return LEARN.predict(test, fitted_model(spark, sf_dir), keep=["doc_id", "labels"])
+
+
+@query("m3_positive_probability")
+def m3_positive_probability(spark, sf_dir):
+    top = o2_top_label(spark, sf_dir)
+    return top.select("doc_id", M.positive_probability(F.col("top_label"), F.col("top_score"), "relevant")
+                      .alias("probabilities_for_positive_label"))
+
+
+@query("m4_evaluate")
+def m4_evaluate(spark, sf_dir):
+    test = training_splits(spark, sf_dir).where(F.col("split") == "test")
+    return LEARN.evaluate(test, fitted_model(spark, sf_dir), out_dir=IO.scratch_path(spark, "m4"))
+
+
+@query("m5_report")
+def m5_report(spark, sf_dir):
+    return LEARN.report(training_splits(spark, sf_dir), fitted_model(spark, sf_dir))
+
+
+@query("m6_cross_validate")
+def m6_cross_validate(spark, sf_dir):
+    t = spread(training_table(spark, sf_dir)).withColumn("text", T.clean_text(F.col("text")))
+    return LEARN.cross_validate(t, k=3, metric="f1", max_iter=20)
+
+
+@query("m7_sweep")
+def m7_sweep(spark, sf_dir):
+    sp = training_splits(spark, sf_dir)
+    configs = [{"reg_param": 0.01, "max_iter": 20}, {"reg_param": 0.1, "max_iter": 20}, {"max_iter": -1}]
+    return LEARN.sweep(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "dev"), configs)
+
+
+@query("m8_final_score")
+def m8_final_score(spark, sf_dir):
+    return LEARN.final_score(m5_report(spark, sf_dir), "f_beta_2_0")
+
+
+# ---------------------------------------------------------------- I: inference
+
+def _raw_docs(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", F.lit(None).cast("string").alias("xml_tei"), "trafilatura_title",
+                                        "trafilatura_abstract", "trafilatura_fulltext", "translation_title")
+
+
+def _page_docs(spark, sf_dir):
+    return pages(spark, sf_dir).select(
+        F.col("page_id").alias("doc_id"), F.col("html").alias("xml_tei"),
+        *[F.lit(None).cast("string").alias(c) for c in ("trafilatura_title", "trafilatura_abstract",
+                                                         "trafilatura_fulltext", "translation_title")])
+
+
+@query("i1_classify")
+def i1_classify(spark, sf_dir):
+    long = CL.document_contents(_raw_docs(spark, sf_dir))
+    registry = J.model_registry(spark)
+    return CL.classify(J.fan_out(long, registry), CL.one_model_for_all(fitted_model(spark, sf_dir)))
+
+
+@query("i2_classify_documents")
+def i2_classify_documents(spark, sf_dir):
+    return CL.classify_documents(_page_docs(spark, sf_dir), J.model_registry(spark),
+                                 CL.one_model_for_all(fitted_model(spark, sf_dir)))
+
+
+@query("i3_classify_stream")
+def i3_classify_stream(spark, sf_dir):
+    from ..streaming.classify_stream import run_to_completion
+    base = IO.scratch_path(spark, "i3")
+    _page_docs(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(f"{base}/incoming")
+    return run_to_completion(spark, f"{base}/incoming", f"{base}/results", f"{base}/checkpoint",
+                             J.model_registry(spark), CL.one_model_for_all(fitted_model(spark, sf_dir)))
+
+
+@query("i4_gate_report")
+def i4_gate_report(spark, sf_dir):
+    return CL.gate_report(corpus(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- E: end-to-end plans
+
+from . import prepare as PREP  # noqa: E402
+
+
+def raw_with_markup(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return c.withColumn("trafilatura_extracted_xml_tei", PREP.markup_of(
+        F.col("trafilatura_title"), F.col("trafilatura_abstract"), F.col("trafilatura_fulltext")))
+
+
+@query("e1_prepare")
+def e1_prepare(spark, sf_dir):
+    return PREP.prepare(raw_with_markup(spark, sf_dir), few_shot=(50,))
+
+
+@query("e2_compare_runs")
+def e2_compare_runs(spark, sf_dir):
+    log = RUNS.run_log(spark, sf_dir)
+    v = RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)).where(F.col("metric") == "eval_f1")
+    return v.groupBy("model", "content").pivot("method", list(P.METHODS)).agg(F.first("value"))
