@@ -23,17 +23,24 @@ def has_subject(c) -> Column:
 
 
 def dedupe_or_label(df: DataFrame, text_col: str, subject_col: str = "sujet",
-                    keep_titles: bool = True, rule_set: str = "compat") -> DataFrame:
+                    keep_titles: bool = True, rule_set: str = "compat", content_type_of=None,
+                    groups=()) -> DataFrame:
     """A2: one row per distinct kept text; label 1 if any copy has a subject.
 
     The keep test depends only on the text, so it runs *before* the group by
-    (same result, fewer rows shuffled). Output: (text_col, has_subject).
+    (same result, fewer rows shuffled). The aggregate is partial on the map
+    side, so a text copied millions of times reaches the shuffle once per
+    task. Output: (groups..., text_col, has_subject).
+
+    `groups` names independent datasets (e.g. content_source); the content
+    type is then read per row from `content_type_of` (a Column), otherwise
+    it comes from the column name.
     """
-    ctype = content_type(text_col)
+    ctype = content_type_of if content_type_of is not None else content_type(text_col)
     if ctype is None:
         raise ValueError(f"cannot infer content type from column name {text_col!r}")
     kept = df.where(to_be_kept(F.col(text_col), ctype, keep_titles=keep_titles, rule_set=rule_set))
-    return (kept.groupBy(text_col)
+    return (kept.groupBy(*groups, text_col)
             .agg(F.max(has_subject(F.col(subject_col))).alias("has_subject")))
 
 

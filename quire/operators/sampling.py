@@ -17,6 +17,10 @@ Same ranks as the global window, but the largest sort is one bucket. Joins
 against the small per-class / per-bucket tables are left to AQE, which
 broadcasts them when their runtime size is under the threshold and falls back
 to a shuffle join otherwise.
+
+Every operator takes ``groups``: columns naming independent datasets (e.g.
+the content source). All datasets are then split in the same jobs, with
+class counts, quotas and ranks computed per group -- no driver-side loop.
 """
 
 from __future__ import annotations
@@ -50,10 +54,11 @@ def hash_rank(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_co
             .select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col)))
 
 
-def class_counts(df: DataFrame, label: str) -> DataFrame:
-    """(label, n_c, n) -- one row per class."""
-    w = Window.partitionBy()
-    return (df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+def class_counts(df: DataFrame, label: str, groups=()) -> DataFrame:
+    """(groups..., label, _nc, _n, _k): class size, dataset size, number of classes."""
+    groups = list(groups)
+    w = Window.partitionBy(*groups)
+    return (df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("_nc"))
             .withColumn("_n", F.sum("_nc").over(w))
             .withColumn("_k", F.count(F.lit(1)).over(w)))
 
@@ -78,11 +83,17 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
-def downsample(df: DataFrame, key: str, fraction: float = 0.1, seed=SEED) -> DataFrame:
+def _attach(df: DataFrame, small: DataFrame, groups) -> DataFrame:
+    groups = list(groups)
+    return df.join(small, groups) if groups else with_scalars(df, small)
+
+
+def downsample(df: DataFrame, key: str, fraction: float = 0.1, seed=SEED, groups=()) -> DataFrame:
     """O3: exactly round(n * fraction) rows (half-even, as pandas), no replacement."""
-    ranked = hash_rank(df, key, (), seed, "downsample")
-    k = df.agg(F.bround(F.count(F.lit(1)) * F.lit(float(fraction)), 0).cast("bigint").alias("_k"))
-    return with_scalars(ranked, k).where(F.col("_rank") <= F.col("_k")).drop("_rank", "_k")
+    groups = list(groups)
+    ranked = hash_rank(df, key, groups, seed, "downsample")
+    k = df.groupBy(*groups).agg(F.bround(F.count(F.lit(1)) * F.lit(float(fraction)), 0).cast("bigint").alias("_q"))
+    return _attach(ranked, k, groups).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
 
 def check_fractions(train: float, dev: float, test: float) -> None:
@@ -109,8 +120,7 @@ def global_positions(df: DataFrame, order_cols, pos_col: str = "_pos") -> DataFr
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     # one row per partition: bounded by spark.sql.shuffle.partitions
     return (ranked.join(F.broadcast(offsets), "_pid")
-            .withColumn(pos_col, F.col("_poff") + local + 1)
-            .drop("_pid", "_mid", "_poff"))
+            .select(*df.columns, (F.col("_poff") + local + 1).alias(pos_col)))
 
 
 def split_ordered(df: DataFrame, order_cols, train: float = 0.8, dev: float = 0.1, test: float = 0.1) -> DataFrame:
@@ -121,19 +131,19 @@ def split_ordered(df: DataFrame, order_cols, train: float = 0.8, dev: float = 0.
     cut1 = _trunc(F.lit(float(train)) * F.col("_n"))
     cut2 = _trunc(F.lit(float(train + dev)) * F.col("_n"))
     out = with_scalars(pos, n)
-    return (out.withColumn("split", F.when(F.col("_pos") <= cut1, "train")
-                           .when(F.col("_pos") <= cut2, "dev").otherwise("test"))
-            .drop("_pos", "_n"))
+    split = F.when(F.col("_pos") <= cut1, "train").when(F.col("_pos") <= cut2, "dev").otherwise("test")
+    return out.select(*df.columns, split.alias("split"))
 
 
 def sample_by_class(df: DataFrame, key: str, label: str, size: int | None = None,
-                    weights: dict | None = None, fraction: float | None = None, seed=SEED) -> DataFrame:
+                    weights: dict | None = None, fraction: float | None = None, seed=SEED, groups=()) -> DataFrame:
     """Per class int(size * w_c) rows without replacement.
 
     `weights` maps label -> weight (default: the class proportions); `size` is
-    an absolute size, or `fraction` of the row count.
+    an absolute size, or `fraction` of the row count of the dataset.
     """
-    counts = class_counts(df, label)
+    groups = list(groups)
+    counts = class_counts(df, label, groups)
     if weights is not None:
         wexpr = F.lit(None).cast("double")
         for lab, w in weights.items():
@@ -141,48 +151,62 @@ def sample_by_class(df: DataFrame, key: str, label: str, size: int | None = None
     else:
         wexpr = F.col("_nc") / F.col("_n")
     base = F.lit(int(size)) if size is not None else _trunc(F.lit(float(fraction)) * F.col("_n"))
-    quota = counts.select(label, _trunc(base * wexpr).alias("_q"))
-    ranked = hash_rank(df, key, [label], seed, "class")
-    return ranked.join(quota, label).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
+    quota = counts.select(*groups, label, _trunc(base * wexpr).alias("_q"))
+    ranked = hash_rank(df, key, groups + [label], seed, "class")
+    return ranked.join(quota, groups + [label]).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
 
-def _draw_table(quota: DataFrame, label: str, chunk: int = 1 << 16) -> DataFrame:
-    """One row per draw (label, _i) for 0 <= i < _m, generated in parallel chunks.
+def _draw_table(quota: DataFrame, keys, chunk: int = 1 << 16) -> DataFrame:
+    """One row per draw (keys..., _i) for 0 <= i < _m, generated in parallel chunks.
 
     A class row expands to ceil(_m / chunk) chunk rows, which are spread over
     the cluster before each expands to at most `chunk` draws.
     """
+    keys = list(keys)
     m = F.col("_m").cast("bigint")
     nchunks = F.ceil(m / F.lit(chunk)).cast("bigint")
     empty = F.array().cast("array<bigint>")
-    chunks = quota.select(label, m.alias("_m"), F.explode(
+    chunks = quota.select(*keys, m.alias("_m"), F.explode(
         F.when(m > 0, F.sequence(F.lit(0).cast("bigint"), nchunks - 1)).otherwise(empty)).alias("_c"))
-    chunks = chunks.repartition(label, "_c")
+    chunks = chunks.repartition(*keys, "_c")
     lo = F.col("_c") * F.lit(chunk)
     hi = F.least(lo + F.lit(chunk), F.col("_m")) - 1
-    return chunks.select(label, F.explode(F.sequence(lo, hi)).alias("_i"))
+    return chunks.select(*keys, F.explode(F.sequence(lo, hi)).alias("_i"))
 
 
 def sample_with_replacement(df: DataFrame, key: str, label: str, per_class: DataFrame, seed=SEED,
-                            salt: str = "replace") -> DataFrame:
-    """`_m` draws per class (table per_class(label, _m)), uniform with replacement.
+                            salt: str = "replace", groups=()) -> DataFrame:
+    """`_m` draws per class (table per_class(groups..., label, _m)), uniform with replacement.
 
     Draw i of class c picks the row of rank (hash(seed, c, i) mod n_c) + 1.
     Draws are generated in parallel chunks and matched to ranked rows by an
     equi-join on (label, rank); a row drawn many times is a hot join key,
     which AQE's skew-join splitting handles.
     """
-    ranked = hash_rank(df, key, [label], seed, salt)
-    counts = class_counts(df, label).select(label, "_nc")
-    draws = _draw_table(per_class, label).join(counts, label)
-    pick = F.pmod(hash32(F.concat_ws(":", F.col(label).cast("string"), F.col("_i").cast("string")), seed, salt + "-draw"),
-                  F.col("_nc")) + 1
-    draws = draws.select(label, "_i", pick.alias("_rank"))
-    return ranked.join(draws, [label, "_rank"]).select(*df.columns, F.col("_i").alias("_draw"))
+    keys = list(groups) + [label]
+    ranked = hash_rank(df, key, keys, seed, salt)
+    counts = class_counts(df, label, groups).select(*keys, "_nc")
+    draws = _draw_table(per_class, keys).join(counts, keys)
+    pick = F.pmod(hash32(F.concat_ws(":", F.col(label).cast("string"), F.col("_i").cast("string")), seed,
+                         salt + "-draw"), F.col("_nc")) + 1
+    draws = draws.select(*keys, "_i", pick.alias("_rank"))
+    return ranked.join(draws, keys + ["_rank"]).select(*df.columns, F.col("_i").alias("_draw"))
+
+
+def _split_quotas(df: DataFrame, label: str, groups, train: float, dev: float, test: float, balanced: bool):
+    counts = class_counts(df, label, groups)
+    prop = F.col("_nc") / F.col("_n")
+    uni = F.lit(1.0) / F.col("_k")
+    return counts.select(
+        *groups, label,
+        _trunc(_trunc(F.lit(float(test)) * F.col("_n")) * prop).alias("_qt"),
+        _trunc(_trunc(F.lit(float(dev)) * F.col("_n")) * (uni if balanced else prop)).alias("_qd"),
+        _trunc(_trunc(F.lit(float(train)) * F.col("_n")) * uni).alias("_m"),
+    )
 
 
 def split_stratified(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1,
-                     test: float = 0.1, seed=SEED) -> DataFrame:
+                     test: float = 0.1, seed=SEED, groups=()) -> DataFrame:
     """Test and dev keep the class proportions; train takes the rest.
 
     Per class c with n_c of n rows: test = int(int(test*n) * n_c/n) rows,
@@ -190,57 +214,46 @@ def split_stratified(df: DataFrame, key: str, label: str, train: float = 0.8, de
     One ranked pass per class assigns all three.
     """
     check_fractions(train, dev, test)
-    counts = class_counts(df, label)
-    w = F.col("_nc") / F.col("_n")
-    quota = counts.select(
-        label,
-        _trunc(_trunc(F.lit(float(test)) * F.col("_n")) * w).alias("_qt"),
-        _trunc(_trunc(F.lit(float(dev)) * F.col("_n")) * w).alias("_qd"),
-    )
-    ranked = hash_rank(df, key, [label], seed, "class").join(quota, label)
+    groups = list(groups)
+    quota = _split_quotas(df, label, groups, train, dev, test, balanced=False).drop("_m")
+    ranked = hash_rank(df, key, groups + [label], seed, "class").join(quota, groups + [label])
     split = (F.when(F.col("_rank") <= F.col("_qt"), "test")
              .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("train"))
     return ranked.select(*df.columns, split.alias("split"))
 
 
 def split_balanced(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1,
-                   test: float = 0.1, seed=SEED) -> DataFrame:
+                   test: float = 0.1, seed=SEED, groups=()) -> DataFrame:
     """Test as in O7 (unbalanced); dev = int(int(dev*n)/k) per class from
     the rest; train = int(int(train*n)/k) draws per class *with replacement*
     from what is left (over- or under-sampling). Train rows carry `_draw`."""
     check_fractions(train, dev, test)
-    counts = class_counts(df, label)
-    w = F.col("_nc") / F.col("_n")
-    uni = F.lit(1.0) / F.col("_k")
-    quota = counts.select(
-        label, "_nc",
-        _trunc(_trunc(F.lit(float(test)) * F.col("_n")) * w).alias("_qt"),
-        _trunc(_trunc(F.lit(float(dev)) * F.col("_n")) * uni).alias("_qd"),
-        _trunc(_trunc(F.lit(float(train)) * F.col("_n")) * uni).alias("_m"),
-    )
-    ranked = hash_rank(df, key, [label], seed, "class").join(quota.drop("_m", "_nc"), label)
+    groups = list(groups)
+    keys = groups + [label]
+    quota = _split_quotas(df, label, groups, train, dev, test, balanced=True)
+    ranked = hash_rank(df, key, keys, seed, "class").join(quota.drop("_m"), keys)
     part = (F.when(F.col("_rank") <= F.col("_qt"), "test")
             .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("rest"))
     tagged = ranked.select(*df.columns, part.alias("split"))
     head = tagged.where(F.col("split") != "rest").withColumn("_draw", F.lit(None).cast("bigint"))
     rest = tagged.where(F.col("split") == "rest").drop("split")
-    drawn = sample_with_replacement(rest, key, label, quota.select(label, "_m"), seed, "balanced")
+    drawn = sample_with_replacement(rest, key, label, quota.select(*keys, "_m"), seed, "balanced", groups)
     return head.unionByName(drawn.withColumn("split", F.lit("train"))).select(*df.columns, "split", "_draw")
 
 
-def split_few_shot(balanced: DataFrame, key: str, n: int, seed=SEED) -> DataFrame:
+def split_few_shot(balanced: DataFrame, key: str, n: int, seed=SEED, groups=()) -> DataFrame:
     """The first 2n rows of the balanced train (in its seeded shuffle
     order) stay train, the other train rows become 'unlabeled'; dev and test
     are kept. No per-class quota is applied (as in the original)."""
     train = balanced.where(F.col("split") == "train")
     other = balanced.where(F.col("split") != "train")
     order_key = F.concat_ws(":", F.col(key).cast("string"), F.col("_draw").cast("string"))
-    ranked = hash_rank(train.withColumn("_fk", order_key), "_fk", (), seed, "few-shot")
+    ranked = hash_rank(train.withColumn("_fk", order_key), "_fk", list(groups), seed, "few-shot")
     relabel = ranked.withColumn("split", F.when(F.col("_rank") <= 2 * int(n), "train").otherwise("unlabeled"))
-    return other.unionByName(relabel.drop("_rank", "_fk"))
+    return other.unionByName(relabel.select(*balanced.columns))
 
 
-def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 10, seed=SEED) -> DataFrame:
+def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 10, seed=SEED, groups=()) -> DataFrame:
     """fold = (rank within class - 1) mod k; fold i validates, the rest trains."""
-    ranked = hash_rank(df, key, [label], seed, "kfold")
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % F.lit(int(k))).cast("int")).drop("_rank")
+    ranked = hash_rank(df, key, list(groups) + [label], seed, "kfold")
+    return ranked.select(*df.columns, ((F.col("_rank") - 1) % F.lit(int(k))).cast("int").alias("fold"))

@@ -753,14 +753,12 @@ def _page_docs(spark, sf_dir):
 @query("i1_classify")
 def i1_classify(spark, sf_dir):
     long = CL.document_contents(_raw_docs(spark, sf_dir))
-    registry = J.model_registry(spark)
-    return CL.classify(J.fan_out(long, registry), CL.one_model_for_all(fitted_model(spark, sf_dir)))
+    return CL.classify(long, CL.one_model_for_all(fitted_model(spark, sf_dir)))
 
 
 @query("i2_classify_documents")
 def i2_classify_documents(spark, sf_dir):
-    return CL.classify_documents(_page_docs(spark, sf_dir), J.model_registry(spark),
-                                 CL.one_model_for_all(fitted_model(spark, sf_dir)))
+    return CL.classify_documents(_page_docs(spark, sf_dir), CL.one_model_for_all(fitted_model(spark, sf_dir)))
 
 
 @query("i3_classify_stream")
@@ -769,7 +767,7 @@ def i3_classify_stream(spark, sf_dir):
     base = IO.scratch_path(spark, "i3")
     _page_docs(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(f"{base}/incoming")
     return run_to_completion(spark, f"{base}/incoming", f"{base}/results", f"{base}/checkpoint",
-                             J.model_registry(spark), CL.one_model_for_all(fitted_model(spark, sf_dir)))
+                             CL.one_model_for_all(fitted_model(spark, sf_dir)))
 
 
 @query("i4_gate_report")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.extract import extract_fields
 from ..functions.rules import quality_gate
 from ..functions.text import clean_text, content_type_col
-from ..operators.relate import CONTENT_SOURCES, fan_out
+from ..operators.relate import CONTENT_SOURCES
 from .learn import predict
 
 SOURCE_COLUMNS = {
@@ -38,35 +38,39 @@ def gate(long_df: DataFrame) -> DataFrame:
         .drop("_g")
 
 
+def _registry_df(spark, keys) -> DataFrame:
+    return spark.createDataFrame(sorted(keys), "content_source string, bert_model_name string, training_method string")
+
+
 def classify(long_df: DataFrame, models: dict) -> DataFrame:
-    """Gate, then score kept rows with the model registered for their key.
+    """Gate, score kept rows, then fan out to the registered models.
 
-    `models` maps (content_source, bert_model_name, training_method) to a
-    fitted PipelineModel. Rows sharing a model object are scored in one
-    transform; rejected rows keep null prediction fields.
+    `models` maps (content_source, bert_model_name, training_method) -- the
+    registry -- to a fitted PipelineModel. The gate runs once per (document,
+    source) and each distinct model scores each kept text once; only then
+    are the rows multiplied out to registry entries, through a broadcast of
+    the registry rows (fixed size). Rejected rows keep null prediction fields.
     """
-    gated = gate(long_df)
-    kept = gated.where("kept")
-    rejected = gated.where(~F.col("kept")).select(
-        *[c for c in RESULT_COLUMNS if c in gated.columns and c not in ("prediction", "prediction_id", "probabilities")],
-        F.lit(None).cast("string").alias("prediction"), F.lit(None).cast("int").alias("prediction_id"),
-        F.lit(None).cast(_PRED_TYPE).alias("probabilities"))
+    spark = long_df.sparkSession
+    gated = gate(long_df.select("doc_id", "content_source", "text"))
     by_model = {}
     for key, model in models.items():
-        by_model.setdefault(id(model), (model, []))[1].append(key)
-    scored = None
-    base_cols = ["doc_id", "content_source", "bert_model_name", "training_method", "kept", "reason", "text"]
+        by_model.setdefault(id(model), (model, []))[1].append(tuple(key))
+    parts = []
     for model, keys in by_model.values():
-        part = kept
-        if len(by_model) > 1:
-            cond = F.lit(False)
-            for s, m, t in keys:
-                cond = cond | ((F.col("content_source") == s) & (F.col("bert_model_name") == m) &
-                               (F.col("training_method") == t))
-            part = kept.where(cond)
-        p = predict(part, model, keep=base_cols).select(*RESULT_COLUMNS)
-        scored = p if scored is None else scored.unionByName(p)
-    return scored.unionByName(rejected.select(*RESULT_COLUMNS))
+        sources = sorted({k[0] for k in keys})
+        kept = gated.where(F.col("kept") & F.col("content_source").isin(*sources))
+        scored = predict(kept, model, keep=["doc_id", "content_source", "kept", "reason"])
+        parts.append(scored.join(F.broadcast(_registry_df(spark, keys)), "content_source").select(*RESULT_COLUMNS))
+    rejected = gated.where(~F.col("kept")).join(F.broadcast(_registry_df(spark, list(models))), "content_source")
+    parts.append(rejected.select(
+        *[c for c in RESULT_COLUMNS if c not in ("prediction", "prediction_id", "probabilities")],
+        F.lit(None).cast("string").alias("prediction"), F.lit(None).cast("int").alias("prediction_id"),
+        F.lit(None).cast(_PRED_TYPE).alias("probabilities")).select(*RESULT_COLUMNS))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def document_contents(docs: DataFrame, markup_col: str = "xml_tei") -> DataFrame:
@@ -87,15 +91,14 @@ def document_contents(docs: DataFrame, markup_col: str = "xml_tei") -> DataFrame
     return long.where(F.col("text").isNotNull())
 
 
-def classify_documents(docs: DataFrame, registry: DataFrame, models: dict, markup_col: str = "xml_tei",
+def classify_documents(docs: DataFrame, models: dict, markup_col: str = "xml_tei",
                        nested: bool = False) -> DataFrame:
-    """Documents -> one result row per (document, source, model).
+    """Documents -> one result row per (document, source, registered model).
 
     With `nested=True` the rows are gathered back per document (a document's
     results are bounded by sources x models).
     """
-    long = fan_out(document_contents(docs, markup_col), registry)
-    out = classify(long, models)
+    out = classify(document_contents(docs, markup_col), models)
     if not nested:
         return out
     return out.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in RESULT_COLUMNS if c != "doc_id"]))

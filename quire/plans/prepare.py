@@ -1,23 +1,24 @@
 """Dataset preparation end to end.
 
-raw table -> (S4) -> reduce (S6) -> parse markup (X2) -> clean (T17)
--> dedupe + label per content column (A2) -> long table (S7)
--> splits per column, unbalanced and balanced (O13) -> few-shot (O9) -> (S8).
+raw table -> reduce (S6) -> parse markup (X2) -> clean (T17) -> [checkpoint]
+-> long table (content_source, text, sujet) -> dedupe + label (A2)
+-> splits, unbalanced and balanced (O13) -> few-shot (O9) -> split table (S8).
 
-The S4 points of the original are Parquet checkpoints in the shared
-checkpoint folder (``cut_lineage``): they cut the lineage of the expensive
-parse/clean stages so a lost executor re-reads them instead of re-parsing.
+All content columns travel as one long table keyed by ``content_source``:
+dedupe, class counts, quotas and ranks are grouped by it, so the number of
+jobs does not grow with the number of columns. The S4 points of the
+original become one Parquet checkpoint in the shared checkpoint folder
+(``cut_lineage``) after cleaning: a lost executor re-reads it instead of
+re-parsing and re-cleaning.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import add_parsed_columns
-from ..functions.text import clean_columns
+from ..functions.text import clean_columns, content_type_col
 from ..operators.label import dedupe_or_label
 from ..operators.sampling import split_balanced, split_few_shot, split_stratified
 from ..session import cut_lineage
@@ -37,22 +38,27 @@ def markup_of(title, abstract, fulltext):
     return F.concat(F.lit("<TEI>"), el("title", title), el("abstract", abstract), el("text", fulltext), F.lit("</TEI>"))
 
 
-def prepare(raw: DataFrame, columns=None, few_shot=(50,), checkpoint: bool = True) -> DataFrame:
-    """Returns the split table (scheme, content_source, split, text, has_subject, _draw)."""
+def clean_long(raw: DataFrame, columns=None, checkpoint: bool = True) -> DataFrame:
+    """Parse, clean and unpivot: (doc_id, content_source, text, sujet)."""
     columns = columns or PARSED + ["translation_title"]
     parsed = add_parsed_columns(reduce_columns(raw, ("doc_id", "trafilatura_extracted_xml_tei",
                                                      "translation_title", "sujet")))
-    cleaned = clean_columns(parsed.drop("trafilatura_extracted_xml_tei"), [c for c in columns])
+    cleaned = clean_columns(parsed.select("doc_id", "sujet", *columns), columns)
     if checkpoint:
         cleaned = cut_lineage(cleaned)
-    parts = []
-    for col in columns:
-        d = dedupe_or_label(cleaned, col, "sujet", keep_titles=True).withColumnRenamed(col, "text")
-        d = d.withColumn("content_source", F.lit(col))
-        uns = split_stratified(d, "text", "has_subject").withColumn("scheme", F.lit("unbalanced")) \
-            .withColumn("_draw", F.lit(None).cast("bigint"))
-        bal = split_balanced(d, "text", "has_subject")
-        parts += [uns, bal.withColumn("scheme", F.lit("balanced_dev_train"))]
-        for n in few_shot:
-            parts.append(split_few_shot(bal, "text", n).withColumn("scheme", F.lit(f"pet_{n}")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return cleaned.unpivot(["doc_id", "sujet"], list(columns), "content_source", "text")
+
+
+def prepare(raw: DataFrame, columns=None, few_shot=(50,), checkpoint: bool = True) -> DataFrame:
+    """The split table (text, has_subject, split, _draw, content_source, scheme)."""
+    long = clean_long(raw, columns, checkpoint)
+    g = ["content_source"]
+    d = dedupe_or_label(long, "text", "sujet", keep_titles=True, content_type_of=content_type_col("content_source"),
+                        groups=g).select("text", "has_subject", "content_source")
+    uns = (split_stratified(d, "text", "has_subject", groups=g)
+           .withColumn("_draw", F.lit(None).cast("bigint")).withColumn("scheme", F.lit("unbalanced")))
+    bal = split_balanced(d, "text", "has_subject", groups=g)
+    out = uns.unionByName(bal.withColumn("scheme", F.lit("balanced_dev_train")))
+    for n in few_shot:
+        out = out.unionByName(split_few_shot(bal, "text", n, groups=g).withColumn("scheme", F.lit(f"pet_{n}")))
+    return out

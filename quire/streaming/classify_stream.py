@@ -11,7 +11,7 @@ after a failure (exactly-once file sink).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession  # noqa: F401
 
 from ..plans.classify import classify_documents
 
@@ -19,18 +19,18 @@ DOC_SCHEMA = ("doc_id long, xml_tei string, trafilatura_title string, trafilatur
               "trafilatura_fulltext string, translation_title string")
 
 
-def classify_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, registry: DataFrame,
-                    models: dict, max_files_per_trigger: int = 64):
+def classify_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, models: dict,
+                    max_files_per_trigger: int = 64):
     """Start the stream (parquet files -> classification -> parquet sink); returns the query."""
     stream = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    out = classify_documents(stream, registry, models)
+    out = classify_documents(stream, models)
     return (out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start(sink_dir))
 
 
-def run_to_completion(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, registry: DataFrame,
+def run_to_completion(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                       models: dict) -> DataFrame:
-    q = classify_stream(spark, source_dir, sink_dir, checkpoint, registry, models)
+    q = classify_stream(spark, source_dir, sink_dir, checkpoint, models)
     q.awaitTermination()
     return spark.read.parquet(sink_dir)
