@@ -63,7 +63,7 @@ def rx_match(expr: str, portable_pattern: str, ignore_case: bool = True) -> str:
 
 
 def py_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, {lit(rf'^[{P.WS}]+|[{P.WS}]+\z')}, '', 'g')"
+    return f"trim({expr}, {lit(P.WS_CHARS)})"
 
 
 def has_content(expr: str) -> str:

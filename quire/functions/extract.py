@@ -113,8 +113,8 @@ def extract_title(markup, tag: str = "title") -> Column:
     raw = F.regexp_extract(c, rf"(?is)<{tag}(?:[{P.WS}][^>]*)?>(.*?)</{tag}[{P.WS}]*>", 1)
     for ent, ch in TITLE_ENTITIES:
         raw = F.replace(raw, F.lit(ent), F.lit(ch))
-    t = F.regexp_replace(raw, rf"^[{P.WS}]+|[{P.WS}]+\z", "")
-    return F.when(t.isin("", "None"), F.lit(None)).otherwise(t)
+    return F.transform(F.array(F.btrim(raw, F.lit(P.WS_CHARS))),
+                       lambda t: F.when(~t.isin("", "None"), t))[0]
 
 
 def add_parsed_columns(df: DataFrame, markup_col: str = "trafilatura_extracted_xml_tei", columns=None,
@@ -148,7 +148,7 @@ def sentences(c) -> Column:
     """Paragraphs (non-empty lines, stripped) split by a rule-based sentence splitter."""
     c = F.col(c) if isinstance(c, str) else c
     paras = F.filter(F.split(c, "\n"), lambda p: p != F.lit(""))
-    strip = lambda x: F.regexp_replace(x, rf"^[{P.WS}]+|[{P.WS}]+\z", "")
+    strip = lambda x: F.btrim(x, F.lit(P.WS_CHARS))
     per = F.transform(paras, lambda p: F.transform(F.regexp_extract_all(strip(p), F.lit(SENTENCE), 1), strip))
     return F.flatten(per)
 
@@ -156,7 +156,8 @@ def sentences(c) -> Column:
 def relevant_sentences(c) -> Column:
     """Sentences holding a keyword, joined with '.'; none -> null."""
     kept = F.filter(sentences(c), lambda s: s.rlike(P.java(keyword_pattern(), ignore_case=True)))
-    return F.when(F.size(kept) > 0, F.array_join(kept, "."))
+    # bind the filtered list once (it is used twice below)
+    return F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, F.array_join(k, ".")))[0]
 
 
 def add_sentence_columns(df: DataFrame, cols=None, keep_content: bool = True) -> DataFrame:

@@ -24,6 +24,14 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 DIGIT = r"\p{Nd}"
+# The same white space as a plain character set (for btrim / trim).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+# White space other than the plain space, as a class body.
+WS_NOT_SPACE = (
+    r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 
 
 def portable(py_pattern: str) -> str:

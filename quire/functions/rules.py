@@ -67,7 +67,7 @@ def _rlike(c: Column, portable_pattern: str) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove Unicode white space at both ends."""
-    return F.regexp_replace(_col(c), rf"^[{P.WS}]+|[{P.WS}]+\z", "")
+    return F.btrim(_col(c), F.lit(P.WS_CHARS))
 
 
 def has_content(c) -> Column:
@@ -80,10 +80,9 @@ def is_too_short(c) -> Column:
     """fewer than 2 tokens but > 20 chars is long enough (no-space scripts);
     otherwise at most 4 tokens is short; null is short."""
     c = _col(c)
-    n = token_count(c)
-    return (F.when(c.isNull(), F.lit(True))
-            .when((n < 2) & (F.length(c) > 20), F.lit(False))
-            .otherwise(n <= 4))
+    short = F.transform(F.array(token_count(c)),
+                        lambda n: F.when((n < 2) & (F.length(c) > 20), F.lit(False)).otherwise(n <= 4))[0]
+    return F.when(c.isNull(), F.lit(True)).otherwise(short)
 
 
 def is_known_dubious(c) -> Column:
@@ -145,4 +144,4 @@ def quality_gate(text, content_type, rule_set: str = "compat") -> Column:
     ok = to_be_kept(text, content_type, keep_titles=False, rule_set=rule_set)
     reason = (F.when(err, F.lit("Error message"))
               .when(~ok, F.lit("Parsing problem")))
-    return F.struct(reason.isNull().alias("kept"), reason.alias("reason"))
+    return F.transform(F.array(reason), lambda r: F.struct(r.isNull().alias("kept"), r.alias("reason")))[0]

@@ -44,12 +44,15 @@ OP_HOURS = ("regex", rf"\b[{_D}]{{1,2}}:[{_D}]{{2}}(?::[{_D}]{{2}})?\b", "", Tru
 OPS_BOILERPLATE = tuple(("literal", p) for p in BOILERPLATE_PHRASES)
 OP_QUOTES = ("translate", QUOTE_LIKE, "'")
 
+# Flanking white space and hyphen-likes: plain character-set trims (no regex).
 OPS_TRIM_WS_HYPHEN = (
-    ("regex", rf"^[{_WS}]+|[{_WS}]+\z", "", False, False),
-    ("regex", rf"^[{_H}]+|[{_H}]+\z", "", False, False),
+    ("trim_chars", P.WS_CHARS),
+    ("trim_chars", HYPHEN_LIKE),
     ("trim_chars", "-"),
 )
-OPS_COLLAPSE_WS = (("regex", rf"[{_WS}]+", " ", False, False), ("trim_space",))
+# Runs of 2+ white-space chars, or one that is not a plain space, become ' '
+# (same result as replacing every run, without rewriting single spaces).
+OPS_COLLAPSE_WS = (("regex", rf"[{_WS}]{{2,}}|[{P.WS_NOT_SPACE}]", " ", False, False), ("trim_space",))
 
 
 def _short_suffix_op(sep: str):
@@ -199,13 +202,15 @@ def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
         )
 
     def body(s):
+        # the finish lambda turns '' into null on the bound variable; a
+        # nullif() around the loop would evaluate the whole loop twice
         loop = F.aggregate(
             F.sequence(F.lit(1), F.lit(max_passes)),
             F.struct(s.alias("s"), F.lit(False).alias("done")),
             lambda acc, _i: step(acc),
-            lambda acc: acc["s"],
+            lambda acc: F.when(acc["s"] != F.lit(""), acc["s"]),
         )
-        return F.when(s == F.lit(""), s).otherwise(F.nullif(loop, F.lit("")))
+        return F.when(s == F.lit(""), s).otherwise(loop)
 
     return F.transform(F.array(apply_ops(_col(c), PRE_OPS)), body)[0]
 

@@ -27,10 +27,13 @@ def dedupe_or_label(df: DataFrame, text_col: str, subject_col: str = "sujet",
                     groups=()) -> DataFrame:
     """A2: one row per distinct kept text; label 1 if any copy has a subject.
 
-    The keep test depends only on the text, so it runs *before* the group by
-    (same result, fewer rows shuffled). The aggregate is partial on the map
-    side, so a text copied millions of times reaches the shuffle once per
-    task. Output: (groups..., text_col, has_subject).
+    Keep-ness depends only on the text, so it is computed per row next to the
+    text and folded into the group with ``bool_or``; the filter then reads an
+    aggregate output. That placement matters: a filter on an expression of a
+    computed text column would be pushed below the projection and re-evaluate
+    the (expensive) text expression inside the predicate. The aggregate is
+    partial on the map side, so a text copied millions of times reaches the
+    shuffle once per task. Output: (groups..., text_col, has_subject).
 
     `groups` names independent datasets (e.g. content_source); the content
     type is then read per row from `content_type_of` (a Column), otherwise
@@ -39,9 +42,10 @@ def dedupe_or_label(df: DataFrame, text_col: str, subject_col: str = "sujet",
     ctype = content_type_of if content_type_of is not None else content_type(text_col)
     if ctype is None:
         raise ValueError(f"cannot infer content type from column name {text_col!r}")
-    kept = df.where(to_be_kept(F.col(text_col), ctype, keep_titles=keep_titles, rule_set=rule_set))
-    return (kept.groupBy(*groups, text_col)
-            .agg(F.max(has_subject(F.col(subject_col))).alias("has_subject")))
+    flagged = df.select(*groups, text_col, has_subject(F.col(subject_col)).alias("_hs"),
+                        to_be_kept(F.col(text_col), ctype, keep_titles=keep_titles, rule_set=rule_set).alias("_kf"))
+    agg = flagged.groupBy(*groups, text_col).agg(F.max("_hs").alias("has_subject"), F.bool_or("_kf").alias("_kept"))
+    return agg.where(F.col("_kept")).select(*groups, text_col, "has_subject")
 
 
 def class_proportions(df: DataFrame, label_col: str = "labels") -> DataFrame:

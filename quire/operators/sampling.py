@@ -119,7 +119,7 @@ def global_positions(df: DataFrame, order_cols, pos_col: str = "_pos") -> DataFr
                .select("_pid", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_poff")))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     # one row per partition: bounded by spark.sql.shuffle.partitions
-    return (ranked.join(F.broadcast(offsets), "_pid")
+    return (ranged.join(F.broadcast(offsets), "_pid")
             .select(*df.columns, (F.col("_poff") + local + 1).alias(pos_col)))
 
 

@@ -158,8 +158,8 @@ _title_pred("f7_to_be_kept", lambda c: R.to_be_kept(c, "title", keep_titles=Fals
 @query("f8_quality_gate")
 def f8_quality_gate(spark, sf_dir):
     c = cleaned_corpus(spark, sf_dir, ("trafilatura_title",))
-    g = R.quality_gate(F.col("trafilatura_title"), "title")
-    return c.select("doc_id", g["kept"].alias("kept"), g["reason"].alias("reason"))
+    g = c.select("doc_id", R.quality_gate(F.col("trafilatura_title"), "title").alias("_g"))
+    return g.select("doc_id", F.col("_g.kept").alias("kept"), F.col("_g.reason").alias("reason"))
 
 
 @query("f9_drop_missing")

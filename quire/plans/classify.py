@@ -34,8 +34,8 @@ _PRED_TYPE = "array<struct<label:string,score:double>>"
 def gate(long_df: DataFrame) -> DataFrame:
     """I1, first half: (kept, reason) per (document, source) row."""
     g = quality_gate(F.col("text"), content_type_col("content_source"))
-    return long_df.withColumn("_g", g).withColumn("kept", F.col("_g.kept")).withColumn("reason", F.col("_g.reason")) \
-        .drop("_g")
+    return long_df.withColumn("_g", g).select(*long_df.columns, F.col("_g.kept").alias("kept"),
+                                              F.col("_g.reason").alias("reason"))
 
 
 def _registry_df(spark, keys) -> DataFrame:
@@ -47,9 +47,13 @@ def classify(long_df: DataFrame, models: dict) -> DataFrame:
 
     `models` maps (content_source, bert_model_name, training_method) -- the
     registry -- to a fitted PipelineModel. The gate runs once per (document,
-    source) and each distinct model scores each kept text once; only then
-    are the rows multiplied out to registry entries, through a broadcast of
-    the registry rows (fixed size). Rejected rows keep null prediction fields.
+    source) and each distinct model scores each text once; only then are the
+    rows multiplied out to registry entries, through a broadcast of the
+    registry rows (fixed size). Rejected rows get null prediction fields.
+
+    No filter is put on the gate result: Catalyst would push it below the
+    projection and evaluate the gate twice. Rejected rows are instead scored
+    on an empty text (trivial work) and their prediction fields nulled.
     """
     spark = long_df.sparkSession
     gated = gate(long_df.select("doc_id", "content_source", "text"))
@@ -59,14 +63,13 @@ def classify(long_df: DataFrame, models: dict) -> DataFrame:
     parts = []
     for model, keys in by_model.values():
         sources = sorted({k[0] for k in keys})
-        kept = gated.where(F.col("kept") & F.col("content_source").isin(*sources))
-        scored = predict(kept, model, keep=["doc_id", "content_source", "kept", "reason"])
+        rows = gated.where(F.col("content_source").isin(*sources)) if len(by_model) > 1 else gated
+        rows = rows.withColumn("text", F.when(F.col("kept"), F.col("text")).otherwise(F.lit("")))
+        scored = predict(rows, model, keep=["doc_id", "content_source", "kept", "reason"])
+        scored = scored.select(
+            "doc_id", "content_source", "kept", "reason",
+            *[F.when(F.col("kept"), F.col(c)).alias(c) for c in ("prediction", "prediction_id", "probabilities")])
         parts.append(scored.join(F.broadcast(_registry_df(spark, keys)), "content_source").select(*RESULT_COLUMNS))
-    rejected = gated.where(~F.col("kept")).join(F.broadcast(_registry_df(spark, list(models))), "content_source")
-    parts.append(rejected.select(
-        *[c for c in RESULT_COLUMNS if c not in ("prediction", "prediction_id", "probabilities")],
-        F.lit(None).cast("string").alias("prediction"), F.lit(None).cast("int").alias("prediction_id"),
-        F.lit(None).cast(_PRED_TYPE).alias("probabilities")).select(*RESULT_COLUMNS))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
