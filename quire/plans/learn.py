@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import traceback
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -28,7 +29,7 @@ from ..sources.io import write_metrics, write_predictions
 
 # ---- FIXED VALUES: label names of the binary task ----
 LABEL_NAMES = {0: "irrelevant", 1: "relevant"}
-DEFAULT_CONFIG = {"num_features": 1 << 18, "reg_param": 0.01, "max_iter": 50, "min_doc_freq": 1}
+DEFAULT_CONFIG = {"num_features": 1 << 18, "reg_param": 0.01, "max_iter": 30, "min_doc_freq": 1, "tol": 1e-4}
 
 
 def with_class_weights(df: DataFrame, label: str = "labels") -> DataFrame:
@@ -38,13 +39,13 @@ def with_class_weights(df: DataFrame, label: str = "labels") -> DataFrame:
 
 
 def build_pipeline(text: str = "text", label: str = "labels", num_features: int = 1 << 18, reg_param: float = 0.01,
-                   max_iter: int = 50, min_doc_freq: int = 1) -> Pipeline:
+                   max_iter: int = 50, min_doc_freq: int = 1, tol: float = 1e-4) -> Pipeline:
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=f"[{WS}]+", gaps=True, toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_features", minDocFreq=min_doc_freq),
         LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", maxIter=max_iter,
-                           regParam=reg_param, probabilityCol="_probability", rawPredictionCol="_raw",
+                           regParam=reg_param, tol=tol, probabilityCol="_probability", rawPredictionCol="_raw",
                            predictionCol="_prediction"),
     ])
 
@@ -53,7 +54,13 @@ def train_classifier(df: DataFrame, text: str = "text", label: str = "labels", *
     """M1: fit the class-weighted pipeline on rows with text and label."""
     cfg = dict(DEFAULT_CONFIG, **config)
     data = df.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    return build_pipeline(text, label, **cfg).fit(with_class_weights(data, label))
+    # IDF and the optimizer both read the prepared rows: keep them for the
+    # fit (memory, spilling to disk; recomputed from lineage if lost).
+    weighted = with_class_weights(data, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return build_pipeline(text, label, **cfg).fit(weighted)
+    finally:
+        weighted.unpersist()
 
 
 def training_summary(model: PipelineModel, spark) -> DataFrame:
