@@ -3,8 +3,8 @@
 Confusion counts come from one ``groupBy(label, prediction).count()`` (map-
 side partial aggregation, a handful of output rows), and every metric is
 arithmetic on those counts. ROC/AUC aggregate to distinct scores first; the
-cumulative sums over scores use score-range buckets (scores are
-probabilities in [0, 1]) so the running window only ever spans one bucket.
+cumulative sums over scores run per quantile range of the distinct scores
+(plus an offset), so no running window spans more than one range.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRIC_NAMES = ("accuracy", "f1", "precision", "recall", "f_beta_2_0", "f_beta_0_5")
-SCORE_BUCKETS = 1 << 16
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -92,20 +91,30 @@ def positive_probability(top_label: Column, top_score: Column, positive_label) -
     return F.when(top_label == F.lit(positive_label), top_score).otherwise(F.lit(1.0) - top_score)
 
 
-def score_points(df: DataFrame, label: str = "labels", score: str = "score", by=()) -> DataFrame:
+def score_points(df: DataFrame, label: str = "labels", score: str = "score", by=(),
+                 buckets: int | None = None) -> DataFrame:
     """Distinct scores, descending, with per-score and cumulative counts.
 
     Columns: by..., idx (0-based, descending score), score, pos, neg, tps, fps,
-    P, N. The cumulative sums run per score bucket plus a bucket offset, so
-    no window spans more than one bucket of distinct scores.
+    P, N. Running sums over the distinct scores are split into `buckets`
+    ranges whose bounds are approximate quantiles of the distinct scores
+    (a one-row aggregate per group, joined back, never collected), so each
+    range holds about the same number of scores whatever their distribution.
+    Sums run inside a range plus the offset of the ranges before it; ranges
+    only decide *where* the work happens, the result is exact.
     """
     by = list(by)
+    if buckets is None:  # enough ranges to keep every task busy, no more
+        buckets = max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pts = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    bucket = (F.lit(SCORE_BUCKETS - 1) - F.least(F.greatest(F.floor(F.col("score") * SCORE_BUCKETS), F.lit(0)),
-                                                  F.lit(SCORE_BUCKETS - 1))).cast("int")
-    pts = pts.withColumn("_b", bucket)  # ascending bucket = descending score
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = pts.groupBy(*by).agg(F.percentile_approx("score", probs, 100 * buckets).alias("_bounds"))
+    joined = pts.join(bounds, by) if by else pts.withColumn("_one", F.lit(1)).join(
+        F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    # bucket 0 holds the highest scores: count the bounds strictly above
+    pts = joined.withColumn("_b", F.size(F.filter("_bounds", lambda b: b > F.col("score")))).drop("_bounds")
     hist = pts.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), F.count(F.lit(1)).alias("_bc"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
