@@ -96,12 +96,17 @@ def score_points(df: DataFrame, label: str = "labels", score: str = "score", by=
     """Distinct scores, descending, with per-score and cumulative counts.
 
     Columns: by..., idx (0-based, descending score), score, pos, neg, tps, fps,
-    P, N. Running sums over the distinct scores are split into `buckets`
-    ranges whose bounds are approximate quantiles of the distinct scores
-    (a one-row aggregate per group, joined back, never collected), so each
-    range holds about the same number of scores whatever their distribution.
-    Sums run inside a range plus the offset of the ranges before it; ranges
-    only decide *where* the work happens, the result is exact.
+    P, N, next_pos, next_neg (counts at the next lower score, null at the
+    end), last_idx, max_score.
+
+    Running sums over the distinct scores are split into `buckets` ranges
+    whose bounds are approximate quantiles of the distinct scores (a one-row
+    aggregate per group, joined back, never collected), so each range holds
+    about the same number of scores whatever their distribution. Sums run
+    inside a range plus the offset of the ranges before it; the successor of
+    a range's last score is the first score of the next non-empty range,
+    carried over on the small per-range table. Ranges only decide *where*
+    the work happens, the result is exact.
     """
     by = list(by)
     if buckets is None:  # enough ranges to keep every task busy, no more
@@ -113,50 +118,57 @@ def score_points(df: DataFrame, label: str = "labels", score: str = "score", by=
     bounds = pts.groupBy(*by).agg(F.percentile_approx("score", probs, 100 * buckets).alias("_bounds"))
     joined = pts.join(bounds, by) if by else pts.withColumn("_one", F.lit(1)).join(
         F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    # bucket 0 holds the highest scores: count the bounds strictly above
+    # range 0 holds the highest scores: count the bounds strictly above
     pts = joined.withColumn("_b", F.size(F.filter("_bounds", lambda b: b > F.col("score")))).drop("_bounds")
-    hist = pts.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), F.count(F.lit(1)).alias("_bc"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.max_by(F.struct("pos", "neg"), "score")
+    hist = pts.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"),
+                                      F.count(F.lit(1)).alias("_bc"), first.alias("_first"),
+                                      F.max("score").alias("_bmax"))
+    order = Window.partitionBy(*by).orderBy("_b")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offs = hist.select(*by, "_b",
                        F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"),
                        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
                        F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_oc"),
-                       F.sum("_bp").over(whole).alias("P"), F.sum("_bn").over(whole).alias("N"))
-    inb = Window.partitionBy(*by, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rn = Window.partitionBy(*by, "_b").orderBy(F.desc("score"))
+                       F.lead("_first").over(order).alias("_nf"),
+                       F.sum("_bp").over(whole).alias("P"), F.sum("_bn").over(whole).alias("N"),
+                       (F.sum("_bc").over(whole) - 1).alias("last_idx"), F.max("_bmax").over(whole).alias("max_score"))
+    inb = Window.partitionBy(*by, "_b").orderBy(F.desc("score"))
+    run = inb.rowsBetween(Window.unboundedPreceding, 0)
     local = pts.select(*by, "_b", "score", "pos", "neg",
-                       F.sum("pos").over(inb).alias("_cp"), F.sum("neg").over(inb).alias("_cn"),
-                       F.row_number().over(rn).alias("_r"))
+                       F.sum("pos").over(run).alias("_cp"), F.sum("neg").over(run).alias("_cn"),
+                       F.row_number().over(inb).alias("_r"),
+                       F.lead("pos").over(inb).alias("_lp"), F.lead("neg").over(inb).alias("_ln"))
+    # one row per (group, range): small, broadcast by AQE
     return (local.join(offs, by + ["_b"])
             .select(*by, (F.col("_oc") + F.col("_r") - 1).alias("idx"), "score", "pos", "neg",
                     (F.col("_op") + F.col("_cp")).alias("tps"), (F.col("_on") + F.col("_cn")).alias("fps"),
-                    "P", "N"))
+                    "P", "N",
+                    F.coalesce(F.col("_lp"), F.col("_nf.pos")).alias("next_pos"),
+                    F.coalesce(F.col("_ln"), F.col("_nf.neg")).alias("next_neg"),
+                    "last_idx", "max_score"))
 
 
 def roc_curve(df: DataFrame, label: str = "labels", score: str = "score", by=()) -> DataFrame:
     """ROC points as rows (by..., idx, threshold, fpr, tpr).
 
-    Point 0 is (0, 0) with threshold max+1; collinear intermediate points are
-    dropped (a point stays when the step to the next distinct score differs
-    from the step into it); FPR/TPR are cumulative counts over N and P.
+    The origin (0, 0) has idx -1 and threshold max+1; collinear intermediate
+    points are dropped (a point stays when the step to the next distinct
+    score differs from the step into it); FPR/TPR are cumulative counts over
+    N and P. Rows keep `idx`, their position among the distinct scores, so
+    the kept points are ordered without a window over the whole curve.
     """
     by = list(by)
     pts = score_points(df, label, score, by)
-    nxt = pts.select(*by, (F.col("idx") - 1).alias("idx"), F.col("pos").alias("_np"), F.col("neg").alias("_nn"))
-    last = pts.groupBy(*by).agg(F.max("idx").alias("_last"), F.max("score").alias("_max"))
-    j = pts.join(nxt, by + ["idx"], "left").join(last, by) if by else \
-        pts.join(nxt, "idx", "left").withColumn("_one", F.lit(1)).join(last.withColumn("_one", F.lit(1)), "_one")
-    keep = (F.col("idx") == 0) | (F.col("idx") == F.col("_last")) | \
-        (F.col("_np") != F.col("pos")) | (F.col("_nn") != F.col("neg"))
-    # rows keep `idx`, their position among the distinct scores (descending);
-    # the origin is idx -1. Renumbering the kept points densely would need
-    # one window over the whole curve, so positions keep their gaps.
-    body = j.where(keep).select(*by, "idx", F.col("score").alias("threshold"),
-                                _safe_div(F.col("fps"), F.col("N")).alias("fpr"),
-                                _safe_div(F.col("tps"), F.col("P")).alias("tpr"))
-    origin = last.select(*by, F.lit(-1).cast("bigint").alias("idx"), (F.col("_max") + 1).alias("threshold"),
-                         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    keep = (F.col("idx") == 0) | (F.col("idx") == F.col("last_idx")) | \
+        (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    body = pts.where(keep).select(*by, "idx", F.col("score").alias("threshold"),
+                                  _safe_div(F.col("fps"), F.col("N")).alias("fpr"),
+                                  _safe_div(F.col("tps"), F.col("P")).alias("tpr"))
+    origin = pts.where(F.col("idx") == 0).select(
+        *by, F.lit(-1).cast("bigint").alias("idx"), (F.col("max_score") + 1).alias("threshold"),
+        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return origin.unionByName(body)
 
 
