@@ -6,10 +6,12 @@ raw table -> reduce (S6) -> parse markup (X2) -> clean (T17) -> [checkpoint]
 
 All content columns travel as one long table keyed by ``content_source``:
 dedupe, class counts, quotas and ranks are grouped by it, so the number of
-jobs does not grow with the number of columns. The S4 points of the
-original become one Parquet checkpoint in the shared checkpoint folder
-(``cut_lineage``) after cleaning: a lost executor re-reads it instead of
-re-parsing and re-cleaning.
+jobs does not grow with the number of columns. The points where the
+original writes files become Parquet tables in the shared checkpoint folder
+(``cut_lineage``): after parsing and cleaning, after de-duplication (the
+datasets, read by all split schemes) and after the balanced split (the
+few-shot splits are cut from it). A lost executor re-reads them instead of
+recomputing, and each is computed once.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def clean_long(raw: DataFrame, columns=None, checkpoint: bool = True) -> DataFra
                                                      "translation_title", "sujet")))
     cleaned = clean_columns(parsed.select("doc_id", "sujet", *columns), columns)
     if checkpoint:
-        cleaned = cut_lineage(cleaned)
+        cleaned = cut_lineage(cleaned, "cleaned")
     return cleaned.unpivot(["doc_id", "sujet"], list(columns), "content_source", "text")
 
 
@@ -55,9 +57,13 @@ def prepare(raw: DataFrame, columns=None, few_shot=(50,), checkpoint: bool = Tru
     g = ["content_source"]
     d = dedupe_or_label(long, "text", "sujet", keep_titles=True, content_type_of=content_type_col("content_source"),
                         groups=g).select("text", "has_subject", "content_source")
+    if checkpoint:  # the cleaned datasets (S7): read by all three split schemes
+        d = cut_lineage(d, "datasets")
     uns = (split_stratified(d, "text", "has_subject", groups=g)
            .withColumn("_draw", F.lit(None).cast("bigint")).withColumn("scheme", F.lit("unbalanced")))
     bal = split_balanced(d, "text", "has_subject", groups=g)
+    if checkpoint:  # the balanced splits (S8): the few-shot splits are cut from them
+        bal = cut_lineage(bal, "balanced")
     out = uns.unionByName(bal.withColumn("scheme", F.lit("balanced_dev_train")))
     for n in few_shot:
         out = out.unionByName(split_few_shot(bal, "text", n, groups=g).withColumn("scheme", F.lit(f"pet_{n}")))

@@ -45,7 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "table"):
+    """Write `df` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint (never ``localCheckpoint``)
+    and survives executor loss, but computes the input once (an RDD
+    checkpoint recomputes it for the write job unless cached) and stores it
+    columnar and compressed, so later reads prune columns.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
