@@ -215,6 +215,8 @@ _title_pred("f4_is_error_message", O.is_error_message)
 _title_pred("f5_is_site_name", O.is_site_name)
 _title_pred("f6_is_boilerplate", lambda e: O.is_boilerplate(e, "title"))
 _title_pred("f7_to_be_kept", lambda e: O.to_be_kept(e, "title", False))
+SQL["f6_is_boilerplate_strict"] = f"SELECT doc_id, {O.is_boilerplate('trafilatura_fulltext', 'fulltext', 'strict')} AS flag FROM ({RAW})"
+SQL["f7_to_be_kept_strict"] = f"SELECT doc_id, {O.to_be_kept('trafilatura_title', 'title', False, 'strict')} AS flag FROM ({RAW})"
 SQL["f8_quality_gate"] = f"""
 SELECT doc_id, reason IS NULL AS kept, reason FROM (
   SELECT doc_id, {O.gate_reason('t', 'title')} AS reason FROM (

@@ -80,12 +80,12 @@ def is_known_dubious(expr: str) -> str:
     return f"coalesce(({expr}) IN ({', '.join(lit(x) for x in DUBIOUS_TEXTS)}), false)"
 
 
-def is_error_message(expr: str) -> str:
-    return f"(CASE WHEN NOT {has_content(expr)} THEN true ELSE {rx_match(expr, R.error_regex())} END)"
+def is_error_message(expr: str, rule_set: str = "compat") -> str:
+    return f"(CASE WHEN NOT {has_content(expr)} THEN true ELSE {rx_match(expr, R.error_regex(rule_set))} END)"
 
 
-def is_site_name(expr: str) -> str:
-    return f"coalesce({rx_match(expr, R.site_regex())}, false)"
+def is_site_name(expr: str, rule_set: str = "compat") -> str:
+    return f"coalesce({rx_match(expr, R.site_regex(rule_set))}, false)"
 
 
 def is_boilerplate(expr: str, ctype: str, rule_set: str = "compat") -> str:
@@ -94,7 +94,7 @@ def is_boilerplate(expr: str, ctype: str, rule_set: str = "compat") -> str:
 
 def to_be_kept(expr: str, ctype: str, keep_titles: bool = False, rule_set: str = "compat") -> str:
     inner = (f"CASE WHEN {is_too_short('t')} OR {is_known_dubious('t')} THEN false "
-             f"WHEN {is_site_name('t')} THEN {'true' if keep_titles else 'false'} "
+             f"WHEN {is_site_name('t', rule_set)} THEN {'true' if keep_titles else 'false'} "
              f"ELSE NOT {is_boilerplate('t', ctype, rule_set)} END")
     return (f"(CASE WHEN NOT {has_content(expr)} THEN false "
             f"ELSE (list_transform([{py_strip(expr)}], lambda t: {inner}))[1] END)")
@@ -106,9 +106,9 @@ def to_be_kept_by_type(expr: str, ctype_expr: str, keep_titles: bool = False, ru
     ) + " END)")
 
 
-def gate_reason(expr: str, ctype: str) -> str:
-    return (f"(CASE WHEN {is_error_message(expr)} THEN 'Error message' "
-            f"WHEN NOT {to_be_kept(expr, ctype, False)} THEN 'Parsing problem' END)")
+def gate_reason(expr: str, ctype: str, rule_set: str = "compat") -> str:
+    return (f"(CASE WHEN {is_error_message(expr, rule_set)} THEN 'Error message' "
+            f"WHEN NOT {to_be_kept(expr, ctype, False, rule_set)} THEN 'Parsing problem' END)")
 
 
 def has_subject(expr: str) -> str:

@@ -6,7 +6,11 @@ compiles it once. Two rule sets exist:
 
 * ``compat``  (default) reproduces the original behaviour, where abstract and
   full text are checked against the *title* table;
-* ``intended`` uses the per-content-type tables as they were written.
+* ``intended`` uses the per-content-type tables as they were written;
+* ``strict`` is ``intended`` with the known defects of the tables repaired:
+  the two header entries that became one-letter prefix rules, the two error
+  patterns glued by a missing comma, and site names whose unescaped ``|``
+  or parentheses turned them into prefix rules.
 """
 
 from __future__ import annotations
@@ -28,7 +32,43 @@ from .text import token_count
 
 CONTENT_TYPES = ("title", "abstract", "fulltext")
 
+# ---- FIXED VALUES: repairs applied by the "strict" rule set ----
+HEADER_REPAIRS = {"^b|Browse$": "^Browse$", "^S|shop$": "^Shop$"}
+
+
+def _split_glued(rules):
+    """'^a$^b$' (two patterns missing a comma) -> '^a$', '^b$'."""
+    out = []
+    for r in rules:
+        parts = r.split("$^")
+        out += [("^" if i else "") + p + ("$" if i < len(parts) - 1 else "") for i, p in enumerate(parts)]
+    return out
+
+
+def _escape_literal_meta(rules):
+    """Escape '|', '(' and ')' that are not escaped: site names are literal names."""
+    out = []
+    for r in rules:
+        buf, i = [], 0
+        while i < len(r):
+            if r[i] == "\\" and i + 1 < len(r):
+                buf.append(r[i:i + 2])
+                i += 2
+                continue
+            buf.append("\\" + r[i] if r[i] in "|()" else r[i])
+            i += 1
+        out.append("".join(buf))
+    return out
+
+
+_STRICT_ERRORS = _split_glued(ERROR_RULES)
+_STRICT_HEADERS = [HEADER_REPAIRS.get(r, r) for r in HEADER_RULES]
+SITE_NAMES = {"compat": list(SITE_NAME_RULES), "intended": list(SITE_NAME_RULES),
+              "strict": _escape_literal_meta(SITE_NAME_RULES)}
+ERRORS = {"compat": list(ERROR_RULES), "intended": list(ERROR_RULES), "strict": _STRICT_ERRORS}
+
 _ALWAYS = list(ERROR_RULES) + list(HEADER_RULES)
+_STRICT_ALWAYS = _STRICT_ERRORS + _STRICT_HEADERS
 RULE_TABLES = {
     "compat": {
         "title": _ALWAYS + list(TITLE_EXTRA_RULES),
@@ -40,15 +80,20 @@ RULE_TABLES = {
         "abstract": _ALWAYS + list(ABSTRACT_EXTRA_RULES),
         "fulltext": _ALWAYS + list(FULLTEXT_EXTRA_RULES),
     },
+    "strict": {
+        "title": _STRICT_ALWAYS + list(TITLE_EXTRA_RULES),
+        "abstract": _STRICT_ALWAYS + list(ABSTRACT_EXTRA_RULES),
+        "fulltext": _STRICT_ALWAYS + list(FULLTEXT_EXTRA_RULES),
+    },
 }
 
 
-def error_regex() -> str:
-    return P.rule_alternation(ERROR_RULES)
+def error_regex(rule_set: str = "compat") -> str:
+    return P.rule_alternation(ERRORS[rule_set])
 
 
-def site_regex() -> str:
-    return P.rule_alternation(SITE_NAME_RULES)
+def site_regex(rule_set: str = "compat") -> str:
+    return P.rule_alternation(SITE_NAMES[rule_set])
 
 
 def boilerplate_regex(content_type: str, rule_set: str = "compat") -> str:
@@ -90,15 +135,15 @@ def is_known_dubious(c) -> Column:
     return F.coalesce(_col(c).isin(*DUBIOUS_TEXTS), F.lit(False))
 
 
-def is_error_message(c) -> Column:
+def is_error_message(c, rule_set: str = "compat") -> Column:
     """blank/missing, or an error-rule match on the *unstripped* text."""
     c = _col(c)
-    return F.when(~has_content(c), F.lit(True)).otherwise(_rlike(c, error_regex()))
+    return F.when(~has_content(c), F.lit(True)).otherwise(_rlike(c, error_regex(rule_set)))
 
 
-def is_site_name(c) -> Column:
+def is_site_name(c, rule_set: str = "compat") -> Column:
     """website / journal name rules."""
-    return F.coalesce(_rlike(_col(c), site_regex()), F.lit(False))
+    return F.coalesce(_rlike(_col(c), site_regex(rule_set)), F.lit(False))
 
 
 def is_boilerplate(c, content_type: str, rule_set: str = "compat") -> Column:
@@ -114,7 +159,7 @@ def _kept_on_stripped(t: Column, content_type, keep_titles: bool, rule_set: str)
         for ct in reversed(CONTENT_TYPES):
             boiler = F.when(content_type == F.lit(ct), is_boilerplate(t, ct, rule_set)).otherwise(boiler)
     return (F.when(is_too_short(t) | is_known_dubious(t), F.lit(False))
-            .when(is_site_name(t), F.lit(bool(keep_titles)))
+            .when(is_site_name(t, rule_set), F.lit(bool(keep_titles)))
             .otherwise(~boiler))
 
 
@@ -140,7 +185,7 @@ def quality_gate(text, content_type, rule_set: str = "compat") -> Column:
     'Error message' first, then 'Parsing problem' (F7 with keep_titles=False).
     """
     text = _col(text)
-    err = is_error_message(text)
+    err = is_error_message(text, rule_set)
     ok = to_be_kept(text, content_type, keep_titles=False, rule_set=rule_set)
     reason = (F.when(err, F.lit("Error message"))
               .when(~ok, F.lit("Parsing problem")))

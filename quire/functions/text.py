@@ -77,13 +77,15 @@ OPS_FIX_QUOTES = (
 )
 OP_EMOJI = ("regex", r"[\x{10000}-\x{10FFFF}]", "", False, False)
 OP_CONTROL = ("regex", r"\p{C}", "", False, False)
+# T12 then T13 delete single characters, so one class does both in one scan.
+OP_EMOJI_CONTROL = ("regex", r"[\x{10000}-\x{10FFFF}\p{C}]", "", False, False)
 OP_PUNCT = ("trim_chars", ASCII_PUNCTUATION)
 OP_DIGITS = ("regex", rf"^[{_D}]+|[{_D}]+\z", "", False, False)
 
 PRE_OPS = (OP_HYPHENS, OP_TAGS, OP_URLS, OP_DATES, OP_HOURS) + OPS_BOILERPLATE + (OP_QUOTES,)
 PASS_OPS = (
     OPS_TRIM_WS_HYPHEN + OPS_COLLAPSE_WS + OPS_SHORT_SUFFIX + OPS_FIX_QUOTES
-    + (OP_EMOJI, OP_CONTROL, OP_PUNCT, OP_DIGITS)
+    + (OP_EMOJI_CONTROL, OP_PUNCT, OP_DIGITS)
 )
 
 

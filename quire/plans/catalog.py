@@ -155,6 +155,19 @@ _title_pred("f6_is_boilerplate", lambda c: R.is_boilerplate(c, "title"))
 _title_pred("f7_to_be_kept", lambda c: R.to_be_kept(c, "title", keep_titles=False))
 
 
+@query("f6_is_boilerplate_strict")
+def f6_is_boilerplate_strict(spark, sf_dir):
+    """F6 with the repaired rule tables, on full texts."""
+    c = corpus(spark, sf_dir)
+    return c.select("doc_id", R.is_boilerplate(F.col("trafilatura_fulltext"), "fulltext", "strict").alias("flag"))
+
+
+@query("f7_to_be_kept_strict")
+def f7_to_be_kept_strict(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return c.select("doc_id", R.to_be_kept(F.col("trafilatura_title"), "title", False, "strict").alias("flag"))
+
+
 @query("f8_quality_gate")
 def f8_quality_gate(spark, sf_dir):
     c = cleaned_corpus(spark, sf_dir, ("trafilatura_title",))

@@ -74,3 +74,17 @@ def test_quality_gate_reasons(spark):
 
 def test_has_subject(spark):
     assert _eval(spark, [None, "None", "x", "3"], has_subject) == [0, 0, 1, 1]
+
+
+def test_strict_rules_repair_the_quirks(spark):
+    values = ["Bonjour tout le monde ici", "Some text here long enough", "Browse", "shop",
+              "Copyright All Rights Reserved 2020"]
+    got = _eval(spark, values, lambda c: R.is_boilerplate(c, "title", "strict"))
+    assert got == [False, False, True, True, True]
+    compat = _eval(spark, values, lambda c: R.is_boilerplate(c, "title", "compat"))
+    assert compat == [True, True, True, True, False]  # the glued pair can never match
+
+
+def test_strict_site_names_are_literal(spark):
+    values = ["Products are good for you", "Products | Syngenta", "La Rioja hoy"]
+    assert _eval(spark, values, lambda c: R.is_site_name(c, "strict")) == [False, True, False]
