@@ -275,8 +275,10 @@ _ALLS = f"""
 """
 SQL["a8_split_statistics"] = "SELECT scheme, " + ", ".join(
     f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN count(*) FILTER (WHERE split = '{s}') END AS {s}_size, "
-    f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN sum(labels) FILTER (WHERE split = '{s}') END AS {s}_positives, "
-    f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN sum(1 - labels) FILTER (WHERE split = '{s}') END AS {s}_negatives"
+    f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN CAST(sum(labels) FILTER (WHERE split = '{s}') AS BIGINT) END "
+    f"AS {s}_positives, "
+    f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN CAST(sum(1 - labels) FILTER (WHERE split = '{s}') AS BIGINT) END "
+    f"AS {s}_negatives"
     for s in ("train", "dev", "test", "unlabeled")) + f" FROM ({_ALLS}) GROUP BY scheme"
 SQL["a9_distinct_texts"] = "SELECT count(DISTINCT text) AS n_distinct FROM documents"
 _PROF_COLS = ["trafilatura_title", "trafilatura_abstract", "translation_title", "sujet", "quality"]
@@ -286,8 +288,8 @@ _MISS = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} = '' THEN 1 ELSE 0 END)"
                    for c in ["trafilatura_abstract", "translation_title", "sujet"])
 SQL["a11_missing_report"] = f"""
 SELECT n_rows, n_missing, n_rows_with_missing, round(n_rows_with_missing * 100.0 / n_rows, 6) AS pct_rows_with_missing
-FROM (SELECT count(*) AS n_rows, sum({_MISS}) AS n_missing,
-             sum(CASE WHEN {_MISS} > 0 THEN 1 ELSE 0 END) AS n_rows_with_missing FROM ({RAW}))
+FROM (SELECT count(*) AS n_rows, CAST(sum({_MISS}) AS BIGINT) AS n_missing,
+             CAST(sum(CASE WHEN {_MISS} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_rows_with_missing FROM ({RAW}))
 """
 SQL["a12_classification_metrics"] = binary_metrics(SCORED)
 _PER_CLASS = f"""
