@@ -9,9 +9,11 @@ Scale: a class-stratified sample needs the rank of each row inside its class.
 the data for a binary label) into one task. ``hash_rank`` instead
 
 1. buckets rows by the top 16 bits of their hash (65,536 buckets per class),
-2. counts rows per (class, bucket) -- a small, partially aggregated table --
-   and turns it into per-bucket offsets with a window over *buckets*,
-3. ranks rows inside (class, bucket) only, and adds the offset.
+2. ranks rows inside (class, bucket) only, counting the bucket on the same
+   partitions,
+3. turns the per-bucket counts into offsets with a window over *buckets*
+   (a small table) and adds them. Class sizes come from the same counts, so
+   the input is scanned once.
 
 Same ranks as the global window, but the largest sort is one bucket. Joins
 against the small per-class / per-bucket tables are left to AQE, which
@@ -40,29 +42,48 @@ def hash32(key: Column, seed=SEED, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(prefix), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_rank(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_col: str = "_rank") -> DataFrame:
-    """Exact 1-based rank of each row within `by`, ordered by (hash(seed, key), key)."""
+def rank_table(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_col: str = "_rank"):
+    """Exact 1-based rank within `by` (order: hash(seed, key), key) plus row counts per `by`.
+
+    Returns (ranked rows, counts(by..., _cnt)). The input is computed once:
+    rows are exchanged by (by, bucket) for the in-bucket window, the bucket
+    sizes are a window count over the same partitions, and the per-bucket
+    histogram (hence offsets and group counts) is aggregated from that output
+    without another exchange or another pass over `df`.
+    """
     by = list(by)
     h = hash32(F.col(key), seed, salt)
     x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - BUCKET_BITS))
-    hist = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    part = Window.partitionBy(*by, "_b")
+    r = (x.withColumn("_rb", F.row_number().over(part.orderBy("_h", key)))
+         .withColumn("_bc", F.count(F.lit(1)).over(part)))
+    hist = r.groupBy(*by, "_b").agg(F.max("_bc").alias("_bn"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*by, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
-    in_bucket = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    ranked = x.withColumn("_rb", F.row_number().over(in_bucket))
-    return (ranked.join(offsets, by + ["_b"])
-            .select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col)))
+    ranked = r.join(offsets, by + ["_b"]).select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col))
+    counts = hist.groupBy(*by).agg(F.sum("_bn").alias("_cnt"))
+    return ranked, counts
 
 
-def class_counts(df: DataFrame, label: str, groups=()) -> DataFrame:
-    """(groups..., label, _nc, _n, _k): class size, dataset size, number of classes."""
-    groups = list(groups)
+def hash_rank(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_col: str = "_rank") -> DataFrame:
+    """Exact 1-based rank of each row within `by`, ordered by (hash(seed, key), key)."""
+    return rank_table(df, key, by, seed, salt, rank_col)[0]
+
+
+def _class_stats(counts: DataFrame, label: str, groups) -> DataFrame:
+    """(groups..., label, _nc, _n, _k) from per-class counts (one row per class)."""
     w = Window.partitionBy(*groups)
-    return (df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("_nc"))
+    return (counts.withColumnRenamed("_cnt", "_nc")
             .withColumn("_n", F.sum("_nc").over(w))
             .withColumn("_k", F.count(F.lit(1)).over(w)))
 
 
+def class_counts(df: DataFrame, label: str, groups=()) -> DataFrame:
+    """(groups..., label, _nc, _n, _k): class size, dataset size, number of classes."""
+    groups = list(groups)
+    return _class_stats(df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("_cnt")), label, groups)
+
+
 def _trunc(c: Column) -> Column:
     """Python int() of a non-negative double."""
     return F.floor(c).cast("bigint")
@@ -91,8 +112,8 @@ def _attach(df: DataFrame, small: DataFrame, groups) -> DataFrame:
 def downsample(df: DataFrame, key: str, fraction: float = 0.1, seed=SEED, groups=()) -> DataFrame:
     """O3: exactly round(n * fraction) rows (half-even, as pandas), no replacement."""
     groups = list(groups)
-    ranked = hash_rank(df, key, groups, seed, "downsample")
-    k = df.groupBy(*groups).agg(F.bround(F.count(F.lit(1)) * F.lit(float(fraction)), 0).cast("bigint").alias("_q"))
+    ranked, cnt = rank_table(df, key, groups, seed, "downsample")
+    k = cnt.select(*groups, F.bround(F.col("_cnt") * F.lit(float(fraction)), 0).cast("bigint").alias("_q"))
     return _attach(ranked, k, groups).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
 
@@ -143,7 +164,8 @@ def sample_by_class(df: DataFrame, key: str, label: str, size: int | None = None
     an absolute size, or `fraction` of the row count of the dataset.
     """
     groups = list(groups)
-    counts = class_counts(df, label, groups)
+    ranked, cnt = rank_table(df, key, groups + [label], seed, "class")
+    counts = _class_stats(cnt, label, groups)
     if weights is not None:
         wexpr = F.lit(None).cast("double")
         for lab, w in weights.items():
@@ -152,7 +174,6 @@ def sample_by_class(df: DataFrame, key: str, label: str, size: int | None = None
         wexpr = F.col("_nc") / F.col("_n")
     base = F.lit(int(size)) if size is not None else _trunc(F.lit(float(fraction)) * F.col("_n"))
     quota = counts.select(*groups, label, _trunc(base * wexpr).alias("_q"))
-    ranked = hash_rank(df, key, groups + [label], seed, "class")
     return ranked.join(quota, groups + [label]).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
 
@@ -184,17 +205,16 @@ def sample_with_replacement(df: DataFrame, key: str, label: str, per_class: Data
     which AQE's skew-join splitting handles.
     """
     keys = list(groups) + [label]
-    ranked = hash_rank(df, key, keys, seed, salt)
-    counts = class_counts(df, label, groups).select(*keys, "_nc")
-    draws = _draw_table(per_class, keys).join(counts, keys)
+    ranked, cnt = rank_table(df, key, keys, seed, salt)
+    draws = _draw_table(per_class, keys).join(cnt.withColumnRenamed("_cnt", "_nc"), keys)
     pick = F.pmod(hash32(F.concat_ws(":", F.col(label).cast("string"), F.col("_i").cast("string")), seed,
                          salt + "-draw"), F.col("_nc")) + 1
     draws = draws.select(*keys, "_i", pick.alias("_rank"))
     return ranked.join(draws, keys + ["_rank"]).select(*df.columns, F.col("_i").alias("_draw"))
 
 
-def _split_quotas(df: DataFrame, label: str, groups, train: float, dev: float, test: float, balanced: bool):
-    counts = class_counts(df, label, groups)
+def _split_quotas(cnt: DataFrame, label: str, groups, train: float, dev: float, test: float, balanced: bool):
+    counts = _class_stats(cnt, label, groups)
     prop = F.col("_nc") / F.col("_n")
     uni = F.lit(1.0) / F.col("_k")
     return counts.select(
@@ -215,8 +235,9 @@ def split_stratified(df: DataFrame, key: str, label: str, train: float = 0.8, de
     """
     check_fractions(train, dev, test)
     groups = list(groups)
-    quota = _split_quotas(df, label, groups, train, dev, test, balanced=False).drop("_m")
-    ranked = hash_rank(df, key, groups + [label], seed, "class").join(quota, groups + [label])
+    ranked, cnt = rank_table(df, key, groups + [label], seed, "class")
+    quota = _split_quotas(cnt, label, groups, train, dev, test, balanced=False).drop("_m")
+    ranked = ranked.join(quota, groups + [label])
     split = (F.when(F.col("_rank") <= F.col("_qt"), "test")
              .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("train"))
     return ranked.select(*df.columns, split.alias("split"))
@@ -230,8 +251,9 @@ def split_balanced(df: DataFrame, key: str, label: str, train: float = 0.8, dev:
     check_fractions(train, dev, test)
     groups = list(groups)
     keys = groups + [label]
-    quota = _split_quotas(df, label, groups, train, dev, test, balanced=True)
-    ranked = hash_rank(df, key, keys, seed, "class").join(quota.drop("_m"), keys)
+    ranked, cnt = rank_table(df, key, keys, seed, "class")
+    quota = _split_quotas(cnt, label, groups, train, dev, test, balanced=True)
+    ranked = ranked.join(quota.drop("_m"), keys)
     part = (F.when(F.col("_rank") <= F.col("_qt"), "test")
             .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("rest"))
     tagged = ranked.select(*df.columns, part.alias("split"))
