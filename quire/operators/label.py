@@ -24,7 +24,7 @@ def has_subject(c) -> Column:
 
 def dedupe_or_label(df: DataFrame, text_col: str, subject_col: str = "sujet",
                     keep_titles: bool = True, rule_set: str = "compat", content_type_of=None,
-                    groups=()) -> DataFrame:
+                    groups=(), sort: bool = False) -> DataFrame:
     """A2: one row per distinct kept text; label 1 if any copy has a subject.
 
     Keep-ness depends only on the text, so it is computed per row next to the
@@ -45,7 +45,10 @@ def dedupe_or_label(df: DataFrame, text_col: str, subject_col: str = "sujet",
     flagged = df.select(*groups, text_col, has_subject(F.col(subject_col)).alias("_hs"),
                         to_be_kept(F.col(text_col), ctype, keep_titles=keep_titles, rule_set=rule_set).alias("_kf"))
     agg = flagged.groupBy(*groups, text_col).agg(F.max("_hs").alias("has_subject"), F.bool_or("_kf").alias("_kept"))
-    return agg.where(F.col("_kept")).select(*groups, text_col, "has_subject")
+    out = agg.where(F.col("_kept")).select(*groups, text_col, "has_subject")
+    # the original returns the groups in text order; a global sort (range
+    # shuffle) is only worth it when the result is written in that order
+    return out.orderBy(*groups, text_col) if sort else out
 
 
 def class_proportions(df: DataFrame, label_col: str = "labels") -> DataFrame:

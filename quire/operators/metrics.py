@@ -86,6 +86,24 @@ def classification_metrics(df: DataFrame, label: str = "labels", pred: str = "pr
                          F.lit(None).cast("bigint").alias("support"), "f_beta_2_0", "f_beta_0_5")
 
 
+def rank_labels(probabilities, k: int | None = None) -> Column:
+    """O2: (label, score) structs by descending score, first `k` kept.
+
+    Ties keep the order a stable ascending sort would reverse, so the top
+    label of tied scores is the last one listed (as in the original).
+    """
+    p = F.col(probabilities) if isinstance(probabilities, str) else probabilities
+    asc = F.array_sort(p, lambda a, b: F.when(a["score"] < b["score"], -1).when(a["score"] > b["score"], 1)
+                       .otherwise(0))
+    desc = F.reverse(asc)
+    return F.slice(desc, 1, k) if k else desc
+
+
+def top_label(probabilities) -> Column:
+    """O2: the arg-max (label, score) struct."""
+    return F.element_at(rank_labels(probabilities, 1), 1)
+
+
 def positive_probability(top_label: Column, top_score: Column, positive_label) -> Column:
     """M3: score of the positive label from the top (label, score)."""
     return F.when(top_label == F.lit(positive_label), top_score).otherwise(F.lit(1.0) - top_score)

@@ -313,9 +313,7 @@ def o2_top_label(spark, sf_dir):
     s = scored(spark, sf_dir)
     probs = F.array(F.struct(F.lit("irrelevant").alias("label"), (1 - F.col("score")).alias("score")),
                     F.struct(F.lit("relevant").alias("label"), F.col("score").alias("score")))
-    ranked = F.array_sort(probs, lambda a, b: F.when(a["score"] < b["score"], -1)
-                          .when(a["score"] > b["score"], 1).otherwise(0))
-    top = F.element_at(ranked, -1)
+    top = M.top_label(probs)
     return s.select("doc_id", top["label"].alias("top_label"), top["score"].alias("top_score"))
 
 

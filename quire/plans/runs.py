@@ -83,9 +83,19 @@ def assemble_runs(values: DataFrame, metrics=LOG_METRICS) -> DataFrame:
     return values.groupBy("method", "model", "content").pivot("metric", list(metrics)).agg(F.first("value"))
 
 
-def select_runs(runs: DataFrame, f1_min: float = 0.5, precision_min: float = 0.5) -> DataFrame:
-    """keep runs clearing both thresholds."""
-    return runs.where((F.col("eval_f1") >= f1_min) & (F.col("eval_precision") >= precision_min))
+def select_runs(runs: DataFrame, f1_min: float = 0.5, precision_min: float = 0.5, minimums: dict | None = None,
+                strict: bool = False) -> DataFrame:
+    """keep runs clearing every threshold.
+
+    `minimums` maps metric column -> threshold (default: eval_f1 and
+    eval_precision); `strict` uses '>' (the follow-up selections) instead of '>='.
+    """
+    minimums = minimums or {"eval_f1": f1_min, "eval_precision": precision_min}
+    cond = F.lit(True)
+    for col, v in minimums.items():
+        c = F.col(f"`{col}`")
+        cond = cond & ((c > F.lit(v)) if strict else (c >= F.lit(v)))
+    return runs.where(cond)
 
 
 def compare_runs(spark, sf_dir: str, metric: str = "eval_f1"):

@@ -91,11 +91,17 @@ def read_splits(spark: SparkSession, path: str, schema=None, fmt: str = "csv") -
     return df.withColumn("split", F.explode(names))
 
 
-def load_labeled(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """S3: project to (text, labels); '' -> null; drop rows with any null."""
+def load_labeled(df: DataFrame, text_col: str, label_col: str, downsample: float | None = None,
+                 key: str = "doc_id") -> DataFrame:
+    """S3: project to (text, labels); '' -> null; drop rows with any null;
+    optionally keep round(n * downsample) rows (seeded, O3)."""
     out = df.select(F.nullif(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                    F.col(label_col).cast("int").alias("labels"), *[c for c in df.columns if c == "doc_id"])
-    return out.na.drop(subset=["text", "labels"])
+                    F.col(label_col).cast("int").alias("labels"), *[c for c in df.columns if c == key])
+    out = out.na.drop(subset=["text", "labels"])
+    if downsample is not None:
+        from ..operators.sampling import downsample as _downsample
+        out = _downsample(out, key if key in out.columns else "text", downsample)
+    return out
 
 
 # ---- S4 / S5 / S6: column store ----

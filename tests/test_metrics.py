@@ -125,3 +125,11 @@ def test_positive_probability(spark):
     df = spark.createDataFrame([("relevant", 0.8), ("irrelevant", 0.7)], "l string, s double")
     out = [r.p for r in df.select(M.positive_probability(F.col("l"), F.col("s"), "relevant").alias("p")).collect()]
     assert out == pytest.approx([0.8, 0.3])
+
+
+def test_rank_labels_and_ties(spark):
+    df = spark.createDataFrame([([("a", 0.2), ("b", 0.5), ("c", 0.3)],), ([("x", 0.5), ("y", 0.5)],)],
+                               "p array<struct<label:string,score:double>>")
+    rows = df.select(M.rank_labels("p", 2).alias("r"), M.top_label("p").alias("t")).collect()
+    assert [x.label for x in rows[0].r] == ["b", "c"] and rows[0].t.label == "b"
+    assert rows[1].t.label == "y"  # tie: the last of a stable ascending sort
