@@ -536,8 +536,7 @@ FROM ({split_stratified(TRAIN2, 'doc_id', 'labels', 'doc_id, labels')})
 UNION ALL
 SELECT doc_id, labels, _draw, 'balanced_dev_train' AS scheme, split FROM ({_BAL_T})
 """
-SQL["s9_read_run_logs"] = "SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY epoch, step) - 1 AS INTEGER) AS pos, " \
-    "step, CAST(epoch AS DOUBLE) AS epoch, " + ", ".join(
+SQL["s9_read_run_logs"] = "SELECT run_id, step, CAST(epoch AS DOUBLE) AS epoch, " + ", ".join(
         f"CASE WHEN metric = {lit(m)} THEN value END AS {m}" for m in LOG_METRICS) + f" FROM ({RUNLOG})"
 
 
@@ -564,8 +563,7 @@ def roc_sql(base: str, by: str) -> str:
 
 _curve, _auc = roc_sql(_FOLDS, "fold")
 SQL["s10_read_split_metrics"] = f"""
-SELECT c.fold, a.AUC, CAST(row_number() OVER (PARTITION BY c.fold ORDER BY c.idx) - 1 AS INTEGER) AS point,
-       c.fpr, c.tpr, c.threshold
+SELECT c.fold, a.AUC, c.idx, c.fpr, c.tpr, c.threshold
 FROM ({_curve}) c JOIN ({_auc}) a ON c.fold = a.fold
 """
 SQL["s11_read_metric_text"] = f"""

@@ -614,42 +614,48 @@ def _log_entries(spark, sf_dir):
     return log.select("run_id", F.struct(*fields).alias("entry"))
 
 
+CHUNK = 1024  # entries per written document: bounds every collected group
+
+
 @query("s9_read_run_logs")
 def s9_read_run_logs(spark, sf_dir):
-    """Run logs written as JSON documents (one per run) and read back exploded.
+    """Run logs written as JSON documents and read back exploded.
 
-    A run's log_history is one array by the file format; it is bounded by the
-    steps of one training run."""
-    runs = _log_entries(spark, sf_dir).groupBy("run_id").agg(
+    Each document holds at most CHUNK consecutive steps of one run (its
+    log_history), so no run -- however many steps it logged -- is gathered
+    into one task."""
+    entries = _log_entries(spark, sf_dir).withColumn("_chunk", F.floor(F.col("entry.step") / CHUNK))
+    docs = entries.groupBy("run_id", "_chunk").agg(
         F.max("entry.step").alias("global_step"),
         F.avg("entry.eval_loss").alias("average_loss"),
-        F.sort_array(F.collect_list("entry")).alias("log_history"))
+        F.sort_array(F.collect_list("entry")).alias("log_history")).drop("_chunk")
     path = IO.scratch_path(spark, "s9")
-    runs.write.mode("overwrite").json(path)
+    docs.write.mode("overwrite").json(path)
     schema = IO.with_field(IO.RUN_LOG, "run_id", "bigint")
     back = IO.read_run_logs(spark, path, multi_line=False, schema=schema)
-    return back.select("run_id", "pos", "step", "epoch", *RUNS.LOG_METRICS)
+    return back.select("run_id", "step", "epoch", *RUNS.LOG_METRICS)
 
 
 @query("s10_read_split_metrics")
 def s10_read_split_metrics(spark, sf_dir):
+    """Per-fold ROC curves written as metric documents (arrays of at most
+    CHUNK points, keyed by their position among the distinct scores)."""
     folds = O.stratified_kfold(scored(spark, sf_dir), "doc_id", "labels", k=5)
     roc = M.roc_curve(folds, "labels", "score", by=["fold"])
     auc = M.roc_auc(folds, "labels", "score", by=["fold"]).withColumnRenamed("auc", "AUC")
     pts = F.sort_array(F.collect_list(F.struct("idx", "fpr", "tpr", "threshold")))
-    curves = roc.groupBy("fold").agg(pts.alias("_p")).select(
-        "fold", F.transform("_p", lambda x: x["fpr"]).alias("FPR"), F.transform("_p", lambda x: x["tpr"]).alias("TPR"),
+    curves = roc.groupBy("fold", F.floor(F.col("idx") / CHUNK).alias("_chunk")).agg(pts.alias("_p")).select(
+        "fold", F.transform("_p", lambda x: x["idx"]).alias("index"),
+        F.transform("_p", lambda x: x["fpr"]).alias("FPR"), F.transform("_p", lambda x: x["tpr"]).alias("TPR"),
         F.transform("_p", lambda x: x["threshold"]).alias("thresholds"))
     path = IO.scratch_path(spark, "s10")
     curves.join(auc, "fold").write.mode("overwrite").json(path)
-    return _s10_points(spark, path)
-
-
-def _s10_points(spark, path):
-    df = spark.read.schema(IO.with_field(IO.SPLIT_METRICS, "fold", "int")).json(path)
-    z = F.arrays_zip(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"), F.col("thresholds").alias("threshold"))
-    return df.select("fold", "AUC", F.posexplode(z).alias("point", "p")).select(
-        "fold", "AUC", "point", "p.fpr", "p.tpr", "p.threshold")
+    schema = IO.with_field(IO.with_field(IO.SPLIT_METRICS, "fold", "int"), "index", "array<bigint>")
+    df = spark.read.schema(schema).json(path)
+    z = F.arrays_zip(F.col("index").alias("idx"), F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"),
+                     F.col("thresholds").alias("threshold"))
+    return df.select("fold", "AUC", F.explode(z).alias("p")).select("fold", "AUC", "p.idx", "p.fpr", "p.tpr",
+                                                                    "p.threshold")
 
 
 @query("s11_read_metric_text")

@@ -169,7 +169,8 @@ RUN_LOG = T.StructType([
 
 def with_field(schema: T.StructType, name: str, type_name: str) -> T.StructType:
     """A copy of `schema` with one more field (StructType.add would mutate it)."""
-    types = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+    types = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(),
+             "array<bigint>": T.ArrayType(T.LongType())}
     dtype = types[type_name]
     return T.StructType(list(schema.fields) + [T.StructField(name, dtype)])
 
