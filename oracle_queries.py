@@ -175,7 +175,7 @@ _doc_op("t13_strip_control", lambda e: O.op(e, T.OP_CONTROL))
 _doc_op("t14_trim_punct", lambda e: O.op(e, T.OP_PUNCT))
 _doc_op("t15_trim_digits", lambda e: O.op(e, T.OP_DIGITS))
 
-SQL["t16_clean_text"] = f"SELECT doc_id, {O.clean_text('trafilatura_fulltext')} AS clean_text FROM ({RAW})"
+SQL["t16_clean_text"] = f"SELECT doc_id, {O.clean_text('text')} AS clean_text FROM documents"
 SQL["t17_clean_columns"] = f"""
 SELECT doc_id, {O.clean_text('trafilatura_title')} AS trafilatura_title,
        {O.clean_text('trafilatura_abstract')} AS trafilatura_abstract,

@@ -107,8 +107,7 @@ _doc_fn("t15_trim_digits", T.trim_digits)
 
 @query("t16_clean_text")
 def t16_clean_text(spark, sf_dir):
-    raw = corpus(spark, sf_dir)
-    return raw.select("doc_id", T.clean_text(F.col("trafilatura_fulltext")).alias("clean_text"))
+    return docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean_text"))
 
 
 @query("t17_clean_columns")
