@@ -9,9 +9,11 @@ Keyword search and sentence selection are native expressions.
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -19,6 +21,10 @@ from pyspark.sql.functions import pandas_udf
 from . import patterns as P
 from .rulebook import KEYWORDS
 
+# The UDF below is shipped with this module's code (pickled by value), so
+# Python workers need neither this package installed nor the driver's path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FIELDS = ("title", "abstract", "fulltext")
 # Element that holds each field in the original markup (title, abstract, text);
 # web pages use <article> for the body text.
