@@ -12,7 +12,7 @@ from __future__ import annotations
 from quire.functions import patterns as P
 from quire.functions import rules as R
 from quire.functions import text as T
-from quire.functions.rulebook import DUBIOUS_TEXTS, KEYWORDS
+from quire.functions.rulebook import DUBIOUS_TEXTS
 
 NL = "chr(10)"
 

@@ -6,7 +6,6 @@ import tempfile
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from quire.plans import catalog as C
