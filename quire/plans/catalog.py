@@ -23,6 +23,7 @@ from ..operators import metrics as M
 from ..operators import relate as J
 from ..operators import reshape as P
 from ..operators import sampling as O
+from ..session import cut_lineage
 from ..sources.tables import raw_corpus, spread, table, training_table
 from . import runs as RUNS
 
@@ -689,12 +690,18 @@ from . import classify as CL  # noqa: E402
 from . import learn as LEARN  # noqa: E402
 
 _MODELS = {}
+_SPLITS = {}
 
 
 def training_splits(spark, sf_dir):
-    t = training_table(spark, sf_dir)
-    t = spread(t).withColumn("text", T.clean_text(F.col("text")))
-    return O.split_stratified(t, "doc_id", "labels")
+    """Cleaned, split training table, written once per session and input
+    folder to the shared checkpoint folder; training, prediction and the
+    reports all read that table instead of re-cleaning."""
+    key = (id(spark), sf_dir)
+    if key not in _SPLITS:
+        t = spread(training_table(spark, sf_dir)).withColumn("text", T.clean_text(F.col("text")))
+        _SPLITS[key] = cut_lineage(O.split_stratified(t, "doc_id", "labels"), "training-splits")
+    return _SPLITS[key]
 
 
 def fitted_model(spark, sf_dir):
