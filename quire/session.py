@@ -7,6 +7,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Scratch folders of local applications without spark.checkpoint.dir, by application id.
+_local_dirs: dict[str, str] = {}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "quire") -> SparkSession:
     """A local session configured like the cluster profile (AQE on, UI off)."""
@@ -31,17 +34,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "qui
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a private scratch folder is
-    created and registered.
+    Where a local session (tests) has none, a scratch folder is made once per
+    application and set as the context's checkpoint folder. On a cluster a
+    missing setting is an error: executors can't see a folder of the driver.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        path = conf
-    else:
-        path = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _local_dirs.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="quire-ckpt-")
+        _local_dirs[sc.applicationId] = path
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
