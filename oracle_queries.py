@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import oracles as O
 from quire.functions import text as T
-from quire.functions.extract import SENTENCE, TITLE_ENTITIES
-from quire.functions.patterns import WS
 from quire.operators.reshape import CONTENTS, METHODS, MODELS
 from quire.operators.relate import BERT_MODELS, CONTENT_SOURCES, TRAINING_METHODS
 from quire.plans.runs import EVENT_METRIC, LOG_METRICS
@@ -478,12 +476,29 @@ SQL["p6_complete_table"] = SQL["f10_select_runs"]
 
 # ------------------------------------------------------------------ X
 
-_title = f"regexp_extract(html, {lit(f'(?is)<title(?:[{WS}][^>]*)?>(.*?)</title[{WS}]*>')}, 1)"
-for _ent, _ch in TITLE_ENTITIES:
-    _title = f"replace({_title}, {lit(_ent)}, {lit(_ch)})"
-SQL["x1_extract_title"] = f"""
-SELECT page_id, CASE WHEN t IN ('', 'None') THEN NULL ELSE t END AS title
-FROM (SELECT page_id, {O.py_strip(_title)} AS t FROM pages)
+# sentences: what stands between the ends ., ! and ?
+SENTENCE = r"([^.!?]+[.!?]*)"
+
+
+def element_sql(tag: str) -> str:
+    """Text of the first such element: inner tags removed, the given pages' entities decoded."""
+    inner = f"regexp_extract(html, '(?is)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1)"
+    text = f"regexp_replace({inner}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = f"replace({text}, {lit(entity)}, {lit(char)})"
+    text = O.py_strip(text)
+    return f"CASE WHEN {text} IN ('', 'None') THEN NULL ELSE {text} END"
+
+
+PAGE_FIELDS = f"""
+  SELECT page_id, {element_sql('title')} AS title, CAST(NULL AS VARCHAR) AS abstract, {element_sql('article')} AS fulltext
+  FROM pages
+"""
+SQL["x1_extract_title"] = f"SELECT page_id, title FROM ({PAGE_FIELDS})"
+SQL["x1_extract_fields"] = PAGE_FIELDS
+SQL["x2_add_parsed_columns"] = f"""
+SELECT p.page_id, f.title AS parsed_trafilatura_title, f.abstract AS parsed_trafilatura_abstract,
+       f.fulltext AS parsed_trafilatura_fulltext FROM pages p JOIN ({PAGE_FIELDS}) f ON p.page_id = f.page_id
 """
 _KW = lit("(?i)" + O.keyword_regex())
 SQL["x3_contains_keywords"] = f"SELECT doc_id, coalesce(regexp_matches(text, {_KW}), false) AS has_keyword FROM documents"
@@ -585,6 +600,20 @@ SQL["i4_gate_report"] = "SELECT content_source, reason, count(*) AS n FROM (" +
     f"(SELECT {O.clean_text(c)} AS t FROM ({RAW})) WHERE t IS NOT NULL"
     for s, (c, ct) in _SRC.items()) + ") GROUP BY ALL"
 
+
+
+def gate_sql(base: str, sources) -> str:
+    """(doc_id, content_source, kept, reason) of the cleaned texts in `base`, by source."""
+    return "SELECT doc_id, content_source, reason IS NULL AS kept, reason FROM (" + " UNION ALL ".join(
+        f"SELECT doc_id, '{s}' AS content_source, {O.gate_reason('t', ct)} AS reason FROM "
+        f"(SELECT doc_id, {O.clean_text(c)} AS t FROM ({base})) WHERE t IS NOT NULL" for s, (c, ct) in sources.items()) + ")"
+
+
+_PAGE_SRC = {"trafilatura_title": ("title", "title"), "trafilatura_abstract": ("abstract", "abstract"),
+             "trafilatura_fulltext": ("fulltext", "fulltext")}
+SQL["i1_gate"] = gate_sql(RAW, _SRC)
+SQL["i2_gate"] = gate_sql(f"SELECT page_id AS doc_id, * FROM ({PAGE_FIELDS})", _PAGE_SRC)
+
 # ------------------------------------------------------------------ E
 
 _E1_COLS = {"parsed_trafilatura_title": ("trafilatura_title", "title"),

@@ -3,7 +3,7 @@
 X1 is the one place where Python runs per document: markup needs a real HTML
 tokenizer for nested element text. It is an Arrow-batched ``pandas_udf``
 (the stdlib ``html.parser``) returning all fields in one struct, so each
-document is parsed once. The title alone also has a native regex path.
+document is parsed once.
 Keyword search and sentence selection are native expressions.
 """
 
@@ -31,10 +31,6 @@ FIELDS = ("title", "abstract", "fulltext")
 DEFAULT_TAGS = {"title": "title", "abstract": "abstract", "fulltext": "text"}
 PAGE_TAGS = {"title": "title", "abstract": "abstract", "fulltext": "article"}
 
-# ---- FIXED VALUES: entities decoded by the native title path ----
-TITLE_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-                  ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
 
 class _FirstElements(HTMLParser):
     """Collects the text of the first element with each wanted tag name."""
@@ -114,13 +110,8 @@ def extract_fields(markup, tags=None) -> Column:
 
 
 def extract_title(markup, tag: str = "title") -> Column:
-    """X1 (native path): text of the first <title> element, entities decoded."""
-    c = F.col(markup) if isinstance(markup, str) else markup
-    raw = F.regexp_extract(c, rf"(?is)<{tag}(?:[{P.WS}][^>]*)?>(.*?)</{tag}[{P.WS}]*>", 1)
-    for ent, ch in TITLE_ENTITIES:
-        raw = F.replace(raw, F.lit(ent), F.lit(ch))
-    return F.transform(F.array(F.btrim(raw, F.lit(P.WS_CHARS))),
-                       lambda t: F.when(~t.isin("", "None"), t))[0]
+    """X1, the title alone: the same parser, so all entities are decoded alike."""
+    return extract_fields(markup, dict(DEFAULT_TAGS, title=tag))["title"]
 
 
 def add_parsed_columns(df: DataFrame, markup_col: str = "trafilatura_extracted_xml_tei", columns=None,

@@ -17,9 +17,18 @@ from ..functions.text import content_type, token_count
 
 
 def has_subject(c) -> Column:
-    """A1: 1 when a subject is present (any string but 'None'), else 0."""
+    """A1: 1 when a subject is present, else 0.
+
+    Text counts unless it is 'None'; whole numbers always count; fractional
+    numbers count from -99999 up, so NaN and the usual "missing" codes don't.
+    The column's type is a constant of the plan, so only one branch is left.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNotNull() & (c.cast("string") != F.lit("None")), F.lit(1)).otherwise(F.lit(0))
+    kind = F.typeof(c)
+    number = c.try_cast("double")
+    present = F.when(kind.isin("float", "double") | kind.startswith("decimal"), (number >= -99999) & ~F.isnan(number)) \
+        .otherwise(c.isNotNull() & (c.cast("string") != F.lit("None")))
+    return F.coalesce(present.cast("int"), F.lit(0))
 
 
 def dedupe_or_label(df: DataFrame, text_col: str, subject_col: str = "sujet",
@@ -132,9 +141,9 @@ def overview(df: DataFrame, text_col: str, subject_col: str = "sujet"):
 
 
 def distinct_texts(df: DataFrame, text_col: str, approx: bool = False) -> DataFrame:
-    """Number of unique non-null texts."""
+    """Number of unique non-null texts (their digests are shuffled, not the texts)."""
     f = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(f(F.col(text_col)).alias("n_distinct"))
+    return df.agg(f(F.sha2(F.col(text_col).cast("string"), 256)).alias("n_distinct"))
 
 
 def column_profile(df: DataFrame, cols=None) -> DataFrame:

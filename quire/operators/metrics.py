@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import with_class_value
+
 METRIC_NAMES = ("accuracy", "f1", "precision", "recall", "f_beta_2_0", "f_beta_0_5")
 
 
@@ -208,7 +210,7 @@ def cv_summary(fold_metrics: DataFrame, metric: str = "f1") -> DataFrame:
     flagged in the `selected` column.
     """
     if metric not in METRIC_NAMES:
-        raise ValueError(f"Averages are done on metrics supported by the package: {metric} is not supported")
+        raise ValueError(f"no such metric to average: {metric}")
     long = fold_metrics.unpivot([c for c in fold_metrics.columns if c not in METRIC_NAMES], list(METRIC_NAMES),
                                 "metric", "value")
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")) \
@@ -219,10 +221,10 @@ def weighted_cross_entropy(df: DataFrame, label: str, prob_pos: str, weights: Da
     """sum_i w_{y_i} * -ln p(y_i) / sum_i w_{y_i} (binary, p from prob_pos).
 
     `weights` is (label, weight), e.g. from ``balanced_class_weights``; it has
-    one row per class and joins by label.
+    one row per class, and its weights reach the rows without a shuffle.
     """
     p_true = F.when(F.col(label) == 1, F.col(prob_pos)).otherwise(F.lit(1.0) - F.col(prob_pos))
-    j = df.join(weights.select(F.col(weights.columns[0]).alias(label), "weight"), label)
+    j = with_class_value(df, label, weights.select(F.col(weights.columns[0]).alias(label), "weight"), "weight")
     return j.agg((F.sum(F.col("weight") * -F.log(p_true)) / F.sum("weight")).alias("loss"))
 
 

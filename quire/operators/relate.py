@@ -24,10 +24,15 @@ def positional_join(left: DataFrame, right: DataFrame, row_id: str = "row_id") -
 
 
 def row_key(df: DataFrame, cols=None) -> Column:
-    """A null-safe value key over all columns cast to string (sha2 of the tuple)."""
+    """A null-safe value key over all columns cast to string (sha2 of the tuple).
+
+    Each part stands behind its length (nulls behind none), so no two tuples
+    give the same string, whatever characters they hold.
+    """
     cols = cols or df.columns
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000NULL")) for c in cols]
-    return F.sha2(F.concat_ws("\u0001", *parts), 256)
+    text = [F.col(c).cast("string") for c in cols]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
+    return F.sha2(F.concat(*parts), 256)
 
 
 def difference(a: DataFrame, b: DataFrame, cols=None) -> DataFrame:
@@ -48,8 +53,11 @@ def model_registry(spark) -> DataFrame:
 
 
 def fan_out(long_docs: DataFrame, models: DataFrame, source_col: str = "content_source") -> DataFrame:
-    """Each non-null content source meets only the models trained on it."""
-    return long_docs.where(F.col("text").isNotNull()).join(F.broadcast(models), source_col)
+    """Each non-null content source meets only the models trained on it.
+
+    A caller's table may be of any size, so AQE decides whether it is broadcast.
+    """
+    return long_docs.where(F.col("text").isNotNull()).join(models, source_col)
 
 
 def registry_match(names: DataFrame, name_col: str = "model_dir") -> DataFrame:

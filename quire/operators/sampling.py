@@ -42,9 +42,13 @@ def hash32(key: Column, seed=SEED, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(prefix), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
 
 
-def rank_table(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_col: str = "_rank"):
+def rank_table(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_col: str = "_rank", facts=None):
     """Exact 1-based rank within `by` (order: hash(seed, key), key) plus row counts per `by`.
 
+    `facts` turns the counts into a table with one row per `by` (class sizes,
+    quotas); its columns come with the ranked rows. They ride on the offsets
+    per (by, bucket), so no row is ever shuffled by `by` alone.
+
     Returns (ranked rows, counts(by..., _cnt)). The input is computed once:
     rows are exchanged by (by, bucket) for the in-bucket window, the bucket
     sizes are a window count over the same partitions, and the per-bucket
@@ -60,8 +64,13 @@ def rank_table(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_c
     hist = r.groupBy(*by, "_b").agg(F.max("_bc").alias("_bn"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.select(*by, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
-    ranked = r.join(offsets, by + ["_b"]).select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col))
     counts = hist.groupBy(*by).agg(F.sum("_bn").alias("_cnt"))
+    extra = []
+    if facts is not None:
+        per_class = facts(counts)
+        extra = [c for c in per_class.columns if c not in by]
+        offsets = offsets.join(per_class, by) if by else with_scalars(offsets, per_class)
+    ranked = r.join(offsets, by + ["_b"]).select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col), *extra)
     return ranked, counts
 
 
@@ -104,22 +113,37 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
-def _attach(df: DataFrame, small: DataFrame, groups) -> DataFrame:
-    groups = list(groups)
-    return df.join(small, groups) if groups else with_scalars(df, small)
+#: Classes whose value may be attached to rows without a shuffle; more is an error.
+MAX_CLASSES = 10_000
+
+
+def with_class_value(df: DataFrame, label: str, small: DataFrame, value: str) -> DataFrame:
+    """Attach `value` of `small` (label, value: one row per class) to the rows of `df`.
+
+    The classes travel as one map in a broadcast row, so rows aren't shuffled
+    by label. The map is bounded: more than MAX_CLASSES classes raise an error.
+    Rows without a class in `small` are dropped, as by a join.
+    """
+    entries = small.where(F.col(label).isNotNull()).limit(MAX_CLASSES + 1).agg(
+        F.collect_list(F.struct(F.col(label).alias("k"), F.col(value).alias("v"))).alias("_e"))
+    checked = F.when(F.size("_e") > MAX_CLASSES, F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))).otherwise(F.col("_e"))
+    out = with_scalars(df, entries.select(F.map_from_entries(checked).alias("_classes")))
+    return out.withColumn(value, F.try_element_at("_classes", F.col(label))).where(F.col(value).isNotNull()).drop("_classes")
 
 
 def downsample(df: DataFrame, key: str, fraction: float = 0.1, seed=SEED, groups=()) -> DataFrame:
     """O3: exactly round(n * fraction) rows (half-even, as pandas), no replacement."""
     groups = list(groups)
-    ranked, cnt = rank_table(df, key, groups, seed, "downsample")
-    k = cnt.select(*groups, F.bround(F.col("_cnt") * F.lit(float(fraction)), 0).cast("bigint").alias("_q"))
-    return _attach(ranked, k, groups).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
+    def quota(cnt):
+        return cnt.select(*groups, F.bround(F.col("_cnt") * F.lit(float(fraction)), 0).cast("bigint").alias("_q"))
+
+    ranked, _ = rank_table(df, key, groups, seed, "downsample", facts=quota)
+    return ranked.where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
 
 def check_fractions(train: float, dev: float, test: float) -> None:
     if train + dev + test != 1.0:
-        raise ValueError("Fractions for splitting must add up to `1.0`")
+        raise ValueError(f"train, dev and test shares sum to {train + dev + test}, not 1")
 
 
 def global_positions(df: DataFrame, order_cols, pos_col: str = "_pos") -> DataFrame:
@@ -164,8 +188,6 @@ def sample_by_class(df: DataFrame, key: str, label: str, size: int | None = None
     an absolute size, or `fraction` of the row count of the dataset.
     """
     groups = list(groups)
-    ranked, cnt = rank_table(df, key, groups + [label], seed, "class")
-    counts = _class_stats(cnt, label, groups)
     if weights is not None:
         wexpr = F.lit(None).cast("double")
         for lab, w in weights.items():
@@ -173,12 +195,20 @@ def sample_by_class(df: DataFrame, key: str, label: str, size: int | None = None
     else:
         wexpr = F.col("_nc") / F.col("_n")
     base = F.lit(int(size)) if size is not None else _trunc(F.lit(float(fraction)) * F.col("_n"))
-    quota = counts.select(*groups, label, _trunc(base * wexpr).alias("_q"))
-    return ranked.join(quota, groups + [label]).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
+    def quota(cnt):
+        return _class_stats(cnt, label, groups).select(*groups, label, _trunc(base * wexpr).alias("_q"))
+
+    ranked, _ = rank_table(df, key, groups + [label], seed, "class", facts=quota)
+    return ranked.where(F.col("_rank") <= F.col("_q")).select(*df.columns)
+
+
+#: A row that is drawn more often than this meets its draws in several partitions.
+HOT_DRAWS = 1024
 
-def _draw_table(quota: DataFrame, keys, chunk: int = 1 << 16) -> DataFrame:
-    """One row per draw (keys..., _i) for 0 <= i < _m, generated in parallel chunks.
+
+def _draw_table(quota: DataFrame, keys, carry=(), chunk: int = 1 << 16) -> DataFrame:
+    """One row per draw (keys..., _i, carry...) for 0 <= i < _m, generated in parallel chunks.
 
     A class row expands to ceil(_m / chunk) chunk rows, which are spread over
     the cluster before each expands to at most `chunk` draws.
@@ -187,12 +217,12 @@ def _draw_table(quota: DataFrame, keys, chunk: int = 1 << 16) -> DataFrame:
     m = F.col("_m").cast("bigint")
     nchunks = F.ceil(m / F.lit(chunk)).cast("bigint")
     empty = F.array().cast("array<bigint>")
-    chunks = quota.select(*keys, m.alias("_m"), F.explode(
+    chunks = quota.select(*keys, *carry, m.alias("_m"), F.explode(
         F.when(m > 0, F.sequence(F.lit(0).cast("bigint"), nchunks - 1)).otherwise(empty)).alias("_c"))
     chunks = chunks.repartition(*keys, "_c")
     lo = F.col("_c") * F.lit(chunk)
     hi = F.least(lo + F.lit(chunk), F.col("_m")) - 1
-    return chunks.select(*keys, F.explode(F.sequence(lo, hi)).alias("_i"))
+    return chunks.select(*keys, *carry, F.explode(F.sequence(lo, hi)).alias("_i"))
 
 
 def sample_with_replacement(df: DataFrame, key: str, label: str, per_class: DataFrame, seed=SEED,
@@ -200,17 +230,24 @@ def sample_with_replacement(df: DataFrame, key: str, label: str, per_class: Data
     """`_m` draws per class (table per_class(groups..., label, _m)), uniform with replacement.
 
     Draw i of class c picks the row of rank (hash(seed, c, i) mod n_c) + 1.
-    Draws are generated in parallel chunks and matched to ranked rows by an
-    equi-join on (label, rank); a row drawn many times is a hot join key,
-    which AQE's skew-join splitting handles.
+    Draws are generated in parallel chunks that carry their class size, and
+    matched to ranked rows on (label, rank, salt): a small class that is drawn
+    often has its rows repeated once per HOT_DRAWS expected draws.
     """
     keys = list(groups) + [label]
-    ranked, cnt = rank_table(df, key, keys, seed, salt)
-    draws = _draw_table(per_class, keys).join(cnt.withColumnRenamed("_cnt", "_nc"), keys)
+
+    def sizes(cnt):
+        both = cnt.withColumnRenamed("_cnt", "_nc").join(per_class.select(*keys, "_m"), keys, "left")
+        salts = F.greatest(F.ceil(F.coalesce("_m", F.lit(0)) / (F.col("_nc") * HOT_DRAWS)), F.lit(1)).cast("bigint")
+        return both.select(*keys, "_nc", "_m", salts.alias("_salts"))
+
+    ranked, cnt = rank_table(df, key, keys, seed, salt, facts=sizes)
+    ranked = ranked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
+    draws = _draw_table(sizes(cnt).where(F.col("_m").isNotNull()), keys, ["_nc", "_salts"])
     pick = F.pmod(hash32(F.concat_ws(":", F.col(label).cast("string"), F.col("_i").cast("string")), seed,
                          salt + "-draw"), F.col("_nc")) + 1
-    draws = draws.select(*keys, "_i", pick.alias("_rank"))
-    return ranked.join(draws, keys + ["_rank"]).select(*df.columns, F.col("_i").alias("_draw"))
+    draws = draws.select(*keys, "_i", pick.alias("_rank"), (F.col("_i") % F.col("_salts")).alias("_salt"))
+    return ranked.join(draws, keys + ["_rank", "_salt"]).select(*df.columns, F.col("_i").alias("_draw"))
 
 
 def _split_quotas(cnt: DataFrame, label: str, groups, train: float, dev: float, test: float, balanced: bool):
@@ -235,9 +272,8 @@ def split_stratified(df: DataFrame, key: str, label: str, train: float = 0.8, de
     """
     check_fractions(train, dev, test)
     groups = list(groups)
-    ranked, cnt = rank_table(df, key, groups + [label], seed, "class")
-    quota = _split_quotas(cnt, label, groups, train, dev, test, balanced=False).drop("_m")
-    ranked = ranked.join(quota, groups + [label])
+    ranked, _ = rank_table(df, key, groups + [label], seed, "class",
+                           facts=lambda cnt: _split_quotas(cnt, label, groups, train, dev, test, balanced=False).drop("_m"))
     split = (F.when(F.col("_rank") <= F.col("_qt"), "test")
              .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("train"))
     return ranked.select(*df.columns, split.alias("split"))
@@ -251,9 +287,9 @@ def split_balanced(df: DataFrame, key: str, label: str, train: float = 0.8, dev:
     check_fractions(train, dev, test)
     groups = list(groups)
     keys = groups + [label]
-    ranked, cnt = rank_table(df, key, keys, seed, "class")
+    ranked, cnt = rank_table(df, key, keys, seed, "class", facts=lambda cnt: _split_quotas(
+        cnt, label, groups, train, dev, test, balanced=True).drop("_m"))
     quota = _split_quotas(cnt, label, groups, train, dev, test, balanced=True)
-    ranked = ranked.join(quota.drop("_m"), keys)
     part = (F.when(F.col("_rank") <= F.col("_qt"), "test")
             .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("rest"))
     tagged = ranked.select(*df.columns, part.alias("split"))

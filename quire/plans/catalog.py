@@ -40,7 +40,7 @@ def query(name):
 # ---------------------------------------------------------------- inputs
 
 def corpus(spark, sf_dir):
-    return spread(raw_corpus(spark, sf_dir))
+    return raw_corpus(spark, sf_dir)
 
 
 def cleaned_corpus(spark, sf_dir, cols=("trafilatura_title",)):
@@ -452,7 +452,7 @@ def j8_run_name_match(spark, sf_dir):
 def u1_union_samples(spark, sf_dir):
     t = training_table(spark, sf_dir).select("doc_id", "labels")
     s = O.sample_by_class(t, "doc_id", "labels", fraction=0.2)
-    return J.union_samples([s.where(F.col("labels") == v) for v in (0, 1)])
+    return O.shuffle(J.union_samples([s.where(F.col("labels") == 1), s.where(~F.col("labels").eqNullSafe(1))]), "doc_id")
 
 
 # ---------------------------------------------------------------- P: reshaping
@@ -638,24 +638,13 @@ def s9_read_run_logs(spark, sf_dir):
 
 @query("s10_read_split_metrics")
 def s10_read_split_metrics(spark, sf_dir):
-    """Per-fold ROC curves written as metric documents (arrays of at most
-    CHUNK points, keyed by their position among the distinct scores)."""
+    """Per-fold ROC curves written as metric documents and read back."""
     folds = O.stratified_kfold(scored(spark, sf_dir), "doc_id", "labels", k=5)
     roc = M.roc_curve(folds, "labels", "score", by=["fold"])
     auc = M.roc_auc(folds, "labels", "score", by=["fold"]).withColumnRenamed("auc", "AUC")
-    pts = F.sort_array(F.collect_list(F.struct("idx", "fpr", "tpr", "threshold")))
-    curves = roc.groupBy("fold", F.floor(F.col("idx") / CHUNK).alias("_chunk")).agg(pts.alias("_p")).select(
-        "fold", F.transform("_p", lambda x: x["idx"]).alias("index"),
-        F.transform("_p", lambda x: x["fpr"]).alias("FPR"), F.transform("_p", lambda x: x["tpr"]).alias("TPR"),
-        F.transform("_p", lambda x: x["threshold"]).alias("thresholds"))
-    path = IO.scratch_path(spark, "s10")
-    curves.join(auc, "fold").write.mode("overwrite").json(path)
+    path = IO.write_curve(roc, auc, IO.scratch_path(spark, "s10"), ["fold"])
     schema = IO.with_field(IO.with_field(IO.SPLIT_METRICS, "fold", "int"), "index", "array<bigint>")
-    df = spark.read.schema(schema).json(path)
-    z = F.arrays_zip(F.col("index").alias("idx"), F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"),
-                     F.col("thresholds").alias("threshold"))
-    return df.select("fold", "AUC", F.explode(z).alias("p")).select("fold", "AUC", "p.idx", "p.fpr", "p.tpr",
-                                                                    "p.threshold")
+    return IO.read_split_metrics(spark, path, multi_line=False, schema=schema, keep=["fold"]).drop("metrics_path")
 
 
 @query("s11_read_metric_text")
@@ -697,16 +686,16 @@ def training_splits(spark, sf_dir):
     """Cleaned, split training table, written once per session and input
     folder to the shared checkpoint folder; training, prediction and the
     reports all read that table instead of re-cleaning."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SPLITS:
-        t = spread(training_table(spark, sf_dir)).withColumn("text", T.clean_text(F.col("text")))
+        t = training_table(spark, sf_dir).withColumn("text", T.clean_text(F.col("text")))
         _SPLITS[key] = cut_lineage(O.split_stratified(t, "doc_id", "labels"), "training-splits")
     return _SPLITS[key]
 
 
 def fitted_model(spark, sf_dir):
     """One fitted pipeline per input folder and session (reused by M and I queries)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         _MODELS[key] = LEARN.train_classifier(training_splits(spark, sf_dir).where(F.col("split") == "train"))
     return _MODELS[key]
@@ -743,14 +732,14 @@ def m5_report(spark, sf_dir):
 
 @query("m6_cross_validate")
 def m6_cross_validate(spark, sf_dir):
-    t = spread(training_table(spark, sf_dir)).withColumn("text", T.clean_text(F.col("text")))
-    return LEARN.cross_validate(t, k=3, metric="f1", max_iter=20)
+    t = training_table(spark, sf_dir).withColumn("text", T.clean_text(F.col("text")))
+    return LEARN.cross_validate(t, metric="f1")
 
 
 @query("m7_sweep")
 def m7_sweep(spark, sf_dir):
     sp = training_splits(spark, sf_dir)
-    configs = [{"reg_param": 0.01, "max_iter": 20}, {"reg_param": 0.1, "max_iter": 20}, {"max_iter": -1}]
+    configs = [{"reg_param": 0.01}, {"reg_param": 0.1}, {"max_iter": -1}]
     return LEARN.sweep(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "dev"), configs)
 
 
@@ -781,7 +770,21 @@ def i1_classify(spark, sf_dir):
 
 @query("i2_classify_documents")
 def i2_classify_documents(spark, sf_dir):
-    return CL.classify_documents(_page_docs(spark, sf_dir), CL.one_model_for_all(fitted_model(spark, sf_dir)))
+    return CL.classify_documents(_page_docs(spark, sf_dir), CL.one_model_for_all(fitted_model(spark, sf_dir)),
+                                 tags=X.PAGE_TAGS)
+
+
+@query("i2_gate")
+def i2_gate(spark, sf_dir):
+    """I2 up to the gate: every content source of every page, kept or why not."""
+    long = CL.gate(CL.document_contents(_page_docs(spark, sf_dir), tags=X.PAGE_TAGS))
+    return long.select("doc_id", "content_source", "kept", "reason")
+
+
+@query("i1_gate")
+def i1_gate(spark, sf_dir):
+    """I1 up to the gate: every content source of every document."""
+    return CL.gate(CL.document_contents(_raw_docs(spark, sf_dir))).select("doc_id", "content_source", "kept", "reason")
 
 
 @query("i3_classify_stream")
@@ -790,7 +793,7 @@ def i3_classify_stream(spark, sf_dir):
     base = IO.scratch_path(spark, "i3")
     _page_docs(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(f"{base}/incoming")
     return run_to_completion(spark, f"{base}/incoming", f"{base}/results", f"{base}/checkpoint",
-                             CL.one_model_for_all(fitted_model(spark, sf_dir)))
+                             CL.one_model_for_all(fitted_model(spark, sf_dir)), tags=X.PAGE_TAGS)
 
 
 @query("i4_gate_report")

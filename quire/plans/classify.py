@@ -18,6 +18,7 @@ from ..functions.extract import extract_fields
 from ..functions.rules import quality_gate
 from ..functions.text import clean_text, content_type_col
 from ..operators.relate import CONTENT_SOURCES
+from ..session import cut_lineage
 from .learn import predict
 
 SOURCE_COLUMNS = {
@@ -60,6 +61,9 @@ def classify(long_df: DataFrame, models: dict) -> DataFrame:
     by_model = {}
     for key, model in models.items():
         by_model.setdefault(id(model), (model, []))[1].append(tuple(key))
+    if len(by_model) > 1 and not long_df.isStreaming:
+        # several models read one stored table: texts are cleaned and gated once
+        gated = cut_lineage(gated, "gated")
     parts = []
     for model, keys in by_model.values():
         sources = sorted({k[0] for k in keys})
@@ -76,13 +80,15 @@ def classify(long_df: DataFrame, models: dict) -> DataFrame:
     return out
 
 
-def document_contents(docs: DataFrame, markup_col: str = "xml_tei") -> DataFrame:
+def document_contents(docs: DataFrame, markup_col: str = "xml_tei", tags=None) -> DataFrame:
     """I2, front half: parse markup where present, clean all four sources, unpivot.
 
+    `tags` names the elements that hold the fields (X1's by default).
+
     Output: (doc_id, content_source, text) for non-null cleaned sources.
     """
     has = F.col(markup_col).isNotNull()
-    parsed = docs.withColumn("_p", F.when(has, extract_fields(F.col(markup_col))))
+    parsed = docs.withColumn("_p", F.when(has, extract_fields(F.col(markup_col), tags)))
     cols = {
         "trafilatura_title": F.when(has, F.col("_p.title")).otherwise(F.col("trafilatura_title")),
         "trafilatura_abstract": F.when(has, F.col("_p.abstract")).otherwise(F.col("trafilatura_abstract")),
@@ -95,23 +101,23 @@ def document_contents(docs: DataFrame, markup_col: str = "xml_tei") -> DataFrame
 
 
 def classify_documents(docs: DataFrame, models: dict, markup_col: str = "xml_tei",
-                       nested: bool = False) -> DataFrame:
+                       nested: bool = False, tags=None) -> DataFrame:
     """Documents -> one result row per (document, source, registered model).
 
     With `nested=True` the rows are gathered back per document (a document's
     results are bounded by sources x models).
     """
-    out = classify(document_contents(docs, markup_col), models)
+    out = classify(document_contents(docs, markup_col, tags), models)
     if not nested:
         return out
     return out.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in RESULT_COLUMNS if c != "doc_id"]))
                                      .alias("results"))
 
 
-def gate_report(docs: DataFrame, markup_col: str | None = None) -> DataFrame:
+def gate_report(docs: DataFrame, markup_col: str | None = None, tags=None) -> DataFrame:
     """I4: rejected and kept counts by (content_source, reason)."""
     if markup_col:
-        long = document_contents(docs, markup_col)
+        long = document_contents(docs, markup_col, tags)
     else:
         wide = docs.select("doc_id", *[clean_text(F.col(c)).alias(s) for s, c in SOURCE_COLUMNS.items()])
         long = wide.unpivot(["doc_id"], list(CONTENT_SOURCES), "content_source", "text").where(F.col("text").isNotNull())

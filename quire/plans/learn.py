@@ -11,8 +11,6 @@ plain projection, and every metric stays a Spark aggregate.
 
 from __future__ import annotations
 
-import traceback
-
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -24,8 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.patterns import WS
 from ..operators import label as L
 from ..operators import metrics as M
-from ..operators.sampling import stratified_kfold
-from ..sources.io import write_metrics, write_predictions
+from ..operators.sampling import stratified_kfold, with_class_value
+from ..session import cut_lineage
+from ..sources.io import write_curve, write_metrics, write_predictions
 
 # ---- FIXED VALUES: label names of the binary task ----
 LABEL_NAMES = {0: "irrelevant", 1: "relevant"}
@@ -36,9 +35,8 @@ DEFAULT_CONFIG = {"num_features": 1 << 18, "reg_param": 0.01, "max_iter": 30, "m
 
 
 def with_class_weights(df: DataFrame, label: str = "labels") -> DataFrame:
-    """A4 weights attached per row (one row per class on the small side)."""
-    w = L.balanced_class_weights(df, label).select(label, "weight")
-    return df.join(w, label)
+    """A4 weights attached per row; texts aren't shuffled by label for them."""
+    return with_class_value(df, label, L.balanced_class_weights(df, label).select(label, "weight"), "weight")
 
 
 def build_pipeline(text: str = "text", label: str = "labels", num_features: int = 1 << 18, reg_param: float = 0.01,
@@ -104,18 +102,27 @@ def positive_score(pred: DataFrame, positive_label: str = "relevant") -> DataFra
 
 
 def evaluate(df: DataFrame, model: PipelineModel, label: str = "labels", by=(), out_dir: str | None = None) -> DataFrame:
-    """M4: predict -> (S12) -> A12 + A14 -> (S13). One row per `by` group."""
+    """M4: predict -> S12 -> A12, A13 and A14 -> (S13). One row per `by` group.
+
+    Documents are scored once: the predictions are stored and all metrics read
+    that table. With `out_dir` the metrics and the ROC curve (FPR, TPR,
+    thresholds) are written beside them, as ``read_split_metrics`` reads them.
+    """
     pred = positive_score(predict(df, model, keep=list(dict.fromkeys(["doc_id", label, *by]))))
     scored = pred.select(*by, F.col(label).alias("labels"), F.col("prediction_id").alias("predictions"),
                          "probabilities_for_positive_label", "doc_id")
     if out_dir:
-        write_predictions(scored, f"{out_dir}/predictions")
+        scored = scored.sparkSession.read.parquet(write_predictions(scored, f"{out_dir}/predictions"))
+    else:
+        scored = cut_lineage(scored, "predictions")
     metrics = M.classification_metrics(scored, "labels", "predictions", "binary", by=list(by))
     auc = M.roc_auc(scored, "labels", "probabilities_for_positive_label", by=list(by)).withColumnRenamed("auc", "AUC")
     res = metrics.join(auc, list(by)) if by else metrics.withColumn("_o", F.lit(1)).join(
         auc.withColumn("_o", F.lit(1)), "_o").drop("_o")
     if out_dir:
         write_metrics(res, f"{out_dir}/metrics")
+        roc = M.roc_curve(scored, "labels", "probabilities_for_positive_label", by=list(by))
+        write_curve(roc, auc, f"{out_dir}/curve", by)
     return res
 
 
@@ -148,8 +155,7 @@ def cross_validate(df: DataFrame, k: int = 10, text: str = "text", label: str =
     allf = per_fold[0]
     for x in per_fold[1:]:
         allf = allf.unionByName(x)
-    allf = allf.drop("support", "AUC").cache()
-    allf.count()
+    allf = cut_lineage(allf.drop("support", "AUC"), "folds")
     folded.unpersist()
     return M.cv_summary(allf, metric)
 
@@ -163,7 +169,7 @@ def sweep(train: DataFrame, evaluation: DataFrame, configs, text: str = "text",
             m = evaluate(evaluation, model, label).first().asDict()
             rows.append((i, str(cfg), "ok", None, m["f1"], m["f_beta_2_0"], m["AUC"]))
         except Exception as e:  # noqa: BLE001 - recorded per run
-            rows.append((i, str(cfg), "failed", f"{type(e).__name__}: {e}"[:500] or traceback.format_exc()[-500:],
+            rows.append((i, str(cfg), "failed", f"{type(e).__name__}: {e}",
                          None, None, None))
     return train.sparkSession.createDataFrame(
         rows, "run int, config string, status string, error string, f1 double, f_beta_2_0 double, AUC double")

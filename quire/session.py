@@ -25,6 +25,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "qui
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.quire.scanPartitions", str(shuffle_partitions))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sampling import with_scalars
 from ..session import checkpoint_dir
 
 CSV_OPTIONS = {
@@ -196,15 +197,34 @@ SPLIT_METRICS = T.StructType([
 
 
 def read_split_metrics(spark: SparkSession, path: str, multi_line: bool = True, schema=SPLIT_METRICS,
-                       curve: bool = True) -> DataFrame:
-    """Scalar metrics, or (curve=True) one row per ROC point."""
+                       curve: bool = True, keep=()) -> DataFrame:
+    """Scalar metrics, or (curve=True) one row per ROC point with the fields in `keep`."""
     df = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path) \
         .withColumn("metrics_path", F.col("_metadata.file_path"))
     if not curve:
         return df.drop("FPR", "TPR", "thresholds")
-    z = F.arrays_zip(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"), F.col("thresholds").alias("threshold"))
-    return df.select("metrics_path", "AUC", F.posexplode(z).alias("point", "p")).select(
-        "metrics_path", "AUC", "point", "p.fpr", "p.tpr", "p.threshold")
+    place = F.col("index") if "index" in df.columns else F.when(F.size("FPR") > 0, F.sequence(F.lit(0), F.size("FPR") - 1))
+    z = F.arrays_zip(place.alias("idx"), F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"), F.col("thresholds").alias("threshold"))
+    return df.select("metrics_path", *keep, "AUC", F.explode(z).alias("p")).select(
+        "metrics_path", *keep, "AUC", "p.idx", "p.fpr", "p.tpr", "p.threshold")
+
+
+#: Points in one written document: bounds every group that is gathered.
+CURVE_CHUNK = 1024
+
+
+def write_curve(curve: DataFrame, auc: DataFrame, path: str, by=()) -> str:
+    """ROC points (by..., idx, fpr, tpr, threshold) and AUC as metric documents for ``read_split_metrics``.
+
+    A curve of any length is cut into documents of CURVE_CHUNK positions.
+    """
+    by = list(by)
+    points = F.sort_array(F.collect_list(F.struct("idx", "fpr", "tpr", "threshold")))
+    parts = curve.groupBy(*by, F.floor(F.col("idx") / CURVE_CHUNK).alias("_chunk")).agg(points.alias("_p")).select(
+        *by, F.col("_p.idx").alias("index"), F.col("_p.fpr").alias("FPR"), F.col("_p.tpr").alias("TPR"),
+        F.col("_p.threshold").alias("thresholds"))
+    (parts.join(auc, by) if by else with_scalars(parts, auc)).write.mode("overwrite").json(path)
+    return path
 
 
 METRIC_LINE = r"^(.+?): ([-+0-9.eE]+|nan|NaN) \+- ([-+0-9.eE]+|nan|NaN)$"
@@ -228,9 +248,9 @@ def write_metric_text(df: DataFrame, path: str, name: str = "name", mean: str =
 # ---- S12 / S13: predictions and metrics ----
 
 def write_predictions(df: DataFrame, path: str) -> str:
-    """Labels, predictions, probabilities_for_positive_label."""
-    df.select("labels", "predictions", "probabilities_for_positive_label", *[c for c in df.columns if c == "doc_id"]) \
-        .write.mode("overwrite").parquet(path)
+    """Labels, predictions, probabilities_for_positive_label, then what else `df` has."""
+    first = ["labels", "predictions", "probabilities_for_positive_label"]
+    df.select(*first, *[c for c in df.columns if c not in first]).write.mode("overwrite").parquet(path)
     return path
 
 

@@ -26,21 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy text work over the cluster's cores.
+#: Session setting: deal the rows of a bare scan to so many partitions (off unless set).
+SPREAD = "spark.quire.scanPartitions"
 
-    A scan of many files already yields plenty of splits and is left alone (no
-    shuffle). Only when the scan has fewer splits than the default parallelism
-    (one small file) the rows are dealt round-robin to the cores.
+
+def spread(df: DataFrame) -> DataFrame:
+    """A bare scan, dealt out anew where the session asks for it.
+
+    For runs over one small file, whose single split would leave all cores but
+    one idle; the local bench sets it. No plan is run to find that out.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
+    want = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(want)) if want else df
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]))
     labels = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
     lines = F.split(F.col("text"), "\n")
     return (
@@ -60,6 +61,6 @@ def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled training table: (doc_id, text, labels)."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text"]))
     labels = table(spark, sf_dir, "labels", ["doc_id", "quality"])
     return docs.join(labels, "doc_id").select("doc_id", "text", F.col("quality").alias("labels"))

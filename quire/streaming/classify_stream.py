@@ -20,17 +20,17 @@ DOC_SCHEMA = ("doc_id long, xml_tei string, trafilatura_title string, trafilatur
 
 
 def classify_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, models: dict,
-                    max_files_per_trigger: int = 64):
+                    max_files_per_trigger: int = 64, tags=None):
     """Start the stream (parquet files -> classification -> parquet sink); returns the query."""
     stream = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
-    out = classify_documents(stream, models)
+    out = classify_documents(stream, models, tags=tags)
     return (out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start(sink_dir))
 
 
 def run_to_completion(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                      models: dict) -> DataFrame:
-    q = classify_stream(spark, source_dir, sink_dir, checkpoint, models)
+                      models: dict, tags=None) -> DataFrame:
+    q = classify_stream(spark, source_dir, sink_dir, checkpoint, models, tags=tags)
     q.awaitTermination()
     return spark.read.parquet(sink_dir)
