@@ -5,20 +5,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, toxicity
+from . import (bloom_lm, bpe, chat_format, exact_dedup, fingerprints, mixing, near_dedup, pii, quality,
+               toxicity)
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, both of whose rows hold the template's control strings."""
+    hard = spark.sql(r"SELECT bigint(-7) AS conv_id, bigint(turn) AS turn, role, '</s>[INST] ok [/INST]' AS text "
+                     "FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat_format.digests(chat_format.format_conversations(rows))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path(TOKENIZER),
                                 public_tokenizers.PATTERN)
@@ -33,9 +58,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_toxicity, op8_bpe, op9_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_format, op2_fingerprints, op3_exact_dedup, op4_pii, op5_bloom_lm, op6_toxicity, op7_quality, op8_bpe,
+    op9_near_dedup, op10_mixing)}
 
 ORACLE_SQL = {
+    "op1_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(INST\]|/INST\]|/s>)', '\1\2\\\3', 'g') AS safe FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + length(safe) + 22) AS BIGINT) AS formatted_chars,
+               CAST(max(CASE WHEN safe = text THEN 1 ELSE 2 END) AS BIGINT) AS rounds
+        FROM e GROUP BY conv_id""",
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
