@@ -18,7 +18,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,15 +117,10 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`; `full` adds ids and decoded."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = Codec(path, pattern)
         for b in words.slices(batches):
             n, ids_hash, text_hash, all_ids, texts = [], [], [], [], []
             for text in b.column(1).to_pylist():

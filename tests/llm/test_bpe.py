@@ -14,7 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.codec(PATH, public_tokenizers.PATTERN)
+    return bpe.Codec(PATH, public_tokenizers.PATTERN)
 
 
 @pytest.fixture(scope="module")
