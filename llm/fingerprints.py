@@ -12,8 +12,8 @@ functions run; a document's shingles stay inside its row, so nothing is shuffled
 Defined cases: a null text is empty; a text without words has an empty sketch, which
 resembles another empty one by 1 and any other by 0; a text with fewer words than a shingle
 has the whole sequence as its one shingle; other columns are ignored; an empty table
-gives an empty result. Null doc_ids are one id, before all others. The next document is the
-one with the next larger doc_id; of several rows with it, the one whose text is least.
+gives an empty result. The next document is the next row in the order of (doc_id, text),
+null doc_ids being before all others; the last row's is the first one.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage
-
 from .common import id_and_text
 
 WORDS = 5
@@ -95,44 +93,53 @@ def fingerprint(docs: DataFrame, n: int = WORDS, k: int = K) -> DataFrame:
             .withColumn("sketch", bottom(shingle_hashes(F.col("words"), n), k)).drop("words"))
 
 
-def ring(ids: DataFrame) -> DataFrame:
-    """(key, to_key, need) of each row of `ids` (key, n), keys being distinct.
+def range_starts(keys: DataFrame) -> list[int]:
+    """The first key of each of at most four times as many ranges of `keys` (key) as there are shuffle partitions."""
+    parts = 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keys.repartitionByRange(parts, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key"))
+    return sorted(r["key"] for r in ranged.collect())
+
+
+def place(key: Column, starts: list[int]) -> Column:
+    """Which range a key is in, from 0, found in two steps of about the root of their number."""
+    step = max(int(len(starts) ** 0.5), 1)
+    coarse = F.size(F.filter(F.lit(starts[::step]), lambda s: s <= key)) - 1
+    return coarse * step + F.size(F.filter(F.slice(F.lit(starts), coarse * step + 1, step), lambda s: s <= key)) - 1
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """`rows` (key, text, sketch to be) with next_text and next_sketch, those of the next row.
 
-    to_key is the key before in ascending order (of the first: the last), need its n. No
-    task orders them all: ranges of keys are ordered inside, and the ends of the ranges, of
-    which there are as many as shuffle partitions, are joined to a ring.
+    Rows are shuffled once, to ranges of keys; the first row of each range goes to the
+    range before it too, as the next one of that range's last row. No task orders all rows.
     """
-    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(ids.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()), "fingerprint-ids")
-    inside, every = Window.partitionBy("part").orderBy("key"), Window.orderBy("part")
-    ends = ranged.groupBy("part").agg(F.max(F.struct("key", "n")).alias("last"))
-    around = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("part", F.coalesce(F.lag("last").over(every), F.last("last").over(around)).alias("ahead"))
-    x = ranged.withColumn("before", F.lag(F.struct("key", "n")).over(inside)).join(F.broadcast(ends), "part")
-    before = F.coalesce("before", "ahead")
-    return x.select("key", before["key"].alias("to_key"), before["n"].alias("need"))
-
-
-def edited_fingerprints(docs: DataFrame, n: int = WORDS, k: int = K) -> DataFrame:
+    starts = range_starts(rows.select("key"))
+    if not starts:
+        return fingerprint(rows).select("*", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
+    part = place(F.col("key"), starts)
+    here = F.struct(part.alias("part"), F.lit(False).alias("ghost"))
+    before = F.struct(F.pmod(part - 1, F.lit(len(starts))).alias("part"), F.lit(True).alias("ghost"))
+    to = F.when(F.col("key").isin(starts), F.array(here, before)).otherwise(F.array(here))
+    sent = rows.withColumn("to", F.explode(to)).select(*rows.columns, "to.part", "to.ghost").repartition("part")
+    following = Window.partitionBy("part").orderBy("ghost", "key", "text")
+    found = fingerprint(sent).withColumn("next_text", F.lead("text").over(following)).withColumn(
+        "next_sketch", F.lead("sketch").over(following))
+    return found.where("not ghost").drop("part", "ghost")
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text: the last floor(n_chars / 4) characters replaced by the first as many of
-    the next document. Texts are shuffled once, by doc_id; each document then sends its
-    sketch and the characters that are wanted of it to the document before.
+    the next document.
     """
     rows = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-2**63)))
-    ids = cut_lineage(rows.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("c")), "fingerprint-sizes")
-    sent = fingerprint(rows.join(ring(ids.select("key", "n")), "key"), n, k).select(
-        F.col("to_key").alias("key"), F.expr("left(text, cast(floor(need / 4) as int))").alias("start"),
-        F.col("sketch").alias("next_sketch"))
-    if ids.where("c > 1").limit(1).count():  # of rows that repeat a doc_id, the least is the next document
-        sent = sent.groupBy("key").agg(F.min(F.struct("start", "next_sketch")).alias("s")).select("key", "s.*")
-    both = rows.join(sent, "key").withColumn("n_chars", F.length("text").cast("bigint"))
-    cut = "cast(n_chars - floor(n_chars / 4) as int)"
-    both = both.withColumn("edited", F.expr(f"left(text, {cut}) || left(start, cast(floor(n_chars / 4) as int))"))
-    both = fingerprint(both, n, k).drop("text").withColumnRenamed("sketch", "own").withColumnRenamed("edited", "text")
-    both = fingerprint(both, n, k)
+    both = with_next(rows).withColumn("n_chars", F.length("text").cast("bigint"))
+    both = both.withColumn("edited", F.expr(
+        "left(text, cast(n_chars - floor(n_chars / 4) as int)) || left(next_text, cast(floor(n_chars / 4) as int))"))
+    both = both.select("doc_id", "n_chars", F.col("sketch").alias("own"), "next_sketch", F.col("edited").alias("text"))
+    both = fingerprint(both)
     return both.select("doc_id", "n_chars", F.sha2("text", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
                        as_text(F.col("sketch")).alias("edited_fingerprint"),
-                       resemblance(F.col("own"), F.col("sketch"), k).alias("near_edited"),
-                       resemblance(F.col("own"), F.col("next_sketch"), k).alias("near_next"))
+                       resemblance(F.col("own"), F.col("sketch")).alias("near_edited"),
+                       resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"))
