@@ -17,6 +17,22 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+#: Groups with more than this share of the rows are broadcast: at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """`rows` inner-joined with `groups`, which has one row per key and its number of rows in `size`.
+
+    Large groups are broadcast, so none of their rows are shuffled to one task; the rest
+    meet in a sort-merge join whose keys have few rows each.
+    """
+    hot = groups.where(F.col(size) > max(1, int(total * HOT_SHARE)))
+    found = rows.join(F.broadcast(hot), on, "left")
+    rest = found.where(F.col(size).isNull()).select(rows.columns).join(groups, on)
+    return found.where(F.col(size).isNotNull()).select(rest.columns).unionByName(rest)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until `df` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -20,11 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.session import checkpoint_dir, cut_lineage
 
-from .common import free_name, id_and_text
-
-#: Groups with at least this share of the rows are broadcast: at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
-
+from .common import free_name, id_and_text, join_groups
 
 class DigestIndex:
     """A bucketed and sorted table of digests; `path` is a folder that all executors share."""
@@ -73,10 +69,7 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
 
     own = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("last"))
     groups = own.join(index.read().withColumnRenamed("doc_id", "keep_id"), "digest")
-    hot = groups.where(F.col("group_size") > max(1, int(middle[1] * HOT_SHARE)))
-    found = rows.join(F.broadcast(hot), "digest", "left")
-    rest = found.where("group_size is null").select(rows.columns).join(groups, "digest")
-    return found.where("group_size is not null").select(rest.columns).unionByName(rest).select(
+    return join_groups(rows, groups, ["digest"], "group_size", middle[1]).select(
         "doc_id", "keep_id", "group_size", ((F.col("row") == F.col("last.row")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.col("digest").alias("text_sha256"))
 

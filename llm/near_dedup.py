@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quire.session import cut_lineage
 
 from . import words
-from .common import components, id_and_text
+from .common import components, id_and_text, join_groups
 
 WORDS = 5
 PERCENT = 80
@@ -173,8 +173,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
                     side: int = SIDE, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`."""
     base = cut_lineage(signatures(docs, n, side, width), "near-signatures")
-    same = base.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    rows = cut_lineage(base.join(same, ["h1", "h2", "n"], "left")
+    same = base.groupBy("h1", "h2", "n").agg(
+        F.when(F.col("n") > 0, F.min("doc_id")).alias("rep"), F.count(F.lit(1)).alias("of"))
+    rows = cut_lineage(join_groups(base, same, ["h1", "h2", "n"], "of", base.count())
                        .select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("small")).alias("small")),
                        "near-classes")
     reps = rows.where("small is not null").dropDuplicates(["doc_id"]).select("doc_id", "small")
