@@ -27,11 +27,11 @@ from . import words
 from .common import id_and_text
 
 THRESHOLD = 0.3
-SAMPLE = 3000
+SAMPLE = 4000
 SAMPLE_BYTES = 12 << 20
 DICTIONARY = 112 << 10
 LEVEL = 3
-PIECE = 2048
+PIECE = 512
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -31,7 +31,7 @@ SPACE = 1 << 22
 PREFIXES = (4, 5, 6)
 FEATURES = 4096
 #: Log-likelihood gain of a feature over its rate among the unlabelled rows, at least.
-MIN_GAIN = 5.0
+MIN_GAIN = 3.0
 MAX_POSITIVE = 4000
 MAX_CALIBRATION = 4000
 MAX_UNLABELLED = 12000
