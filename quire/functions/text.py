@@ -23,6 +23,7 @@ _H = "".join(f"\\x{{{ord(c):x}}}" for c in HYPHEN_LIKE)  # hyphen class body
 _WS = P.WS
 _D = P.DIGIT
 
+# The patterns and the order of the steps must match, as the tables do.
 # Op tuples:
 #   ("translate", chars, to_char)   every char of `chars` -> to_char
 #   ("regex", pattern, repl, ignore_case, unicode_words)
@@ -50,17 +51,16 @@ OPS_TRIM_WS_HYPHEN = (
     ("trim_chars", HYPHEN_LIKE),
     ("trim_chars", "-"),
 )
-# Runs of 2+ white-space chars, or one that is not a plain space, become ' '
-# (same result as replacing every run, without rewriting single spaces).
-OPS_COLLAPSE_WS = (("regex", rf"[{_WS}]{{2,}}|[{P.WS_NOT_SPACE}]", " ", False, False), ("trim_space",))
+# Every white-space character becomes a space, then runs of spaces one space.
+OPS_COLLAPSE_WS = (("translate", "".join(c for c in P.WS_CHARS if c != " "), " "), ("regex", " {2,}", " ", False, False),
+                   ("trim_space",))
 
 
 def _short_suffix_op(sep: str):
-    """Cut at the last `sep` when the part after it has at most 3 tokens.
+    """Cut at the last `sep` when something, but at most three tokens, follows it.
 
-    Mirrors ``left, right = s.rsplit(sep, 1); if right and len(right.split()) <= 3``:
-    the right part is either white space only or 1-3 white-space separated
-    tokens; it cannot contain `sep`, so the match starts at the last one.
+    The pattern ends at the text's end and what follows `sep` can't contain
+    it, so a match always starts at the last one.
     """
     tok = rf"[^{_WS}\{sep}]+"
     pat = rf"\{sep}(?:[{_WS}]+|[{_WS}]*{tok}(?:[{_WS}]+{tok}){{0,2}}[{_WS}]*)\z"
@@ -82,11 +82,33 @@ OP_EMOJI_CONTROL = ("regex", r"[\x{10000}-\x{10FFFF}\p{C}]", "", False, False)
 OP_PUNCT = ("trim_chars", ASCII_PUNCTUATION)
 OP_DIGITS = ("regex", rf"^[{_D}]+|[{_D}]+\z", "", False, False)
 
+OPS_BEFORE_BOILERPLATE = (OP_HYPHENS, OP_TAGS, OP_URLS, OP_DATES, OP_HOURS)
 PRE_OPS = (OP_HYPHENS, OP_TAGS, OP_URLS, OP_DATES, OP_HOURS) + OPS_BOILERPLATE + (OP_QUOTES,)
-PASS_OPS = (
-    OPS_TRIM_WS_HYPHEN + OPS_COLLAPSE_WS + OPS_SHORT_SUFFIX + OPS_FIX_QUOTES
-    + (OP_EMOJI_CONTROL, OP_PUNCT, OP_DIGITS)
-)
+PASS_HEAD = OPS_TRIM_WS_HYPHEN + OPS_COLLAPSE_WS
+PASS_TAIL = OPS_SHORT_SUFFIX + OPS_FIX_QUOTES + (OP_EMOJI_CONTROL, OP_PUNCT, OP_DIGITS)
+PASS_OPS = PASS_HEAD + PASS_TAIL
+
+#: One character that some step of a pass may take off an end.
+_END = rf"[{_WS}{_H}{_D}'\"\-\x{{21}}-\x{{2f}}\x{{3a}}-\x{{40}}\x{{5b}}-\x{{60}}\x{{7b}}-\x{{7e}}]"
+
+
+def _any_of(phrases) -> str:
+    """A pattern that finds any of the phrases: a tree of their common beginnings."""
+    tree: dict = {}
+    for p in phrases:
+        node = tree
+        for ch in p:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def body(node) -> str:
+        if "" in node:
+            return ""
+        parts = [f"\\x{{{ord(ch):x}}}{body(rest)}" for ch, rest in node.items()]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    first = "".join(f"\\x{{{ord(ch):x}}}" for ch in tree)
+    return f"(?=[{first}]){body(tree)}"
 
 
 def apply_op(c: Column, op) -> Column:
@@ -139,8 +161,16 @@ def strip_hours(c) -> Column:
 
 
 def strip_boilerplate(c, phrases=None) -> Column:
-    ops = OPS_BOILERPLATE if phrases is None else tuple(("literal", p) for p in phrases)
-    return apply_ops(_col(c), ops)
+    """Delete the phrases, one after the other.
+
+    Most texts hold none of them: one scan tells, and only the others go
+    through the chain (a deletion can't make a phrase where there was none).
+    """
+    phrases = BOILERPLATE_PHRASES if phrases is None else tuple(p for p in phrases if p)
+    if not phrases:
+        return _col(c)
+    chain = tuple(("literal", p) for p in phrases)
+    return F.transform(F.array(_col(c)), lambda s: F.when(s.rlike(_any_of(phrases)), apply_ops(s, chain)).otherwise(s))[0]
 
 
 def normalize_quotes(c) -> Column:
@@ -184,6 +214,19 @@ def clean_pass(c) -> Column:
     return apply_ops(_col(c), PASS_OPS)
 
 
+def _settled(head: Column, out: Column) -> Column:
+    """Whether another pass over `out` is known to change nothing.
+
+    `head` is the text after the pass's white-space steps. If `out` is a
+    stretch of it, nothing inside was deleted, so its white space is collapsed
+    still; ends that no step trims, no quotes and no short suffix leave
+    nothing to do. (Otherwise the next pass finds out.)
+    """
+    ends = F.concat(F.left(out, F.lit(1)), F.right(out, F.lit(1)))
+    return (~ends.rlike(_END) & ~F.contains(out, F.lit("'")) & ~F.contains(out, F.lit('"')) & F.contains(head, out)
+            & (apply_ops(out, OPS_SHORT_SUFFIX) == out) & (out != F.lit("")))
+
+
 def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
     """T1-T7 once, then T8-T15 until a fixpoint (at most `max_passes`).
 
@@ -193,15 +236,17 @@ def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
 
     The loop is an ``aggregate`` over ``sequence(1, max_passes)`` whose state
     carries a ``done`` flag, so converged rows skip the remaining passes
-    (``CASE`` evaluates only the taken branch). Lambda variables bind each
-    intermediate string once, so the expression tree stays linear in the
-    number of steps.
+    (``CASE`` evaluates only the taken branch). Most texts are settled after
+    their first pass, which a cheap test shows (`_settled`). Lambda variables
+    bind each intermediate string once, so the expression tree stays linear in
+    the number of steps.
     """
     def step(acc):
-        return F.when(acc["done"], acc).otherwise(
-            F.transform(F.array(clean_pass(acc["s"])),
-                        lambda t: F.struct(t.alias("s"), (t == acc["s"]).alias("done")))[0]
-        )
+        def tail(head):
+            return F.transform(F.array(apply_ops(head, PASS_TAIL)), lambda t: F.struct(
+                t.alias("s"), ((t == acc["s"]) | _settled(head, t)).alias("done")))[0]
+
+        return F.when(acc["done"], acc).otherwise(F.transform(F.array(apply_ops(acc["s"], PASS_HEAD)), tail)[0])
 
     def body(s):
         # the finish lambda turns '' into null on the bound variable; a
@@ -214,7 +259,8 @@ def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
         )
         return F.when(s == F.lit(""), s).otherwise(loop)
 
-    return F.transform(F.array(apply_ops(_col(c), PRE_OPS)), body)[0]
+    before = strip_boilerplate(apply_ops(_col(c), OPS_BEFORE_BOILERPLATE))
+    return F.transform(F.array(apply_op(before, OP_QUOTES)), body)[0]
 
 
 def clean_columns(df, cols, max_passes: int = MAX_PASSES):
