@@ -177,6 +177,7 @@ SQL["t16_clean_text"] = f"SELECT doc_id, {O.clean_text('text')} AS clean_text FR
 SQL["t17_clean_columns"] = f"""
 SELECT doc_id, {O.clean_text('trafilatura_title')} AS trafilatura_title,
        {O.clean_text('trafilatura_abstract')} AS trafilatura_abstract,
+       {O.clean_text('trafilatura_fulltext')} AS trafilatura_fulltext,
        {O.clean_text('translation_title')} AS translation_title FROM ({RAW})
 """
 SQL["t18_token_count"] = f"SELECT doc_id, {O.token_count('text')} AS n_tokens FROM documents"
@@ -202,39 +203,58 @@ FROM (SELECT doc_id, coalesce({_ids}[1:100], CAST([] AS INTEGER[])) AS kept FROM
 
 # ------------------------------------------------------------------ F
 
-def _title_pred(name, fn):
-    SQL[name] = f"SELECT doc_id, {fn('trafilatura_title')} AS flag FROM ({RAW})"
+# the content columns and their types
+CONTENT = {"trafilatura_title": "title", "trafilatura_abstract": "abstract", "trafilatura_fulltext": "fulltext",
+           "translation_title": "title"}
 
 
-_title_pred("f1_has_content", O.has_content)
-_title_pred("f2_is_too_short", O.is_too_short)
-_title_pred("f3_is_known_dubious", O.is_known_dubious)
-_title_pred("f4_is_error_message", O.is_error_message)
-_title_pred("f5_is_site_name", O.is_site_name)
-_title_pred("f6_is_boilerplate", lambda e: O.is_boilerplate(e, "title"))
-_title_pred("f7_to_be_kept", lambda e: O.to_be_kept(e, "title", False))
-SQL["f6_is_boilerplate_strict"] = f"SELECT doc_id, {O.is_boilerplate('trafilatura_fulltext', 'fulltext', 'strict')} AS flag FROM ({RAW})"
-SQL["f7_to_be_kept_strict"] = f"SELECT doc_id, {O.to_be_kept('trafilatura_title', 'title', False, 'strict')} AS flag FROM ({RAW})"
-SQL["f8_quality_gate"] = f"""
-SELECT doc_id, reason IS NULL AS kept, reason FROM (
-  SELECT doc_id, {O.gate_reason('t', 'title')} AS reason FROM (
-    SELECT doc_id, {O.clean_text('trafilatura_title')} AS t FROM ({RAW})))
-"""
+def _each(select) -> str:
+    """One SELECT per content column, all united; `select` gets the column and its type."""
+    return " UNION ALL ".join(select(c, t) for c, t in CONTENT.items())
+
+
+def _pred(name, fn):
+    SQL[name] = _each(lambda c, t: f"SELECT doc_id, '{c}' AS content_source, {fn(c, t)} AS flag FROM ({RAW})")
+
+
+_pred("f1_has_content", lambda c, t: O.has_content(c))
+_pred("f2_is_too_short", lambda c, t: O.is_too_short(c))
+_pred("f3_is_known_dubious", lambda c, t: O.is_known_dubious(c))
+_pred("f4_is_error_message", lambda c, t: O.is_error_message(c))
+_pred("f5_is_site_name", lambda c, t: O.is_site_name(c))
+_pred("f6_is_boilerplate", lambda c, t: O.is_boilerplate(c, t))
+_pred("f6_is_boilerplate_strict", lambda c, t: O.is_boilerplate(c, t, "strict"))
+_pred("f7_to_be_kept", lambda c, t: O.to_be_kept(c, t, False))
+_pred("f7_to_be_kept_strict", lambda c, t: O.to_be_kept(c, t, False, "strict"))
+SQL["f8_quality_gate"] = _each(lambda c, t: f"""
+SELECT doc_id, '{c}' AS content_source, reason IS NULL AS kept, reason FROM (
+  SELECT doc_id, {O.gate_reason('t', t)} AS reason FROM (
+    SELECT doc_id, {O.clean_text(c)} AS t FROM ({RAW})))
+""")
+_WHOLE = " AND ".join(f"nullif({c}, '') IS NOT NULL" for c in ("sujet", *CONTENT))
 SQL["f9_drop_missing"] = f"""
-SELECT doc_id, trafilatura_abstract, sujet FROM ({RAW})
-WHERE nullif(trafilatura_abstract, '') IS NOT NULL AND nullif(sujet, '') IS NOT NULL
+SELECT doc_id, {', '.join(CONTENT)}, sujet, n_rows_with_missing,
+       round(n_rows_with_missing * 100.0 / n_rows, 6) AS pct_rows_with_missing
+FROM ({RAW}), (SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT ({_WHOLE})) AS n_rows_with_missing FROM ({RAW}))
+WHERE {_WHOLE}
 """
 SQL["f10_select_runs"] = f"SELECT * FROM ({RUNS}) WHERE eval_f1 >= 0.5 AND eval_precision >= 0.5"
 
 # ------------------------------------------------------------------ A
 
 SQL["a1_has_subject"] = f"SELECT doc_id, {O.has_subject('sujet')} AS has_subject FROM ({RAW})"
-DEDUP_TITLES = f"""
-  SELECT trafilatura_title, max({O.has_subject('sujet')}) AS has_subject FROM (
-    SELECT {O.clean_text('trafilatura_title')} AS trafilatura_title, sujet FROM ({RAW}))
-  WHERE {O.to_be_kept('trafilatura_title', 'title', keep_titles=True)} GROUP BY 1
-"""
-SQL["a2_dedupe_or_label"] = DEDUP_TITLES
+
+
+def dedup_content(c: str, t: str) -> str:
+    return f"""
+      SELECT text, max({O.has_subject('sujet')}) AS has_subject FROM (
+        SELECT {O.clean_text(c)} AS text, sujet FROM ({RAW}))
+      WHERE {O.to_be_kept('text', t, keep_titles=True)} GROUP BY 1
+    """
+
+
+DEDUPED = _each(lambda c, t: f"SELECT '{c}' AS content_source, text, has_subject FROM ({dedup_content(c, t)})")
+SQL["a2_dedupe_or_label"] = DEDUPED
 SQL["a3_class_proportions"] = f"""
 SELECT labels, count(*) AS n, count(*) / sum(count(*)) OVER () AS proportion FROM ({TRAIN}) GROUP BY labels
 """
@@ -242,7 +262,7 @@ SQL["a4_class_weights"] = f"""
 SELECT labels, count(*) AS n_c, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight
 FROM ({TRAIN}) GROUP BY labels
 """
-SQL["a5_value_counts"] = f"SELECT has_subject, count(*) AS count FROM ({DEDUP_TITLES}) GROUP BY 1"
+SQL["a5_value_counts"] = f"SELECT content_source, has_subject, count(*) AS count FROM ({DEDUPED}) GROUP BY 1, 2"
 
 
 def _profile(base: str, col: str) -> str:
@@ -279,11 +299,11 @@ SQL["a8_split_statistics"] = "SELECT scheme, " + ", ".join(
     f"AS {s}_negatives"
     for s in ("train", "dev", "test", "unlabeled")) + f" FROM ({_ALLS}) GROUP BY scheme"
 SQL["a9_distinct_texts"] = "SELECT count(DISTINCT text) AS n_distinct FROM documents"
-_PROF_COLS = ["trafilatura_title", "trafilatura_abstract", "translation_title", "sujet", "quality"]
+_PROF_COLS = [*CONTENT, "sujet", "quality"]
 SQL["a10_column_profile"] = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count({c}) AS non_null FROM ({RAW})" for c in _PROF_COLS)
 _MISS = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} = '' THEN 1 ELSE 0 END)"
-                   for c in ["trafilatura_abstract", "translation_title", "sujet"])
+                   for c in [*CONTENT, "sujet"])
 SQL["a11_missing_report"] = f"""
 SELECT n_rows, n_missing, n_rows_with_missing, round(n_rows_with_missing * 100.0 / n_rows, 6) AS pct_rows_with_missing
 FROM (SELECT count(*) AS n_rows, CAST(sum({_MISS}) AS BIGINT) AS n_missing,
@@ -393,13 +413,13 @@ FROM ({RUNLOG}) GROUP BY run_id
 SQL["o12_metric_evolution"] = f"""
 SELECT run_id, epoch, step, value FROM ({RUNLOG}) WHERE metric = 'eval_f1' AND value IS NOT NULL
 """
-SQL["o13_split_dataset"] = f"""
-SELECT trafilatura_title, has_subject, split, 'unbalanced' AS scheme, CAST(NULL AS BIGINT) AS _draw
-FROM ({split_stratified(DEDUP_TITLES, 'trafilatura_title', 'has_subject', 'trafilatura_title, has_subject')})
+SQL["o13_split_dataset"] = _each(lambda c, t: f"""
+SELECT '{c}' AS content_source, text, has_subject, split, 'unbalanced' AS scheme, CAST(NULL AS BIGINT) AS _draw
+FROM ({split_stratified(dedup_content(c, t), 'text', 'has_subject', 'text, has_subject')})
 UNION ALL
-SELECT trafilatura_title, has_subject, split, 'balanced_dev_train' AS scheme, _draw
-FROM ({split_balanced(DEDUP_TITLES, 'trafilatura_title', 'has_subject', 'trafilatura_title, has_subject')})
-"""
+SELECT '{c}' AS content_source, text, has_subject, split, 'balanced_dev_train' AS scheme, _draw
+FROM ({split_balanced(dedup_content(c, t), 'text', 'has_subject', 'text, has_subject')})
+""")
 
 # ------------------------------------------------------------------ J, U
 
@@ -471,7 +491,7 @@ SQL["p4_fill_missing"] = "SELECT model, " + ", ".join(f"coalesce({q(c)}, 0.0) AS
     f" FROM ({_GRID})"
 SQL["p5_content_unpivot"] = " UNION ALL ".join(
     f"SELECT doc_id, '{c}' AS content_source, {c} AS text FROM ({RAW})"
-    for c in ["trafilatura_title", "trafilatura_abstract", "translation_title"])
+    for c in CONTENT)
 SQL["p6_complete_table"] = SQL["f10_select_runs"]
 
 # ------------------------------------------------------------------ X
@@ -542,9 +562,7 @@ def dedup_sql(col: str, ctype: str, source: str = RAW) -> str:
     """
 
 
-SQL["s7_write_datasets"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS content_source, {c} AS text, has_subject FROM ({dedup_sql(c, 'title')})"
-    for c in ("trafilatura_title", "translation_title"))
+SQL["s7_write_datasets"] = DEDUPED
 SQL["s8_write_splits"] = f"""
 SELECT doc_id, labels, CAST(NULL AS BIGINT) AS _draw, 'unbalanced' AS scheme, split
 FROM ({split_stratified(TRAIN2, 'doc_id', 'labels', 'doc_id, labels')})

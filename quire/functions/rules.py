@@ -98,7 +98,7 @@ def site_regex(rule_set: str = "compat") -> str:
 
 def boilerplate_regex(content_type: str, rule_set: str = "compat") -> str:
     if content_type not in CONTENT_TYPES:
-        raise ValueError("content_type must be either 'title', 'abstract', or 'fulltext'")
+        raise ValueError(f"unknown content type {content_type!r}: one of {', '.join(CONTENT_TYPES)}")
     return P.rule_alternation(RULE_TABLES[rule_set][content_type])
 
 
@@ -146,18 +146,18 @@ def is_site_name(c, rule_set: str = "compat") -> Column:
     return F.coalesce(_rlike(_col(c), site_regex(rule_set)), F.lit(False))
 
 
-def is_boilerplate(c, content_type: str, rule_set: str = "compat") -> Column:
-    """error + header + content-type rules."""
-    return F.coalesce(_rlike(_col(c), boilerplate_regex(content_type, rule_set)), F.lit(False))
+def is_boilerplate(c, content_type, rule_set: str = "compat") -> Column:
+    """error + header + content-type rules; `content_type` is a name or a Column of names."""
+    if isinstance(content_type, str):
+        return F.coalesce(_rlike(_col(c), boilerplate_regex(content_type, rule_set)), F.lit(False))
+    out = F.lit(False)
+    for ct in reversed(CONTENT_TYPES):
+        out = F.when(content_type == F.lit(ct), is_boilerplate(c, ct, rule_set)).otherwise(out)
+    return out
 
 
 def _kept_on_stripped(t: Column, content_type, keep_titles: bool, rule_set: str) -> Column:
-    if isinstance(content_type, str):
-        boiler = is_boilerplate(t, content_type, rule_set)
-    else:  # per-row content type (a Column)
-        boiler = F.lit(False)
-        for ct in reversed(CONTENT_TYPES):
-            boiler = F.when(content_type == F.lit(ct), is_boilerplate(t, ct, rule_set)).otherwise(boiler)
+    boiler = is_boilerplate(t, content_type, rule_set)
     return (F.when(is_too_short(t) | is_known_dubious(t), F.lit(False))
             .when(is_site_name(t, rule_set), F.lit(bool(keep_titles)))
             .otherwise(~boiler))
@@ -170,9 +170,9 @@ def to_be_kept(c, content_type, keep_titles: bool = False, rule_set: str = "comp
     The stripped text is bound once through a one-element ``transform``.
     """
     if content_type is None:
-        raise ValueError("content_type must be either 'title', 'abstract', or 'fulltext'")
+        raise ValueError(f"unknown content type {content_type!r}: one of {', '.join(CONTENT_TYPES)}")
     if isinstance(content_type, str) and content_type not in CONTENT_TYPES:
-        raise ValueError("content_type must be either 'title', 'abstract', or 'fulltext'")
+        raise ValueError(f"unknown content type {content_type!r}: one of {', '.join(CONTENT_TYPES)}")
     c = _col(c)
     kept = F.transform(F.array(py_strip(c)),
                        lambda t: _kept_on_stripped(t, content_type, keep_titles, rule_set))[0]

@@ -77,9 +77,9 @@ def balanced_class_weights(df: DataFrame, label_col: str = "labels") -> DataFram
     )
 
 
-def value_counts(df: DataFrame, col: str = "has_subject") -> DataFrame:
-    """A5: count per value, most frequent first."""
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), col)
+def value_counts(df: DataFrame, col: str = "has_subject", by=()) -> DataFrame:
+    """A5: count per value (within `by`), most frequent first."""
+    return df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("count")).orderBy(*by, F.desc("count"), col)
 
 
 def _histogram_stats(df: DataFrame, value_col: str) -> DataFrame:

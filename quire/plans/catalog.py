@@ -43,8 +43,17 @@ def corpus(spark, sf_dir):
     return raw_corpus(spark, sf_dir)
 
 
-def cleaned_corpus(spark, sf_dir, cols=("trafilatura_title",)):
-    return corpus(spark, sf_dir).withColumns({c: T.clean_text(F.col(c)) for c in cols})
+#: The four content columns of a document.
+CONTENT = ("trafilatura_title", "trafilatura_abstract", "trafilatura_fulltext", "translation_title")
+
+
+def contents(spark, sf_dir, ids=("doc_id", "sujet")):
+    """All content columns as rows: (ids..., content_source, text)."""
+    return P.content_unpivot(corpus(spark, sf_dir).select(*ids, *CONTENT), ids, CONTENT)
+
+
+def cleaned_contents(spark, sf_dir, ids=("doc_id", "sujet")):
+    return contents(spark, sf_dir, ids).withColumn("text", T.clean_text(F.col("text")))
 
 
 def docs(spark, sf_dir, cols=("doc_id", "text")):
@@ -64,9 +73,15 @@ def scored(spark, sf_dir):
                     (score >= 0.5).cast("int").alias("predictions"))
 
 
-def deduped_titles(spark, sf_dir):
-    """A2 over cleaned titles: (trafilatura_title, has_subject)."""
-    return L.dedupe_or_label(cleaned_corpus(spark, sf_dir), "trafilatura_title", "sujet", keep_titles=True)
+def row_type():
+    """The content type of a row of `contents`."""
+    return T.content_type_col("content_source")
+
+
+def deduped(spark, sf_dir):
+    """A2 over all cleaned content columns at once: (content_source, text, has_subject)."""
+    return L.dedupe_or_label(cleaned_contents(spark, sf_dir), "text", "sujet", keep_titles=True,
+                             content_type_of=T.content_type_col("content_source"), groups=["content_source"])
 
 
 # ---------------------------------------------------------------- T: text cleaning
@@ -113,8 +128,7 @@ def t16_clean_text(spark, sf_dir):
 
 @query("t17_clean_columns")
 def t17_clean_columns(spark, sf_dir):
-    cols = ["trafilatura_title", "trafilatura_abstract", "translation_title"]
-    return T.clean_columns(corpus(spark, sf_dir).select("doc_id", *cols), cols)
+    return T.clean_columns(corpus(spark, sf_dir).select("doc_id", *CONTENT), CONTENT)
 
 
 @query("t18_token_count")
@@ -124,8 +138,7 @@ def t18_token_count(spark, sf_dir):
 
 @query("t19_content_type")
 def t19_content_type(spark, sf_dir):
-    long = P.content_unpivot(corpus(spark, sf_dir), ["doc_id"],
-                             ["trafilatura_title", "trafilatura_abstract", "trafilatura_fulltext", "translation_title"])
+    long = contents(spark, sf_dir)
     return long.select("doc_id", "content_source", T.content_type_col("content_source").alias("content_type"))
 
 
@@ -138,47 +151,40 @@ def t20_encode_fixed(spark, sf_dir):
 
 # ---------------------------------------------------------------- F: predicates
 
-def _title_pred(name, fn):
+def _pred(name, fn):
+    """A predicate over every content column of every document."""
     @query(name)
     def q(spark, sf_dir):
-        return corpus(spark, sf_dir).select("doc_id", fn(F.col("trafilatura_title")).alias("flag"))
+        return contents(spark, sf_dir).select("doc_id", "content_source", fn(F.col("text")).alias("flag"))
     q.__name__ = name
     return q
 
 
-_title_pred("f1_has_content", R.has_content)
-_title_pred("f2_is_too_short", R.is_too_short)
-_title_pred("f3_is_known_dubious", R.is_known_dubious)
-_title_pred("f4_is_error_message", R.is_error_message)
-_title_pred("f5_is_site_name", R.is_site_name)
-_title_pred("f6_is_boilerplate", lambda c: R.is_boilerplate(c, "title"))
-_title_pred("f7_to_be_kept", lambda c: R.to_be_kept(c, "title", keep_titles=False))
-
-
-@query("f6_is_boilerplate_strict")
-def f6_is_boilerplate_strict(spark, sf_dir):
-    """F6 with the repaired rule tables, on full texts."""
-    c = corpus(spark, sf_dir)
-    return c.select("doc_id", R.is_boilerplate(F.col("trafilatura_fulltext"), "fulltext", "strict").alias("flag"))
-
-
-@query("f7_to_be_kept_strict")
-def f7_to_be_kept_strict(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    return c.select("doc_id", R.to_be_kept(F.col("trafilatura_title"), "title", False, "strict").alias("flag"))
+_pred("f1_has_content", R.has_content)
+_pred("f2_is_too_short", R.is_too_short)
+_pred("f3_is_known_dubious", R.is_known_dubious)
+_pred("f4_is_error_message", R.is_error_message)
+_pred("f5_is_site_name", R.is_site_name)
+_pred("f6_is_boilerplate", lambda c: R.is_boilerplate(c, row_type()))
+_pred("f6_is_boilerplate_strict", lambda c: R.is_boilerplate(c, row_type(), "strict"))
+_pred("f7_to_be_kept", lambda c: R.to_be_kept(c, row_type(), keep_titles=False))
+_pred("f7_to_be_kept_strict", lambda c: R.to_be_kept(c, row_type(), False, "strict"))
 
 
 @query("f8_quality_gate")
 def f8_quality_gate(spark, sf_dir):
-    c = cleaned_corpus(spark, sf_dir, ("trafilatura_title",))
-    g = c.select("doc_id", R.quality_gate(F.col("trafilatura_title"), "title").alias("_g"))
-    return g.select("doc_id", F.col("_g.kept").alias("kept"), F.col("_g.reason").alias("reason"))
+    c = cleaned_contents(spark, sf_dir, ["doc_id"])
+    g = c.select("doc_id", "content_source", R.quality_gate(F.col("text"), row_type()).alias("_g"))
+    return g.select("doc_id", "content_source", F.col("_g.kept").alias("kept"), F.col("_g.reason").alias("reason"))
 
 
 @query("f9_drop_missing")
 def f9_drop_missing(spark, sf_dir):
-    c = corpus(spark, sf_dir).select("doc_id", "trafilatura_abstract", "sujet")
-    return L.drop_missing(c, ["trafilatura_abstract", "sujet"])
+    """Rows complete in every content column and the subject, with the share of rows that were dropped."""
+    c = corpus(spark, sf_dir).select("doc_id", "sujet", *CONTENT)
+    cols = ["sujet", *CONTENT]
+    lost = L.missing_report(c, cols).select("n_rows_with_missing", "pct_rows_with_missing")
+    return O.with_scalars(L.drop_missing(c, cols), lost)
 
 
 @query("f10_select_runs")
@@ -197,7 +203,7 @@ def a1_has_subject(spark, sf_dir):
 
 @query("a2_dedupe_or_label")
 def a2_dedupe_or_label(spark, sf_dir):
-    return deduped_titles(spark, sf_dir)
+    return deduped(spark, sf_dir)
 
 
 @query("a3_class_proportions")
@@ -212,8 +218,8 @@ def a4_class_weights(spark, sf_dir):
 
 @query("a5_value_counts")
 def a5_value_counts(spark, sf_dir):
-    """Flagship: clean titles -> drop scrape failures -> dedupe + OR labels -> class balance."""
-    return L.value_counts(deduped_titles(spark, sf_dir), "has_subject")
+    """Flagship: clean all contents -> drop scrape failures -> dedupe + OR labels -> class balance."""
+    return L.value_counts(deduped(spark, sf_dir), "has_subject", by=["content_source"])
 
 
 @query("a6_length_profile")
@@ -250,13 +256,12 @@ def a9_distinct_texts(spark, sf_dir):
 
 @query("a10_column_profile")
 def a10_column_profile(spark, sf_dir):
-    return L.column_profile(corpus(spark, sf_dir), ["trafilatura_title", "trafilatura_abstract",
-                                                   "translation_title", "sujet", "quality"])
+    return L.column_profile(corpus(spark, sf_dir), [*CONTENT, "sujet", "quality"])
 
 
 @query("a11_missing_report")
 def a11_missing_report(spark, sf_dir):
-    return L.missing_report(corpus(spark, sf_dir), ["trafilatura_abstract", "translation_title", "sujet"])
+    return L.missing_report(corpus(spark, sf_dir), [*CONTENT, "sujet"])
 
 
 @query("a12_classification_metrics")
@@ -374,10 +379,11 @@ def o12_metric_evolution(spark, sf_dir):
 
 @query("o13_split_dataset")
 def o13_split_dataset(spark, sf_dir):
-    """Deduped titles split both ways: (scheme, split, text, has_subject[, _draw])."""
-    d = deduped_titles(spark, sf_dir)
-    uns = O.split_stratified(d, "trafilatura_title", "has_subject").withColumn("scheme", F.lit("unbalanced"))
-    bal = O.split_balanced(d, "trafilatura_title", "has_subject").withColumn("scheme", F.lit("balanced_dev_train"))
+    """Every deduped content column split both ways: (content_source, scheme, split, text, has_subject, _draw)."""
+    d = cut_lineage(deduped(spark, sf_dir), "deduped")
+    g = ["content_source"]
+    uns = O.split_stratified(d, "text", "has_subject", groups=g).withColumn("scheme", F.lit("unbalanced"))
+    bal = O.split_balanced(d, "text", "has_subject", groups=g).withColumn("scheme", F.lit("balanced_dev_train"))
     return uns.withColumn("_draw", F.lit(None).cast("bigint")).unionByName(bal)
 
 
@@ -488,8 +494,7 @@ def p4_fill_missing(spark, sf_dir):
 
 @query("p5_content_unpivot")
 def p5_content_unpivot(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    return P.content_unpivot(c, ["doc_id"], ["trafilatura_title", "trafilatura_abstract", "translation_title"])
+    return contents(spark, sf_dir, ["doc_id"])
 
 
 @query("p6_complete_table")
@@ -580,18 +585,9 @@ def s6_reduce_columns(spark, sf_dir):
     return IO.reduce_columns(raw_corpus(spark, sf_dir))
 
 
-def _deduped_long(spark, sf_dir):
-    c = cleaned_corpus(spark, sf_dir, ("trafilatura_title", "translation_title"))
-    parts = []
-    for col in ("trafilatura_title", "translation_title"):
-        d = L.dedupe_or_label(c, col, "sujet", keep_titles=True)
-        parts.append(d.select(F.lit(col).alias("content_source"), F.col(col).alias("text"), "has_subject"))
-    return J.union_samples(parts)
-
-
 @query("s7_write_datasets")
 def s7_write_datasets(spark, sf_dir):
-    path = IO.write_datasets(_deduped_long(spark, sf_dir), IO.scratch_path(spark, "s7"))
+    path = IO.write_datasets(deduped(spark, sf_dir), IO.scratch_path(spark, "s7"))
     return spark.read.parquet(path).select("content_source", "text", "has_subject")
 
 
