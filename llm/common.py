@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def word_count(text: str = "text") -> Column:
+    """Number of `[^\\x20\\x09-\\x0D]+` in a text, 0 for null.
+
+    Each word becomes one letter and the white space goes; an array of all words, as
+    ``regexp_count`` makes one, would fill the executors' memory with garbage.
+    """
+    short = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "w")
+    return F.length(F.translate(short, "\x20\t\n\x0b\x0c\r", "")).cast("bigint")
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of whatever columns `docs` has; a null text is empty."""
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))

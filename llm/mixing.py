@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
 
+from .common import word_count
+
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -98,7 +100,7 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     """(row, doc_id, source, size, h), stored: texts are read and counted once."""
     return cut_lineage(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "source",
-        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
+        word_count().alias("size"),
         hashed(F.col("doc_id")).alias("h")), "mix-sizes")
 
 
