@@ -47,12 +47,17 @@ def render(turns: Column, escaped: bool) -> Column:
 
 def parse(text: Column) -> Column:
     """Array of structs (role, text) read back from a rendered text; null where it isn't of the grammar."""
-    parts = F.split(text, _CONTROL)
-    count = F.floor(F.size(parts) / 3).cast("int")
-    inner = lambda c: unescape(F.substring(c, F.lit(2), F.length(c) - 2))  # noqa: E731  without the blanks around it
-    turns = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
-        inner(F.get(parts, 3 * i + 1)).alias("role"), inner(F.get(parts, 3 * i + 2)).alias("text"))))
-    return F.when(F.size(parts) % 3 == 1, F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>")))
+    def inner(c):  # without the blanks around it
+        return unescape(F.substring(c, F.lit(2), F.length(c) - 2))
+
+    def turns(parts):
+        count = F.floor(F.size(parts) / 3).cast("int")
+        found = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
+            inner(F.get(parts, 3 * i + 1)).alias("role"), inner(F.get(parts, 3 * i + 2)).alias("text"))))
+        return F.when(F.size(parts) % 3 == 1, F.coalesce(found, F.array().cast("array<struct<role:string,text:string>>")))
+
+    # the parts are a variable of an outer function, so they are split once and not once per turn
+    return F.transform(F.array(F.split(text, _CONTROL)), turns)[0]
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
