@@ -65,6 +65,30 @@ VALUES_AT = f"""
     ON l.method = e.method AND l.model = e.model AND l.content = e.content AND l.epoch = e.epoch
   WHERE l.value IS NOT NULL GROUP BY ALL
 """
+# the eight metrics of a run table: raw name, title
+EIGHT = (("auc-dev", "Development AUC"), ("auc-test", "Test AUC"), ("eval_f1", "Development F1"),
+         ("eval_f_beta_2.0", "Development F2"), ("test_f_beta_2.0", "Test F2"), ("test_f1", "Test F1"),
+         ("test_precision", "Test Precision"), ("test_recall", "Test Recall"))
+RUNLOG8 = f"""
+  SELECT l.run_id, l.method, l.model, l.content, l.step, l.epoch, e.value / (e.value + 5.0) AS value,
+         CASE e.event_type WHEN 'view' THEN (CASE WHEN e.event_id % 2 = 0 THEN 'eval_f1' ELSE 'test_f1' END)
+              WHEN 'click' THEN (CASE WHEN e.event_id % 2 = 0 THEN 'eval_f_beta_2.0' ELSE 'test_f_beta_2.0' END)
+              WHEN 'purchase' THEN (CASE WHEN e.event_id % 2 = 0 THEN 'auc-dev' ELSE 'auc-test' END)
+              WHEN 'signup' THEN 'test_precision' WHEN 'error' THEN 'test_recall' END AS metric
+  FROM ({RUNLOG}) l JOIN events e ON l.step = e.event_id
+"""
+EPOCHS8 = f"""
+  SELECT method, model, content, arg_max(epoch, (m, -epoch)) AS epoch FROM (
+    SELECT method, model, content, epoch, avg(value) AS m FROM ({RUNLOG8}) WHERE metric = 'eval_f1' GROUP BY ALL) GROUP BY ALL
+"""
+VALUES8 = f"""
+  SELECT l.method, l.model, l.content, l.metric, arg_min(l.value, l.step) AS value
+  FROM ({RUNLOG8}) l JOIN ({EPOCHS8}) e USING (method, model, content, epoch) WHERE l.value IS NOT NULL GROUP BY ALL
+"""
+RUNS8 = ("SELECT method, model, content, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {q(m)}" for m, _ in EIGHT)
+         + f" FROM ({VALUES8}) GROUP BY ALL")
+COMPLETE = ('SELECT model AS "Model", method AS "Training Method", content AS "Content Source", '
+            + ", ".join(f"{q(m)} AS {q(t)}" for m, t in EIGHT) + f" FROM ({RUNS8})")
 RUNS = ("SELECT method, model, content, " + ", ".join(
     f"first(value) FILTER (WHERE metric = {lit(m)}) AS {m}" for m in LOG_METRICS) +
     f" FROM ({VALUES_AT}) GROUP BY ALL")
@@ -238,7 +262,8 @@ SELECT doc_id, {', '.join(CONTENT)}, sujet, n_rows_with_missing,
 FROM ({RAW}), (SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT ({_WHOLE})) AS n_rows_with_missing FROM ({RAW}))
 WHERE {_WHOLE}
 """
-SQL["f10_select_runs"] = f"SELECT * FROM ({RUNS}) WHERE eval_f1 >= 0.5 AND eval_precision >= 0.5"
+SQL["f10_select_runs"] = f"SELECT * FROM ({COMPLETE}) WHERE \"Development F2\" >= 0.79"
+SQL["f10_follow_up"] = f"SELECT * FROM ({COMPLETE}) WHERE \"Development AUC\" > 0.8 AND \"Development F2\" > 0.8"
 
 # ------------------------------------------------------------------ A
 
@@ -286,18 +311,27 @@ SELECT p.*, c.n_negative, c.n_positive FROM ({_profile(DEDUP_FULL, 'trafilatura_
           coalesce(count(*) FILTER (WHERE has_subject = 1), 0) AS n_positive FROM ({DEDUP_FULL})) c
 """
 _BAL_T = split_balanced(TRAIN2, "doc_id", "labels", "doc_id, labels")
-_ALLS = f"""
-  SELECT 'unbalanced' AS scheme, split, labels FROM ({split_stratified(TRAIN2, 'doc_id', 'labels', 'doc_id, labels')})
-  UNION ALL SELECT 'balanced_dev_train', split, labels FROM ({_BAL_T})
-  UNION ALL SELECT 'pet_50', split, labels FROM ({few_shot(_BAL_T, 'doc_id', 50, 'doc_id, labels')})
-"""
-SQL["a8_split_statistics"] = "SELECT scheme, " + ", ".join(
+
+
+def _splits_of(c: str, t: str) -> str:
+    base, cols = dedup_content(c, t), "text, has_subject"
+    balanced = split_balanced(base, "text", "has_subject", cols)
+    return f"""
+      SELECT '{c}' AS content_source, 'unbalanced' AS scheme, split, has_subject AS labels
+      FROM ({split_stratified(base, 'text', 'has_subject', cols)})
+      UNION ALL SELECT '{c}', 'balanced_dev_train', split, has_subject FROM ({balanced})
+      UNION ALL SELECT '{c}', 'pet_50', split, has_subject FROM ({few_shot(balanced, 'text', 50, cols)})
+    """
+
+
+_ALLS = _each(_splits_of)
+SQL["a8_split_statistics"] = "SELECT content_source, scheme, " + ", ".join(
     f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN count(*) FILTER (WHERE split = '{s}') END AS {s}_size, "
     f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN CAST(sum(labels) FILTER (WHERE split = '{s}') AS BIGINT) END "
     f"AS {s}_positives, "
     f"CASE WHEN count(*) FILTER (WHERE split = '{s}') > 0 THEN CAST(sum(1 - labels) FILTER (WHERE split = '{s}') AS BIGINT) END "
     f"AS {s}_negatives"
-    for s in ("train", "dev", "test", "unlabeled")) + f" FROM ({_ALLS}) GROUP BY scheme"
+    for s in ("train", "dev", "test", "unlabeled")) + f" FROM ({_ALLS}) GROUP BY content_source, scheme"
 SQL["a9_distinct_texts"] = "SELECT count(DISTINCT text) AS n_distinct FROM documents"
 _PROF_COLS = [*CONTENT, "sujet", "quality"]
 SQL["a10_column_profile"] = " UNION ALL ".join(
@@ -367,8 +401,7 @@ FROM ({SCORED}) s JOIN (
   ON s.labels = ww.labels
 """
 SQL["a17_ensemble_summary"] = f"""
-SELECT model, avg(eval_accuracy) AS eval_accuracy_mean, stddev_samp(eval_accuracy) AS eval_accuracy_std,
-       avg(eval_f1) AS eval_f1_mean, stddev_samp(eval_f1) AS eval_f1_std FROM ({RUNS}) GROUP BY model
+SELECT model, {', '.join(f'avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std' for m in LOG_METRICS)} FROM ({RUNS}) GROUP BY model
 """
 
 # ------------------------------------------------------------------ O
@@ -411,7 +444,7 @@ SELECT run_id, max(step) AS latest_step, max({{'v': value, 's': step}}) FILTER (
 FROM ({RUNLOG}) GROUP BY run_id
 """
 SQL["o12_metric_evolution"] = f"""
-SELECT run_id, epoch, step, value FROM ({RUNLOG}) WHERE metric = 'eval_f1' AND value IS NOT NULL
+SELECT run_id, metric, epoch, step, value FROM ({RUNLOG}) WHERE metric IS NOT NULL AND value IS NOT NULL
 """
 SQL["o13_split_dataset"] = _each(lambda c, t: f"""
 SELECT '{c}' AS content_source, text, has_subject, split, 'unbalanced' AS scheme, CAST(NULL AS BIGINT) AS _draw
@@ -458,7 +491,7 @@ JOIN (SELECT unnest({arr(BERT_MODELS)}) AS v) b ON contains(lower(n.model_dir),
 JOIN (SELECT unnest({arr(TRAINING_METHODS)}) AS v) t ON contains(lower(n.model_dir), t.v)
 """
 SQL["j5_value_at_epoch"] = VALUES_AT
-SQL["j6_assemble_runs"] = RUNS
+SQL["j6_assemble_runs"] = RUNS8
 SQL["j7_label_map"] = f"""
 SELECT doc_id, CASE labels WHEN 0 THEN 'irrelevant' WHEN 1 THEN 'relevant' END AS label_name,
        CASE labels WHEN 0 THEN 0 WHEN 1 THEN 1 END AS label_id FROM ({TRAIN})
@@ -492,7 +525,7 @@ SQL["p4_fill_missing"] = "SELECT model, " + ", ".join(f"coalesce({q(c)}, 0.0) AS
 SQL["p5_content_unpivot"] = " UNION ALL ".join(
     f"SELECT doc_id, '{c}' AS content_source, {c} AS text FROM ({RAW})"
     for c in CONTENT)
-SQL["p6_complete_table"] = SQL["f10_select_runs"]
+SQL["p6_complete_table"] = COMPLETE
 
 # ------------------------------------------------------------------ X
 
@@ -657,5 +690,4 @@ def _e1_part(col: str, orig: str, ctype: str) -> str:
 
 
 SQL["e1_prepare"] = " UNION ALL ".join(_e1_part(c, o, t) for c, (o, t) in _E1_COLS.items())
-SQL["e2_compare_runs"] = ("SELECT model, content, " + ", ".join(
-    f"first(value) FILTER (WHERE method = {lit(m)}) AS {q(m)}" for m in METHODS) + f" FROM ({_F1}) GROUP BY ALL")
+SQL["e2_compare_runs"] = SQL["f10_select_runs"]

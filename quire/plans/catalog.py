@@ -84,6 +84,20 @@ def deduped(spark, sf_dir):
                              content_type_of=T.content_type_col("content_source"), groups=["content_source"])
 
 
+def run_values(spark, sf_dir):
+    """J5 over the eight run metrics."""
+    log = RUNS.run_metrics(spark, sf_dir)
+    return RUNS.value_at_epoch(log, RUNS.optimal_epochs(log))
+
+
+def complete_runs(spark, sf_dir):
+    return RUNS.complete_table(run_values(spark, sf_dir))
+
+
+def model_names(spark):
+    return spark.createDataFrame([(m.lower(), m) for m in P.MODELS], "logical_name string, model_label string")
+
+
 # ---------------------------------------------------------------- T: text cleaning
 
 def _doc_fn(name, fn, src="text"):
@@ -189,9 +203,12 @@ def f9_drop_missing(spark, sf_dir):
 
 @query("f10_select_runs")
 def f10_select_runs(spark, sf_dir):
-    log = RUNS.run_log(spark, sf_dir)
-    runs = RUNS.assemble_runs(RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)))
-    return RUNS.select_runs(runs, 0.5, 0.5)
+    return RUNS.select_runs(complete_runs(spark, sf_dir))
+
+
+@query("f10_follow_up")
+def f10_follow_up(spark, sf_dir):
+    return RUNS.select_runs(complete_runs(spark, sf_dir), RUNS.FOLLOW_UPS[0], strict=True)
 
 
 # ---------------------------------------------------------------- A: labelling and profiles
@@ -237,16 +254,17 @@ def a7_overview(spark, sf_dir):
 
 @query("a8_split_statistics")
 def a8_split_statistics(spark, sf_dir):
-    """Split sizes per scheme for the labelled table (unbalanced, balanced, few-shot 50)."""
-    t = training_table(spark, sf_dir)
-    uns = O.split_stratified(t, "doc_id", "labels").withColumn("scheme", F.lit("unbalanced"))
-    bal = O.split_balanced(t, "doc_id", "labels")
-    few = O.split_few_shot(bal, "doc_id", 50).withColumn("scheme", F.lit("pet_50"))
+    """Split sizes per content source and scheme (unbalanced, balanced, few-shot 50)."""
+    d = cut_lineage(deduped(spark, sf_dir), "deduped")
+    g = ["content_source"]
+    uns = O.split_stratified(d, "text", "has_subject", groups=g).withColumn("scheme", F.lit("unbalanced"))
+    bal = cut_lineage(O.split_balanced(d, "text", "has_subject", groups=g), "balanced")
+    few = O.split_few_shot(bal, "text", 50, groups=g).withColumn("scheme", F.lit("pet_50"))
     allx = uns.unionByName(bal.withColumn("scheme", F.lit("balanced_dev_train")), allowMissingColumns=True) \
         .unionByName(few, allowMissingColumns=True)
-    return allx.groupBy("scheme").pivot("split", ["train", "dev", "test", "unlabeled"]).agg(
-        F.count(F.lit(1)).alias("size"), F.sum("labels").alias("positives"),
-        F.sum(1 - F.col("labels")).alias("negatives"))
+    return allx.groupBy("content_source", "scheme").pivot("split", ["train", "dev", "test", "unlabeled"]).agg(
+        F.count(F.lit(1)).alias("size"), F.sum("has_subject").alias("positives"),
+        F.sum(1 - F.col("has_subject")).alias("negatives"))
 
 
 @query("a9_distinct_texts")
@@ -301,8 +319,8 @@ def a16_weighted_cross_entropy(spark, sf_dir):
 @query("a17_ensemble_summary")
 def a17_ensemble_summary(spark, sf_dir):
     log = RUNS.run_log(spark, sf_dir)
-    runs = RUNS.assemble_runs(RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)))
-    return M.ensemble_summary(runs, ["model"], ["eval_accuracy", "eval_f1"])
+    runs = RUNS.assemble_runs(RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)), RUNS.LOG_METRICS)
+    return M.ensemble_summary(runs, ["model"], RUNS.LOG_METRICS)
 
 
 # ---------------------------------------------------------------- O: ordering, sampling, splitting
@@ -374,7 +392,7 @@ def o11_best_latest_step(spark, sf_dir):
 
 @query("o12_metric_evolution")
 def o12_metric_evolution(spark, sf_dir):
-    return RUNS.metric_evolution(RUNS.run_log(spark, sf_dir), "eval_f1")
+    return RUNS.metric_evolution(RUNS.run_log(spark, sf_dir))
 
 
 @query("o13_split_dataset")
@@ -435,8 +453,8 @@ def j5_value_at_epoch(spark, sf_dir):
 
 @query("j6_assemble_runs")
 def j6_assemble_runs(spark, sf_dir):
-    log = RUNS.run_log(spark, sf_dir)
-    return RUNS.assemble_runs(RUNS.value_at_epoch(log, RUNS.optimal_epochs(log, "eval_f1")))
+    """The eight metrics of each run at its best epoch."""
+    return RUNS.assemble_runs(run_values(spark, sf_dir))
 
 
 @query("j7_label_map")
@@ -450,8 +468,7 @@ def j7_label_map(spark, sf_dir):
 @query("j8_run_name_match")
 def j8_run_name_match(spark, sf_dir):
     log = RUNS.run_log(spark, sf_dir)
-    names = spark.createDataFrame([(m.lower(), m) for m in P.MODELS], "logical_name string, model_label string")
-    return RUNS.match_run_names(log, names).select("run_id", "run_name", "logical_name", "model_label")
+    return RUNS.match_run_names(log, model_names(spark)).select("run_id", "run_name", "logical_name", "model_label")
 
 
 @query("u1_union_samples")
@@ -499,7 +516,7 @@ def p5_content_unpivot(spark, sf_dir):
 
 @query("p6_complete_table")
 def p6_complete_table(spark, sf_dir):
-    return RUNS.compare_runs(spark, sf_dir)["complete"]
+    return complete_runs(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- X: extraction
@@ -646,7 +663,7 @@ def s10_read_split_metrics(spark, sf_dir):
 @query("s11_read_metric_text")
 def s11_read_metric_text(spark, sf_dir):
     log = RUNS.run_log(spark, sf_dir)
-    runs = RUNS.assemble_runs(RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)))
+    runs = RUNS.assemble_runs(RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)), RUNS.LOG_METRICS)
     ens = M.ensemble_summary(runs, ["model"], ["eval_f1"]).select(
         F.concat(F.lit("eval_f1-"), F.col("model")).alias("name"), F.col("eval_f1_mean").alias("mean"),
         F.col("eval_f1_std").alias("std"))
@@ -815,6 +832,6 @@ def e1_prepare(spark, sf_dir):
 
 @query("e2_compare_runs")
 def e2_compare_runs(spark, sf_dir):
-    log = RUNS.run_log(spark, sf_dir)
-    v = RUNS.value_at_epoch(log, RUNS.optimal_epochs(log)).where(F.col("metric") == "eval_f1")
-    return v.groupBy("model", "content").pivot("method", list(P.METHODS)).agg(F.first("value"))
+    """Run files written and read back, compared, and the runs that are worth keeping."""
+    logs, metrics = RUNS.write_run_files(RUNS.run_metrics(spark, sf_dir), IO.scratch_path(spark, "e2"))
+    return RUNS.compare_runs(RUNS.read_run_files(spark, logs, metrics), model_names(spark))["selected"]

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relate import logical_run_name
-from ..operators.reshape import CONTENTS, METHODS, MODELS, method_comparison, metric_grid
+from ..operators.reshape import CONTENTS, METHODS, MODELS, method_comparison, metric_grid, quoted
+from ..sources.io import CURVE_CHUNK, RUN_LOG, SPLIT_METRICS, read_run_logs, read_split_metrics, with_field
 from ..sources.tables import table
 
 # ---- FIXED VALUES: mapping of event types onto logged metrics ----
@@ -23,6 +24,25 @@ EVENT_METRIC = {
     "signup": "eval_recall",
     "error": "eval_loss",
 }
+# ---- FIXED VALUES: the eight metrics of a run table and their titles ----
+RUN_METRICS = {
+    "auc-dev": "Development AUC",
+    "auc-test": "Test AUC",
+    "eval_f1": "Development F1",
+    "eval_f_beta_2.0": "Development F2",
+    "test_f_beta_2.0": "Test F2",
+    "test_f1": "Test F1",
+    "test_precision": "Test Precision",
+    "test_recall": "Test Recall",
+}
+# which of them an event is in the test data, for even and odd event ids
+EVENT_RUN_METRIC = {
+    "view": ("eval_f1", "test_f1"),
+    "click": ("eval_f_beta_2.0", "test_f_beta_2.0"),
+    "purchase": ("auc-dev", "auc-test"),
+    "signup": ("test_precision", "test_precision"),
+    "error": ("test_recall", "test_recall"),
+}
 LOG_METRICS = ("eval_accuracy", "eval_f1", "eval_loss", "eval_precision", "eval_recall")
 EPOCHS = 5
 
@@ -47,6 +67,17 @@ def run_log(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def run_metrics(spark, sf_dir: str) -> DataFrame:
+    """The log rows of the eight run metrics (same columns as ``run_log``)."""
+    ev = table(spark, sf_dir, "events", ["event_id", "event_type", "value"]).withColumnRenamed("event_id", "step")
+    odd = F.col("step") % 2 == 1
+    metric = F.lit(None).cast("string")
+    for kind, (a, b) in EVENT_RUN_METRIC.items():
+        metric = F.when(F.col("event_type") == kind, F.when(odd, F.lit(b)).otherwise(F.lit(a))).otherwise(metric)
+    own = ev.select("step", metric.alias("metric"), (F.col("value") / (F.col("value") + 5.0)).alias("value"))
+    return run_log(spark, sf_dir).drop("metric", "value").join(own, "step")
+
+
 def best_and_latest_step(log: DataFrame, metric: str = "eval_f1", greater_is_better: bool = True) -> DataFrame:
     """Per run the latest step and the step with the best `metric`
     (ties go to the later step)."""
@@ -55,10 +86,15 @@ def best_and_latest_step(log: DataFrame, metric: str = "eval_f1", greater_is_bet
     return log.groupBy("run_id").agg(F.max("step").alias("latest_step"), best["s"].alias("best_step"))
 
 
-def metric_evolution(log: DataFrame, metric: str = "eval_f1") -> DataFrame:
-    """(run, epoch, step, value) where the metric is present (0.0 counts)."""
-    return (log.where((F.col("metric") == metric) & F.col("value").isNotNull())
-            .select("run_id", "epoch", "step", "value"))
+def metric_evolution(log: DataFrame, metrics=None) -> DataFrame:
+    """(run, metric, epoch, step, value) in order, where a metric is present (0.0 counts).
+
+    All metrics, losses included, unless `metrics` names some.
+    """
+    rows = log.where(F.col("metric").isNotNull() & F.col("value").isNotNull())
+    if metrics is not None:
+        rows = rows.where(F.col("metric").isin(*metrics))
+    return rows.select("run_id", "metric", "epoch", "step", "value").orderBy("run_id", "metric", "step")
 
 
 def optimal_epochs(log: DataFrame, metric: str = "eval_f1") -> DataFrame:
@@ -78,35 +114,84 @@ def value_at_epoch(log: DataFrame, epochs: DataFrame) -> DataFrame:
             .agg(first["value"].alias("value")))
 
 
-def assemble_runs(values: DataFrame, metrics=LOG_METRICS) -> DataFrame:
+def assemble_runs(values: DataFrame, metrics=tuple(RUN_METRICS)) -> DataFrame:
     """One row per (method, model, content) with one column per metric."""
     return values.groupBy("method", "model", "content").pivot("metric", list(metrics)).agg(F.first("value"))
 
 
-def select_runs(runs: DataFrame, f1_min: float = 0.5, precision_min: float = 0.5, minimums: dict | None = None,
-                strict: bool = False) -> DataFrame:
-    """keep runs clearing every threshold.
+#: What a run must reach, and the two follow-ups (which it must exceed).
+DEV_F2 = {"Development F2": 0.79}
+FOLLOW_UPS = ({"Development AUC": 0.8, "Development F2": 0.8}, {"Development AUC": 0.79, "Development F2": 0.79})
 
-    `minimums` maps metric column -> threshold (default: eval_f1 and
-    eval_precision); `strict` uses '>' (the follow-up selections) instead of '>='.
+
+def select_runs(runs: DataFrame, minimums: dict | None = None, strict: bool = False) -> DataFrame:
+    """keep runs clearing every threshold (column -> minimum; development F2 by default).
+
+    `strict` uses '>', as the follow-up selections do, instead of '>='.
     """
-    minimums = minimums or {"eval_f1": f1_min, "eval_precision": precision_min}
     cond = F.lit(True)
-    for col, v in minimums.items():
-        c = F.col(f"`{col}`")
+    for col, v in (minimums or DEV_F2).items():
+        c = quoted(col)
         cond = cond & ((c > F.lit(v)) if strict else (c >= F.lit(v)))
     return runs.where(cond)
 
 
-def compare_runs(spark, sf_dir: str, metric: str = "eval_f1"):
-    """Logs -> chosen epochs -> values -> grids and the complete table."""
-    log = run_log(spark, sf_dir)
-    values = value_at_epoch(log, optimal_epochs(log, metric))
+def complete_table(values: DataFrame) -> DataFrame:
+    """One row per (method, content, model) with the eight metrics under their titles."""
+    return assemble_runs(values).select(
+        F.col("model").alias("Model"), F.col("method").alias("Training Method"), F.col("content").alias("Content Source"),
+        *[quoted(m).alias(title) for m, title in RUN_METRICS.items()])
+
+
+def write_run_files(log: DataFrame, path: str) -> tuple[str, str]:
+    """The log as files: development metrics as run logs (S9), test metrics and AUCs as metric documents."""
+    run = ["run_id", "run_name", "method", "model", "content"]
+    dev = log.where(F.col("metric").isin("eval_f1", "eval_f_beta_2.0"))
+    entry = F.struct(F.col("epoch").cast("double").alias("epoch"), "step",
+                     *[F.when(F.col("metric") == m, F.col("value")).alias(m) for m in ("eval_f1", "eval_f_beta_2.0")])
+    parts = dev.groupBy(*run, F.floor(F.col("step") / CURVE_CHUNK).alias("_chunk")).agg(
+        F.max("step").alias("global_step"), F.sort_array(F.collect_list(entry)).alias("log_history"))
+    parts.drop("_chunk").write.mode("overwrite").json(f"{path}/logs")
+    field = {"test_f1": "f1", "test_f_beta_2.0": "f_beta_2.0", "test_precision": "precision", "test_recall": "recall",
+             "auc-test": "AUC", "auc-dev": "AUC"}
+    rest = log.where(F.col("metric").isin(*field)).withColumn(
+        "split", F.when(F.col("metric") == "auc-dev", "dev").otherwise("test"))
+    docs = rest.select(*run, "epoch", "step", "split", *[
+        F.coalesce(*[F.when(F.col("metric") == m, F.col("value")) for m, g in field.items() if g == f]).alias(f)
+        for f in dict.fromkeys(field.values())])
+    docs.write.mode("overwrite").json(f"{path}/metrics")
+    return f"{path}/logs", f"{path}/metrics"
+
+
+def read_run_files(spark, logs: str, metrics: str) -> DataFrame:
+    """What ``write_run_files`` wrote, as log rows again."""
+    run = {"run_id": "bigint", "run_name": "string", "method": "string", "model": "string", "content": "string"}
+    schema, other = RUN_LOG, SPLIT_METRICS
+    for name, kind in run.items():
+        schema, other = with_field(schema, name, kind), with_field(other, name, kind)
+    for name, kind in (("epoch", "int"), ("step", "bigint"), ("split", "string")):
+        other = with_field(other, name, kind)
+    keep = [*run, "step", "epoch"]
+    dev = read_run_logs(spark, logs, multi_line=False, schema=schema).withColumn("epoch", F.col("epoch").cast("int"))
+    dev = dev.unpivot(keep, [quoted(c) for c in ("eval_f1", "eval_f_beta_2.0")], "metric", "value")
+    test = read_split_metrics(spark, metrics, multi_line=False, schema=other, curve=False)
+    test = test.unpivot([*keep, "split"], [quoted(c) for c in ("f1", "f_beta_2.0", "precision", "recall", "AUC")], "field", "value")
+    name = F.when(F.col("field") == "AUC", F.concat(F.lit("auc-"), "split")).otherwise(F.concat(F.lit("test_"), "field"))
+    test = test.select(*keep, name.alias("metric"), "value")
+    return dev.unionByName(test).where("value is not null")
+
+
+def compare_runs(log: DataFrame, names: DataFrame, metric: str = "eval_f1") -> dict[str, DataFrame]:
+    """Log rows -> known runs (J8) -> values at the best epochs (J5) -> P1, P2, P6 -> F10."""
+    known = log.join(match_run_names(log, names).select("run_id").distinct(), "run_id", "left_semi")
+    values = value_at_epoch(known, optimal_epochs(known, metric))
     one = values.where(F.col("metric") == metric)
+    complete = complete_table(values)
     return {
         "grid": metric_grid(one.where(F.col("method") == METHODS[-1]), "value", "model", "content", CONTENTS),
         "methods": method_comparison(one.where(F.col("model") == MODELS[-1]), "value", "content", "method", METHODS),
-        "complete": select_runs(assemble_runs(values)),
+        "complete": complete,
+        "selected": select_runs(complete),
     }
 
 
@@ -114,10 +199,3 @@ def match_run_names(log: DataFrame, names: DataFrame) -> DataFrame:
     """Join logs to a table keyed by logical run name (leading digits and '_' stripped)."""
     runs = log.select("run_id", "run_name").distinct().withColumn("logical_name", logical_run_name("run_name"))
     return runs.join(names, "logical_name")
-
-
-def ensemble(values: DataFrame, metric: str = "eval_f1") -> DataFrame:
-    """A17 over runs: mean and sample std of a metric per model over its cells."""
-    one = values.where(F.col("metric") == metric)
-    return one.groupBy("model").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-

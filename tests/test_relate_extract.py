@@ -86,5 +86,5 @@ def test_metric_evolution_keeps_zero_and_skips_absent(spark):
     log = spark.createDataFrame([(1, 1, 10, "eval_f1", 0.0), (1, 2, 20, "eval_f1", None), (1, 2, 21, "eval_loss", 0.3),
                                  (1, 3, 30, "eval_f1", 0.5)],
                                 "run_id long, epoch int, step long, metric string, value double")
-    rows = sorted((r.epoch, r.value) for r in metric_evolution(log, "eval_f1").collect())
+    rows = sorted((r.epoch, r.value) for r in metric_evolution(log, ["eval_f1"]).collect())
     assert rows == [(1, 0.0), (3, 0.5)]
