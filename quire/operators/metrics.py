@@ -3,8 +3,8 @@
 Confusion counts come from one ``groupBy(label, prediction).count()`` (map-
 side partial aggregation, a handful of output rows), and every metric is
 arithmetic on those counts. ROC/AUC aggregate to distinct scores first; the
-cumulative sums over scores run per quantile range of the distinct scores
-(plus an offset), so no running window spans more than one range.
+cumulative sums over scores run per range of the distinct scores (plus an
+offset), so no running window spans more than one range.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .sampling import with_class_value
 
 METRIC_NAMES = ("accuracy", "f1", "precision", "recall", "f_beta_2_0", "f_beta_0_5")
@@ -111,35 +112,26 @@ def positive_probability(top_label: Column, top_score: Column, positive_label) -
     return F.when(top_label == F.lit(positive_label), top_score).otherwise(F.lit(1.0) - top_score)
 
 
-def score_points(df: DataFrame, label: str = "labels", score: str = "score", by=(),
-                 buckets: int | None = None) -> DataFrame:
+def score_points(df: DataFrame, label: str = "labels", score: str = "score", by=()) -> DataFrame:
     """Distinct scores, descending, with per-score and cumulative counts.
 
     Columns: by..., idx (0-based, descending score), score, pos, neg, tps, fps,
     P, N, next_pos, next_neg (counts at the next lower score, null at the
     end), last_idx, max_score.
 
-    Running sums over the distinct scores are split into `buckets` ranges
-    whose bounds are approximate quantiles of the distinct scores (a one-row
-    aggregate per group, joined back, never collected), so each range holds
-    about the same number of scores whatever their distribution. Sums run
-    inside a range plus the offset of the ranges before it; the successor of
-    a range's last score is the first score of the next non-empty range,
-    carried over on the small per-range table. Ranges only decide *where*
-    the work happens, the result is exact.
+    The distinct scores are dealt to ranges of about the same size and stored
+    with their range; sums run inside a range plus the offset of the ranges
+    before it. The successor of a range's last score is the first score of the
+    next range, carried over on the small per-range table. Ranges only decide
+    *where* the work happens, the result is exact.
     """
     by = list(by)
-    if buckets is None:  # enough ranges to keep every task busy, no more
-        buckets = max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pts = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = pts.groupBy(*by).agg(F.percentile_approx("score", probs, 100 * buckets).alias("_bounds"))
-    joined = pts.join(bounds, by) if by else pts.withColumn("_one", F.lit(1)).join(
-        F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    # range 0 holds the highest scores: count the bounds strictly above
-    pts = joined.withColumn("_b", F.size(F.filter("_bounds", lambda b: b > F.col("score")))).drop("_bounds")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = pts.repartitionByRange(parts, *by, F.desc("score")).withColumn("_b", F.spark_partition_id())
+    pts = cut_lineage(ranged, "roc-points")
     first = F.max_by(F.struct("pos", "neg"), "score")
     hist = pts.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"),
                                       F.count(F.lit(1)).alias("_bc"), first.alias("_first"),
@@ -183,13 +175,12 @@ def roc_curve(df: DataFrame, label: str = "labels", score: str = "score", by=())
     pts = score_points(df, label, score, by)
     keep = (F.col("idx") == 0) | (F.col("idx") == F.col("last_idx")) | \
         (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-    body = pts.where(keep).select(*by, "idx", F.col("score").alias("threshold"),
-                                  _safe_div(F.col("fps"), F.col("N")).alias("fpr"),
-                                  _safe_div(F.col("tps"), F.col("P")).alias("tpr"))
-    origin = pts.where(F.col("idx") == 0).select(
-        *by, F.lit(-1).cast("bigint").alias("idx"), (F.col("max_score") + 1).alias("threshold"),
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return origin.unionByName(body)
+    point = F.struct(F.col("idx"), F.col("score").alias("threshold"), _safe_div(F.col("fps"), F.col("N")).alias("fpr"),
+                     _safe_div(F.col("tps"), F.col("P")).alias("tpr"))
+    origin = F.struct(F.lit(-1).cast("bigint").alias("idx"), (F.col("max_score") + 1).alias("threshold"),
+                      F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    points = F.when(F.col("idx") == 0, F.array(origin, point)).otherwise(F.array(point))
+    return pts.where(keep).select(*by, F.explode(points).alias("p")).select(*by, "p.*")
 
 
 def roc_auc(df: DataFrame, label: str = "labels", score: str = "score", by=()) -> DataFrame:
