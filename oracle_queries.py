@@ -8,10 +8,8 @@ is exactly what the distributed Spark versions must reproduce.
 from __future__ import annotations
 
 import oracles as O
-from quire.functions import text as T
 from quire.operators.reshape import CONTENTS, METHODS, MODELS
 from quire.operators.relate import BERT_MODELS, CONTENT_SOURCES, TRAINING_METHODS
-from quire.plans.runs import EVENT_METRIC, LOG_METRICS
 
 SQL = {}
 RAW = O.RAW_CORPUS
@@ -41,7 +39,9 @@ SCORED = f"""
     FROM ({TRAIN2}))
 """
 
-_metric_case = "CASE event_type " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in EVENT_METRIC.items()) + " END"
+LOG_METRICS = ("eval_accuracy", "eval_f1", "eval_loss", "eval_precision", "eval_recall")
+_metric_case = ("CASE event_type WHEN 'view' THEN 'eval_accuracy' WHEN 'click' THEN 'eval_f1' WHEN 'purchase' THEN 'eval_precision' "
+                "WHEN 'signup' THEN 'eval_recall' WHEN 'error' THEN 'eval_loss' END")
 RUNLOG = f"""
   SELECT user_id AS run_id,
          lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || '__' || lower({arr(MODELS)}[user_id % 6 + 1]) AS run_name,
@@ -181,21 +181,21 @@ def _doc_op(name, expr_fn):
     SQL[name] = f"SELECT doc_id, {expr_fn('text')} AS out FROM documents"
 
 
-_doc_op("t1_normalize_hyphens", lambda e: O.op(e, T.OP_HYPHENS))
-SQL["t2_strip_tags"] = f"SELECT page_id, {O.op('html', T.OP_TAGS)} AS out FROM pages"
-SQL["t3_strip_urls"] = f"SELECT page_id, {O.op(O.op('html', T.OP_TAGS), T.OP_URLS)} AS out FROM pages"
-_doc_op("t4_strip_dates", lambda e: O.op(e, T.OP_DATES))
-_doc_op("t5_strip_hours", lambda e: O.op(e, T.OP_HOURS))
-_doc_op("t6_strip_boilerplate", lambda e: O.ops(e, T.OPS_BOILERPLATE))
-_doc_op("t7_normalize_quotes", lambda e: O.op(e, T.OP_QUOTES))
-_doc_op("t8_trim_ws_hyphen", lambda e: O.ops(e, T.OPS_TRIM_WS_HYPHEN))
-_doc_op("t9_collapse_ws", lambda e: O.ops(e, T.OPS_COLLAPSE_WS))
-_doc_op("t10_drop_short_suffix", lambda e: O.ops(O.ops(e, T.OPS_COLLAPSE_WS), T.OPS_SHORT_SUFFIX))
-_doc_op("t11_fix_quotes", lambda e: O.ops(e, T.OPS_FIX_QUOTES))
-_doc_op("t12_strip_emoji", lambda e: O.op(e, T.OP_EMOJI))
-_doc_op("t13_strip_control", lambda e: O.op(e, T.OP_CONTROL))
-_doc_op("t14_trim_punct", lambda e: O.op(e, T.OP_PUNCT))
-_doc_op("t15_trim_digits", lambda e: O.op(e, T.OP_DIGITS))
+_doc_op("t1_normalize_hyphens", O.hyphens)
+SQL["t2_strip_tags"] = f"SELECT page_id, {O.tags('html')} AS out FROM pages"
+SQL["t3_strip_urls"] = f"SELECT page_id, {O.urls(O.tags('html'))} AS out FROM pages"
+_doc_op("t4_strip_dates", O.dates)
+_doc_op("t5_strip_hours", O.hours)
+_doc_op("t6_strip_boilerplate", O.boilerplate)
+_doc_op("t7_normalize_quotes", O.quotes)
+_doc_op("t8_trim_ws_hyphen", O.ends)
+_doc_op("t9_collapse_ws", O.collapse)
+_doc_op("t10_drop_short_suffix", lambda e: O.short_suffix(O.short_suffix(O.collapse(e), "-"), "|"))
+_doc_op("t11_fix_quotes", O.fix_quotes)
+_doc_op("t12_strip_emoji", O.emoji)
+_doc_op("t13_strip_control", O.control)
+_doc_op("t14_trim_punct", O.punctuation)
+_doc_op("t15_trim_digits", O.digits)
 
 SQL["t16_clean_text"] = f"SELECT doc_id, {O.clean_text('text')} AS clean_text FROM documents"
 SQL["t17_clean_columns"] = f"""

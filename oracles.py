@@ -1,8 +1,7 @@
-"""DuckDB renderings of the column functions, used only by ``oracle_sql()``.
+"""DuckDB SQL of the column functions, used only by ``oracle_sql()``.
 
-The Spark side builds Columns from the op tuples in ``quire.functions.text``
-and the rule tables in ``quire.functions.rules``; this module renders the
-*same* tuples and tables to DuckDB SQL text so both sides stay in step.
+The steps, their order and their patterns are written here by hand, in RE2's
+syntax; only the tables of phrases, characters and rules are shared data.
 Known dialect gap: RE2's ``\\b`` is ASCII-only (Spark uses Unicode word
 boundaries); ``\\p{C}`` in RE2 does not include unassigned code points.
 """
@@ -11,47 +10,104 @@ from __future__ import annotations
 
 from quire.functions import patterns as P
 from quire.functions import rules as R
-from quire.functions import text as T
-from quire.functions.rulebook import DUBIOUS_TEXTS
+from quire.functions.rulebook import BOILERPLATE_PHRASES, DUBIOUS_TEXTS, HYPHEN_LIKE, QUOTE_LIKE
 
 NL = "chr(10)"
+# white space, as class body and as characters
+SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                                  0x202F, 0x205F, 0x3000))
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def op(expr: str, o) -> str:
-    kind = o[0]
-    if kind == "translate":
-        return f"translate({expr}, {lit(o[1])}, {lit(o[2] * len(o[1]))})"
-    if kind == "regex":
-        _, pat, repl, ic, uw = o
-        return f"regexp_replace({expr}, {lit(P.re2(pat, ignore_case=ic))}, {lit(repl)}, 'g')"
-    if kind == "literal":
-        return f"replace({expr}, {lit(o[1])}, '')"
-    if kind == "trim_chars":
-        return f"trim({expr}, {lit(o[1])})"
-    if kind == "trim_space":
-        return f"trim({expr})"
-    raise ValueError(kind)
+def sub(expr: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({expr}, {lit(pattern)}, {lit(to)}, 'g')"
 
 
-def ops(expr: str, os_) -> str:
-    for o in os_:
-        expr = op(expr, o)
-    return expr
+def hyphens(e: str) -> str:
+    return f"translate({e}, {lit(HYPHEN_LIKE)}, {lit('-' * len(HYPHEN_LIKE))})"
 
 
-def clean_text(expr: str, max_passes: int = T.MAX_PASSES) -> str:
-    blanks = ", ".join(["''"] * max_passes)
-    loop = f"list_reduce(list_prepend(s, [{blanks}]), lambda acc, y: {ops('acc', T.PASS_OPS)})"
-    return (f"(list_transform([{ops(expr, T.PRE_OPS)}], "
-            f"lambda s: CASE WHEN s = '' THEN s ELSE nullif({loop}, '') END))[1]")
+def tags(e: str) -> str:
+    return sub(e, "<[^>]+>")
+
+
+def urls(e: str) -> str:
+    return sub(e, rf"(?i)\b(?:https?://|www\.)[^{SPACE}]+\b")
+
+
+def dates(e: str) -> str:
+    n, sep = r"\p{Nd}", "[./]"
+    return sub(e, rf"\b{n}{{4}}{sep}{n}{{1,2}}{sep}{n}{{1,2}}\b|\b{n}{{1,2}}{sep}{n}{{1,2}}{sep}{n}{{4}}\b"
+                  rf"|\b{n}{{1,2}}{sep}{n}{{1,2}}{sep}{n}{{1,2}}\b")
+
+
+def hours(e: str) -> str:
+    return sub(e, r"\b\p{Nd}{1,2}:\p{Nd}{2}(?::\p{Nd}{2})?\b")
+
+
+def boilerplate(e: str) -> str:
+    for phrase in BOILERPLATE_PHRASES:
+        e = f"replace({e}, {lit(phrase)}, '')"
+    return e
+
+
+def quotes(e: str) -> str:
+    return f"translate({e}, {lit(QUOTE_LIKE)}, {lit(chr(39) * len(QUOTE_LIKE))})"
+
+
+def ends(e: str) -> str:
+    return f"trim(trim(trim({e}, {lit(SPACES)}), {lit(HYPHEN_LIKE)}), '-')"
+
+
+def collapse(e: str) -> str:
+    return f"trim({sub(e, f'[{SPACE}]+', ' ')})"
+
+
+def short_suffix(e: str, sep: str) -> str:
+    word = rf"[^{SPACE}\{sep}]+"
+    return sub(e, rf"\{sep}(?:[{SPACE}]+|[{SPACE}]*{word}(?:[{SPACE}]+{word}){{0,2}}[{SPACE}]*)\z")
+
+
+def fix_quotes(e: str) -> str:
+    e = sub(sub(e, "['\"]['\"]+", "'"), "^['\"]|['\"]\\z")
+    return sub(f"trim(trim({e}, ''''), '\"')", f"['\"][{SPACE}]*:")
+
+
+def emoji(e: str) -> str:
+    return sub(e, r"[\x{10000}-\x{10FFFF}]")
+
+
+def control(e: str) -> str:
+    return sub(e, r"\p{C}")
+
+
+def punctuation(e: str) -> str:
+    return f"trim({e}, {lit(PUNCTUATION)})"
+
+
+def digits(e: str) -> str:
+    return sub(e, r"^\p{Nd}+|\p{Nd}+\z")
+
+
+def one_pass(e: str) -> str:
+    e = short_suffix(short_suffix(collapse(ends(e)), "-"), "|")
+    return digits(punctuation(control(emoji(fix_quotes(e)))))
+
+
+def clean_text(expr: str, passes: int = 10) -> str:
+    start = quotes(boilerplate(hours(dates(urls(tags(hyphens(expr)))))))
+    blanks = ", ".join(["''"] * passes)
+    loop = f"list_reduce(list_prepend(s, [{blanks}]), lambda acc, y: {one_pass('acc')})"
+    return f"(list_transform([{start}], lambda s: CASE WHEN s = '' THEN s ELSE nullif({loop}, '') END))[1]"
 
 
 def tokens(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array({expr}, '[{P.WS}]+'), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, '[{SPACE}]+'), lambda x: x <> '')"
 
 
 def token_count(expr: str) -> str:
@@ -63,7 +119,7 @@ def rx_match(expr: str, portable_pattern: str, ignore_case: bool = True) -> str:
 
 
 def py_strip(expr: str) -> str:
-    return f"trim({expr}, {lit(P.WS_CHARS)})"
+    return f"trim({expr}, {lit(SPACES)})"
 
 
 def has_content(expr: str) -> str:
