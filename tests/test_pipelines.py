@@ -23,7 +23,7 @@ def model(spark):
 def test_entry_contract(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert df.columns == ["has_subject", "count"] and len(rows) >= 1
+    assert df.columns == ["content_source", "has_subject", "count"] and len(rows) >= 4
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 90
