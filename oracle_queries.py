@@ -579,7 +579,10 @@ FROM ({RAW})
 
 SQL["s1_read_table"] = "SELECT doc_id, text AS content, lang FROM documents"
 SQL["s2_read_splits"] = SQL["o7_split_stratified"]
-SQL["s3_load_labeled"] = f"SELECT text, labels, doc_id FROM ({TRAIN}) WHERE nullif(text, '') IS NOT NULL AND labels IS NOT NULL"
+SQL["s3_load_labeled"] = f"""
+SELECT text, labels, doc_id, split FROM ({split_stratified(TRAIN, 'doc_id', 'labels', 'doc_id, text, labels')})
+WHERE nullif(text, '') IS NOT NULL AND labels IS NOT NULL
+"""
 SQL["s4_write_columns"] = "SELECT doc_id AS row_id, text, lang, source FROM documents"
 SQL["s5_read_columns"] = "SELECT doc_id AS row_id, text, lang FROM documents"
 SQL["s6_reduce_columns"] = f"""

@@ -579,7 +579,11 @@ def s2_read_splits(spark, sf_dir):
 
 @query("s3_load_labeled")
 def s3_load_labeled(spark, sf_dir):
-    return IO.load_labeled(training_table(spark, sf_dir), "text", "labels")
+    """A directory of splits, loaded for training and shuffled."""
+    sp = O.split_stratified(training_table(spark, sf_dir), "doc_id", "labels").withColumnRenamed("text", "content")
+    path = IO.write_splits(sp, IO.scratch_path(spark, "s3"), by=("split",))
+    return IO.load_labeled_path(spark, path, "content", "labels", "doc_id long, content string, labels int", splits=True,
+                                shuffled=True)
 
 
 def _columns_store(spark, sf_dir):

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sampling import with_scalars
+from ..operators.sampling import downsample as _downsample
+from ..operators.sampling import shuffle, with_scalars
 from ..session import checkpoint_dir
 
 CSV_OPTIONS = {
@@ -55,7 +56,6 @@ def read_table(spark: SparkSession, path: str, schema=None, columns=None, rename
     if columns:
         df = df.select(*columns)
     if shuffle_key:
-        from ..operators.sampling import shuffle
         df = shuffle(df, shuffle_key, seed) if seed is not None else shuffle(df, shuffle_key)
     if rename:
         df = df.withColumnsRenamed(rename)
@@ -93,16 +93,26 @@ def read_splits(spark: SparkSession, path: str, schema=None, fmt: str = "csv") -
 
 
 def load_labeled(df: DataFrame, text_col: str, label_col: str, downsample: float | None = None,
-                 key: str = "doc_id") -> DataFrame:
+                 key: str = "doc_id", shuffled: bool = False) -> DataFrame:
     """S3: project to (text, labels); '' -> null; drop rows with any null;
-    optionally keep round(n * downsample) rows (seeded, O3)."""
+    optionally keep round(n * downsample) rows (seeded, O3) and shuffle them.
+
+    A `split` column stays, and each split is sampled for itself.
+    """
     out = df.select(F.nullif(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                    F.col(label_col).cast("int").alias("labels"), *[c for c in df.columns if c == key])
+                    F.col(label_col).cast("int").alias("labels"), *[c for c in (key, "split") if c in df.columns])
     out = out.na.drop(subset=["text", "labels"])
+    order = key if key in out.columns else "text"
     if downsample is not None:
-        from ..operators.sampling import downsample as _downsample
-        out = _downsample(out, key if key in out.columns else "text", downsample)
-    return out
+        out = _downsample(out, order, downsample, groups=[c for c in out.columns if c == "split"])
+    return shuffle(out, order) if shuffled else out
+
+
+def load_labeled_path(spark: SparkSession, path: str, text_col: str, label_col: str, schema=None, splits: bool = False,
+                      **options) -> DataFrame:
+    """S3 from a CSV table, or (`splits`) from a directory of splits; options as in ``load_labeled``."""
+    df = read_splits(spark, path, schema) if splits else read_table(spark, path, schema)
+    return load_labeled(df, text_col, label_col, **options)
 
 
 # ---- S4 / S5 / S6: column store ----
