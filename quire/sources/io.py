@@ -186,9 +186,21 @@ def with_field(schema: T.StructType, name: str, type_name: str) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField(name, dtype)])
 
 
-def read_run_logs(spark: SparkSession, path: str, multi_line: bool = True, schema=RUN_LOG) -> DataFrame:
-    """Run logs -> one row per log entry (run_path, pos, entry fields...)."""
-    df = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+# ---- FIXED VALUES: the log file of a run, by how it was trained ----
+LOG_FILES = {"finetuning": "trainer_state.json", "pet": "results.json"}
+
+
+def read_run_logs(spark: SparkSession, path: str, multi_line: bool = True, schema=RUN_LOG,
+                  training_type: str | None = None) -> DataFrame:
+    """Run logs -> one row per log entry (run_path, pos, entry fields...).
+
+    With `training_type`, `path` is a tree of run folders and only the files
+    that such runs log to are read.
+    """
+    reader = spark.read.schema(schema).option("multiLine", str(multi_line).lower())
+    if training_type is not None:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", LOG_FILES[training_type])
+    df = reader.json(path)
     df = df.withColumn("run_path", F.col("_metadata.file_path"))
     keep = [c for c in df.columns if c not in ("log_history",)]
     ex = df.select(*keep, F.posexplode("log_history").alias("pos", "entry"))

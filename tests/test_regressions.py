@@ -125,3 +125,22 @@ def test_errors_of_a_sweep_are_kept_whole(spark):
     splits = C.training_splits(spark, SF_SMALL)
     rows = LEARN.sweep(splits.where("split = 'train'"), splits.where("split = 'dev'"), [{"max_iter": -1}]).collect()
     assert rows[0]["status"] == "failed" and rows[0]["error"].endswith("maxIter given invalid value -1.")
+
+
+def test_run_logs_are_chosen_by_training_type(spark, tmp_path):
+    for run, name, f1 in (("a", "trainer_state.json", 0.5), ("a", "results.json", 0.1), ("b", "results.json", 0.7)):
+        folder = tmp_path / run / "training_logs"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text('{"global_step": 3, "log_history": [{"epoch": 1.0, "step": 3, "eval_f1": %s}]}' % f1)
+    got = {t: sorted(r["eval_f1"] for r in IO.read_run_logs(spark, str(tmp_path), training_type=t).collect())
+           for t in ("finetuning", "pet")}
+    assert got == {"finetuning": [0.5], "pet": [0.1, 0.7]}
+
+
+def test_splits_are_sampled_and_loaded_from_a_directory(spark):
+    t = spark.createDataFrame([(i, "" if i == 7 else f"text {i}", i % 2, "train" if i < 60 else "dev") for i in range(100)],
+                              "doc_id bigint, content string, labels int, split string")
+    path = IO.write_splits(t, IO.scratch_path(spark, "s3-test"), by=("split",))
+    out = IO.load_labeled_path(spark, path, "content", "labels", "doc_id long, content string, labels int", splits=True,
+                               downsample=0.5, shuffled=True)
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 30, "dev": 20}
