@@ -111,8 +111,8 @@ def hash_words_and_prefixes(col: pa.Array, table: np.ndarray, lengths) -> tuple[
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def slices(batches, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about SLICE_BYTES of text, or one longer text."""
+def slices(batches, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about `size` bytes of text, or one longer text."""
     at = None
     for batch in batches:
         if at is None:
@@ -122,7 +122,7 @@ def slices(batches, column: str = "text") -> Iterator[pa.RecordBatch]:
         _, offsets = text_buffer(batch.column(at))
         begin = 0
         while begin < len(batch):
-            end = int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, "right")) - 1
+            end = int(np.searchsorted(offsets, offsets[begin] + size, "right")) - 1
             end = min(max(end, begin + 1), len(batch))
             yield batch.slice(begin, end - begin)
             begin = end
