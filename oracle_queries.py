@@ -647,6 +647,14 @@ SQL["m3_positive_probability"] = f"""
 SELECT doc_id, CASE WHEN score >= 1 - score THEN score ELSE 1.0 - (1 - score) END AS probabilities_for_positive_label
 FROM ({SCORED})
 """
+SQL["m2_predicted_rows"] = f"""
+SELECT doc_id, labels, CAST(2 AS BIGINT) AS n_probabilities, true AS sums_to_one
+FROM ({split_stratified(TRAIN2, 'doc_id', 'labels', 'doc_id, labels')}) WHERE split = 'test'
+"""
+SQL["m6_fold_sizes"] = f"""
+SELECT CAST((rk - 1) % 10 AS INTEGER) AS fold, count(*) AS n_rows, CAST(sum(labels) AS BIGINT) AS n_positive
+FROM ({class_rank(TRAIN2, 'doc_id', 'labels', 'kfold')}) GROUP BY 1
+"""
 _SRC = {"trafilatura_title": ("trafilatura_title", "title"), "trafilatura_abstract": ("trafilatura_abstract", "abstract"),
         "trafilatura_fulltext": ("trafilatura_fulltext", "fulltext"), "translated_title": ("translation_title", "title")}
 SQL["i4_gate_report"] = "SELECT content_source, reason, count(*) AS n FROM (" + " UNION ALL ".join(

@@ -729,6 +729,15 @@ def m2_predict(spark, sf_dir):
     return LEARN.predict(test, fitted_model(spark, sf_dir), keep=["doc_id", "labels"])
 
 
+@query("m2_predicted_rows")
+def m2_predicted_rows(spark, sf_dir):
+    """Which rows M2 scores, with labels, and that each has two probabilities that sum to one."""
+    p = m2_predict(spark, sf_dir)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x["score"])
+    return p.select("doc_id", "labels", F.size("probabilities").cast("bigint").alias("n_probabilities"),
+                    (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
 @query("m3_positive_probability")
 def m3_positive_probability(spark, sf_dir):
     top = o2_top_label(spark, sf_dir)
@@ -753,6 +762,13 @@ def m6_cross_validate(spark, sf_dir):
     return LEARN.cross_validate(t, metric="f1")
 
 
+@query("m6_fold_sizes")
+def m6_fold_sizes(spark, sf_dir):
+    """The folds that M6 trains and validates on: rows and positives of each."""
+    folds = O.stratified_kfold(training_table(spark, sf_dir).select("doc_id", "labels"), "doc_id", "labels", 10)
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("labels").alias("n_positive"))
+
+
 @query("m7_sweep")
 def m7_sweep(spark, sf_dir):
     sp = training_splits(spark, sf_dir)
