@@ -43,7 +43,8 @@ class DigestIndex:
 
     def add(self, rows: DataFrame) -> None:
         """Append the digests of `rows` (digest, doc_id) that the index lacks, with their largest doc_id."""
-        first = rows.groupBy("digest").agg(F.max("doc_id").alias("doc_id"))
+        # stored, as the optimiser would else push the anti-join below the maxima, to all rows of a hot text
+        first = cut_lineage(rows.groupBy("digest").agg(F.max("doc_id").alias("doc_id")), "digests-first")
         new = first.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         (new.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.path)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
