@@ -1,10 +1,7 @@
-import os
-import sys
+"""Fixtures of these tests (not a conftest: the tests beside this folder import theirs by that name)."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SF = "/root/testdata/sf0.001"
 LONG = "all work and no play " * 30_000
 ODD = [(1, "the same text of six words", "a"), (2, None, "a"), (3, "", None), (4, LONG, "a"), (5, "x" * 200_000, "b"),

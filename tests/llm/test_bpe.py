@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 
 from llm import bpe
+from llm_fixtures import documents, none, odd, sf  # noqa: F401
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 

@@ -1,6 +1,7 @@
 import hashlib
 
 from llm import chat_format, queries
+from llm_fixtures import sf  # noqa: F401
 
 
 def sha(s):

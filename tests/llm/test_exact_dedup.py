@@ -2,6 +2,7 @@ import hashlib
 import uuid
 
 from llm import exact_dedup
+from llm_fixtures import documents, none, odd, sf  # noqa: F401
 
 
 def test_keeps_the_largest_id(documents):

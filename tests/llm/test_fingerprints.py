@@ -5,6 +5,7 @@ from brute import shingle_set
 from pyspark.sql import functions as F
 
 from llm import fingerprints
+from llm_fixtures import documents, none, odd, sf  # noqa: F401
 
 
 def edited(docs):

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from llm import mixing
+from llm_fixtures import documents, none, odd, sf  # noqa: F401
 
 
 def test_targets():

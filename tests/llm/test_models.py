@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from llm import quality, toxicity
+from llm_fixtures import labels, none, odd, sf  # noqa: F401
 
 MID = "/root/testdata/sf0.1"
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from llm import near_dedup, words
+from llm_fixtures import documents, none, odd, sf  # noqa: F401
 
 
 def found(df):

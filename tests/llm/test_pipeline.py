@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 
 from llm import bpe, mixing, toxicity
+from llm_fixtures import odd, sf  # noqa: F401
 
 
 def test_run(spark, sf):
