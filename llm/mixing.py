@@ -185,12 +185,15 @@ def mix_plan(docs: DataFrame) -> tuple[DataFrame, list[Plan], dict]:
     return sized, plans, fix(sized, plans)
 
 
+def _amounts(df: DataFrame, taken: Column | None = None) -> DataFrame:
+    taken = F.col("size") * F.col("copies") if taken is None else taken
+    return df.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies"),
+                     taken.cast("bigint").alias("taken"))
+
+
 def amounts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of `docs`."""
-    sized, plans, fixes = mix_plan(docs)
-    return copies(sized, plans, fixes).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies"),
-        (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of `docs`, as planned."""
+    return _amounts(copies(*mix_plan(docs)))
 
 
 def shard_of_draws(plans: list[Plan], shards: int) -> list[tuple]:
@@ -202,6 +205,21 @@ def shard_of_draws(plans: list[Plan], shards: int) -> list[tuple]:
             for (b, k), s in zip(d, np.repeat(np.arange(shards), q), strict=True)]
 
 
+def deal(rows: DataFrame, plans: list[Plan], fixes: dict, shards: int, key: str = "doc_id", of: str = "source") -> DataFrame:
+    """`rows` once for every drawn block that holds them, with `pass` and `shard`, shuffled in their shards."""
+    draws = _local(rows.sparkSession, shard_of_draws(plans, shards), "s string, b bigint, pass int, shard int")
+    known = copies(rows, plans, fixes, key, of).withColumn("h", hashed(F.col(key)))
+    known = known.withColumn("block", F.expr("shiftright(h, 63 - bits)")).where("copies > 0")
+    placed = known.join(F.broadcast(draws), F.col(of).eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+                        & (F.col("pass") < F.col("copies"))).drop("s", "b")
+    # a document that a fix adds where the last pass has not drawn its block has no draw of its own
+    drawn = F.col("passes") + F.expr("cutoff >= 0 and block <= shiftright(cutoff, 63 - bits)").cast("int")
+    added = known.where(F.col("copies") > drawn).withColumn("pass", F.explode(F.sequence(drawn, F.col("copies") - 1)))
+    added = added.withColumn("shard", (F.col("h") % shards).cast("int"))
+    return (placed.unionByName(added).repartition(shards, "shard")
+            .sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "shard", "h", "pass")))
+
+
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mix: rows of `docs`, as often as they are taken, dealt to shards and shuffled in them."""
     _, plans, fixes = mix_plan(docs)
@@ -209,13 +227,18 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         return docs
     whole = docs.select(F.struct(*docs.columns).alias("mixed"), F.col("doc_id").cast("bigint").alias("key"),
                         F.col("source").alias("of"))
-    taken = copies(whole, plans, fixes, "key", "of").withColumn("h", hashed(F.col("key")))
-    taken = taken.withColumn("block", F.expr("shiftright(h, 63 - bits)"))
-    taken = taken.where("copies > 0").withColumn("pass", F.explode(F.expr("sequence(0, copies - 1)")))
-    draws = _local(docs.sparkSession, shard_of_draws(plans, shards), "s string, b bigint, p int, shard int")
-    # a document that a fix adds has no draw of its own; it goes with its block's first one
-    placed = taken.join(F.broadcast(draws), F.col("of").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-                        & (F.col("pass") == F.col("p")), "left")
-    placed = placed.withColumn("shard", F.coalesce("shard", (F.col("h") % shards).cast("int")))
-    return (placed.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "shard", "h", "pass"))
-            .select("mixed.*"))
+    return deal(whole, plans, fixes, shards, "key", "of").select("mixed.*")
+
+
+def drawn_amounts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """What amounts() plans, counted from the stored shards of a mix; a row that differs is an error."""
+    sized, plans, fixes = mix_plan(docs)
+    planned = copies(sized, plans, fixes)
+    if not plans:
+        return _amounts(planned)
+    dealt = cut_lineage(deal(sized, plans, fixes, shards).select("row", "size", "pass", "shard"), "mix-shards")
+    held = dealt.groupBy("row").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("taken"))
+    found = planned.join(held, "row", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    found = found.withColumn("copies", F.when(F.col("held") == F.col("copies"), F.col("held")).otherwise(
+        F.raise_error(F.concat(F.lit("shards differ from the plan at doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
+    return _amounts(found, F.coalesce("taken", F.lit(0)))

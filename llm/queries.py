@@ -55,7 +55,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.amounts(table(spark, sf_dir, "documents"))
+    return mixing.drawn_amounts(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from llm import mixing
+from llm import mixing, queries
 from llm_fixtures import documents, none, odd, sf  # noqa: F401
 
 
@@ -63,3 +63,14 @@ def test_odd_rows(odd, none):
     assert len(rows) == 14 and mixing.amounts(none).count() == 0
     assert all(r["taken"] <= 2 * r["size"] for r in rows)
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(none).count() == 0
+
+
+def test_query_counts_what_the_shards_hold(documents, odd, none, sf, spark, monkeypatch):
+    for df in (documents, odd):
+        assert sorted(map(str, mixing.drawn_amounts(df).collect())) == sorted(map(str, mixing.amounts(df).collect()))
+    assert mixing.drawn_amounts(none).count() == 0
+    # a pass that is lost on the way to the shards must not go unseen
+    whole = mixing.shard_of_draws
+    monkeypatch.setattr(mixing, "shard_of_draws", lambda *a: [d for d in whole(*a) if d[2]])
+    with pytest.raises(Exception, match="shards differ from the plan"):
+        queries.op10_mixing(spark, sf).collect()
