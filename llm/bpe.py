@@ -18,6 +18,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -89,29 +90,31 @@ class Codec:
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
         self.cache: dict[str, bytes] = {}
 
-    def _encode_new(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE:
-            self.cache.clear()
-        merge = []
+    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
+        out, merge = {}, []
         for p in pieces:
             raw = p.encode()
             known = self.whole.get(raw)
             if known is None:
                 merge.append((p, raw.decode("latin-1").translate(self.characters)))
             else:
-                self.cache[p] = known
+                out[p] = known
         if merge:
             found = self.model.encode([c for _, c in merge], num_threads=1)
-            self.cache.update((p, np.array(ids, "<u4").tobytes()) for (p, _), ids in zip(merge, found, strict=True))
+            out.update((p, np.array(ids, "<u4").tobytes()) for (p, _), ids in zip(merge, found, strict=True))
+        return out
 
     def encode(self, text: str) -> bytes:
         pieces = self.pattern.findall(text)
-        new = [p for p in set(pieces) if p not in self.cache]
+        of = {p: self.cache.get(p) for p in set(pieces)}  # the cache may be emptied, the text's own pieces stay
+        new = [p for p, ids in of.items() if ids is None]
         if new:
-            self._encode_new(new)
-            if any(p not in self.cache for p in set(pieces)):  # the cache was emptied meanwhile
-                self._encode_new([p for p in set(pieces) if p not in self.cache])
-        return b"".join(map(self.cache.__getitem__, pieces))
+            found = self._encode_new(new)
+            of.update(found)
+            if len(self.cache) + len(found) > CACHE:
+                self.cache.clear()
+            self.cache.update(islice(found.items(), CACHE))
+        return b"".join(map(of.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

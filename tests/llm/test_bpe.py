@@ -48,6 +48,15 @@ def test_cache_is_bounded(library, monkeypatch):
         assert np.frombuffer(small.encode(t), "<u4").tolist() == library.encode_ordinary(t)
 
 
+def test_text_with_more_pieces_than_the_cache_and_some_cached(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 10)
+    small = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    for n in (5, 300, 8, 20):
+        t = " ".join(f"wordy{i}" for i in range(n))
+        assert np.frombuffer(small.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+        assert len(small.cache) <= 10
+
+
 def test_documents(documents, library, odd, none):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     for r in bpe.encode_documents(documents, PATH, public_tokenizers.PATTERN).collect():
