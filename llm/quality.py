@@ -3,7 +3,8 @@
 A text is cut into pieces of PIECE bytes; each is compressed with the dictionary of the good
 and with that of the bad texts. The difference of the compressed sizes, divided by the size
 of the text, says which dictionary knows it better. A logistic calibration on labelled texts
-that the dictionaries haven't seen turns it into the score (label 1 is good).
+that the dictionaries haven't seen turns it into the score (label 1 is good); each class
+weighs there as much as all its labels.
 
 Bounds, all parameters: at most SAMPLE labelled texts of each class reach the driver, the
 smallest by a hash of doc_id; every second one trains the dictionaries (SAMPLE_BYTES of
@@ -73,23 +74,24 @@ class Measure:
         return (bad - good) / max(sum(map(len, cut)), 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
-    """At most SAMPLE (label, text) of each class, in the order of a hash."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """At most SAMPLE (label, text) of each class, in the order of a hash; the labels of each class."""
     given = (labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int").alias("label"))
              .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.min("label").alias("label")))
     given = given.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
+    count = {0: 0, 1: 0} | {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
     some = [given.where(F.col("label") == y).orderBy("h", "doc_id").limit(SAMPLE) for y in (0, 1)]
     rows = docs.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")  # 2 * SAMPLE rows at most
-    return [(r[0], r[1]) for r in rows.orderBy("h", "doc_id", "text").select("label", "text").collect()]
+    return [(r[0], r[1]) for r in rows.orderBy("h", "doc_id", "text").select("label", "text").collect()], count
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+def calibrate(x: np.ndarray, y: np.ndarray, weight=1.0, steps: int = 100) -> tuple[float, float]:
     """(a, b) of sigmoid(a x + b), by Newton steps."""
     w, m = np.zeros(2), np.stack([x, np.ones(len(x))], 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(m @ w, -40, 40)))
-        step = np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + 1e-4 * np.eye(2), m.T @ (p - y) + 1e-4 * w)
+        step = np.linalg.solve((m * (weight * p * (1 - p))[:, None]).T @ m + 1e-4 * np.eye(2), m.T @ (weight * (p - y)) + 1e-4 * w)
         w -= np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-8:
             break
@@ -98,15 +100,16 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, fl
 
 def fit(docs: DataFrame, labels: DataFrame):
     """((good dictionary, bad dictionary) or None, a, b)."""
-    rows = sample(docs, labels)
+    rows, count = sample(docs, labels)
     by = {y: [t for label, t in rows if label == y] for y in (0, 1)}
     dictionaries = [dictionary(by[y][::2]) for y in (1, 0)]
     if None in dictionaries:
-        share = (len(by[1]) + 1) / (len(rows) + 1)
+        share = (count[1] + 1) / (count[0] + count[1] + 1)
         return None, 0.0, float(np.log(share / (1 - share))) if share < 1 else 40.0
     measure = Measure(*dictionaries)
     rest = [(measure(t), y) for y in (0, 1) for t in by[y][1::2]]
-    a, b = calibrate(np.array([x for x, _ in rest]), np.array([y for _, y in rest], float))
+    stands = np.array([max(count[y] / SAMPLE, 1.0) for _, y in rest])  # labels that a sampled one stands for
+    a, b = calibrate(np.array([x for x, _ in rest]), np.array([y for _, y in rest], float), stands)
     return tuple(dictionaries), a, b
 
 

@@ -5,7 +5,7 @@ toxic examples (positive) and any other documents (unlabelled) under the class-p
 corrected risk of Kiryo et al. 2017, ``prior * Rp+ + max(0, Ru- - prior * Rp-)``: where the
 second part falls below zero, a step climbs back instead of fitting the unlabelled toxic
 documents as clean. The class prior is the share of toxic rows among the labelled ones;
-they also calibrate the score (Platt).
+they also calibrate the score (Platt), each class weighing as much as all its labels.
 
 Bounds, all parameters: at most MAX_POSITIVE positives, MAX_UNLABELLED unlabelled documents
 and MAX_CALIBRATION other labelled ones reach the driver, each set being the smallest by a
@@ -57,14 +57,17 @@ def _features(batches):
              pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int32()))], ["label", "features"])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(label by row: 1, 0, or -1 for unlabelled; rows, features; class prior) of the training sample."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, tuple[float, float]]:
+    """(label by row: 1, 0, or -1 for unlabelled; rows, features; class prior; labels that a sampled
+    one of class 0 and of class 1 stands for) of the training sample."""
     given = (labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int").alias("label"))
              .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     given = given.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     h = F.xxhash64(F.lit(5), "doc_id")
-    share = given.agg(F.avg("label")).first()[0]
+    count, positive = given.agg(F.count("label"), F.sum("label")).first()
+    positive = positive or 0
+    stands = (max((count - positive) / MAX_CALIBRATION, 1.0), max(positive / MAX_POSITIVE, 1.0))
     ids = docs.where("doc_id is not null").select("doc_id", F.lit(-1).alias("label")).distinct()
     parts = [(given.where("label = 1"), MAX_POSITIVE), (given.where("label = 0"), MAX_CALIBRATION), (ids, MAX_UNLABELLED)]
     some = None
@@ -77,7 +80,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     lists = rows.column("features").combine_chunks()
     label = rows.column("label").to_numpy()
     row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()) if len(label) else 0)
-    return label, row, lists.flatten().to_numpy() if len(label) else np.zeros(0, np.int32), float(share or 0)
+    return label, row, lists.flatten().to_numpy() if len(label) else np.zeros(0, np.int32), positive / max(count, 1), stands
 
 
 def _log_loss(z):
@@ -132,9 +135,10 @@ def train(label, row, feature, prior: float, steps: int = 400, rate: float = 0.1
     return chosen, mean[:-1], mean[-1]
 
 
-def platt(z, y, steps: int = 100) -> tuple[float, float]:
+def platt(z, y, weight=None, steps: int = 100) -> tuple[float, float]:
     """(a, b) of sigmoid(a z + b) fitted by Newton steps with Platt's smoothed targets and a > 0."""
-    pos, neg = y.sum(), len(y) - y.sum()
+    weight = np.ones(len(y)) if weight is None else weight
+    pos, neg = weight[y == 1].sum(), weight[y == 0].sum()
     if not pos or not neg:
         return 1.0, 0.0
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -142,8 +146,8 @@ def platt(z, y, steps: int = 100) -> tuple[float, float]:
     c = np.array([1.0, 0.0])
     for _ in range(steps):
         s = _sigmoid(x @ c)
-        h = (x * (s * (1 - s))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (s - target))
+        h = (x * (weight * s * (1 - s))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (s - target)))
         c = c - np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
@@ -152,7 +156,7 @@ def platt(z, y, steps: int = 100) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame):
     """The model as (chosen features, weights, bias), calibrated; None without positives."""
-    label, row, feature, prior = sample(docs, labels)
+    label, row, feature, prior, stands = sample(docs, labels)
     if not (label == 1).any():
         return None
     chosen, w, b = train(label, row, feature, prior)
@@ -160,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     at[chosen] = w
     z = np.bincount(row, at[feature], len(label)) + b
     known = label >= 0
-    slope, shift = platt(z[known], label[known])
+    slope, shift = platt(z[known], label[known], np.array(stands)[label[known]])
     return chosen, w * slope, b * slope + shift
 
 

@@ -41,6 +41,31 @@ def test_labels_of_held_out_rows_are_not_read(spark):
         assert a == b
 
 
+def test_scores_do_not_move_with_the_calibration_bound(spark, monkeypatch):
+    docs, labels = read(spark, "/root/testdata/sf0.01")
+    _, weights, bias = toxicity.fit(docs, labels)
+    for bound in (20, 40):  # of more than 200 negatives
+        monkeypatch.setattr(toxicity, "MAX_CALIBRATION", bound)
+        _, w, b = toxicity.fit(docs, labels)
+        assert abs(b - bias) < 0.3 and 0.8 < np.abs(w).sum() / np.abs(weights).sum() < 1.25
+
+
+def test_quality_calibration_weighs_a_sample_as_all_its_labels():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.02, 0.02, 20000), rng.normal(-0.01, 0.02, 2000)
+    a, b = quality.calibrate(np.append(good, bad), np.repeat([1.0, 0.0], [20000, 2000]))
+    c, d = quality.calibrate(np.append(good[:2000], bad), np.repeat([1.0, 0.0], [2000, 2000]), np.repeat([10.0, 1.0], 2000))
+    assert abs(b - d) < 0.2 and abs(a - c) < 0.15 * a
+
+
+def test_quality_counts_labels_beyond_the_sample(spark, monkeypatch):
+    docs, labels = read(spark, "/root/testdata/sf0.01")
+    _, count = quality.sample(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE", 10)
+    rows, again = quality.sample(docs, labels)
+    assert len(rows) == 20 and again == count and count[1] > 100
+
+
 def test_quality_tells_held_out_documents_apart(spark):
     docs, labels = read(spark, MID)
     rows = quality.quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
