@@ -133,3 +133,33 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+#: Bytes of a text that are turned into words at a time by ``word_pieces``.
+PIECE_BYTES = 1 << 20
+_WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def word_pieces(data: bytes, table: bytes) -> Iterator[list[bytes]]:
+    """The words of one text in lists of about ``PIECE_BYTES`` each, whatever the text's length.
+
+    `table` maps every byte (``bytes.translate``): separators to white space, the rest to
+    what it counts as.
+    """
+    data = data.translate(table)
+    if len(data) <= PIECE_BYTES:
+        yield data.split()
+        return
+    begin = 0
+    while begin < len(data):
+        end = min(begin + PIECE_BYTES, len(data))
+        while end < len(data) and data[end] not in _WHITE:
+            end += 1
+        yield data[begin:end].split()
+        begin = end
+
+
+def byte_table(separators) -> bytes:
+    """The table of ``word_pieces`` that lower-cases A-Z and makes `separators` spaces."""
+    separators = set(separators)
+    return bytes(32 if b in separators else b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -50,5 +50,5 @@ def test_stages_keep_the_columns(spark, sf, odd):
 def test_registered_queries(spark):
     import __spark_entry__
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert "pipeline" in queries and len([q for q in queries if q.startswith("op")]) == 10
+    assert "pipeline" in queries and len([q for q in queries if q.startswith("op")]) == 13
     assert set(sql) <= set(queries)
