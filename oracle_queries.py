@@ -676,6 +676,57 @@ _PAGE_SRC = {"trafilatura_title": ("title", "title"), "trafilatura_abstract": ("
 SQL["i1_gate"] = gate_sql(RAW, _SRC)
 SQL["i2_gate"] = gate_sql(f"SELECT page_id AS doc_id, * FROM ({PAGE_FIELDS})", _PAGE_SRC)
 
+
+def first_epoch_sql(train: str, texts: str, keys) -> str:
+    """`keys`, prediction_id for `texts` (keys..., part, text), by a model of each `part` of `train` (part, doc_id, text, labels).
+
+    Words are lower-cased and hashed by CRC-32; the first epoch goes from zero weights down the
+    gradient of the class-weighted loss, each weight by its share of 1 / (curvature + penalty);
+    a text is relevant where its TF-IDF lies against that. The step's length does not matter for the sign.
+    """
+    keys = ", ".join(keys)
+    words = O.tokens("lower(text)")
+    return f"""
+WITH crc AS (
+  SELECT list(list_reduce([x, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY x) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS x FROM range(256))),
+train AS (SELECT part, doc_id, labels, {words} AS words FROM ({train}) WHERE text IS NOT NULL AND labels IN (0, 1)),
+texts AS (SELECT {keys}, part, row_number() OVER () AS row, {words} AS words FROM ({texts})),
+terms AS (SELECT DISTINCT unnest(words) AS word FROM train UNION SELECT DISTINCT unnest(words) FROM texts),
+spelled AS (
+  SELECT word, list_transform(range(1, CAST(length(hex(word)) / 2 AS BIGINT) + 1),
+    lambda i: 16 * (strpos('0123456789ABCDEF', hex(word)[2 * i - 1]) - 1) + strpos('0123456789ABCDEF', hex(word)[2 * i]) - 1) AS bytes FROM terms),
+buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295) % {1 << 18} AS bucket FROM spelled, crc),
+tf AS (
+  SELECT part, doc_id, labels, bucket, count(*) AS tf
+  FROM (SELECT part, doc_id, labels, unnest(words) AS word FROM train) JOIN buckets USING (word) GROUP BY ALL),
+size AS (SELECT part, labels, count(*) AS n_c, sum(count(*)) OVER (PARTITION BY part) AS n, count(*) OVER (PARTITION BY part) AS classes
+  FROM train GROUP BY part, labels),
+idf AS (SELECT part, bucket, ln((any_value(n) + 1) / CAST(count(DISTINCT doc_id) + 1 AS DOUBLE)) AS idf,
+    count(DISTINCT doc_id) / CAST(any_value(n) AS DOUBLE) AS share
+  FROM tf JOIN size USING (part, labels) GROUP BY part, bucket),
+gradient AS (SELECT part, bucket, sum(tf * (0.5 - labels) * n / CAST(classes * n_c AS DOUBLE)) * any_value(idf) * any_value(idf)
+    / (any_value(idf) * any_value(idf) * any_value(share) / 4 + 0.01) AS g
+  FROM tf JOIN size USING (part, labels) JOIN idf USING (part, bucket) GROUP BY part, bucket)
+SELECT {keys}, CAST(coalesce(sum(g), 0) < 0 AS INTEGER) AS prediction_id
+FROM (SELECT {keys}, part, row, unnest(words) AS word FROM texts) JOIN buckets USING (word) LEFT JOIN gradient USING (part, bucket)
+GROUP BY {keys}, row
+"""
+
+
+SQL["m2_first_epoch_ids"] = first_epoch_sql(f"SELECT 0 AS part, doc_id, text, labels FROM ({TRAIN})",
+                                            "SELECT doc_id, 0 AS part, text FROM documents WHERE text IS NOT NULL", ["doc_id"])
+SQL["i1_first_epoch_ids"] = first_epoch_sql(
+    f"SELECT doc_id % 2 AS part, doc_id, text, labels FROM ({TRAIN})",
+    f"""SELECT doc_id, content_source, bert_model_name, training_method, CASE training_method WHEN 'finetuning' THEN 0 ELSE 1 END AS part, text
+        FROM ({" UNION ALL ".join(
+            f"SELECT doc_id, '{s}' AS content_source, t AS text FROM (SELECT doc_id, {O.clean_text(c)} AS t FROM ({RAW})) "
+            f"WHERE t IS NOT NULL AND {O.gate_reason('t', ct)} IS NULL" for s, (c, ct) in _SRC.items())}),
+             (SELECT unnest({arr(BERT_MODELS)}) AS bert_model_name), (SELECT unnest({arr(TRAINING_METHODS)}) AS training_method)""",
+    ["doc_id", "content_source", "bert_model_name", "training_method"])
+
 # ------------------------------------------------------------------ E
 
 _E1_COLS = {"parsed_trafilatura_title": ("trafilatura_title", "title"),

@@ -172,7 +172,12 @@ def roc_curve(df: DataFrame, label: str = "labels", score: str = "score", by=())
     the kept points are ordered without a window over the whole curve.
     """
     by = list(by)
-    pts = score_points(df, label, score, by)
+    return curve_of(score_points(df, label, score, by), by)
+
+
+def curve_of(pts: DataFrame, by=()) -> DataFrame:
+    """A13 from ``score_points``."""
+    by = list(by)
     keep = (F.col("idx") == 0) | (F.col("idx") == F.col("last_idx")) | \
         (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     point = F.struct(F.col("idx"), F.col("score").alias("threshold"), _safe_div(F.col("fps"), F.col("N")).alias("fpr"),
@@ -189,7 +194,11 @@ def roc_auc(df: DataFrame, label: str = "labels", score: str = "score", by=()) -
     Trapezoids per distinct score: neg_i * (tps_i - pos_i / 2) / (N * P).
     """
     by = list(by)
-    pts = score_points(df, label, score, by)
+    return auc_of(score_points(df, label, score, by), by)
+
+
+def auc_of(pts: DataFrame, by=()) -> DataFrame:
+    """A14 from ``score_points``."""
     return pts.groupBy(*by).agg(
         _safe_div(F.sum(F.col("neg") * (F.col("tps") - F.col("pos") / 2.0)), F.max(F.col("N") * F.col("P"))).alias("auc"))
 

@@ -694,35 +694,110 @@ def s13_write_metrics(spark, sf_dir):
 
 from . import classify as CL  # noqa: E402
 from . import learn as LEARN  # noqa: E402
+from . import linear as LIN  # noqa: E402
 
 _MODELS = {}
 _SPLITS = {}
+#: Documents that a few-shot model ("pet_1000") learns from.
+FEW_SHOTS = 1000
 
 
-def training_splits(spark, sf_dir):
-    """Cleaned, split training table, written once per session and input
-    folder to the shared checkpoint folder; training, prediction and the
-    reports all read that table instead of re-cleaning."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def data_version(spark, sf_dir, names=("documents", "labels")):
+    """A checksum of the input files' names, sizes and times: what is kept of a session belongs to it."""
+    found = []
+    for name in names:
+        files = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        found.append(files.distinct().agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()[0])
+    return (spark.sparkContext.applicationId, sf_dir, *found)
+
+
+def training_contents(spark, sf_dir):
+    """Labelled documents with cleaned content columns and their split, written once
+    per session and state of the input to the shared checkpoint folder; training,
+    prediction and the reports all read that table instead of re-cleaning."""
+    key = data_version(spark, sf_dir)
     if key not in _SPLITS:
-        t = training_table(spark, sf_dir).withColumn("text", T.clean_text(F.col("text")))
-        _SPLITS[key] = cut_lineage(O.split_stratified(t, "doc_id", "labels"), "training-splits")
+        text = docs(spark, sf_dir, ("doc_id", "text", "lang"))
+        labels = table(spark, sf_dir, "labels", ["doc_id", "quality"]).withColumnRenamed("quality", "labels")
+        first = F.substring_index("text", "\n", 1)
+        columns = {"trafilatura_title": first, "trafilatura_abstract": F.get(F.split("text", "\n"), 1),
+                   "trafilatura_fulltext": F.col("text"), "translated_title": F.when(F.col("lang") == "en", first)}
+        wide = text.join(labels, "doc_id").select("doc_id", "labels", *[T.clean_text(c).alias(n) for n, c in columns.items()])
+        _SPLITS[key] = cut_lineage(O.split_stratified(wide, "doc_id", "labels"), "training-splits")
     return _SPLITS[key]
 
 
-def fitted_model(spark, sf_dir):
-    """One fitted pipeline per input folder and session (reused by M and I queries)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def training_splits(spark, sf_dir):
+    """The cleaned, split training table: (doc_id, text, labels, split), text being the full text."""
+    return training_contents(spark, sf_dir).select("doc_id", F.col("trafilatura_fulltext").alias("text"), "labels", "split")
+
+
+def fitted_models(spark, sf_dir):
+    """The registry of trained models, per state of the input and session (M and I queries share it).
+
+    A model per content source and training method -- "finetuning" learns from all training
+    rows, "pet_1000" from the FEW_SHOTS with the smallest hashes -- all trained in the same
+    passes over one stored table, saved under the names of run folders and loaded by them.
+    """
+    key = data_version(spark, sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = LEARN.train_classifier(training_splits(spark, sf_dir).where(F.col("split") == "train"))
+        train = training_contents(spark, sf_dir).where(F.col("split") == "train")
+        shots = train.select("doc_id").orderBy(O.hash32(F.col("doc_id"), salt="few-shot"), "doc_id").limit(FEW_SHOTS)
+        few = train.join(F.broadcast(shots.withColumn("few", F.lit(1))), "doc_id", "left")  # FEW_SHOTS rows
+        long = few.unpivot(["labels", "few"], list(J.CONTENT_SOURCES), "content_source", "text")
+        cells = [(s, t) for s in J.CONTENT_SOURCES for t in J.TRAINING_METHODS]
+        mask = F.lit(0)
+        for i, (s, t) in enumerate(cells):
+            mine = (F.col("content_source") == s) & (F.lit(t == "finetuning") | F.col("few").isNotNull())
+            mask = mask.bitwiseOR(F.when(mine, F.lit(1 << i)).otherwise(0))
+        training = LIN.fit_many(LIN.training_rows(long, "text", "labels", mask), [LIN.Spec()] * len(cells))
+        models = {f"{t}__{m}__{s}": fit.model(training.vocabulary) for (s, t), fit in zip(cells, training.fits) if not fit.error
+                  for m in J.BERT_MODELS[:1]}
+        names = {n.replace(J.BERT_MODELS[0], m): model for n, model in models.items() for m in J.BERT_MODELS}
+        _MODELS[key] = LIN.load_registry(spark, LIN.save_registry(spark, names, IO.scratch_path(spark, "registry")))
     return _MODELS[key]
 
 
+def fitted_model(spark, sf_dir):
+    """The registered model of full texts."""
+    return fitted_models(spark, sf_dir)[("trafilatura_fulltext", "xlmroberta", "finetuning")]
+
+
 @query("m1_train_classifier")
 def m1_train_classifier(spark, sf_dir):
     return LEARN.training_summary(fitted_model(spark, sf_dir), spark)
 
 
+def _epoch_log(spark, sf_dir):
+    """The log of a training run with epochs, as log rows."""
+    sp, path = training_splits(spark, sf_dir), IO.scratch_path(spark, "m1-run")
+    LEARN.train_by_epochs(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "dev"), path, max_iter=10, tol=0.0)
+    return RUNS.log_of_runs(spark, {("finetuning", "xlmroberta", "trafilatura_fulltext"): f"{path}/logs"})
+
+
+@query("m1_epoch_log")
+def m1_epoch_log(spark, sf_dir):
+    """O12 over the log of a real training run: dev metrics after each of ten epochs."""
+    return RUNS.metric_evolution(_epoch_log(spark, sf_dir))
+
+
+@query("m1_best_epoch")
+def m1_best_epoch(spark, sf_dir):
+    """O11 and J5 over the log of a real training run: its best step by dev F2 and the metrics at the best epoch."""
+    log = cut_lineage(_epoch_log(spark, sf_dir), "m1-log")
+    values = RUNS.value_at_epoch(log, RUNS.optimal_epochs(log, "eval_f_beta_2.0"))
+    return RUNS.best_and_latest_step(log, "eval_f_beta_2.0").crossJoin(values.select("metric", "value"))
+
+
+@query("m2_first_epoch_ids")
+def m2_first_epoch_ids(spark, sf_dir):
+    """Predicted ids of a model that has learned from all labelled documents for one epoch (a step down the
+    gradient), for every document with a word: features, weights and scoring against plain SQL."""
+    model = LEARN.train_classifier(training_table(spark, sf_dir), max_iter=1)
+    out = LEARN.predict(docs(spark, sf_dir), model, keep=["doc_id", "text"])
+    return out.where(T.token_count("text") > 0).select("doc_id", "prediction_id")
+
+
 @query("m2_predict")
 def m2_predict(spark, sf_dir):
     test = training_splits(spark, sf_dir).where(F.col("split") == "test")
@@ -798,13 +873,24 @@ def _page_docs(spark, sf_dir):
 @query("i1_classify")
 def i1_classify(spark, sf_dir):
     long = CL.document_contents(_raw_docs(spark, sf_dir))
-    return CL.classify(long, CL.one_model_for_all(fitted_model(spark, sf_dir)))
+    return CL.classify(long, fitted_models(spark, sf_dir))
+
+
+@query("i1_first_epoch_ids")
+def i1_first_epoch_ids(spark, sf_dir):
+    """I1 with a registry of two models, each of which has learned from half of the labelled documents
+    (even and odd doc_id) for one epoch: the predicted id of every kept content source that has a word."""
+    rows = LIN.training_rows(training_table(spark, sf_dir), "text", "labels", F.expr("if(doc_id % 2 = 0, 1, 2)"))
+    training = LIN.fit_many(rows, [LIN.Spec(max_iter=1)] * 2)
+    even, odd = (fit.model(training.vocabulary) for fit in training.fits)
+    registry = {(s, m, t): even if t == "finetuning" else odd for s, m, t in CL.one_model_for_all(even)}
+    out = CL.classify(CL.document_contents(_raw_docs(spark, sf_dir)), registry)
+    return out.where("kept").select("doc_id", "content_source", "bert_model_name", "training_method", "prediction_id")
 
 
 @query("i2_classify_documents")
 def i2_classify_documents(spark, sf_dir):
-    return CL.classify_documents(_page_docs(spark, sf_dir), CL.one_model_for_all(fitted_model(spark, sf_dir)),
-                                 tags=X.PAGE_TAGS)
+    return CL.classify_documents(_page_docs(spark, sf_dir), fitted_models(spark, sf_dir), tags=X.PAGE_TAGS)
 
 
 @query("i2_gate")
@@ -826,7 +912,7 @@ def i3_classify_stream(spark, sf_dir):
     base = IO.scratch_path(spark, "i3")
     _page_docs(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(f"{base}/incoming")
     return run_to_completion(spark, f"{base}/incoming", f"{base}/results", f"{base}/checkpoint",
-                             CL.one_model_for_all(fitted_model(spark, sf_dir)), tags=X.PAGE_TAGS)
+                             fitted_models(spark, sf_dir), tags=X.PAGE_TAGS)
 
 
 @query("i4_gate_report")

@@ -2,15 +2,15 @@
 
 A document carries up to four content sources. Markup, when present, is
 parsed once (X1) and *replaces* title, abstract and full text -- even with
-nulls. Every source is cleaned (T16), unpivoted to long rows, matched to the
-models trained on that source (J3, broadcast registry of fixed size), gated
-(F8) and only kept rows are scored. Everything up to the optional nested
-re-grouping is stateless, so the same function runs on a stream (I3).
+nulls. Every source is cleaned (T16), unpivoted to long rows, gated (F8), its
+words are hashed once, and one pass scores all distinct models of the registry
+that are meant for the source; then the rows are matched to the registry's
+entries (J3, broadcast registry of fixed size). Everything up to the optional
+nested re-grouping is stateless, so the same function runs on a stream (I3).
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ from ..functions.rules import quality_gate
 from ..functions.text import clean_text, content_type_col
 from ..operators.relate import CONTENT_SOURCES
 from ..session import cut_lineage
-from .learn import predict
+from . import linear
+from .learn import LABEL_NAMES, with_probabilities
 
 SOURCE_COLUMNS = {
     "trafilatura_title": "trafilatura_title",
@@ -39,45 +40,47 @@ def gate(long_df: DataFrame) -> DataFrame:
                                               F.col("_g.reason").alias("reason"))
 
 
-def _registry_df(spark, keys) -> DataFrame:
-    return spark.createDataFrame(sorted(keys), "content_source string, bert_model_name string, training_method string")
+def _registry_df(spark, rows) -> DataFrame:
+    return spark.createDataFrame(sorted(rows), "content_source string, bert_model_name string, training_method string, _m int")
 
 
 def classify(long_df: DataFrame, models: dict) -> DataFrame:
     """Gate, score kept rows, then fan out to the registered models.
 
     `models` maps (content_source, bert_model_name, training_method) -- the
-    registry -- to a fitted PipelineModel. The gate runs once per (document,
-    source) and each distinct model scores each text once; only then are the
-    rows multiplied out to registry entries, through a broadcast of the
-    registry rows (fixed size). Rejected rows get null prediction fields.
+    registry -- to a ``linear.LinearModel``; entries may share one. The gate
+    and the words of a text are computed once, and one pass over the rows
+    scores every distinct model that is registered for a row's source; only
+    then are the rows multiplied out to registry entries, through a broadcast
+    of the registry rows (fixed size). Rejected rows get null prediction fields.
 
     No filter is put on the gate result: Catalyst would push it below the
     projection and evaluate the gate twice. Rejected rows are instead scored
     on an empty text (trivial work) and their prediction fields nulled.
     """
     spark = long_df.sparkSession
-    gated = gate(long_df.select("doc_id", "content_source", "text"))
-    by_model = {}
-    for key, model in models.items():
-        by_model.setdefault(id(model), (model, []))[1].append(tuple(key))
-    if len(by_model) > 1 and not long_df.isStreaming:
-        # several models read one stored table: texts are cleaned and gated once
-        gated = cut_lineage(gated, "gated")
-    parts = []
-    for model, keys in by_model.values():
-        sources = sorted({k[0] for k in keys})
-        rows = gated.where(F.col("content_source").isin(*sources)) if len(by_model) > 1 else gated
-        rows = rows.withColumn("text", F.when(F.col("kept"), F.col("text")).otherwise(F.lit("")))
-        scored = predict(rows, model, keep=["doc_id", "content_source", "kept", "reason"])
-        scored = scored.select(
-            "doc_id", "content_source", "kept", "reason",
-            *[F.when(F.col("kept"), F.col(c)).alias(c) for c in ("prediction", "prediction_id", "probabilities")])
-        parts.append(scored.join(F.broadcast(_registry_df(spark, keys)), "content_source").select(*RESULT_COLUMNS))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    distinct, entries, sources = [], [], []
+    for key, model in sorted(models.items(), key=lambda x: x[0]):
+        at = next((i for i, m in enumerate(distinct) if m is model), None)
+        if at is None:
+            at = len(distinct)
+            distinct.append(model)
+            sources.append(set())
+        sources[at].add(key[0])
+        entries.append((*key, at))
+    if len({m.size for m in distinct}) != 1:
+        raise ValueError("the models of a registry share their number of features")
+    gated = gate(long_df.select("doc_id", "content_source", "text").where(F.col("content_source").isin(*{k[0] for k in models})))
+    made = gated.select("doc_id", "content_source", "kept", "reason",
+                        linear.features(F.when(F.col("kept"), F.col("text")), distinct[0].size).alias("f"))
+    if len(distinct) > 1 and not long_df.isStreaming:
+        # parsing, cleaning and the gate cost far more than the scores: what they give is stored
+        made = cut_lineage(made, "classify-words")
+    scored = linear.score(made, distinct, ["doc_id", "content_source", "kept", "reason"], "content_source", sources)
+    matched = scored.join(F.broadcast(_registry_df(spark, entries)), "content_source")
+    p = F.when(F.col("kept"), F.get("p", F.col("_m")))
+    keep = ["doc_id", "content_source", "bert_model_name", "training_method", "kept", "reason"]
+    return with_probabilities(matched.withColumn("p", p), F.col("p"), keep, LABEL_NAMES).select(*RESULT_COLUMNS)
 
 
 def document_contents(docs: DataFrame, markup_col: str = "xml_tei", tags=None) -> DataFrame:
@@ -124,7 +127,7 @@ def gate_report(docs: DataFrame, markup_col: str | None = None, tags=None) -> Da
     return gate(long).groupBy("content_source", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def one_model_for_all(model: PipelineModel) -> dict:
+def one_model_for_all(model: linear.LinearModel) -> dict:
     """Registry mapping every (source, model name, method) combination to one fitted model."""
     from ..operators.relate import BERT_MODELS, TRAINING_METHODS
     return {(s, m, t): model for s in CONTENT_SOURCES for m in BERT_MODELS for t in TRAINING_METHODS}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relate import logical_run_name
 from ..operators.reshape import CONTENTS, METHODS, MODELS, method_comparison, metric_grid, quoted
-from ..sources.io import CURVE_CHUNK, RUN_LOG, SPLIT_METRICS, read_run_logs, read_split_metrics, with_field
+from ..sources.io import CURVE_CHUNK, LOG_ENTRY, RUN_LOG, SPLIT_METRICS, read_run_logs, read_split_metrics, with_field
 from ..sources.tables import table
 
 # ---- FIXED VALUES: mapping of event types onto logged metrics ----
@@ -78,6 +78,21 @@ def run_metrics(spark, sf_dir: str) -> DataFrame:
     return run_log(spark, sf_dir).drop("metric", "value").join(own, "step")
 
 
+def log_of_runs(spark, runs: dict) -> DataFrame:
+    """Log rows of stored training runs: (method, model, content) -> the folder of its log."""
+    out = None
+    fields = [f.name for f in LOG_ENTRY.fields if f.name not in ("epoch", "step")]
+    for i, ((method, model, content), path) in enumerate(sorted(runs.items())):
+        log = read_run_logs(spark, path)
+        rows = log.select("epoch", "step", *[quoted(f) for f in fields]).unpivot(
+            ["epoch", "step"], [quoted(f) for f in fields], "metric", "value").where("value is not null")
+        rows = rows.select(F.lit(i).cast("bigint").alias("run_id"), F.lit(f"{i:02d}__{model}").alias("run_name"),
+                           F.lit(method).alias("method"), F.lit(model).alias("model"), F.lit(content).alias("content"),
+                           "step", F.col("epoch").cast("int").alias("epoch"), "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def best_and_latest_step(log: DataFrame, metric: str = "eval_f1", greater_is_better: bool = True) -> DataFrame:
     """Per run the latest step and the step with the best `metric`
     (ties go to the later step)."""
