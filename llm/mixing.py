@@ -11,10 +11,15 @@ shuffles them locally by a hash. All choices are hashes of (seed, doc_id) or dra
 by (seed, node): reruns agree, and nothing depends on the partitioning.
 
 The pass that stops does so at the document nearest the target; up to FIXES single
-documents per source are then added or left out where that comes nearer.
+documents per source are then added or left out where that comes nearer. An added document
+whose block isn't drawn in that pass is a draw of its own in the tree.
 
-Only one row per source and per block reaches the driver: MAX_SOURCES sources at most (more
-is an error) and about 2**BLOCK_BITS blocks in all.
+There are as many shards as the mix has SHARD_WORDS, up to MAX_SHARDS; each is one partition
+of the output. The place where a source's last pass stops is found by sums over cells of the
+hash, refined inside the cell that holds the target, so no task orders a source's rows.
+
+Only one row per source and per block or cell reaches the driver: MAX_SOURCES sources at
+most (more is an error) and about 2**BLOCK_BITS blocks, or cells of a step, in all.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order;
 sources without words have target 0 and give nothing; null doc_ids share a place in the
@@ -26,7 +31,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
@@ -37,7 +42,8 @@ from .common import word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-SHARDS = 64
+SHARD_WORDS = 1 << 21
+MAX_SHARDS = 1 << 14
 SEED = 17
 FIXES = 3
 BLOCK_BITS = 14
@@ -120,26 +126,47 @@ def plan(sized: DataFrame) -> list[Plan]:
                   *((int(t // size[s]), None) if size[s] else (0, None))) for s, t in targets(size).items()]
     if not plans:
         return plans
-    table = F.broadcast(_local(spark, [(p.source, p.bits, p.target - p.passes * p.size) for p in plans],
-                               "source string, bits int, want double"))  # MAX_SOURCES rows at most
-    known = sized.where("size > 0").withColumnRenamed("source", "s").join(
-        table, F.col("s").eqNullSafe(F.col("source"))).withColumn("block", F.expr("shiftright(h, 63 - bits)"))
-    blocks = known.groupBy("source", "bits", "want", "block").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("block")) - F.col("words")
-    stop = blocks.withColumn("before", before).where("before < want and before + words >= want")
-    stop = F.broadcast(stop.select(F.col("source").alias("t"), F.col("block").alias("u"), "before"))  # a row per source
-    inside = known.join(stop, F.col("t").eqNullSafe(F.col("source")) & (F.col("u") == F.col("block")))
-    steps = inside.groupBy("source", "want", "before", "h").agg(F.sum("size").alias("size"))
-    so_far = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h"))
-    # the last document whose middle is within the target; the one before the block's first otherwise
-    last = steps.withColumn("so_far", so_far).groupBy("source").agg(
-        F.coalesce(F.max(F.when(F.expr("so_far - size / 2 <= want"), F.col("h"))), F.min("h") - 1).alias("cutoff"))
-    cutoff = {r["source"]: r["cutoff"] for r in last.collect()}
+    cutoff = stops(sized.where("size > 0"), {p.source: p.target - p.passes * p.size for p in plans if p.size})
     for p in plans:
         p.cutoff = cutoff.get(p.source)
     return plans
 
 
+def stops(sized: DataFrame, want: dict) -> dict:
+    """source -> the last hash of a pass that stops nearest `want` words; sources that want none have none.
+
+    A step sums the words of the cells of a hash range and goes on inside the cell where the
+    sum reaches what is wanted, until that cell is one hash: it is taken if its middle is in.
+    """
+    spark = sized.sparkSession
+    # (first hash of the range, its bits, words before it)
+    open_, out = {s: (0, 63, 0) for s, w in want.items() if w > 0}, {}
+    while open_:
+        width = max(BLOCK_BITS - int(np.ceil(np.log2(len(open_)))), 1)
+        table = F.broadcast(_local(spark, [(s, low, bits) for s, (low, bits, _) in open_.items()],
+                                   "s string, low bigint, bits int"))  # MAX_SOURCES rows at most
+        inside = sized.join(table, F.col("source").eqNullSafe(F.col("s"))).where("shiftright(h, bits) = shiftright(low, bits)")
+        cells = inside.groupBy("s", F.expr(f"shiftright(h - low, greatest(bits - {width}, 0))").alias("cell")).agg(
+            F.sum("size").alias("words"), F.min("h").alias("first"), F.max("h").alias("last")).collect()  # about 2**BLOCK_BITS rows
+        by_source: dict = {}
+        for r in cells:
+            by_source.setdefault(r["s"], []).append((r["cell"], r["words"], r["first"], r["last"]))
+        left = {}
+        for s, (low, bits, before) in open_.items():
+            for cell, size, first, last in sorted(by_source[s]):
+                if before + size < want[s] and cell != max(c for c, *_ in by_source[s]):
+                    before += size
+                elif first == last:
+                    out[s] = first if before + size / 2 <= want[s] else first - 1
+                    break
+                else:
+                    step = max(bits - width, 0)
+                    left[s] = (low + (cell << step), step, before)
+                    break
+        open_ = left
+    return out
+
+
 def copies(df: DataFrame, plans: list[Plan], fixes: dict, key: str = "doc_id", of: str = "source") -> DataFrame:
     """`df` with the columns of its source's plan and `copies`; fixes: (source, doc_id) -> change."""
     spark = df.sparkSession
@@ -196,47 +223,62 @@ def amounts(docs: DataFrame) -> DataFrame:
     return _amounts(copies(*mix_plan(docs)))
 
 
-def shard_of_draws(plans: list[Plan], shards: int) -> list[tuple]:
-    """(source, block, pass, shard) of every block draw."""
+def shards_for(plans: list[Plan], words: int = SHARD_WORDS) -> int:
+    """A shard for each `words` of the targets."""
+    return int(min(max(-(-sum(p.target for p in plans) // words), 1), MAX_SHARDS))
+
+
+def shard_of_draws(plans: list[Plan], shards: int, extra: dict | None = None) -> list[tuple]:
+    """(source, block, pass, shard) of every block draw; extra: source -> more (block, pass) that are drawn."""
     draws = [[(b, k) for k in range(p.passes + 1) for b in range(2**p.bits)
-              if k < p.passes or (p.cutoff is not None and b <= p.cutoff >> (63 - p.bits))] for p in plans]
+              if k < p.passes or (p.cutoff is not None and b <= p.cutoff >> (63 - p.bits))]
+             + sorted((extra or {}).get(p.source, [])) for p in plans]
     quota = split(np.array([len(d) for d in draws]), shards)
     return [(p.source, b, k, int(s)) for p, d, q in zip(plans, draws, quota.T)
             for (b, k), s in zip(d, np.repeat(np.arange(shards), q), strict=True)]
 
 
-def deal(rows: DataFrame, plans: list[Plan], fixes: dict, shards: int, key: str = "doc_id", of: str = "source") -> DataFrame:
-    """`rows` once for every drawn block that holds them, with `pass` and `shard`, shuffled in their shards."""
-    draws = _local(rows.sparkSession, shard_of_draws(plans, shards), "s string, b bigint, pass int, shard int")
-    known = copies(rows, plans, fixes, key, of).withColumn("h", hashed(F.col(key)))
-    known = known.withColumn("block", F.expr("shiftright(h, 63 - bits)")).where("copies > 0")
-    placed = known.join(F.broadcast(draws), F.col(of).eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-                        & (F.col("pass") < F.col("copies"))).drop("s", "b")
-    # a document that a fix adds where the last pass has not drawn its block has no draw of its own
+def deal(rows: DataFrame, sized: DataFrame, plans: list[Plan], fixes: dict, shards: int, key: str = "doc_id",
+         of: str = "source") -> DataFrame:
+    """`rows` once for every drawn block that holds them, with `pass` and `shard`, shuffled in their shards.
+
+    `sized` are the rows that `plans` were made from.
+    """
+    def known(rows, key, of):
+        out = copies(rows, plans, fixes, key, of).withColumn("h", hashed(F.col(key)))
+        return out.withColumn("block", F.expr("shiftright(h, 63 - bits)")).where("copies > 0")
+
+    # a document that a fix adds where the last pass has not drawn its block is a draw of its own: FIXES a source at most
     drawn = F.col("passes") + F.expr("cutoff >= 0 and block <= shiftright(cutoff, 63 - bits)").cast("int")
-    added = known.where(F.col("copies") > drawn).withColumn("pass", F.explode(F.sequence(drawn, F.col("copies") - 1)))
-    added = added.withColumn("shard", (F.col("h") % shards).cast("int"))
-    return (placed.unionByName(added).repartition(shards, "shard")
+    extra: dict = {}
+    if fixes:
+        added = known(sized.select("doc_id", "source"), "doc_id", "source").where(F.col("copies") > drawn)
+        for r in added.select("source", "block", F.explode(F.sequence(drawn, F.col("copies") - 1)).alias("k")).distinct().collect():
+            extra.setdefault(r["source"], []).append((r["block"], r["k"]))
+    draws = _local(rows.sparkSession, shard_of_draws(plans, shards, extra), "s string, b bigint, pass int, shard int")
+    placed = known(rows, key, of).join(
+        F.broadcast(draws), F.col(of).eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("pass") < F.col("copies")))
+    return (placed.drop("s", "b").repartitionById(shards, F.col("shard"))
             .sortWithinPartitions("shard", F.xxhash64(F.lit(SEED), "shard", "h", "pass")))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mix: rows of `docs`, as often as they are taken, dealt to shards and shuffled in them."""
-    _, plans, fixes = mix_plan(docs)
+    sized, plans, fixes = mix_plan(docs)
     if not plans:
         return docs
     whole = docs.select(F.struct(*docs.columns).alias("mixed"), F.col("doc_id").cast("bigint").alias("key"),
                         F.col("source").alias("of"))
-    return deal(whole, plans, fixes, shards, "key", "of").select("mixed.*")
+    return deal(whole, sized, plans, fixes, shards or shards_for(plans), "key", "of").select("mixed.*")
 
 
-def drawn_amounts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def drawn_amounts(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """What amounts() plans, counted from the stored shards of a mix; a row that differs is an error."""
     sized, plans, fixes = mix_plan(docs)
     planned = copies(sized, plans, fixes)
     if not plans:
         return _amounts(planned)
-    dealt = cut_lineage(deal(sized, plans, fixes, shards).select("row", "size", "pass", "shard"), "mix-shards")
+    dealt = cut_lineage(deal(sized, sized, plans, fixes, shards or shards_for(plans)).select("row", "size", "pass", "shard"), "mix-shards")
     held = dealt.groupBy("row").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("taken"))
     found = planned.join(held, "row", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     found = found.withColumn("copies", F.when(F.col("held") == F.col("copies"), F.col("held")).otherwise(

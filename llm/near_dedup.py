@@ -18,7 +18,8 @@ shingles as their bitmaps differ in bits, which bounds the intersection from abo
 Defined cases: null text is empty; a text without words has an empty set and links with
 nothing; a text with fewer words than a shingle has the whole sequence as its one shingle;
 a null doc_id links with nothing and is kept; rows that repeat a doc_id count as one
-document; other columns are ignored; an empty table gives an empty result.
+document that all its texts link, one without words too; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,18 +90,22 @@ def signatures(docs: DataFrame, n: int, side: int, width: int) -> DataFrame:
             s, at = shingles(b.column(1), n)
             size = np.diff(at)
             small = small_hashes(s, at, 2 * side, width)
-            h1 = words.per_row(words.mix(s * np.uint64(0x9E3779B97F4A7C15)), at)
-            h2 = words.per_row(words.mix(s + np.uint64(0x632BE59BD9B4E019)), at)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                b.column(0), pa.array(size), *map(pa.array, _set_hashes(s, at)),
                 _lists(small.ravel(), np.concatenate([[0], np.cumsum((size > 0) * 2 * side)]))],
                 ["doc_id", "n", "h1", "h2", "small"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, small array<bigint>")
 
 
+def _set_hashes(s: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """128 bits of every row's set."""
+    return [words.per_row(words.mix(x), at).view(np.int64)
+            for x in (s * np.uint64(0x9E3779B97F4A7C15), s + np.uint64(0x632BE59BD9B4E019))]
+
+
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, shingles, bits): the shingle set and its parity bitmap."""
+    """(doc_id, n, h1, h2, shingles, bits): the shingle set, its hashes and its parity bitmap."""
     def run(batches):
         for b in words.slices(batches):
             s, at = shingles(b.column(1), n)
@@ -109,62 +114,65 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
             odd = (np.bincount(place, minlength=(len(at) - 1) * BITS) & 1).astype(np.uint8)
             bits = np.packbits(odd).view(np.uint64)
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(np.diff(at)), _lists(s, at),
-                _lists(bits, np.arange(len(at)) * LONGS)], ["doc_id", "n", "shingles", "bits"])
+                b.column(0), pa.array(np.diff(at)), *map(pa.array, _set_hashes(s, at)), _lists(s, at),
+                _lists(bits, np.arange(len(at)) * LONGS)], ["doc_id", "n", "h1", "h2", "shingles", "bits"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, shingles array<bigint>, bits array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, shingles array<bigint>, bits array<bigint>")
 
 
 def table_keys(reps: DataFrame, side: int) -> DataFrame:
-    """(doc_id, key) for the keys that combine small hashes which other documents have too.
+    """(cls, key) for the keys that combine small hashes which other documents have too.
 
     A document's key can only be shared if both halves are, so halves that nobody shares
     are dropped before the pairs are formed.
     """
-    halves = reps.select("doc_id", F.posexplode("small").alias("i", "v"))
+    halves = reps.select("cls", F.posexplode("small").alias("i", "v"))
     shared = halves.groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    mine = halves.join(shared, ["i", "v"]).groupBy("doc_id").agg(F.collect_list(F.struct("i", "v")).alias("h"))
+    mine = halves.join(shared, ["i", "v"]).groupBy("cls").agg(F.collect_list(F.struct("i", "v")).alias("h"))
     a, b = F.filter("h", lambda x: x["i"] < side), F.filter("h", lambda x: x["i"] >= side)
-    return mine.select("doc_id", F.explode(F.flatten(F.transform(
+    return mine.select("cls", F.explode(F.flatten(F.transform(
         a, lambda x: F.transform(b, lambda y: F.xxhash64(x["v"], y["v"]))))).alias("key"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    x = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    y = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(x, "a").join(y, "b")
             .where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"))
 
 
-def links(docs: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, label): components over all confirmed pairs that share a table key."""
+def links(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, label): components over all confirmed pairs of classes that share a table key."""
     text = id_and_text(docs)
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
+    first = keys.groupBy("key").agg(F.min("cls").alias("b"), F.max("cls").alias("last")).where("b < last")
     met = cut_lineage(keys.join(first.select("key", "b"), "key"), "near-keys")
-    ids = met.select("doc_id").distinct()
-    sets = cut_lineage(full_sets(text.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n), "near-sets")
-    star = met.select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+    # a class's set is made from the text of its smallest doc_id that has this very set
+    ids = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("doc_id"), "h1", "h2", "n")
+    made = full_sets(text.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), n)
+    sets = made.join(ids, ["doc_id", "h1", "h2", "n"]).dropDuplicates(["cls"]).select("cls", "n", "shingles", "bits")
+    sets = cut_lineage(sets, "near-sets")
+    star = met.select(F.col("cls").alias("a"), "b").where("a <> b").distinct()
     sure = cut_lineage(confirm(star, sets, percent), "near-links")
     label = components(sure, "near-stars")
 
     # what shares a bucket and is still apart
-    mine = (met.select("doc_id", "key").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .withColumn("label", F.coalesce("label", "doc_id")))
+    mine = (met.select("cls", "key").join(label.withColumnRenamed("node", "cls"), "cls", "left")
+            .withColumn("label", F.coalesce("label", "cls")))
     apart = mine.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     mine = mine.join(apart, "key", "left_semi").join(
-        sets.select("doc_id", "n", *[F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(LONGS)]), "doc_id")
+        sets.select("cls", "n", *[F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(LONGS)]), "cls")
     l, r = mine.alias("l"), mine.alias("r")
     differ = sum((F.bit_count(F.col(f"l.w{i}").bitwiseXOR(F.col(f"r.w{i}"))) for i in range(1, LONGS)),
                  F.bit_count(F.col("l.w0").bitwiseXOR(F.col("r.w0"))))
     total = F.col("l.n") + F.col("r.n")
     # |x & y| <= (|x| + |y| - differ) / 2, and similar pairs need 100 |x & y| >= percent |x | y|
     near = ((100 + percent) * (total - differ) >= 2 * percent * total)
-    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") > F.col("r.doc_id"))
+    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") > F.col("r.cls"))
                   & (F.col("l.label") != F.col("r.label")) & (100 * F.col("l.n") >= percent * F.col("r.n"))
                   & (100 * F.col("r.n") >= percent * F.col("l.n")) & near)
-    rest = rest.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+    rest = rest.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
     more = confirm(rest.join(star, ["a", "b"], "left_anti"), sets, percent)
     return components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "near-all")
 
@@ -173,21 +181,41 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
                     side: int = SIDE, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`."""
     base = cut_lineage(signatures(docs, n, side, width), "near-signatures")
-    same = base.groupBy("h1", "h2", "n").agg(
-        F.when(F.col("n") > 0, F.min("doc_id")).alias("rep"), F.count(F.lit(1)).alias("of"))
-    rows = cut_lineage(join_groups(base, same, ["h1", "h2", "n"], "of", base.count())
-                       .select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("small")).alias("small")),
-                       "near-classes")
-    reps = rows.where("small is not null").dropDuplicates(["doc_id"]).select("doc_id", "small")
-    label = links(docs, table_keys(reps, side), n, percent)
+    # equal sets are one class, whatever the doc_ids of its rows
+    same = base.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("of"))
+    classes = cut_lineage(same.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
+    joined = join_groups(base.where("n > 0"), classes, ["h1", "h2", "n"], "of", base.count())
+    rows = cut_lineage(joined.select("doc_id", "n", "cls", F.when(F.col("doc_id") == F.col("rep"), F.col("small")).alias("small"))
+                       .unionByName(base.where("n = 0").select("doc_id", "n", F.lit(None).cast("bigint").alias("cls"),
+                                                               F.lit(None).cast("array<bigint>").alias("small"))), "near-rows")
+    reps = rows.where("small is not null").dropDuplicates(["cls"]).select("cls", "small")
+    classes = classes.where("rep is not null")
+    label = links(docs, classes, table_keys(reps, side), n, percent)
     # rows of one doc_id are one document, whatever their texts
-    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("rep").alias("hi"), F.min("rep").alias("lo"))
-    if ids.where("hi <> lo").limit(1).count():
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("cls").alias("with_words"), F.count(F.lit(1)).alias("rows"))
+    many = ids.where("lo <> hi or (lo is not null and with_words < rows)").select("doc_id", "lo")
+    several = many.limit(1).count() > 0
+    if several:
+        many = cut_lineage(many, "near-many")
         edges = label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(
-            rows.where("rep is not null and doc_id is not null").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+            rows.where("cls is not null").select("doc_id", "cls").distinct().join(many, "doc_id").select(F.col("cls").alias("a"), F.col("lo").alias("b")))
         label = components(edges, "near-ids")
-    found = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
+    named = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    name = named.groupBy("label").agg(F.min("rep").alias("component"))
+    named = cut_lineage(named.join(name, "label").select("cls", "of", "component"), "near-names")
+    found = join_groups(rows.where("cls is not null").select("doc_id", "n", "cls"), named, ["cls"], "of", base.count()).select(
+        "doc_id", "n", "component")
+    if several:
+        wordless = rows.where("cls is null").select("doc_id", "n").join(many, "doc_id", "left")
+        found = found.unionByName(wordless.join(named.select(F.col("cls").alias("lo"), "component"), "lo", "left")
+                                  .select("doc_id", "n", "component"))
+    else:
+        found = found.unionByName(rows.where("cls is null").select("doc_id", "n", F.lit(None).cast("bigint").alias("component")))
+    # rows of a class without any doc_id
+    found = found.unionByName(rows.where("cls is not null and doc_id is null").join(classes.select("cls"), "cls", "left_anti")
+                              .select("doc_id", "n", F.lit(None).cast("bigint").alias("component")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -5,15 +5,21 @@ toxic examples (positive) and any other documents (unlabelled) under the class-p
 corrected risk of Kiryo et al. 2017, ``prior * Rp+ + max(0, Ru- - prior * Rp-)``: where the
 second part falls below zero, a step climbs back instead of fitting the unlabelled toxic
 documents as clean. The class prior is the share of toxic rows among the labelled ones;
-they also calibrate the score (Platt), each class weighing as much as all its labels.
+they also calibrate the score (Platt), each class weighing as much as all its labels. The
+calibration is cross-fitted: a labelled row is scored by a model whose FOLDS-th of the
+sample it was not in, so no positive calibrates a score that it was trained to have.
 
 Bounds, all parameters: at most MAX_POSITIVE positives, MAX_UNLABELLED unlabelled documents
-and MAX_CALIBRATION other labelled ones reach the driver, each set being the smallest by a
-hash of doc_id; FEATURES features are kept. Every document is scored over its whole text.
+and MAX_CALIBRATION other labelled ones are learned from, each set being the smallest by a
+hash of doc_id, one text for each doc_id; the FEATURES features that tell most are chosen by
+counts in Spark, and only which of them a sampled text has reaches the driver. Every
+document is scored over its whole text.
 
 Defined cases: null text is empty and gets the score of a document without features; labels
 that are null, or whose doc_id is null, count as no label; without positives in the training
-rows every score is 0; repeated rows are scored alike; an empty table gives an empty result.
+rows every score is 0; repeated rows are scored alike; of a doc_id with several texts one is
+learned from; ``keep_clean`` judges each row by its own text, whatever its doc_id; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 from . import words
 from .common import id_and_text
 
@@ -35,6 +43,7 @@ MIN_GAIN = 3.0
 MAX_POSITIVE = 4000
 MAX_CALIBRATION = 4000
 MAX_UNLABELLED = 12000
+FOLDS = 4
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -53,13 +62,13 @@ def _features(batches):
         row, f = present(b.column(b.schema.get_field_index("text")))
         at = np.searchsorted(row, np.arange(len(b) + 1))
         yield pa.RecordBatch.from_arrays(
-            [b.column(b.schema.get_field_index("label")),
-             pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int32()))], ["label", "features"])
+            [*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "label")),
+             pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int32()))], ["doc_id", "label", "features"])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, tuple[float, float]]:
-    """(label by row: 1, 0, or -1 for unlabelled; rows, features; class prior; labels that a sampled
-    one of class 0 and of class 1 stands for) of the training sample."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, tuple[float, float]]:
+    """(training sample (doc_id, label, features), stored; class prior; labels that a sampled one of class 0
+    and of class 1 stands for). label: 1, 0, or -1 for unlabelled."""
     given = (labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int").alias("label"))
              .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.max("label").alias("label")))
@@ -74,13 +83,67 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     for part, bound in parts:
         part = part.orderBy(h, "doc_id").limit(bound)
         some = part if some is None else some.unionByName(part)
-    # at most the sum of the three bounds
-    rows = docs.join(F.broadcast(some), "doc_id").select("text", "label").mapInArrow(
-        _features, "label int, features array<int>").toArrow()
-    lists = rows.column("features").combine_chunks()
-    label = rows.column("label").to_numpy()
-    row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()) if len(label) else 0)
-    return label, row, lists.flatten().to_numpy() if len(label) else np.zeros(0, np.int32), positive / max(count, 1), stands
+    # at most the sum of the three bounds, and one text each
+    rows = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.mapInArrow(_features, "doc_id bigint, label int, features array<int>")
+    return cut_lineage(rows, "toxicity-sample"), positive / max(count, 1), stands
+
+
+def part_of(key: str = "doc_id") -> Column:
+    """The part of the sample that a document's rows, labelled and unlabelled, are in."""
+    return F.pmod(F.xxhash64(F.lit(9), key), F.lit(FOLDS))
+
+
+def choose(rows: DataFrame, count: int) -> list[np.ndarray]:
+    """The `count` features whose presence differs most between positives and unlabelled rows:
+    over the whole sample, then without each of its parts. One count of the features serves all."""
+    rows = rows.where("label <> 0").withColumn("part", part_of())
+    found = rows.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows a part
+    sizes = {(r["part"], r["label"]): r["n"] for r in found}
+    each = [F.sum(((F.col("label") == y) & (F.col("part") == i)).cast("double")).alias(f"c{i}_{k}")
+            for i in range(FOLDS) for k, y in enumerate((-1, 1))]
+    counts = cut_lineage(rows.select("part", "label", F.explode("features").alias("feature")).groupBy("feature").agg(*each),
+                         "toxicity-counts")
+    out = []
+    for without in range(-1, FOLDS):
+        parts = [i for i in range(FOLDS) if i != without]
+        p, u = (sum(sizes.get((i, y), 0) for i in parts) for y in (1, -1))
+        if not p:
+            out.append(np.zeros(0, np.int64))
+            continue
+        pos = sum((F.col(f"c{i}_1") for i in parts), F.lit(0.0))
+        expected = (sum((F.col(f"c{i}_0") for i in parts), F.lit(0.0)) + 0.5) / max(u, 1) * p
+        gain = pos * F.log(F.greatest(pos, F.lit(0.5)) / expected) - (pos - expected)
+        best = (counts.select("feature", pos.alias("pos"), expected.alias("expected"), gain.alias("gain"))
+                .where((F.col("pos") >= min(3, p)) & (F.col("pos") >= 1.5 * F.col("expected")) & (F.col("gain") > MIN_GAIN))
+                .orderBy(F.desc("gain"), "feature").limit(count))
+        out.append(np.sort(np.array([r["feature"] for r in best.collect()], np.int64)))  # FEATURES at most
+    return out
+
+
+def matrix(rows: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part and label by row; rows and columns of the chosen features that the sampled texts have)."""
+    def run(batches):
+        for b in batches:
+            lists = b.column(2)
+            f, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            place = np.searchsorted(chosen, f)
+            hit = chosen[np.minimum(place, max(len(chosen) - 1, 0))] == f if len(chosen) else np.zeros(len(f), bool)
+            row = np.repeat(np.arange(len(b)), np.diff(at))[hit]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(row, np.arange(len(b) + 1)), pa.int32()), pa.array(place[hit].astype(np.int16)))],
+                ["part", "label", "at"])
+
+    rows = rows.select(part_of().alias("part"), "label", "features", "doc_id")
+    found = rows.mapInArrow(run, "part bigint, label int, at array<smallint>").toArrow()
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = found.column("at").combine_chunks()
+    label = found.column("label").to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
+    return found.column("part").to_numpy(), label, row, lists.flatten().to_numpy().astype(np.int64)
 
 
 def _log_loss(z):
@@ -91,28 +154,13 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def choose(label, row, feature, count: int) -> np.ndarray:
-    """The features whose presence differs most between positives and unlabelled rows."""
-    pos = np.bincount(feature[label[row] == 1], minlength=SPACE).astype(float)
-    unl = np.bincount(feature[label[row] == -1], minlength=SPACE).astype(float)
-    p, u = (label == 1).sum(), max((label == -1).sum(), 1)
-    expected = (unl + 0.5) / u * p
-    gain = np.where(pos >= min(3, p), pos * np.log(np.maximum(pos, 0.5) / expected) - (pos - expected), 0)
-    gain[pos < 1.5 * expected] = 0
-    best = np.argsort(-gain, kind="stable")[:count]
-    return np.sort(best[gain[best] > MIN_GAIN])
-
-
 def train(label, row, feature, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4):
-    """(features, weights, bias): logistic model under the non-negative PU risk (Adam, whole batch)."""
-    chosen = choose(label, row, feature, FEATURES)
-    at = np.full(SPACE, -1)
-    at[chosen] = np.arange(len(chosen))
-    hit = at[feature] >= 0
-    row, col = row[hit], at[feature[hit]]
-    n, k = len(label), len(chosen)
+    """(features that occur, weights, bias): logistic model under the non-negative PU risk (Adam, whole batch)."""
+    chosen, col = np.unique(feature, return_inverse=True)
+    k = len(chosen)
+    n = len(label)
     isp, isu = label == 1, label == -1
-    p, u = isp.sum(), max(isu.sum(), 1)
+    p, u = max(isp.sum(), 1), max(isu.sum(), 1)
     w = np.zeros(k + 1)
     w[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0
     m, v, mean = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
@@ -154,34 +202,60 @@ def platt(z, y, weight=None, steps: int = 100) -> tuple[float, float]:
     return (float(c[0]), float(c[1])) if c[0] > 0 else (1.0, 0.0)
 
 
+def cross_fitted(part, label, row, col, chosen: np.ndarray, allowed: list[np.ndarray], prior: float) -> np.ndarray:
+    """z of every row from a model whose features and weights come from the other parts of the sample.
+
+    `chosen` are the features behind `col`, `allowed` those chosen without each part.
+    """
+    z = np.zeros(len(label))
+    for i in range(FOLDS):
+        mine = part == i
+        number = np.cumsum(~mine) - 1
+        kept = ~mine[row] & np.isin(chosen, allowed[i])[col]
+        at, w, b = train(label[~mine], number[row[kept]], col[kept], prior)
+        dense = np.zeros(len(chosen))
+        dense[at] = w
+        z[mine] = (np.bincount(row, dense[col], len(label)) + b)[mine]
+    return z
+
+
 def fit(docs: DataFrame, labels: DataFrame):
     """The model as (chosen features, weights, bias), calibrated; None without positives."""
-    label, row, feature, prior, stands = sample(docs, labels)
+    rows, prior, stands = sample(docs, labels)
+    final, *allowed = choose(rows, FEATURES)
+    chosen = np.unique(np.concatenate([final, *allowed]))  # (FOLDS + 1) x FEATURES at most
+    part, label, row, col = matrix(rows, chosen)
     if not (label == 1).any():
         return None
-    chosen, w, b = train(label, row, feature, prior)
-    at = np.zeros(SPACE)
-    at[chosen] = w
-    z = np.bincount(row, at[feature], len(label)) + b
+    kept = np.isin(chosen, final)[col]
+    at, w, b = train(label, row[kept], col[kept], prior)
     known = label >= 0
+    z = cross_fitted(part, label, row, col, chosen, allowed, prior)
     slope, shift = platt(z[known], label[known], np.array(stands)[label[known]])
-    return chosen, w * slope, b * slope + shift
+    return chosen[at], w * slope, b * slope + shift
+
+
+def _scores(batch: pa.RecordBatch, text: int, model, at) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(batch))
+    row, f = present(batch.column(text))
+    f = at[f]
+    return _sigmoid(np.bincount(row[f >= 0], model[1][f[f >= 0]], len(batch)) + model[2])
+
+
+def _places(model) -> np.ndarray:
+    at = np.full(SPACE, -1, np.int32)
+    if model:
+        at[model[0]] = np.arange(len(model[0]))
+    return at
 
 
 def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
     """`docs` (doc_id, text, ...) as (doc_id, score)."""
     def run(batches):
-        at = np.full(SPACE, -1, np.int32)
-        if model:
-            at[model[0]] = np.arange(len(model[0]))
+        at = _places(model)
         for b in words.slices(batches):
-            if model is None:
-                s = np.zeros(len(b))
-            else:
-                row, f = present(b.column(1))
-                f = at[f]
-                s = _sigmoid(np.bincount(row[f >= 0], model[1][f[f >= 0]], len(b)) + model[2])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", column])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b, 1, model, at))], ["doc_id", column])
 
     return docs.mapInArrow(run, f"doc_id bigint, {column} double")
 
@@ -195,6 +269,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the documents that the model rejects."""
-    bad = toxicity(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of `docs` whose own text the model doesn't reject: no join, no shuffle."""
+    model = fit(id_and_text(docs), labels)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        at = _places(model)
+        for b in words.slices(batches):
+            yield b.filter(pa.array(_scores(b, text, model, at) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

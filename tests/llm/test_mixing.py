@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm import mixing, queries
 from llm_fixtures import documents, none, odd, sf  # noqa: F401
@@ -74,3 +75,47 @@ def test_query_counts_what_the_shards_hold(documents, odd, none, sf, spark, monk
     monkeypatch.setattr(mixing, "shard_of_draws", lambda *a: [d for d in whole(*a) if d[2]])
     with pytest.raises(Exception, match="shards differ from the plan"):
         queries.op10_mixing(spark, sf).collect()
+
+
+def test_every_shard_is_one_partition_and_holds_what_the_tree_gave_it(spark, documents, monkeypatch):
+    sized, plans, fixes = mixing.mix_plan(documents)
+    shards = 23
+    rows = mixing.deal(sized, sized, plans, fixes, shards).select("shard", "source", "block", "pass", F.spark_partition_id().alias("part")).collect()
+    assert {r["shard"] for r in rows} == {r["part"] for r in rows} and all(r["shard"] == r["part"] for r in rows)
+    assert len({r["part"] for r in rows}) == shards
+    # a draw is whole in one shard, also one that a fix has added
+    where = {}
+    for r in rows:
+        assert where.setdefault((r["source"], r["block"], r["pass"]), r["shard"]) == r["shard"]
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    words = sum(p.target for p in plans)
+    assert mixing.shards_for(plans, 5000) == -(-words // 5000)
+    assert mixing.shards_for(plans, 1) == mixing.MAX_SHARDS and mixing.shards_for(plans, 10**12) == 1
+
+
+def test_stops_are_the_nearest_hash(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(s, int(h), int(n)) for s in ("a", "b", None) for h, n in zip(rng.integers(0, 2**63, 300), rng.integers(1, 50, 300))]
+    rows += [("a", rows[5][1], 9), ("c", 2**63 - 1, 7), ("d", 0, 7), ("d", 1, 7)]
+    df = spark.createDataFrame(rows, "source string, h bigint, size bigint")
+    total = Counter()
+    for s, _, n in rows:
+        total[s] += n
+    for share in (0.0001, 0.3, 0.77, 1.0):
+        want = {s: n * share for s, n in total.items()}
+        plain = {}
+        for s in total:
+            by_hash = Counter()
+            for t, h, n in rows:
+                if t == s:
+                    by_hash[h] += n
+            so_far, plain[s] = 0, frozenset()
+            for h in sorted(by_hash):
+                so_far += by_hash[h]
+                if so_far - by_hash[h] / 2 <= want[s]:
+                    plain[s] |= {h}
+        for bits in (14, 3):
+            monkeypatch.setattr(mixing, "BLOCK_BITS", bits)
+            got = mixing.stops(df, want)
+            for s in total:
+                assert {h for t, h, _ in rows if t == s and h <= got[s]} == plain[s]

@@ -89,3 +89,54 @@ def test_odd_rows(spark, odd, none, labels, module):
         assert run(none, x).count() == 0
     kept = toxicity.keep_clean(odd, given)
     assert kept.columns == odd.columns
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    """A rejected text goes also without a doc_id, and takes no other row of its doc_id with it."""
+    docs, labels = read(spark, "/root/testdata/sf0.01")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs.select("doc_id", "text"), model).collect()}
+    bad = [d for d, s in scored.items() if s >= toxicity.THRESHOLD][:3]
+    good = [d for d, s in scored.items() if s < 0.2][:3]
+    assert bad and good
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    extra = spark.createDataFrame([(None, text[bad[0]]), (None, text[good[0]]), (good[1], text[bad[-1]]), (None, None)], "doc_id bigint, text string")
+    more = docs.select("doc_id", "text").unionByName(extra)
+    plan = toxicity.keep_clean(more, labels)
+    model = toxicity.fit(more, labels)
+    rejected = {t for t, s in ((r["text"], r["score"]) for r in toxicity.score(
+        more.selectExpr("doc_id", "text").dropDuplicates(["text"]), model).join(more, "doc_id").collect()) if s >= toxicity.THRESHOLD}
+    left = plan.collect()
+    assert text[bad[0]] not in {r["text"] for r in left}
+    assert any(r["doc_id"] is None and r["text"] == text[good[0]] for r in left)
+    assert any(r["doc_id"] == good[1] and r["text"] == text[good[1]] for r in left)
+    assert any(r["doc_id"] is None and r["text"] is None for r in left)
+    assert rejected and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_risk_and_calibration_against_plain_numpy():
+    """Training lowers the corrected risk below that of the best constant; parts never score themselves."""
+    rng = np.random.default_rng(2)
+    toxic = np.repeat([True, False], [300, 900])
+    x = rng.random((1200, 12)) < np.where(toxic[:, None] & (np.arange(12) < 4), 0.6, 0.15)
+    label = np.where(toxic & (np.arange(1200) < 200), 1, -1)
+    row, feature = np.nonzero(x)
+    prior = 0.1
+    at, w, b = toxicity.train(label, row, feature, prior)
+
+    def risk(z):
+        loss = lambda v: np.log1p(np.exp(-v))
+        positive, unlabelled = z[label == 1], z[label == -1]
+        return prior * loss(positive).mean() + max(0, loss(-unlabelled).mean() - prior * loss(-positive).mean())
+
+    z = x[:, at] @ w + b
+    assert risk(z) < min(risk(np.full(1200, c)) for c in np.linspace(-5, 5, 101))
+    assert z[toxic & (label == -1)].mean() > z[~toxic].mean() + 1
+    part = rng.integers(0, toxicity.FOLDS, 1200)
+    chosen = np.arange(12)
+    all_but = [chosen] * toxicity.FOLDS
+    crossed = toxicity.cross_fitted(part, label, row, feature, chosen, all_but, prior)
+    label2 = label.copy()
+    label2[part == 1] = -label2[part == 1]
+    again = toxicity.cross_fitted(part, label2, row, feature, chosen, all_but, prior)
+    assert np.allclose(crossed[part == 1], again[part == 1]) and not np.allclose(crossed[part == 0], again[part == 0])

@@ -64,3 +64,20 @@ def test_odd_rows(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.keep_one(odd)
     assert kept.columns == odd.columns and near_dedup.keep_one(none).count() == 0
+
+
+def test_one_id_of_two_texts_links_both(spark):
+    """Rows of one doc_id are one document: what is near either text is linked, and so are texts without words."""
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " word"), (3, b + " word"), (4, " ".join(f"c{i}" for i in range(50))), (1, ""), (5, ""),
+            (None, a), (None, "only here and without an id"), (6, b), (7, "x y z w v"), (7, None), (8, "x y z w v")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for n in (4, 5):
+        got = near_dedup.near_duplicates(df, n=n).collect()
+        assert len(got) == len(rows)
+        component = {}
+        for r in got:
+            component.setdefault(r["doc_id"], set()).add(r["component_id"])
+        assert component == {1: {1}, 2: {1}, 3: {1}, 6: {1}, 4: {4}, 5: {5}, None: {None}, 7: {7}, 8: {7}}
+        assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 1) == [0, 101 - n, 101 - n]
+    assert {r["doc_id"] for r in near_dedup.keep_one(df).collect()} == {None, 1, 4, 5, 7}
