@@ -915,6 +915,24 @@ def i3_classify_stream(spark, sf_dir):
                              fitted_models(spark, sf_dir), tags=X.PAGE_TAGS)
 
 
+@query("i3_nested_stream")
+def i3_nested_stream(spark, sf_dir):
+    """One nested result a page from a stream in which every page comes twice, five minutes apart in event
+    time: the repeated texts are dropped as already classified."""
+    from datetime import datetime, timedelta
+
+    from ..streaming import classify_stream as STREAM
+    base = IO.scratch_path(spark, "i3n")
+    docs, first = _page_docs(spark, sf_dir), datetime(2024, 1, 1)
+    minute = F.make_interval(mins=F.pmod(F.xxhash64("doc_id"), F.lit(30)).cast("int"))
+    timed = docs.withColumn("received", F.lit(first) + minute)
+    timed.unionByName(timed.withColumn("received", F.col("received") + F.expr("INTERVAL 5 MINUTES"))).repartition(4).write.parquet(
+        f"{base}/incoming")
+    STREAM.close_stream(spark, f"{base}/incoming", first + timedelta(days=1))
+    return STREAM.nested_to_completion(spark, f"{base}/incoming", f"{base}/results", f"{base}/checkpoint",
+                                       fitted_models(spark, sf_dir), tags=X.PAGE_TAGS)
+
+
 @query("i4_gate_report")
 def i4_gate_report(spark, sf_dir):
     return CL.gate_report(corpus(spark, sf_dir))

@@ -44,8 +44,8 @@ def _registry_df(spark, rows) -> DataFrame:
     return spark.createDataFrame(sorted(rows), "content_source string, bert_model_name string, training_method string, _m int")
 
 
-def classify(long_df: DataFrame, models: dict) -> DataFrame:
-    """Gate, score kept rows, then fan out to the registered models.
+def classify(long_df: DataFrame, models: dict, extra=()) -> DataFrame:
+    """Gate, score kept rows, then fan out to the registered models (J3); columns `extra` stay.
 
     `models` maps (content_source, bert_model_name, training_method) -- the
     registry -- to a ``linear.LinearModel``; entries may share one. The gate
@@ -70,25 +70,25 @@ def classify(long_df: DataFrame, models: dict) -> DataFrame:
         entries.append((*key, at))
     if len({m.size for m in distinct}) != 1:
         raise ValueError("the models of a registry share their number of features")
-    gated = gate(long_df.select("doc_id", "content_source", "text").where(F.col("content_source").isin(*{k[0] for k in models})))
-    made = gated.select("doc_id", "content_source", "kept", "reason",
+    gated = gate(long_df.select("doc_id", "content_source", "text", *extra).where(F.col("content_source").isin(*{k[0] for k in models})))
+    made = gated.select("doc_id", "content_source", "kept", "reason", *extra,
                         linear.features(F.when(F.col("kept"), F.col("text")), distinct[0].size).alias("f"))
     if len(distinct) > 1 and not long_df.isStreaming:
         # parsing, cleaning and the gate cost far more than the scores: what they give is stored
         made = cut_lineage(made, "classify-words")
-    scored = linear.score(made, distinct, ["doc_id", "content_source", "kept", "reason"], "content_source", sources)
+    scored = linear.score(made, distinct, ["doc_id", "content_source", "kept", "reason", *extra], "content_source", sources)
     matched = scored.join(F.broadcast(_registry_df(spark, entries)), "content_source")
     p = F.when(F.col("kept"), F.get("p", F.col("_m")))
-    keep = ["doc_id", "content_source", "bert_model_name", "training_method", "kept", "reason"]
-    return with_probabilities(matched.withColumn("p", p), F.col("p"), keep, LABEL_NAMES).select(*RESULT_COLUMNS)
+    keep = ["doc_id", "content_source", "bert_model_name", "training_method", "kept", "reason", *extra]
+    return with_probabilities(matched.withColumn("p", p), F.col("p"), keep, LABEL_NAMES).select(*RESULT_COLUMNS, *extra)
 
 
-def document_contents(docs: DataFrame, markup_col: str = "xml_tei", tags=None) -> DataFrame:
+def document_contents(docs: DataFrame, markup_col: str = "xml_tei", tags=None, extra=()) -> DataFrame:
     """I2, front half: parse markup where present, clean all four sources, unpivot.
 
     `tags` names the elements that hold the fields (X1's by default).
 
-    Output: (doc_id, content_source, text) for non-null cleaned sources.
+    Output: (doc_id, extra..., content_source, text) for non-null cleaned sources.
     """
     has = F.col(markup_col).isNotNull()
     parsed = docs.withColumn("_p", F.when(has, extract_fields(F.col(markup_col), tags)))
@@ -98,8 +98,8 @@ def document_contents(docs: DataFrame, markup_col: str = "xml_tei", tags=None) -
         "trafilatura_fulltext": F.when(has, F.col("_p.fulltext")).otherwise(F.col("trafilatura_fulltext")),
         "translated_title": F.col("translation_title"),
     }
-    wide = parsed.select("doc_id", *[clean_text(c).alias(name) for name, c in cols.items()])
-    long = wide.unpivot(["doc_id"], list(CONTENT_SOURCES), "content_source", "text")
+    wide = parsed.select("doc_id", *extra, *[clean_text(c).alias(name) for name, c in cols.items()])
+    long = wide.unpivot(["doc_id", *extra], list(CONTENT_SOURCES), "content_source", "text")
     return long.where(F.col("text").isNotNull())
 
 
@@ -113,8 +113,12 @@ def classify_documents(docs: DataFrame, models: dict, markup_col: str = "xml_tei
     out = classify(document_contents(docs, markup_col, tags), models)
     if not nested:
         return out
-    return out.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in RESULT_COLUMNS if c != "doc_id"]))
-                                     .alias("results"))
+    return out.groupBy("doc_id").agg(nested_results().alias("results"))
+
+
+def nested_results():
+    """The results of one document as an array, in the order of source, model and method."""
+    return F.sort_array(F.collect_list(F.struct(*[c for c in RESULT_COLUMNS if c != "doc_id"])))
 
 
 def gate_report(docs: DataFrame, markup_col: str | None = None, tags=None) -> DataFrame:
