@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import to_be_kept
 from ..functions.text import content_type, token_count
+from ..session import cut_lineage
 
 
 def has_subject(c) -> Column:
@@ -85,19 +86,24 @@ def value_counts(df: DataFrame, col: str = "has_subject", by=()) -> DataFrame:
 def _histogram_stats(df: DataFrame, value_col: str) -> DataFrame:
     """Histogram of distinct values with cumulative ranks and global totals.
 
-    The windows run over *distinct values* only (bounded by the value domain,
-    e.g. token counts), so no task ever holds the raw rows of a big group.
+    The distinct values are dealt to ranges of about the same size and stored with
+    their range; sums run inside a range plus the offset of the ranges before it, so
+    no task holds the whole histogram, however many distinct values there are.
     """
     hist = df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = cut_lineage(hist.repartitionByRange(parts, value_col).withColumn("_b", F.spark_partition_id()), "histogram")
+    ranges = hist.groupBy("_b").agg(F.sum("_n").alias("_bn"), F.sum(F.col(value_col) * F.col("_n")).alias("_bs"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    return hist.select(
-        value_col, "_n",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_lo"),
-        F.sum("_n").over(upto).alias("_hi"),
-        F.sum("_n").over(whole).alias("_tot"),
-        (F.sum(F.col(value_col) * F.col("_n")).over(whole) / F.sum("_n").over(whole)).alias("_mean"),
-    )
+    # one row per range: spark.sql.shuffle.partitions at most
+    offsets = ranges.select("_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"), F.sum("_bn").over(whole).alias("_tot"),
+                            (F.sum("_bs").over(whole) / F.sum("_bn").over(whole)).alias("_mean"))
+    upto = Window.partitionBy("_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = hist.withColumn("_hi", F.sum("_n").over(upto))
+    return local.join(F.broadcast(offsets), "_b").select(
+        value_col, "_n", (F.col("_off") + F.col("_hi") - F.col("_n")).alias("_lo"), (F.col("_off") + F.col("_hi")).alias("_hi"),
+        "_tot", "_mean")
 
 
 def _quantile_aggs(value_col: str, probs):

@@ -47,11 +47,9 @@ LOG_METRICS = ("eval_accuracy", "eval_f1", "eval_loss", "eval_precision", "eval_
 EPOCHS = 5
 
 
-def run_log(spark, sf_dir: str) -> DataFrame:
+def _event_rows(spark, sf_dir: str, metric, value) -> DataFrame:
+    """Events as log rows with the given metric and value, in one scan."""
     ev = table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value"])
-    metric = F.lit(None).cast("string")
-    for et, m in reversed(list(EVENT_METRIC.items())):
-        metric = F.when(F.col("event_type") == et, F.lit(m)).otherwise(metric)
     pick = lambda values, idx: F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
     uid = F.col("user_id")
     return ev.select(
@@ -63,19 +61,24 @@ def run_log(spark, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("step"),
         ((F.col("event_id") % EPOCHS) + 1).cast("int").alias("epoch"),
         metric.alias("metric"),
-        (F.col("value") / (F.col("value") + F.lit(50.0))).alias("value"),
+        value.alias("value"),
     )
 
 
+def run_log(spark, sf_dir: str) -> DataFrame:
+    metric = F.lit(None).cast("string")
+    for et, m in reversed(list(EVENT_METRIC.items())):
+        metric = F.when(F.col("event_type") == et, F.lit(m)).otherwise(metric)
+    return _event_rows(spark, sf_dir, metric, F.col("value") / (F.col("value") + F.lit(50.0)))
+
+
 def run_metrics(spark, sf_dir: str) -> DataFrame:
     """The log rows of the eight run metrics (same columns as ``run_log``)."""
-    ev = table(spark, sf_dir, "events", ["event_id", "event_type", "value"]).withColumnRenamed("event_id", "step")
-    odd = F.col("step") % 2 == 1
+    odd = F.col("event_id") % 2 == 1
     metric = F.lit(None).cast("string")
     for kind, (a, b) in EVENT_RUN_METRIC.items():
         metric = F.when(F.col("event_type") == kind, F.when(odd, F.lit(b)).otherwise(F.lit(a))).otherwise(metric)
-    own = ev.select("step", metric.alias("metric"), (F.col("value") / (F.col("value") + 5.0)).alias("value"))
-    return run_log(spark, sf_dir).drop("metric", "value").join(own, "step")
+    return _event_rows(spark, sf_dir, metric, F.col("value") / (F.col("value") + 5.0))
 
 
 def log_of_runs(spark, runs: dict) -> DataFrame:

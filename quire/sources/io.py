@@ -12,14 +12,17 @@ split-level parallelism, column pruning and predicate pushdown.
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sampling import downsample as _downsample
-from ..operators.sampling import shuffle, with_scalars
+from ..operators.sampling import hash32, shuffle, with_scalars
 from ..session import checkpoint_dir
 
 CSV_OPTIONS = {
@@ -68,28 +71,66 @@ def ingest_csv(spark: SparkSession, csv_path: str, parquet_path: str, schema=Non
     return spark.read.parquet(parquet_path)
 
 
-def read_splits(spark: SparkSession, path: str, schema=None, fmt: str = "csv") -> DataFrame:
+def _relative(path: str, files) -> tuple[str, list[str]]:
+    """(the root of `path` as the files' URIs have it, decoded; the files' decoded paths below it)."""
+    names = [unquote(f) for f in files]
+    authority = re.compile("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?")
+    want = "/" + authority.sub("", path).strip("/")
+    roots = set()
+    for name in names:
+        at = name.find(want, authority.match(name).end())
+        if at < 0 or name[at + len(want): at + len(want) + 1] not in ("", "/"):
+            raise ValueError(f"{name} is not below {path}")
+        roots.add(name[: at + len(want)])
+    root = roots.pop()
+    return root, [n[len(root) + 1:] for n in names]
+
+
+def read_splits(spark: SparkSession, path: str, schema=None, fmt: str = "csv", columns=None, rename=None,
+                shuffle_key: str | None = None, seed=None) -> DataFrame:
     """A directory whose entries are named after splits -> one table with `split`.
 
-    Each entry directly under `path` whose name contains 'train', 'test' or
-    'dev' contributes its rows to every split it names (three independent
-    tests, as in the original); other entries are ignored.
+    Each entry directly under `path` -- a file, or a folder of part files -- whose name
+    contains 'train', 'test' or 'dev' contributes its rows to every split it names (three
+    independent tests, as in the original); other entries are ignored, but a directory
+    without any that matches is an error, like a path that doesn't exist. Names are taken
+    from the files' decoded paths below `path`, so blanks, '%' and repeated names are
+    fine. Then, per split: keep `columns`, shuffle by `shuffle_key`, rename, in that
+    order. A single file is one table without `split`.
     """
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        raise ValueError(f"{path} is neither a file nor a directory")
     reader = spark.read.options(**CSV_OPTIONS) if fmt == "csv" else spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    if fs.isFile(jvm_path):
-        return reader.format(fmt).load(path)
-    df = reader.format(fmt).option("recursiveFileLookup", "true").load(path)
-    # the entry directly below `path` (a file, or a directory of part files)
-    anchor = path.rstrip("/").split("/")[-1] + "/"
-    rel = F.substring_index(F.substring_index(F.col("_metadata.file_path"), anchor, -1), "/", 1)
-    names = F.filter(F.array(*[F.lit(s) for s in SPLIT_NAMES]), lambda s: rel.contains(s))
-    return df.withColumn("split", F.explode(names))
+    try:
+        df = reader.format(fmt).option("recursiveFileLookup", "true").load(path)
+        files = df.inputFiles()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise ValueError(f"{path} is neither a file nor a directory") from e
+    if not files:
+        raise ValueError(f"{path} holds no files")
+    root, below = _relative(path, files)
+    split = []
+    if below != [""]:
+        entries = {b.split("/")[0] for b in below}
+        if not any(s in e for s in SPLIT_NAMES for e in entries):
+            raise ValueError(f"no entry of {path} is named after a split: {sorted(entries)[:20]}")
+        # a URI has '+' as it is, which url_decode would make a blank
+        decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        # file:/a and file:///a are the same place
+        local = F.regexp_replace(decoded, "^file:/+", "file:/")
+        start = len(re.sub("^file:/+", "file:/", root)) + 2
+        entry = F.substring_index(F.substr(local, F.lit(start)), "/", 1)
+        names = F.filter(F.array(*[F.lit(s) for s in SPLIT_NAMES]), lambda s: entry.contains(s))
+        df = df.withColumn("split", F.explode(names))
+        split = ["split"]
+    if columns:
+        df = df.select(*columns, *[c for c in split if c not in columns])
+    if shuffle_key:
+        order = [hash32(F.col(shuffle_key), **({} if seed is None else {"seed": seed}), salt="shuffle"), F.col(shuffle_key)]
+        df = df.orderBy(*split, *order)
+    return df.withColumnsRenamed(rename) if rename else df
 
 
 def load_labeled(df: DataFrame, text_col: str, label_col: str, downsample: float | None = None,
@@ -109,10 +150,11 @@ def load_labeled(df: DataFrame, text_col: str, label_col: str, downsample: float
 
 
 def load_labeled_path(spark: SparkSession, path: str, text_col: str, label_col: str, schema=None, splits: bool = False,
-                      **options) -> DataFrame:
-    """S3 from a CSV table, or (`splits`) from a directory of splits; options as in ``load_labeled``."""
-    df = read_splits(spark, path, schema) if splits else read_table(spark, path, schema)
-    return load_labeled(df, text_col, label_col, **options)
+                      columns=None, rename=None, **options) -> DataFrame:
+    """S3 from a CSV table, or (`splits`) from a directory of splits; `columns` and `rename` as in
+    ``read_splits`` (so `text_col` is the new name), other options as in ``load_labeled``."""
+    read = read_splits if splits else read_table
+    return load_labeled(read(spark, path, schema, columns=columns, rename=rename), text_col, label_col, **options)
 
 
 # ---- S4 / S5 / S6: column store ----
