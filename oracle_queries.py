@@ -752,4 +752,5 @@ def _e1_part(col: str, orig: str, ctype: str) -> str:
 
 
 SQL["e1_prepare"] = " UNION ALL ".join(_e1_part(c, o, t) for c, (o, t) in _E1_COLS.items())
+SQL["e1_prepare_files"] = SQL["e1_prepare"]
 SQL["e2_compare_runs"] = SQL["f10_select_runs"]

@@ -954,6 +954,15 @@ def e1_prepare(spark, sf_dir):
     return PREP.prepare(raw_with_markup(spark, sf_dir), few_shot=(50,))
 
 
+@query("e1_prepare_files")
+def e1_prepare_files(spark, sf_dir):
+    """E1 from a CSV table to written datasets and splits, read back."""
+    base = IO.scratch_path(spark, "e1")
+    raw = raw_with_markup(spark, sf_dir)
+    path = IO.write_csv(raw.select(*[c.strip().split()[0] for c in PREP.RAW_SCHEMA.split(",")]), f"{base}/input")
+    return PREP.split_table(spark, PREP.prepare_files(spark, path, f"{base}/out", few_shot=(50,)))
+
+
 @query("e2_compare_runs")
 def e2_compare_runs(spark, sf_dir):
     """Run files written and read back, compared, and the runs that are worth keeping."""

@@ -5,9 +5,9 @@ Parquet. Readers take explicit schemas where the layout is known (no
 inference pass over the data). Writers overwrite their target, as the
 original did when it replaced a directory.
 
-Multi-line CSV cannot be split by Spark, so large CSV inputs should be read
-once and kept as Parquet (``ingest_csv``); everything downstream then gets
-split-level parallelism, column pruning and predicate pushdown.
+Multi-line CSV cannot be split by Spark's reader; ``read_table`` cuts files into
+ranges of records itself (``records``). What is read more than once should still be
+kept as Parquet (``ingest_csv``), for column pruning and predicate pushdown.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from ..operators.sampling import downsample as _downsample
 from ..operators.sampling import hash32, shuffle, with_scalars
 from ..session import checkpoint_dir
+from . import records
 
 CSV_OPTIONS = {
     "header": "true",
@@ -51,11 +52,18 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, schema=None, columns=None, rename=None,
-               shuffle_key: str | None = None, seed=None) -> DataFrame:
-    """CSV -> keep `columns` -> seeded shuffle -> rename (in that order)."""
-    reader = spark.read.options(**CSV_OPTIONS)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "false")
-    df = reader.csv(path)
+               shuffle_key: str | None = None, seed=None, whole_files: bool = False) -> DataFrame:
+    """CSV -> keep `columns` -> seeded shuffle -> rename (in that order).
+
+    Files are cut into ranges of records (``records``), so one large file is read by many
+    tasks; `whole_files` reads each in one task, for files whose quotes aren't paired.
+    """
+    if whole_files:
+        reader = spark.read.options(**CSV_OPTIONS)
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "false")
+        df = reader.csv(path)
+    else:
+        df = records.read_csv(spark, path, schema if schema is not None else records.header_of(spark, path, CSV_OPTIONS), CSV_OPTIONS)
     if columns:
         df = df.select(*columns)
     if shuffle_key:
