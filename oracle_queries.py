@@ -566,6 +566,16 @@ def relevant_sql(expr: str) -> str:
 
 
 SQL["x4_relevant_sentences"] = f"SELECT doc_id, {relevant_sql('text')} AS sentences FROM documents"
+SQL["x4_abbreviations"] = rf"""
+WITH w AS (SELECT regexp_replace(unnest({O.tokens('lower(text)')}), '^[^\p{{L}}\p{{Nd}}]+|[,;:!?)\]\p{{Pf}}"'']+$', '', 'g') AS w FROM documents),
+c AS (SELECT CASE WHEN regexp_matches(w, '[^.]\.$') THEN w[:-2] ELSE w END AS word, regexp_matches(w, '[^.]\.$') AS stop FROM w),
+e AS (SELECT word, count(*) AS n, count(*) FILTER (stop) AS k FROM c WHERE word <> '' GROUP BY word),
+t AS (SELECT greatest(least(sum(k) / sum(n), 0.98), 1e-9) AS p FROM e),
+l AS (SELECT word, n, k, p, length(replace(word, '.', '')) AS letters FROM e, t)
+SELECT word, n, k, 2 * (k * (ln(0.99) - ln(p)) + (n - k) * (ln(0.01) - ln(1 - p))) * exp(-letters) * (length(word) - letters + 1)
+    * power(CAST(letters AS DOUBLE), -(n - k)) AS score
+FROM l WHERE k >= 2 AND letters >= 1 AND length(word) <= 12 AND regexp_matches(word, '^[\p{{L}}.]+$')
+"""
 SQL["x5_add_sentence_columns"] = f"""
 SELECT doc_id, trafilatura_abstract, trafilatura_fulltext,
        coalesce({relevant_sql('trafilatura_abstract')}, trafilatura_abstract)

@@ -9,6 +9,7 @@ Keyword search and sentence selection are native expressions.
 
 from __future__ import annotations
 
+import re
 import sys
 from html.parser import HTMLParser
 
@@ -140,29 +141,87 @@ def contains_keywords(c) -> Column:
 
 SENTENCE = r"([^.!?]+[.!?]*)"
 
-
-def sentences(c) -> Column:
-    """Paragraphs (non-empty lines, stripped) split by a rule-based sentence splitter."""
+# ---- learned abbreviations ----
+
+#: Abbreviations that are sent out, at most; longest word that may be one; least score and least count with a full stop.
+MAX_ABBREVIATIONS, MAX_LENGTH, LEAST_SCORE, LEAST_COUNT = 1000, 12, 0.3, 2
+#: What a sentence may begin with.
+OPENING = r"[\p{Lu}\p{Nd}\p{Pi}\p{Ps}\"'¿¡]"
+
+
+def abbreviation_scores(df: DataFrame, text: str) -> DataFrame:
+    """(word, n, k, score): words before a full stop, how often they occur, how often before one, and how
+    likely they are abbreviations.
+
+    The score is the log-likelihood ratio of Kiss and Strunk (2006) between "always before a full
+    stop" and "before one as often as any word", less for long words and for words that also
+    stand without one, more for inner full stops. Nothing is labelled; the words of all texts
+    are counted in Spark, with partial sums before the shuffle.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), f"[{P.WS}]+"), lambda w: w != "")
+    bare = df.select(F.explode(words).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}\p{Nd}]+|[,;:!?)\]\p{Pf}\"']+$", "").alias("w"))
+    stop = F.col("w").rlike(r"[^.]\.$")
+    counted = bare.select(F.when(stop, F.substr("w", F.lit(1), F.length("w") - 1)).otherwise(F.col("w")).alias("word"), stop.alias("stop"))
+    counted = counted.where(F.col("word") != "")
+    each = counted.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop").cast("bigint")).alias("k"))
+    total = each.agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"))
+    n, k, letters = F.col("n"), F.col("k"), F.length(F.replace("word", F.lit("."), F.lit("")))
+    p = F.greatest(F.least(F.col("_k") / F.col("_n"), F.lit(0.98)), F.lit(1e-9))
+    ratio = 2 * (k * (F.log(F.lit(0.99)) - F.log(p)) + (n - k) * (F.log(F.lit(0.01)) - F.log(1 - p)))
+    score = ratio * F.exp(-letters) * (F.length("word") - letters + 1) * F.pow(letters.cast("double"), -(n - k).cast("double"))
+    joined = each.withColumn("_o", F.lit(1)).join(F.broadcast(total.withColumn("_o", F.lit(1))), "_o")  # one row
+    some = (k >= LEAST_COUNT) & (letters >= 1) & (F.length("word") <= MAX_LENGTH) & F.col("word").rlike(r"^[\p{L}.]+$")
+    return joined.where(some).select("word", "n", "k", score.alias("score"))
+
+
+def learn_abbreviations(df: DataFrame, text: str, count: int = MAX_ABBREVIATIONS) -> list[str]:
+    """The `count` likeliest abbreviations of a corpus, without their last full stop."""
+    found = abbreviation_scores(df, text).where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "word").limit(count)
+    return sorted(r["word"] for r in found.collect())  # `count` words
+
+
+def sentence_break(abbreviations) -> str:
+    """The white space between two sentences: after `.`, `!`, `?` (and closing quotes or brackets), before what a
+    sentence may begin with; not after an abbreviation or an initial."""
+    known = "|".join(re.escape(w) for w in sorted(abbreviations, key=lambda w: (-len(w), w)))
+    after = rf"(?<![^\p{{L}}\p{{Nd}}.](?iu:{known})\.)(?<!^(?iu:{known})\.)" if known else ""
+    return rf"(?<=[.!?…][\"'\p{{Pf}}\p{{Pe}}]{{0,2}}){after}(?<![^\p{{L}}\p{{Nd}}]\p{{Lu}}\.)(?<!^\p{{Lu}}\.)[{P.WS}]+(?={OPENING})"
+
+
+def sentences(c, abbreviations=None) -> Column:
+    """Paragraphs (non-empty lines, stripped) split into sentences.
+
+    With `abbreviations` (``learn_abbreviations``) a sentence ends at white space between an
+    end mark and a beginning, but not after an abbreviation; without, at every run of
+    `.`, `!` or `?`.
+    """
     c = F.col(c) if isinstance(c, str) else c
     paras = F.filter(F.split(c, "\n"), lambda p: p != F.lit(""))
     strip = lambda x: F.btrim(x, F.lit(P.WS_CHARS))
-    per = F.transform(paras, lambda p: F.transform(F.regexp_extract_all(strip(p), F.lit(SENTENCE), 1), strip))
-    return F.flatten(per)
+    if abbreviations is None:
+        cut = lambda p: F.regexp_extract_all(strip(p), F.lit(SENTENCE), 1)
+    else:
+        cut = lambda p: F.split(strip(p), sentence_break(abbreviations))
+    return F.flatten(F.transform(paras, lambda p: F.transform(cut(p), strip)))
+
 
+def relevant_sentences(c, abbreviations=None) -> Column:
+    """Sentences holding a keyword, joined with '.'; none -> null.
 
-def relevant_sentences(c) -> Column:
-    """Sentences holding a keyword, joined with '.'; none -> null."""
-    kept = F.filter(sentences(c), lambda s: s.rlike(P.java(keyword_pattern(), ignore_case=True)))
+    Sentences of the learned splitter keep their end marks and are joined with a blank.
+    """
+    kept = F.filter(sentences(c, abbreviations), lambda s: s.rlike(P.java(keyword_pattern(), ignore_case=True)))
     # bind the filtered list once (it is used twice below)
-    return F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, F.array_join(k, ".")))[0]
+    glue = "." if abbreviations is None else " "
+    return F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, F.array_join(k, glue)))[0]
 
 
-def add_sentence_columns(df: DataFrame, cols=None, keep_content: bool = True) -> DataFrame:
+def add_sentence_columns(df: DataFrame, cols=None, keep_content: bool = True, abbreviations=None) -> DataFrame:
     """Keyword-sentence columns; fall back to the whole text or null."""
     cols = cols or ["parsed_trafilatura_abstract", "parsed_trafilatura_fulltext"]
     suffix = "keep_original_content" if keep_content else "only_relevant_sentences"
     out = {}
     for col in cols:
-        rel = relevant_sentences(F.col(col))
+        rel = relevant_sentences(F.col(col), abbreviations)
         out[f"sentence_with_keywords_{col}_{suffix}"] = F.coalesce(rel, F.col(col)) if keep_content else rel
     return df.withColumns(out)

@@ -549,6 +549,19 @@ def x4_relevant_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.relevant_sentences("text").alias("sentences"))
 
 
+@query("x4_abbreviations")
+def x4_abbreviations(spark, sf_dir):
+    """Words before a full stop in all documents, and how likely each is an abbreviation."""
+    return X.abbreviation_scores(docs(spark, sf_dir), "text")
+
+
+@query("x4_learned_sentences")
+def x4_learned_sentences(spark, sf_dir):
+    """X4 with a splitter that knows the abbreviations learned from all documents."""
+    d = docs(spark, sf_dir)
+    return d.select("doc_id", X.relevant_sentences("text", X.learn_abbreviations(d, "text")).alias("sentences"))
+
+
 @query("x5_add_sentence_columns")
 def x5_add_sentence_columns(spark, sf_dir):
     c = corpus(spark, sf_dir).select("doc_id", "trafilatura_abstract", "trafilatura_fulltext")
@@ -657,9 +670,9 @@ def s9_read_run_logs(spark, sf_dir):
 def s10_read_split_metrics(spark, sf_dir):
     """Per-fold ROC curves written as metric documents and read back."""
     folds = O.stratified_kfold(scored(spark, sf_dir), "doc_id", "labels", k=5)
-    roc = M.roc_curve(folds, "labels", "score", by=["fold"])
-    auc = M.roc_auc(folds, "labels", "score", by=["fold"]).withColumnRenamed("auc", "AUC")
-    path = IO.write_curve(roc, auc, IO.scratch_path(spark, "s10"), ["fold"])
+    points = cut_lineage(M.score_points(folds, "labels", "score", by=["fold"]), "fold-points")
+    auc = M.auc_of(points, ["fold"]).withColumnRenamed("auc", "AUC")
+    path = IO.write_curve(M.curve_of(points, ["fold"]), auc, IO.scratch_path(spark, "s10"), ["fold"])
     schema = IO.with_field(IO.with_field(IO.SPLIT_METRICS, "fold", "int"), "index", "array<bigint>")
     return IO.read_split_metrics(spark, path, multi_line=False, schema=schema, keep=["fold"]).drop("metrics_path")
 

@@ -17,7 +17,7 @@ import uuid
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,14 +200,39 @@ def write_datasets(long_df: DataFrame, path: str) -> str:
     return path
 
 
+def csv_line(df: DataFrame, columns) -> Column:
+    """A CSV record as text: numbers as they are, everything else in quotes (its quotes doubled), null as nothing."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def cell(c):
+        text = F.col(c).cast("string")
+        if not isinstance(kinds[c], T.NumericType):
+            text = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(text, F.lit(""))
+
+    return F.concat_ws(",", *map(cell, columns))
+
+
 def write_splits(df: DataFrame, path: str, by=("scheme", "content_source", "split"), fmt: str = "csv") -> str:
-    """<scheme>/<content_source>/<split> layout; CSV quotes non-numeric fields."""
+    """<scheme>/<content_source>/<split> layout; CSV quotes non-numeric fields and the header.
+
+    Spark's CSV writer quotes all fields or those that need it, so the records are written
+    as text, in folders ``part=<k>`` of one file each that begins with the header: the rows
+    of a split are dealt to as many of them as there are shuffle partitions.
+    """
     by = [c for c in by if c in df.columns]
-    w = df.write.mode("overwrite").partitionBy(*by)
-    if fmt == "csv":
-        w.options(**CSV_WRITE_OPTIONS).csv(path)
-    else:
-        w.format(fmt).save(path)
+    if fmt != "csv":
+        df.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
+        return path
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [c for c in df.columns if c not in by]
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in columns)
+    lines = df.select(*by, F.pmod(F.xxhash64(*columns), F.lit(parts)).alias("part"), csv_line(df, columns).alias("_line"))
+    # the rows of a folder are in one task already
+    first = F.row_number().over(Window.partitionBy(*by, "part").orderBy("part")) == 1
+    lines = lines.repartition(*by, "part").withColumn("_first", first)
+    value = F.when(F.col("_first"), F.concat(F.lit(header + "\n"), "_line")).otherwise(F.col("_line"))
+    lines.select(*by, "part", value.alias("value")).write.mode("overwrite").partitionBy(*by, "part").text(path)
     return path
 
 
