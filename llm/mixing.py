@@ -153,8 +153,9 @@ def stops(sized: DataFrame, want: dict) -> dict:
             by_source.setdefault(r["s"], []).append((r["cell"], r["words"], r["first"], r["last"]))
         left = {}
         for s, (low, bits, before) in open_.items():
-            for cell, size, first, last in sorted(by_source[s]):
-                if before + size < want[s] and cell != max(c for c, *_ in by_source[s]):
+            mine = sorted(by_source[s])
+            for cell, size, first, last in mine:
+                if before + size < want[s] and cell != mine[-1][0]:
                     before += size
                 elif first == last:
                     out[s] = first if before + size / 2 <= want[s] else first - 1
