@@ -183,7 +183,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
     base = cut_lineage(signatures(docs, n, side, width), "near-signatures")
     # equal sets are one class, whatever the doc_ids of its rows
     same = base.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("of"))
-    classes = cut_lineage(same.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
+    # numbered in the order of their smallest doc_ids, so that a bucket's smallest member is its first document
+    ordered = same.orderBy(F.col("rep").asc_nulls_last(), "h1", "h2", "n")
+    classes = cut_lineage(ordered.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
     joined = join_groups(base.where("n > 0"), classes, ["h1", "h2", "n"], "of", base.count())
     rows = cut_lineage(joined.select("doc_id", "n", "cls", F.when(F.col("doc_id") == F.col("rep"), F.col("small")).alias("small"))
                        .unionByName(base.where("n = 0").select("doc_id", "n", F.lit(None).cast("bigint").alias("cls"),
