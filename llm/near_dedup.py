@@ -143,38 +143,50 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"))
 
 
-def links(docs: DataFrame, classes: DataFrame, keys: DataFrame, n: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, reps: DataFrame, n: int, percent: int, side: int) -> DataFrame:
     """(node, label): components over all confirmed pairs of classes that share a table key."""
-    text = id_and_text(docs)
+    text, keys = id_and_text(docs), table_keys(reps, side)
     first = keys.groupBy("key").agg(F.min("cls").alias("b"), F.max("cls").alias("last")).where("b < last")
     met = cut_lineage(keys.join(first.select("key", "b"), "key"), "near-keys")
     # a class's set is made from the text of its smallest doc_id that has this very set
     ids = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("doc_id"), "h1", "h2", "n")
     made = full_sets(text.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), n)
-    sets = made.join(ids, ["doc_id", "h1", "h2", "n"]).dropDuplicates(["cls"]).select("cls", "n", "shingles", "bits")
-    sets = cut_lineage(sets, "near-sets")
+    sets = made.join(ids, ["doc_id", "h1", "h2", "n"]).join(reps, "cls").dropDuplicates(["cls"])
+    sets = cut_lineage(sets.select("cls", "n", "shingles", "bits", "small"), "near-sets")
     star = met.select(F.col("cls").alias("a"), "b").where("a <> b").distinct()
-    sure = cut_lineage(confirm(star, sets, percent), "near-links")
-    label = components(sure, "near-stars")
+    label = components(cut_lineage(confirm(star, sets, percent), "near-links"), "near-stars")
+    rest = rest_pairs(still_apart(met, label), sets, percent, side)
+    more = confirm(rest.join(star, ["a", "b"], "left_anti"), sets, percent)
+    return components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "near-all")
+
 
-    # what shares a bucket and is still apart
+def still_apart(met: DataFrame, label: DataFrame) -> DataFrame:
+    """(cls, key, label) of the buckets whose members are in more than one component."""
     mine = (met.select("cls", "key").join(label.withColumnRenamed("node", "cls"), "cls", "left")
             .withColumn("label", F.coalesce("label", "cls")))
     apart = mine.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    mine = mine.join(apart, "key", "left_semi").join(
-        sets.select("cls", "n", *[F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(LONGS)]), "cls")
+    return mine.join(apart, "key", "left_semi")
+
+
+def rest_pairs(mine: DataFrame, sets: DataFrame, percent: int, side: int) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components that pass both bounds.
+
+    A pair meets in as many buckets as it shares keys; it counts in the one of the first
+    small hash that both have in A and the first one in B, so it comes out once.
+    """
+    mine = mine.join(sets.select("cls", "n", "small", *[F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(LONGS)]), "cls")
     l, r = mine.alias("l"), mine.alias("r")
     differ = sum((F.bit_count(F.col(f"l.w{i}").bitwiseXOR(F.col(f"r.w{i}"))) for i in range(1, LONGS)),
                  F.bit_count(F.col("l.w0").bitwiseXOR(F.col("r.w0"))))
     total = F.col("l.n") + F.col("r.n")
     # |x & y| <= (|x| + |y| - differ) / 2, and similar pairs need 100 |x & y| >= percent |x | y|
     near = ((100 + percent) * (total - differ) >= 2 * percent * total)
-    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") > F.col("r.cls"))
-                  & (F.col("l.label") != F.col("r.label")) & (100 * F.col("l.n") >= percent * F.col("r.n"))
-                  & (100 * F.col("r.n") >= percent * F.col("l.n")) & near)
-    rest = rest.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
-    more = confirm(rest.join(star, ["a", "b"], "left_anti"), sets, percent)
-    return components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "near-all")
+    equal = F.zip_with("l.small", "r.small", lambda x, y: F.when(x == y, x))
+    one, two = (F.get(F.array_compact(F.slice(equal, at, side)), F.lit(0)) for at in (1, side + 1))
+    met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") > F.col("r.cls"))
+                 & (F.col("l.label") != F.col("r.label")) & (100 * F.col("l.n") >= percent * F.col("r.n"))
+                 & (100 * F.col("r.n") >= percent * F.col("l.n")) & near & (F.col("l.key") == F.xxhash64(one, two)))
+    return met.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
@@ -192,7 +204,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT,
                                                                F.lit(None).cast("array<bigint>").alias("small"))), "near-rows")
     reps = rows.where("small is not null").dropDuplicates(["cls"]).select("cls", "small")
     classes = classes.where("rep is not null")
-    label = links(docs, classes, table_keys(reps, side), n, percent)
+    label = links(docs, classes, reps, n, percent, side)
     # rows of one doc_id are one document, whatever their texts
     ids = rows.where("doc_id is not null").groupBy("doc_id").agg(
         F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("cls").alias("with_words"), F.count(F.lit(1)).alias("rows"))

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from llm import near_dedup, words
 from llm_fixtures import documents, none, odd, sf  # noqa: F401
@@ -81,3 +82,23 @@ def test_one_id_of_two_texts_links_both(spark):
         assert component == {1: {1}, 2: {1}, 3: {1}, 6: {1}, 4: {4}, 5: {5}, None: {None}, 7: {7}, 8: {7}}
         assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 1) == [0, 101 - n, 101 - n]
     assert {r["doc_id"] for r in near_dedup.keep_one(df).collect()} == {None, 1, 4, 5, 7}
+
+
+def test_a_pair_comes_out_of_one_bucket(spark):
+    """Pairs that share many keys are made once, and none of those that pass the bounds is left out."""
+    base = [f"w{i}" for i in range(200)]
+    docs = {i: " ".join(base[:4 * i] + [f"v{i}"] + base[4 * i + 1:]) for i in range(40)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    side = near_dedup.SIDE
+    reps = near_dedup.signatures(df, 5, side, near_dedup.WIDTH).select(F.col("doc_id").alias("cls"), "small")
+    keys = near_dedup.table_keys(reps, side)
+    sets = near_dedup.full_sets(df, 5).withColumnRenamed("doc_id", "cls").join(reps, "cls")
+    got = near_dedup.rest_pairs(keys.withColumn("label", F.col("cls")), sets, 80, side).collect()
+    shared = {}
+    for r in keys.collect():
+        shared.setdefault(r["key"], set()).add(r["cls"])
+    want = {(x, y) for c in shared.values() for x in c for y in c if x > y}
+    sets = {d: brute.shingle_set(t, 5) for d, t in docs.items()}
+    near = {(x, y) for x, y in want if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert len(near) > 700 and near <= {(r["a"], r["b"]) for r in got} <= want
+    assert len(got) == len({(r["a"], r["b"]) for r in got})
