@@ -79,3 +79,34 @@ def test_ngram_counts(spark, monkeypatch):
 def test_odd_rows(odd, none):
     check(odd)
     assert bloom_lm.scores(none).count() == 0
+
+
+def test_rarer_ngrams_keep_their_exact_counts(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "ENTRIES", 8)  # the filter has the n-grams of an eighth of the tokens or more
+    monkeypatch.setattr(bloom_lm, "GATHER", 20)
+    texts = ["a b a c", "a b a d", "a a b", "e f", "e f g", "", "h", "a b x y"] * 3
+    docs = [(i, t) for i, t in enumerate(texts)]
+    one, two = Counter(), Counter()
+    for d, t in docs:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            w = tokens(t)
+            one.update(w)
+            two.update(zip([None, *w], w))
+    total = sum(one.values())
+    least = total / 8
+
+    def count(c):
+        return bloom_lm.count_of(bloom_lm.level(c, least), least) if c >= least else c
+
+    def score(text):
+        out, w = 0.0, tokens(text)
+        for x, y in zip([None, *w], w):
+            c = count(two[x, y])
+            p2 = max(c - bloom_lm.DISCOUNT, 0) / max(count(one[x]), c, 1)
+            out += math.log10(bloom_lm.MIX * p2 + (1 - bloom_lm.MIX) * min((count(one[y]) or 0.5) / total, 1))
+        return out
+
+    assert 0 < sum(c < least for c in two.values()) < len(two)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.scores(df).collect()}
+    assert got == pytest.approx({d: score(t) for d, t in docs}, rel=1e-9)
