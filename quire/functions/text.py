@@ -107,8 +107,36 @@ def _any_of(phrases) -> str:
         parts = [f"\\x{{{ord(ch):x}}}{body(rest)}" for ch, rest in node.items()]
         return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
-    first = "".join(f"\\x{{{ord(ch):x}}}" for ch in tree)
-    return f"(?=[{first}]){body(tree)}"
+    # what may begin a phrase; common letters only with what follows them
+    hexed = lambda x: "".join(f"\\x{{{ord(ch):x}}}" for ch in x)
+    common = sorted({p[:4] for p in phrases if "a" <= p[0] <= "z"})
+    rare = [ch for ch in tree if not "a" <= ch <= "z"]
+    first = "|".join([f"[{hexed(rare)}]"] * bool(rare) + [hexed(x) for x in common])
+    return f"(?={first}){body(tree)}"
+
+
+def _has(s: Column, parts) -> Column:
+    out = F.contains(s, F.lit(parts[0]))
+    for x in parts[1:]:
+        out = out | F.contains(s, F.lit(x))
+    return out
+
+
+_WWW = tuple(f"{x}{y}{z}." for x in "wW" for y in "wW" for z in "wW")
+#: Plain tests without which a step changes nothing; a search for a few bytes costs far less than a pattern.
+_NEEDED = {
+    OP_HYPHENS: lambda s: _has(s, [c for c in HYPHEN_LIKE if c != "-"]),
+    OP_TAGS: lambda s: _has(s, "<"),
+    OP_URLS: lambda s: _has(s, ("://", *_WWW)),
+    OP_HOURS: lambda s: _has(s, ":"),
+    OPS_COLLAPSE_WS[1]: lambda s: _has(s, ("  ",)),
+    OPS_SHORT_SUFFIX[0]: lambda s: _has(s, "-"),
+    OPS_SHORT_SUFFIX[1]: lambda s: _has(s, "|"),
+    **{OPS_FIX_QUOTES[i]: lambda s: _has(s, "'\"") for i in (0, 1, 4)},
+    OP_DIGITS: lambda s: F.concat(F.left(s, F.lit(1)), F.right(s, F.lit(1))).rlike(f"[{_D}]"),
+}
+#: A match begins with a digit: told before the word bounds, which cost more.
+_AT_DIGIT = (OP_DATES, OP_ISO_DATES, OP_HOURS)
 
 
 def apply_op(c: Column, op) -> Column:
@@ -117,6 +145,7 @@ def apply_op(c: Column, op) -> Column:
         return F.translate(c, op[1], op[2] * len(op[1]))
     if kind == "regex":
         _, pat, repl, ic, uw = op
+        pat = f"(?=[{_D}])(?:{pat})" if op in _AT_DIGIT else pat
         return F.regexp_replace(c, P.java(pat, ignore_case=ic, unicode_words=uw), repl)
     if kind == "literal":
         return F.replace(c, F.lit(op[1]), F.lit(""))
@@ -133,6 +162,16 @@ def apply_ops(c: Column, ops) -> Column:
     return c
 
 
+def _where_needed(c: Column, ops) -> Column:
+    """``apply_ops``, but steps with a plain test leave texts that don't need them alone (a deeper expression)."""
+    def step(op):
+        return lambda s: F.when(_NEEDED[op](s), apply_op(s, op)).otherwise(s)
+
+    for op in ops:
+        c = F.transform(F.array(c), step(op))[0] if op in _NEEDED else apply_op(c, op)
+    return c
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -219,12 +258,13 @@ def _settled(head: Column, out: Column) -> Column:
 
     `head` is the text after the pass's white-space steps. If `out` is a
     stretch of it, nothing inside was deleted, so its white space is collapsed
-    still; ends that no step trims, no quotes and no short suffix leave
-    nothing to do. (Otherwise the next pass finds out.)
+    still; ends that no step trims, no quotes that a step takes out and no short
+    suffix leave nothing to do. (Otherwise the next pass finds out.)
     """
     ends = F.concat(F.left(out, F.lit(1)), F.right(out, F.lit(1)))
-    return (~ends.rlike(_END) & ~F.contains(out, F.lit("'")) & ~F.contains(out, F.lit('"')) & F.contains(head, out)
-            & (apply_ops(out, OPS_SHORT_SUFFIX) == out) & (out != F.lit("")))
+    quotes = _has(out, "'\"") & out.rlike(rf"""['"](?:['"]|[{_WS}]*:)""")
+    return (~ends.rlike(_END) & ~quotes & F.contains(head, out)
+            & (_where_needed(out, OPS_SHORT_SUFFIX) == out) & (out != F.lit("")))
 
 
 def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
@@ -243,10 +283,10 @@ def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
     """
     def step(acc):
         def tail(head):
-            return F.transform(F.array(apply_ops(head, PASS_TAIL)), lambda t: F.struct(
+            return F.transform(F.array(_where_needed(head, PASS_TAIL)), lambda t: F.struct(
                 t.alias("s"), ((t == acc["s"]) | _settled(head, t)).alias("done")))[0]
 
-        return F.when(acc["done"], acc).otherwise(F.transform(F.array(apply_ops(acc["s"], PASS_HEAD)), tail)[0])
+        return F.when(acc["done"], acc).otherwise(F.transform(F.array(_where_needed(acc["s"], PASS_HEAD)), tail)[0])
 
     def body(s):
         # the finish lambda turns '' into null on the bound variable; a
@@ -259,7 +299,7 @@ def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
         )
         return F.when(s == F.lit(""), s).otherwise(loop)
 
-    before = strip_boilerplate(apply_ops(_col(c), OPS_BEFORE_BOILERPLATE))
+    before = strip_boilerplate(_where_needed(_col(c), OPS_BEFORE_BOILERPLATE))
     return F.transform(F.array(apply_op(before, OP_QUOTES)), body)[0]
 
 
@@ -273,6 +313,11 @@ def tokens(c) -> Column:
     return F.filter(F.split(_col(c), f"[{_WS}]+"), lambda x: x != F.lit(""))
 
 
+def at_least_tokens(c, n: int) -> Column:
+    """Whether a text has `n` tokens (T18) or more, without splitting what follows them."""
+    return _col(c).rlike(rf"\A[{_WS}]*+(?:[^{_WS}]++[{_WS}]++){{{n - 1}}}[^{_WS}]")
+
+
 def token_count(c) -> Column:
     return F.coalesce(F.size(tokens(c)), F.lit(0)).cast("bigint")
 

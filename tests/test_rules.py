@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import rules as R
+from quire.functions import text as T
 from quire.operators.label import has_subject
 
 
@@ -88,3 +89,31 @@ def test_strict_rules_repair_the_quirks(spark):
 def test_strict_site_names_are_literal(spark):
     values = ["Products are good for you", "Products | Syngenta", "La Rioja hoy"]
     assert _eval(spark, values, lambda c: R.is_site_name(c, "strict")) == [False, True, False]
+
+
+def _gate_texts(spark):
+    ws = ["", " ", " ", " \t", "\n"]
+    texts = [f"{a}{b.join(['w'] * n)}{c}" for a in ws for b in ws for c in ws for n in range(7)]
+    texts += [None, "None", "x" * 20, "x" * 21, "x" * 21 + " y", " 404 not found here it is", "404 Not Found",
+              " Loading...", "a b c d cookie e", "a b\nc d cookie e f", " a b c\nd e your browser", "a b c d e f pdf",
+              "  Just a moment... a b c d", "HTTPSConnectionPool a b c d e f", " Menu Home Expert search Contact About AGUIA"]
+    return spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+
+
+def test_short_texts_are_told_without_making_their_words(spark):
+    df = _gate_texts(spark)
+    n = T.token_count("text")
+    old = F.when(F.col("text").isNull(), F.lit(True)).otherwise(F.when((n < 2) & (F.length("text") > 20), F.lit(False)).otherwise(n <= 4))
+    got = df.select("i", R.is_too_short("text").alias("new"), old.alias("old"))
+    assert got.where("not (new <=> old)").count() == 0
+    assert "split(" not in df.select(R.quality_gate("text", "title"))._jdf.queryExecution().toString()
+
+
+def test_gate_looks_for_errors_once(spark):
+    df = _gate_texts(spark)
+    for rules in ("compat", "intended", "strict"):
+        for kind in R.CONTENT_TYPES:
+            ok = R.to_be_kept("text", kind, False, rules)
+            old = F.when(R.is_error_message("text", rules), "Error message").when(~ok, "Parsing problem")
+            got = df.select(R.quality_gate("text", kind, rules)["reason"].alias("new"), old.alias("old"))
+            assert got.where("not (new <=> old)").count() == 0
