@@ -122,23 +122,41 @@ def _has(s: Column, parts) -> Column:
     return out
 
 
+#: Characters beside the letters themselves that patterns which ignore case take for i, i, s and k.
+_LIKE_ASCII = "\u0130\u0131\u017f\u212a"
+
+
+def may_hold(c, words) -> Column:
+    """False only where a text holds none of the (ASCII) `words` in any case: a cheap test before a pattern."""
+    low = F.transform(F.array(F.lower(_col(c))), lambda x: _has(x, [w.lower() for w in words]))[0]
+    return low | _has(_col(c), _LIKE_ASCII)
+
+
 _WWW = tuple(f"{x}{y}{z}." for x in "wW" for y in "wW" for z in "wW")
 #: Plain tests without which a step changes nothing; a search for a few bytes costs far less than a pattern.
 _NEEDED = {
-    OP_HYPHENS: lambda s: _has(s, [c for c in HYPHEN_LIKE if c != "-"]),
+    OP_HYPHENS: lambda s: (F.octet_length(s) != F.length(s)) & _has(s, [c for c in HYPHEN_LIKE if c != "-"]),
     OP_TAGS: lambda s: _has(s, "<"),
     OP_URLS: lambda s: _has(s, ("://", *_WWW)),
     OP_HOURS: lambda s: _has(s, ":"),
     OPS_COLLAPSE_WS[1]: lambda s: _has(s, ("  ",)),
-    OPS_SHORT_SUFFIX[0]: lambda s: _has(s, "-"),
-    OPS_SHORT_SUFFIX[1]: lambda s: _has(s, "|"),
     **{OPS_FIX_QUOTES[i]: lambda s: _has(s, "'\"") for i in (0, 1, 4)},
     OP_DIGITS: lambda s: F.concat(F.left(s, F.lit(1)), F.right(s, F.lit(1))).rlike(f"[{_D}]"),
 }
+#: Steps that look at the end of a text only.
+_SUFFIX_OF = dict(zip(OPS_SHORT_SUFFIX, "-|"))
 #: A match begins with a digit: told before the word bounds, which cost more.
 _AT_DIGIT = (OP_DATES, OP_ISO_DATES, OP_HOURS)
 
 
+def _short_suffix(s: Column, sep: str) -> tuple[Column, Column]:
+    """(whether a short suffix is to be cut, the text without it): only what follows the last `sep` is matched."""
+    tail = F.substring_index(s, sep, -1)
+    tok = rf"[^{_WS}]++"
+    cut = F.contains(s, F.lit(sep)) & tail.rlike(rf"\A(?:[{_WS}]++|[{_WS}]*+{tok}(?:[{_WS}]++{tok}){{0,2}}+[{_WS}]*+)\z")
+    return cut, F.left(s, F.length(s) - F.length(tail) - 1)
+
+
 def apply_op(c: Column, op) -> Column:
     kind = op[0]
     if kind == "translate":
@@ -165,10 +183,12 @@ def apply_ops(c: Column, ops) -> Column:
 def _where_needed(c: Column, ops) -> Column:
     """``apply_ops``, but steps with a plain test leave texts that don't need them alone (a deeper expression)."""
     def step(op):
+        if op in _SUFFIX_OF:
+            return lambda s: F.when(_short_suffix(s, _SUFFIX_OF[op])[0], _short_suffix(s, _SUFFIX_OF[op])[1]).otherwise(s)
         return lambda s: F.when(_NEEDED[op](s), apply_op(s, op)).otherwise(s)
 
     for op in ops:
-        c = F.transform(F.array(c), step(op))[0] if op in _NEEDED else apply_op(c, op)
+        c = F.transform(F.array(c), step(op))[0] if op in _NEEDED or op in _SUFFIX_OF else apply_op(c, op)
     return c
 
 
@@ -264,7 +284,7 @@ def _settled(head: Column, out: Column) -> Column:
     ends = F.concat(F.left(out, F.lit(1)), F.right(out, F.lit(1)))
     quotes = _has(out, "'\"") & out.rlike(rf"""['"](?:['"]|[{_WS}]*:)""")
     return (~ends.rlike(_END) & ~quotes & F.contains(head, out)
-            & (_where_needed(out, OPS_SHORT_SUFFIX) == out) & (out != F.lit("")))
+            & ~_short_suffix(out, "-")[0] & ~_short_suffix(out, "|")[0] & (out != F.lit("")))
 
 
 def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
@@ -281,12 +301,15 @@ def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
     bind each intermediate string once, so the expression tree stays linear in
     the number of steps.
     """
+    # no step brings in other white space than blanks: it becomes blanks once, before the passes, with the quotes
+    head_ops = tuple(op for op in PASS_HEAD if op is not OPS_COLLAPSE_WS[0])
+
     def step(acc):
         def tail(head):
             return F.transform(F.array(_where_needed(head, PASS_TAIL)), lambda t: F.struct(
                 t.alias("s"), ((t == acc["s"]) | _settled(head, t)).alias("done")))[0]
 
-        return F.when(acc["done"], acc).otherwise(F.transform(F.array(_where_needed(acc["s"], PASS_HEAD)), tail)[0])
+        return F.when(acc["done"], acc).otherwise(F.transform(F.array(_where_needed(acc["s"], head_ops)), tail)[0])
 
     def body(s):
         # the finish lambda turns '' into null on the bound variable; a
@@ -300,7 +323,9 @@ def clean_text(c, max_passes: int = MAX_PASSES) -> Column:
         return F.when(s == F.lit(""), s).otherwise(loop)
 
     before = strip_boilerplate(_where_needed(_col(c), OPS_BEFORE_BOILERPLATE))
-    return F.transform(F.array(apply_op(before, OP_QUOTES)), body)[0]
+    blanks = OPS_COLLAPSE_WS[0]
+    once = F.translate(before, OP_QUOTES[1] + blanks[1], "'" * len(OP_QUOTES[1]) + " " * len(blanks[1]))
+    return F.transform(F.array(once), body)[0]
 
 
 def clean_columns(df, cols, max_passes: int = MAX_PASSES):

@@ -117,3 +117,18 @@ def test_gate_looks_for_errors_once(spark):
             old = F.when(R.is_error_message("text", rules), "Error message").when(~ok, "Parsing problem")
             got = df.select(R.quality_gate("text", kind, rules)["reason"].alias("new"), old.alias("old"))
             assert got.where("not (new <=> old)").count() == 0
+
+
+def test_rules_about_a_word_anywhere_read_texts_that_hold_it(spark):
+    texts = ["a cookie here", "a COOKIE here", "a b\ncookie", "a Javaſcript b", "your browser", "YOUR BROWSER", "x pdf", "x PDF\n",
+             "x pdf y", "İ b c", "plain", "", None, "cook ie", "browser your", "a cookıe", "404 Not Found"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    c = F.col("t")
+    for rules in ("compat", "intended", "strict"):
+        for kind in R.CONTENT_TYPES:
+            old = F.coalesce(R._rlike(c, R.boilerplate_regex(kind, rules)), F.lit(False))
+            err = F.when(~R.has_content(c), F.lit(True)).otherwise(R._rlike(c, R.error_regex(rules)))
+            got = df.select("i", (R.is_boilerplate(c, kind, rules) == old).alias("a"), R.is_error_message(c, rules).eqNullSafe(err).alias("b"))
+            assert [r.i for r in got.where("not a or not b").collect()] == []
+    plan = df.select(R.is_error_message(c))._jdf.queryExecution().toString().lower()
+    assert "contains(" in plan  # the words are told by a plain search first
