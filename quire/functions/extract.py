@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import cut_lineage
 from . import patterns as P
 from .rulebook import KEYWORDS
 
@@ -156,14 +157,19 @@ def abbreviation_scores(df: DataFrame, text: str) -> DataFrame:
     The score is the log-likelihood ratio of Kiss and Strunk (2006) between "always before a full
     stop" and "before one as often as any word", less for long words and for words that also
     stand without one, more for inner full stops. Nothing is labelled; the words of all texts
-    are counted in Spark, with partial sums before the shuffle.
+    are counted in Spark, with partial sums before the shuffle: first as they stand, so that marks
+    are taken off distinct words only. The counts are stored (no filter on words can then be
+    moved into the scan of the texts), as the totals read them too.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), f"[{P.WS}]+"), lambda w: w != "")
-    bare = df.select(F.explode(words).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}\p{Nd}]+|[,;:!?)\]\p{Pf}\"']+$", "").alias("w"))
+    blanks = [ch for ch in P.WS_CHARS if ch != " "]
+    words = F.split(F.translate(F.lower(F.col(text)), "".join(blanks), " " * len(blanks)), " ")
+    raw = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    bare = raw.select(F.regexp_replace("w", r"^[^\p{L}\p{Nd}]+|[,;:!?)\]\p{Pf}\"']+$", "").alias("w"), "n")
     stop = F.col("w").rlike(r"[^.]\.$")
-    counted = bare.select(F.when(stop, F.substr("w", F.lit(1), F.length("w") - 1)).otherwise(F.col("w")).alias("word"), stop.alias("stop"))
-    counted = counted.where(F.col("word") != "")
-    each = counted.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop").cast("bigint")).alias("k"))
+    counted = bare.select(F.when(stop, F.substr("w", F.lit(1), F.length("w") - 1)).otherwise(F.col("w")).alias("word"), "n",
+                          F.when(stop, F.col("n")).otherwise(F.lit(0).cast("bigint")).alias("k"))
+    each = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "word-counts")
+    each = each.where(F.col("word") != "")
     total = each.agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"))
     n, k, letters = F.col("n"), F.col("k"), F.length(F.replace("word", F.lit("."), F.lit("")))
     p = F.greatest(F.least(F.col("_k") / F.col("_n"), F.lit(0.98)), F.lit(1e-9))

@@ -1,10 +1,13 @@
 """The learned sentence splitter against hand-marked sentences, and the bytes of written splits."""
 
 import glob
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from quire.functions import extract as X
+from quire.functions import patterns as P
 from quire.sources import io as IO
 
 # "|" marks where a sentence ends
@@ -68,3 +71,20 @@ def test_written_splits_quote_text_and_not_numbers(spark):
     back = IO.read_splits(spark, path, "doc_id long, text string, labels int, score double, flag boolean")
     assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
     assert spark.read.text(path).where(F.col("value") == "").count() == 0
+
+
+def test_words_are_counted_as_they_stand_before_marks_are_taken_off(spark):
+    texts = ["Dr. (Dr.) dr., «cf. x» cf. cf\tA. B a.. ... . , «» 3.5. 3.5", "", None, "  \n ", "e.g. e.g E.G.", "Dr. Dr. sp.' sp"]
+    df = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    n = {}
+    for t in texts * 3:
+        for w in [x for x in re.split(f"[{''.join(P.WS_CHARS)}]+", (t or "").lower()) if x]:
+            w = re.sub(r"""^[^\w]+|[,;:!?)\]»”’"']+$""", "", w)
+            stop = bool(re.search(r"[^.]\.$", w))
+            word = w[:-1] if stop else w
+            n[word] = [a + b for a, b in zip(n.get(word, [0, 0]), [1, int(stop)])]
+    got = X.abbreviation_scores(df, "text")
+    want = {w: tuple(v) for w, v in n.items() if v[1] >= 2 and re.fullmatch(r"[^\W\d_.][^\W\d_.]*(?:\.[^\W\d_]+)*", w)}
+    assert {r["word"]: (r["n"], r["k"]) for r in got.collect()} == want and want["dr"] == (15, 15)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "word-counts" in " ".join(got.inputFiles())  # the texts are split once, not for the totals again
