@@ -22,6 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from ..session import cut_lineage
 from . import patterns as P
 from .rulebook import KEYWORDS
+from .text import may_hold
 
 # The UDF below is shipped with this module's code (pickled by value), so
 # Python workers need neither this package installed nor the driver's path.
@@ -137,7 +138,7 @@ def keyword_pattern(keywords=KEYWORDS) -> str:
 def contains_keywords(c) -> Column:
     """Any keyword as a case-insensitive substring (no word bounds)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(c.rlike(P.java(keyword_pattern(), ignore_case=True)), F.lit(False))
+    return F.coalesce(may_hold(c, KEYWORDS) & c.rlike(P.java(keyword_pattern(), ignore_case=True)), F.lit(False))
 
 
 SENTENCE = r"([^.!?]+[.!?]*)"
@@ -186,12 +187,31 @@ def learn_abbreviations(df: DataFrame, text: str, count: int = MAX_ABBREVIATIONS
     return sorted(r["word"] for r in found.collect())  # `count` words
 
 
+def _tree(words) -> str:
+    """An alternation of `words` by their common beginnings."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def body(node) -> str:
+        parts = [re.escape(ch) + body(rest) for ch, rest in sorted(node.items(), reverse=True) if ch]
+        parts += [""] * ("" in node)
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return body(tree) if tree else ""
+
+
 def sentence_break(abbreviations) -> str:
     """The white space between two sentences: after `.`, `!`, `?` (and closing quotes or brackets), before what a
     sentence may begin with; not after an abbreviation or an initial."""
-    known = "|".join(re.escape(w) for w in sorted(abbreviations, key=lambda w: (-len(w), w)))
+    known = _tree(abbreviations)
     after = rf"(?<![^\p{{L}}\p{{Nd}}.](?iu:{known})\.)(?<!^(?iu:{known})\.)" if known else ""
-    return rf"(?<=[.!?…][\"'\p{{Pf}}\p{{Pe}}]{{0,2}}){after}(?<![^\p{{L}}\p{{Nd}}]\p{{Lu}}\.)(?<!^\p{{Lu}}\.)[{P.WS}]+(?={OPENING})"
+    # the cheapest tests first: white space before a beginning, then what is before it
+    begin = rf"(?=[{P.WS}])(?<=[.!?…][\"'\p{{Pf}}\p{{Pe}}]{{0,2}})(?=[{P.WS}]++{OPENING})"
+    return rf"{begin}(?<![^\p{{L}}\p{{Nd}}]\p{{Lu}}\.)(?<!^\p{{Lu}}\.){after}[{P.WS}]++"
 
 
 def sentences(c, abbreviations=None) -> Column:
@@ -216,10 +236,12 @@ def relevant_sentences(c, abbreviations=None) -> Column:
 
     Sentences of the learned splitter keep their end marks and are joined with a blank.
     """
+    c = F.col(c) if isinstance(c, str) else c
     kept = F.filter(sentences(c, abbreviations), lambda s: s.rlike(P.java(keyword_pattern(), ignore_case=True)))
     # bind the filtered list once (it is used twice below)
     glue = "." if abbreviations is None else " "
-    return F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, F.array_join(k, glue)))[0]
+    joined = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, F.array_join(k, glue)))[0]
+    return F.when(contains_keywords(c), joined)  # a text without a keyword has no such sentence
 
 
 def add_sentence_columns(df: DataFrame, cols=None, keep_content: bool = True, abbreviations=None) -> DataFrame:

@@ -88,3 +88,26 @@ def test_words_are_counted_as_they_stand_before_marks_are_taken_off(spark):
     assert {r["word"]: (r["n"], r["k"]) for r in got.collect()} == want and want["dr"] == (15, 15)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "word-counts" in " ".join(got.inputFiles())  # the texts are split once, not for the totals again
+
+
+def test_sentence_break_tells_cheap_things_first_and_breaks_as_before(spark):
+    words = ["dr", "d", "e.g", "fig", "figs", "f", "pág", "st"]
+    known = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    after = rf"(?<![^\p{{L}}\p{{Nd}}.](?iu:{known})\.)(?<!^(?iu:{known})\.)"
+    old = (rf"(?<=[.!?…][\"'\p{{Pf}}\p{{Pe}}]{{0,2}}){after}(?<![^\p{{L}}\p{{Nd}}]\p{{Lu}}\.)(?<!^\p{{Lu}}\.)"
+           rf"[{P.WS}]+(?={X.OPENING})")
+    rng = random.Random(5)
+    parts = ["Dr.", "dr.", "D.", "x", "Fig.", "figs.", "FIGS.", "(st.", "e.g.", "E.G.", " ", "  ", " ", "A", "b.", "Q.", "!", "?\"", ".)", "…", "3", "¿", "oak"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    assert df.where(~F.split("t", X.sentence_break(words)).eqNullSafe(F.split("t", old))).count() == 0
+    assert X.sentence_break(words).startswith(f"(?=[{P.WS}])") and X._tree(["ab", "abc"]) == "ab(?:c|)"
+
+
+def test_keywords_are_looked_for_before_sentences_are_made(spark):
+    texts = ["An OAK. No.", "Wılt here. x", "ſpodoptera. y", "Popİllia japonica? z", "toKen oaK. b", "none. here", "oa k", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    old = F.coalesce(F.col("t").rlike(P.java(X.keyword_pattern(), ignore_case=True)), F.lit(False))
+    got = df.select("i", X.contains_keywords("t").alias("new"), old.alias("old"), X.relevant_sentences("t").alias("s")).orderBy("i").collect()
+    assert [r.new for r in got] == [r.old for r in got] == [r.s is not None for r in got] and sum(r.new for r in got) == 5
+    assert "contains(" in df.select(X.relevant_sentences("t"))._jdf.queryExecution().toString().lower()
