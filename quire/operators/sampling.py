@@ -56,22 +56,61 @@ def rank_table(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_c
     without another exchange or another pass over `df`.
     """
     by = list(by)
-    h = hash32(F.col(key), seed, salt)
-    x = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - BUCKET_BITS))
     part = Window.partitionBy(*by, "_b")
-    r = (x.withColumn("_rb", F.row_number().over(part.orderBy("_h", key)))
+    r = (_bucketed(df, key, seed, salt).withColumn("_rb", F.row_number().over(part.orderBy("_h", key)))
          .withColumn("_bc", F.count(F.lit(1)).over(part)))
-    hist = r.groupBy(*by, "_b").agg(F.max("_bc").alias("_bn"))
+    offsets, counts, extra = _offsets(r.groupBy(*by, "_b").agg(F.max("_bc").alias("_bn")), by, facts)
+    ranked = r.join(offsets.drop("_bn"), by + ["_b"]).select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col), *extra)
+    return ranked, counts
+
+
+def _bucketed(df: DataFrame, key: str, seed, salt: str) -> DataFrame:
+    """`df` with the hash `_h` of the key and its bucket `_b`."""
+    return df.withColumn("_h", hash32(F.col(key), seed, salt)).withColumn("_b", F.shiftright(F.col("_h"), 32 - BUCKET_BITS))
+
+
+def _offsets(hist: DataFrame, by, facts):
+    """From (by..., _b, _bn): offsets (by..., _b, _bn, _off, columns of `facts`), counts(by..., _cnt), those columns' names."""
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(*by, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
+    offsets = hist.select(*by, "_b", "_bn", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
     counts = hist.groupBy(*by).agg(F.sum("_bn").alias("_cnt"))
-    extra = []
-    if facts is not None:
-        per_class = facts(counts)
-        extra = [c for c in per_class.columns if c not in by]
-        offsets = offsets.join(per_class, by) if by else with_scalars(offsets, per_class)
-    ranked = r.join(offsets, by + ["_b"]).select(*df.columns, (F.col("_off") + F.col("_rb")).alias(rank_col), *extra)
-    return ranked, counts
+    if facts is None:
+        return offsets, counts, []
+    per_class = facts(counts)
+    offsets = offsets.join(per_class, by) if by else with_scalars(offsets, per_class)
+    return offsets, counts, [c for c in per_class.columns if c not in by]
+
+
+def rank_cuts(df: DataFrame, key: str, by, cuts, seed=SEED, salt: str = "", facts=None):
+    """Which ranks of ``rank_table`` reach up to cuts, without an exchange of the rows.
+
+    `facts` turns the counts into a table with one row per `by` and the columns `cuts`: a
+    cut is a rank. Returns (rows of `df` with a boolean for each cut, named like it: whether
+    the rank is at most the cut; counts(by..., _cnt)).
+
+    The ranks of most buckets lie on one side of a cut, so the bucket's number tells; only
+    the rows of the one bucket that a cut goes through are ranked. `df` is read three times:
+    this is for stored tables. The last bucket before each cut, and the one that it goes
+    through, are broadcast, a row for each `by`.
+    """
+    by = list(by)
+    x = _bucketed(df, key, seed, salt)
+    offsets, counts, _ = _offsets(x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn")), by, facts)
+    end, cells = F.col("_off") + F.col("_bn"), []
+    for c in cuts:
+        through = (F.col("_off") < F.col(c)) & (end > F.col(c))
+        cells += [F.coalesce(F.max(F.when(end <= F.col(c), F.col("_b"))), F.lit(-1)).alias(f"{c}_last"),
+                  F.coalesce(F.max(F.when(through, F.col("_b"))), F.lit(-1)).alias(f"{c}_edge"),
+                  F.max(F.when(through, F.col(c) - F.col("_off"))).alias(f"{c}_left")]
+    edges = offsets.groupBy(*by).agg(*cells)
+    met = x.join(F.broadcast(edges), by) if by else with_scalars(x, edges)
+    at_edge = F.col("_b").isin(*[F.col(f"{c}_edge") for c in cuts])
+    before = {c: F.col("_b") <= F.col(f"{c}_last") for c in cuts}
+    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    ranked = met.where(at_edge).withColumn("_rb", rank)
+    sure = met.where(~at_edge).select(*df.columns, *[before[c].alias(c) for c in cuts])
+    return sure.unionByName(ranked.select(*df.columns, *[
+        (before[c] | ((F.col("_b") == F.col(f"{c}_edge")) & (F.col("_rb") <= F.col(f"{c}_left")))).alias(c) for c in cuts])), counts
 
 
 def hash_rank(df: DataFrame, key: str, by=(), seed=SEED, salt: str = "", rank_col: str = "_rank") -> DataFrame:
@@ -263,51 +302,75 @@ def _split_quotas(cnt: DataFrame, label: str, groups, train: float, dev: float,
 
 
 def split_stratified(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1,
-                     test: float = 0.1, seed=SEED, groups=()) -> DataFrame:
+                     test: float = 0.1, seed=SEED, groups=(), stored: bool = False) -> DataFrame:
     """Test and dev keep the class proportions; train takes the rest.
 
     Per class c with n_c of n rows: test = int(int(test*n) * n_c/n) rows,
     dev = int(int(dev*n) * n_c/n) of the remaining, train = everything else.
-    One ranked pass per class assigns all three.
+    One ranked pass per class assigns all three. `stored`: `df` is a stored
+    table, which is read more than once rather than shuffled (``rank_cuts``).
     """
     check_fractions(train, dev, test)
     groups = list(groups)
-    ranked, _ = rank_table(df, key, groups + [label], seed, "class",
-                           facts=lambda cnt: _split_quotas(cnt, label, groups, train, dev, test, balanced=False).drop("_m"))
-    split = (F.when(F.col("_rank") <= F.col("_qt"), "test")
-             .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("train"))
-    return ranked.select(*df.columns, split.alias("split"))
+
+    def quotas(cnt):
+        return _split_quotas(cnt, label, groups, train, dev, test, balanced=False).drop("_m")
+
+    tagged, _ = _test_dev_rest(df, key, groups + [label], seed, quotas, "train", stored)
+    return tagged
+
+
+def _test_dev_rest(df: DataFrame, key: str, keys, seed, quotas, rest: str, stored: bool):
+    """(`df` with `split`: the first _qt rows of a class are test, the next _qd are dev, others `rest`; its counts)."""
+    if stored:
+        def cuts(cnt):
+            return quotas(cnt).select(*keys, F.col("_qt").alias("_test"), (F.col("_qt") + F.col("_qd")).alias("_dev"))
+        rows, cnt = rank_cuts(df, key, keys, ["_test", "_dev"], seed, "class", cuts)
+        is_test, is_dev = F.col("_test"), F.col("_dev")
+    else:
+        rows, cnt = rank_table(df, key, keys, seed, "class", facts=quotas)
+        is_test, is_dev = F.col("_rank") <= F.col("_qt"), F.col("_rank") <= F.col("_qt") + F.col("_qd")
+    split = F.when(is_test, "test").when(is_dev, "dev").otherwise(rest)
+    return rows.select(*df.columns, split.alias("split")), cnt
 
 
 def split_balanced(df: DataFrame, key: str, label: str, train: float = 0.8, dev: float = 0.1,
-                   test: float = 0.1, seed=SEED, groups=()) -> DataFrame:
+                   test: float = 0.1, seed=SEED, groups=(), stored: bool = False) -> DataFrame:
     """Test as in O7 (unbalanced); dev = int(int(dev*n)/k) per class from
     the rest; train = int(int(train*n)/k) draws per class *with replacement*
-    from what is left (over- or under-sampling). Train rows carry `_draw`."""
+    from what is left (over- or under-sampling). Train rows carry `_draw`.
+    `stored` as in ``split_stratified``."""
     check_fractions(train, dev, test)
     groups = list(groups)
     keys = groups + [label]
-    ranked, cnt = rank_table(df, key, keys, seed, "class", facts=lambda cnt: _split_quotas(
-        cnt, label, groups, train, dev, test, balanced=True).drop("_m"))
-    quota = _split_quotas(cnt, label, groups, train, dev, test, balanced=True)
-    part = (F.when(F.col("_rank") <= F.col("_qt"), "test")
-            .when(F.col("_rank") <= F.col("_qt") + F.col("_qd"), "dev").otherwise("rest"))
-    tagged = ranked.select(*df.columns, part.alias("split"))
+
+    def quotas(cnt):
+        return _split_quotas(cnt, label, groups, train, dev, test, balanced=True)
+
+    tagged, cnt = _test_dev_rest(df, key, keys, seed, lambda cnt: quotas(cnt).drop("_m"), "rest", stored)
+    quota = quotas(cnt)
     head = tagged.where(F.col("split") != "rest").withColumn("_draw", F.lit(None).cast("bigint"))
     rest = tagged.where(F.col("split") == "rest").drop("split")
     drawn = sample_with_replacement(rest, key, label, quota.select(*keys, "_m"), seed, "balanced", groups)
     return head.unionByName(drawn.withColumn("split", F.lit("train"))).select(*df.columns, "split", "_draw")
 
 
-def split_few_shot(balanced: DataFrame, key: str, n: int, seed=SEED, groups=()) -> DataFrame:
+def split_few_shot(balanced: DataFrame, key: str, n: int, seed=SEED, groups=(), stored: bool = False) -> DataFrame:
     """The first 2n rows of the balanced train (in its seeded shuffle
     order) stay train, the other train rows become 'unlabeled'; dev and test
-    are kept. No per-class quota is applied (as in the original)."""
+    are kept. No per-class quota is applied (as in the original).
+    `stored` as in ``split_stratified``."""
     train = balanced.where(F.col("split") == "train")
     other = balanced.where(F.col("split") != "train")
     order_key = F.concat_ws(":", F.col(key).cast("string"), F.col("_draw").cast("string"))
-    ranked = hash_rank(train.withColumn("_fk", order_key), "_fk", list(groups), seed, "few-shot")
-    relabel = ranked.withColumn("split", F.when(F.col("_rank") <= 2 * int(n), "train").otherwise("unlabeled"))
+    keyed = train.withColumn("_fk", order_key)
+    if stored:
+        ranked, _ = rank_cuts(keyed, "_fk", list(groups), ["_first"], seed, "few-shot",
+                              lambda cnt: cnt.select(*groups, F.lit(2 * int(n)).alias("_first")))
+        first = F.col("_first")
+    else:
+        ranked, first = hash_rank(keyed, "_fk", list(groups), seed, "few-shot"), F.col("_rank") <= 2 * int(n)
+    relabel = ranked.withColumn("split", F.when(first, "train").otherwise("unlabeled"))
     return other.unionByName(relabel.select(*balanced.columns))
 
 

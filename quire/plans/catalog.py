@@ -23,7 +23,7 @@ from ..operators import metrics as M
 from ..operators import relate as J
 from ..operators import reshape as P
 from ..operators import sampling as O
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffles_dropped
 from ..sources.tables import raw_corpus, spread, table, training_table
 from . import runs as RUNS
 
@@ -967,12 +967,18 @@ def e1_prepare(spark, sf_dir):
     return PREP.prepare(raw_with_markup(spark, sf_dir), few_shot=(50,))
 
 
+#: Records in one file of E1's CSV table: a compressed file is read by one task.
+CSV_RECORDS = 10_000
+
+
 @query("e1_prepare_files")
 def e1_prepare_files(spark, sf_dir):
     """E1 from a CSV table to written datasets and splits, read back."""
     base = IO.scratch_path(spark, "e1")
     raw = raw_with_markup(spark, sf_dir)
-    path = IO.write_csv(raw.select(*[c.strip().split()[0] for c in PREP.RAW_SCHEMA.split(",")]), f"{base}/input")
+    with shuffles_dropped(spark):
+        path = IO.write_csv(raw.select(*[c.strip().split()[0] for c in PREP.RAW_SCHEMA.split(",")]), f"{base}/input",
+                            compression="gzip", maxRecordsPerFile=CSV_RECORDS)
     return PREP.split_table(spark, PREP.prepare_files(spark, path, f"{base}/out", few_shot=(50,)))
 
 

@@ -30,7 +30,7 @@ from ..functions.extract import add_parsed_columns
 from ..functions.text import clean_columns, content_type_col
 from ..operators.label import dedupe_or_label
 from ..operators.sampling import split_balanced, split_few_shot, split_stratified
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffles_dropped
 from ..sources.io import ANNOTATED_COLUMNS, read_table, reduce_columns, write_columns, write_datasets, write_splits
 
 PARSED = ["parsed_trafilatura_title", "parsed_trafilatura_abstract", "parsed_trafilatura_fulltext"]
@@ -65,13 +65,14 @@ def datasets(long: DataFrame) -> DataFrame:
                            groups=g).select("text", "has_subject", "content_source")
 
 
-def unbalanced_splits(d: DataFrame) -> DataFrame:
-    return (split_stratified(d, "text", "has_subject", groups=["content_source"])
+def unbalanced_splits(d: DataFrame, stored: bool = False) -> DataFrame:
+    return (split_stratified(d, "text", "has_subject", groups=["content_source"], stored=stored)
             .withColumn("_draw", F.lit(None).cast("bigint")).withColumn("scheme", F.lit("unbalanced")))
 
 
-def few_shot_splits(bal: DataFrame, few_shot) -> list[DataFrame]:
-    return [split_few_shot(bal, "text", n, groups=["content_source"]).withColumn("scheme", F.lit(f"pet_{n}")) for n in few_shot]
+def few_shot_splits(bal: DataFrame, few_shot, stored: bool = False) -> list[DataFrame]:
+    return [split_few_shot(bal, "text", n, groups=["content_source"], stored=stored).withColumn("scheme", F.lit(f"pet_{n}"))
+            for n in few_shot]
 
 
 def prepare(raw: DataFrame, columns=None, few_shot=(50,), checkpoint: bool = True) -> DataFrame:
@@ -122,7 +123,8 @@ class Stages:
         done = self.finished()
         if key not in done:
             folder = f"{self.path}/{stage}/{key}"
-            write(folder)
+            with shuffles_dropped(self.spark):  # the next stage reads the folder
+                write(folder)
             (self.spark.createDataFrame([(stage, key, folder)], "stage string, key string, folder string").coalesce(1)
              .write.mode("overwrite").parquet(f"{self.path}/manifest/{stage}-{key}"))
             done[key] = folder
@@ -136,6 +138,10 @@ def file_state(spark: SparkSession, path: str) -> str:
     return str(found)
 
 
+#: How the stages are stored: texts take some 40 % less room than with Parquet's usual codec.
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5"}
+
+
 def prepare_files(spark: SparkSession, csv_path: str, out_dir: str, columns=None, few_shot=(50,), schema=RAW_SCHEMA) -> dict[str, str]:
     """E1 from a CSV table (S1) to stored columns (S4), datasets (S7) and splits (S8); the folders by stage.
 
@@ -145,22 +151,27 @@ def prepare_files(spark: SparkSession, csv_path: str, out_dir: str, columns=None
     s = Stages(spark, out_dir)
     columns = list(columns or PARSED + ["translation_title"])
     read = spark.read.parquet
-    raw_key, raw = s.run("raw", [csv_path, file_state(spark, csv_path)],
-                         lambda f: write_columns(read_table(spark, csv_path, schema), f, "doc_id"), schema=str(schema))
+    raw_key, raw = s.run("raw", [csv_path, file_state(spark, csv_path)], lambda f: write_columns(
+        read_table(spark, csv_path, schema), f, "doc_id", **STORED), schema=str(schema))
     kept = ("doc_id", "trafilatura_extracted_xml_tei", "translation_title", *ANNOTATED_COLUMNS)
     parsed_key, parsed = s.run("parsed", [raw_key], lambda f: write_columns(
-        add_parsed_columns(reduce_columns(read(raw), kept)).select("doc_id", "sujet", *columns), f, "doc_id"), columns=columns)
-    clean_key, cleaned = s.run("cleaned", [parsed_key], lambda f: write_columns(clean_columns(read(parsed), columns), f, "doc_id"))
+        add_parsed_columns(reduce_columns(read(raw), kept)).select("doc_id", "sujet", *columns), f, "doc_id", **STORED), columns=columns)
+    clean_key, cleaned = s.run("cleaned", [parsed_key], lambda f: write_columns(
+        clean_columns(read(parsed), columns), f, "doc_id", **STORED))
     data_key, data = s.run("datasets", [clean_key], lambda f: write_datasets(
-        datasets(read(cleaned).unpivot(["doc_id", "sujet"], columns, "content_source", "text")), f))
-    uns = s.run("unbalanced", [data_key], lambda f: write_splits(unbalanced_splits(read(data)), f, ("content_source", "split"), "parquet"))
-    bal_key, bal = s.run("balanced", [data_key], lambda f: write_splits(
-        split_balanced(read(data), "text", "has_subject", groups=["content_source"]).withColumn("scheme", F.lit("balanced_dev_train")),
-        f, ("content_source", "split"), "parquet"))
+        datasets(read(cleaned).unpivot(["doc_id", "sujet"], columns, "content_source", "text")), f, **STORED))
+
+    def store_splits(df, f):
+        return write_splits(df, f, ("content_source", "split"), "parquet", **STORED)
+
+    uns = s.run("unbalanced", [data_key], lambda f: store_splits(unbalanced_splits(read(data), stored=True), f))
+    bal_key, bal = s.run("balanced", [data_key], lambda f: store_splits(
+        split_balanced(read(data), "text", "has_subject", groups=["content_source"], stored=True)
+        .withColumn("scheme", F.lit("balanced_dev_train")), f))
     out = {"raw": raw, "parsed": parsed, "cleaned": cleaned, "datasets": data, "unbalanced": uns[1], "balanced_dev_train": bal}
     for n in few_shot:
-        out[f"pet_{n}"] = s.run(f"pet_{n}", [bal_key], lambda f, n=n: write_splits(
-            few_shot_splits(read(bal).drop("scheme"), [n])[0], f, ("content_source", "split"), "parquet"))[1]
+        out[f"pet_{n}"] = s.run(f"pet_{n}", [bal_key], lambda f, n=n: store_splits(
+            few_shot_splits(read(bal).drop("scheme"), [n], stored=True)[0], f))[1]
     return out
 
 

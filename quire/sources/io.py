@@ -46,8 +46,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # ---- S1 / S2 / S3: tables and splits ----
 
-def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, **options) -> str:
+    df.write.mode("overwrite").options(**CSV_WRITE_OPTIONS, **options).csv(path)
     return path
 
 
@@ -167,9 +167,9 @@ def load_labeled_path(spark: SparkSession, path: str, text_col: str, label_col:
 
 # ---- S4 / S5 / S6: column store ----
 
-def write_columns(df: DataFrame, path: str, row_id: str = "row_id") -> str:
+def write_columns(df: DataFrame, path: str, row_id: str = "row_id", **options) -> str:
     """Persist all columns (Parquet is columnar: each column is stored apart)."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return path
 
 
@@ -194,9 +194,9 @@ def reduce_columns(df: DataFrame, keep=("doc_id",) + SCRAPED_COLUMNS + ANNOTATED
 
 # ---- S7 / S8: datasets and splits ----
 
-def write_datasets(long_df: DataFrame, path: str) -> str:
+def write_datasets(long_df: DataFrame, path: str, **options) -> str:
     """One cleaned dataset per content source (partition directories)."""
-    long_df.write.mode("overwrite").partitionBy("content_source").parquet(path)
+    long_df.write.mode("overwrite").options(**options).partitionBy("content_source").parquet(path)
     return path
 
 
@@ -213,7 +213,7 @@ def csv_line(df: DataFrame, columns) -> Column:
     return F.concat_ws(",", *map(cell, columns))
 
 
-def write_splits(df: DataFrame, path: str, by=("scheme", "content_source", "split"), fmt: str = "csv") -> str:
+def write_splits(df: DataFrame, path: str, by=("scheme", "content_source", "split"), fmt: str = "csv", **options) -> str:
     """<scheme>/<content_source>/<split> layout; CSV quotes non-numeric fields and the header.
 
     Spark's CSV writer quotes all fields or those that need it, so the records are written
@@ -222,7 +222,7 @@ def write_splits(df: DataFrame, path: str, by=("scheme", "content_source", "spli
     """
     by = [c for c in by if c in df.columns]
     if fmt != "csv":
-        df.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
+        df.write.mode("overwrite").options(**options).partitionBy(*by).format(fmt).save(path)
         return path
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [c for c in df.columns if c not in by]
@@ -232,7 +232,7 @@ def write_splits(df: DataFrame, path: str, by=("scheme", "content_source", "spli
     first = F.row_number().over(Window.partitionBy(*by, "part").orderBy("part")) == 1
     lines = lines.repartition(*by, "part").withColumn("_first", first)
     value = F.when(F.col("_first"), F.concat(F.lit(header + "\n"), "_line")).otherwise(F.col("_line"))
-    lines.select(*by, "part", value.alias("value")).write.mode("overwrite").partitionBy(*by, "part").text(path)
+    lines.select(*by, "part", value.alias("value")).write.mode("overwrite").options(**options).partitionBy(*by, "part").text(path)
     return path
 
 

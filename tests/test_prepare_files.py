@@ -63,3 +63,36 @@ def test_files_hold_what_prepare_gives_and_a_broken_run_goes_on(spark, raw, csv,
     assert not set(again.values()) & set(folders.values())
     stored = IO.read_columns(spark, folders["raw"], ["trafilatura_title"], "doc_id")
     assert stored.count() == raw.count()
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_the_job_leaves_packed_files_and_no_shuffles(spark, tmp_path, monkeypatch):
+    docs = [(i, f"Title {i % 70} of a page.\nAn \"abstract\", of page {i % 90}.\nThe text of page {i}, line by line.\nIts end.",
+             "en" if i % 3 else "fr", f"site{i % 4}") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(IO, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(C, "CSV_RECORDS", 25)
+    made = []
+    real = PREP.Stages.run
+
+    def run(self, stage, reads, write, **parameters):
+        before = shuffle_files(spark)
+        out = real(self, stage, reads, write, **parameters)
+        made.extend((stage, x) for x in shuffle_files(spark) - before)
+        return out
+
+    monkeypatch.setattr(PREP.Stages, "run", run)
+    out = C.e1_prepare_files(spark, str(tmp_path))
+    assert made == []
+    assert {p.suffix for p in (tmp_path / "e1/input").glob("part-*")} == {".gz"}
+    assert len(list((tmp_path / "e1/input").glob("part-*"))) >= 16
+    for stage in ("raw", "parsed", "cleaned", "datasets", "unbalanced", "balanced", "pet_50"):
+        files = [p.name for p in (tmp_path / "e1/out" / stage).rglob("part-*")]
+        assert files and all(".zstd." in f for f in files), stage
+    assert rows(out) == rows(PREP.prepare(C.raw_with_markup(spark, str(tmp_path))))

@@ -102,3 +102,37 @@ def test_kfold_balanced_folds(spark):
     folds = O.stratified_kfold(_table(spark, 1000, 200), "doc_id", "labels", k=10)
     sizes = {(r.fold, r.labels): r["count"] for r in folds.groupBy("fold", "labels").count().collect()}
     assert all(sizes[(f, 1)] == 20 and sizes[(f, 0)] == 80 for f in range(10))
+
+
+def test_splits_of_stored_tables_are_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "BUCKET_BITS", 3)  # so that cuts go through buckets
+    rows = [(f"t{i}", int(i % 7 == 0), "abc"[i % 3]) for i in range(900)] + [("one", 1, "d"), ("two", 0, "d")]
+    rows += [(None, 1, "a"), (None, 0, "b"), ("n", None, "a"), ("m", 1, None), ("t0", 1, "a"), ("t5", 0, "c")]
+    spark.createDataFrame(rows, "text string, label int, source string").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+
+    def found(x):
+        return sorted((tuple(r) for r in x.collect()), key=str)
+
+    for groups in (["source"], []):
+        assert found(O.split_stratified(df, "text", "label", groups=groups, stored=True)) == \
+            found(O.split_stratified(df, "text", "label", groups=groups))
+        bal = O.split_balanced(df, "text", "label", groups=groups)
+        assert found(O.split_balanced(df, "text", "label", groups=groups, stored=True)) == found(bal)
+        for n in (0, 5, 10_000):
+            few = O.split_few_shot(bal, "text", n, groups=groups)
+            assert found(O.split_few_shot(bal, "text", n, groups=groups, stored=True)) == found(few)
+
+
+def test_rank_cuts_reach_the_same_rows(spark, tmp_path):
+    spark.range(20_000).selectExpr("md5(cast(id as string)) AS text", "cast(id % 5 = 0 as int) AS label").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+
+    def third(cnt):
+        return cnt.select("label", F.floor(F.col("_cnt") / 3).alias("_q"))
+
+    cut, counts = O.rank_cuts(df, "text", ["label"], ["_q"], facts=third)
+    assert {r["label"]: r["_cnt"] for r in counts.collect()} == {0: 16_000, 1: 4_000}
+    ranked, _ = O.rank_table(df, "text", ["label"], facts=third)
+    want = {r["text"] for r in ranked.where("_rank <= _q").collect()}
+    assert len(want) == 5333 + 1333 and {r["text"] for r in cut.where("_q").collect()} == want
